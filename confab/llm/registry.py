@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from confab.llm import exact_dedup, mixing, url_filters
+from confab.llm import bpe, exact_dedup, mixing, url_filters, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_warc": warc.op7_warc,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
     "op4_url_filters": url_filters.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
