@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from confab.llm import bpe, exact_dedup, mixing, quality, secret_scans, url_filters, warc
+from confab.llm import bpe, exact_dedup, mixing, quality, secret_scans, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_warc": warc.op7_warc,
     "op9_secrets": secret_scans.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
