@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from confab.llm import bpe, exact_dedup, mixing, quality, secret_scans, substring_dedup, url_filters, warc
+from confab.llm import bpe, exact_dedup, mixing, ngram_join, quality, secret_scans, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_warc": warc.op7_warc,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_secrets": secret_scans.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
