@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from confab.llm import bpe, exact_dedup, mixing, ngram_join, quality, secret_scans, substring_dedup, url_filters, warc
+from confab.llm import ann, bpe, exact_dedup, mixing, ngram_join, quality, secret_scans, substring_dedup, url_filters, warc
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_url_filters": url_filters.op4_url_filters,
