@@ -110,11 +110,23 @@ def training_order(placed: DataFrame, partitions: int | None = None) -> DataFram
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` as the mix takes them, in training order: repeats are rows, a part is its first words.
+    """``docs`` (doc_id, text, ...) as the mix takes them, in training order: repeats are rows, a part is its first words.
 
     Columns are those of ``docs``; in a part, words are joined by one space and n_chars (if there) follows.
+    Short rows are placed and then joined with the texts; only where rows of one id and text repeat,
+    whole rows are placed.
     """
-    rows = training_order(curriculum(docs, **kw))
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    rows = curriculum(marked, carry=["doc_id", "_mark"], **kw)
+    keys = rows.groupBy("doc").count().filter("count > 1")
+    if keys.isEmpty():
+        short = rows.select(F.col("doc.doc_id").alias("_id"), F.col("doc._mark").alias("_m"), "size", "order", F.explode("copies").alias("copy")).select("_id", "_m", "size", "copy.*", "order")
+        short = written(short, "placed")
+        text = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_x"))
+        rows = text.join(short, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_m"))).select("doc", "nth", "words", "size", "position", "order")
+        rows = rows.repartitionByRange("position", "order").sortWithinPartitions("position", "order")
+    else:
+        rows = training_order(curriculum(docs, **kw))
     part = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")))
     rows = rows.withColumn("_text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("doc.text")))
     put = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
