@@ -140,7 +140,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, trees
     dim = dims[len(dims) // 2] if dims else 1
     forest = Forest(np.array([v for v in sample if len(v) == dim], float).reshape(-1, dim) if dims else np.eye(1), trees)
     copies = Window.partitionBy("v").orderBy("id")
-    rows = rows.filter(F.size("v") == dim).withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k + 1).drop("nth")
+    rows = rows.filter(F.size("v") == dim).distinct().withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k + 1).drop("nth")
     index = written(_coded(rows, forest), "index")
     asked = usable(queries, id_col, vec_col).filter(F.size("v") == dim)
     reps = written(_coded(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), forest), "queries")
