@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from confab.plans import segment_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**segment_queries.QUERIES, **text_queries.QUERIES}
+ORACLES: dict[str, str] = {**segment_queries.ORACLES, **text_queries.ORACLES}
