@@ -44,7 +44,7 @@ def word_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     pairs = words.join(F.broadcast(asked), F.col("w").startswith(F.col("q")) | (F.abs(F.length("w") - F.length("q")) * 100 <= 28 * F.greatest(F.length("w"), F.length("q"))) | (t.phonetic_key(F.col("w")) == t.phonetic_key(F.col("q"))))
     sim, key = t.similarity(F.col("q"), F.col("w")), t.phonetic_key(F.col("q"))
     both = (F.length("q") >= 4) & (F.length("w") >= 4)
-    m = F.when(F.col("w").startswith(F.col("q")), F.struct(F.lit(3).alias("o"), F.lit(1.0).alias("s"))).when(both & (sim >= 0.72), F.struct(F.lit(2), sim)).when(both & (F.length(key) >= 2) & (key == t.phonetic_key(F.col("w"))), F.struct(F.lit(1), F.lit(0.7)))
+    m = F.when(F.col("w").startswith(F.col("q")), F.struct(F.lit(3).alias("o"), F.lit(1.0).alias("s"))).when(both & (sim >= 0.72), F.struct(F.lit(2).alias("o"), sim.alias("s"))).when(both & (F.length(key) >= 2) & (key == t.phonetic_key(F.col("w"))), F.struct(F.lit(1).alias("o"), F.lit(0.7).alias("s")))
     pairs = pairs.withColumn("m", m).filter("m is not null")
     best = d.join(pairs, "w").join(q, "q").groupBy("query_id", "doc_id", "i", "total").agg(F.max("m").alias("m"))
     rows = best.groupBy("query_id", "doc_id", "total").agg(F.sum("m.s").alias("s"), F.max("m.o").alias("o"))
@@ -64,7 +64,7 @@ def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 def hybrid(cosines: DataFrame, keywords: DataFrame, alpha: float = 0.75, least: float = 0.15) -> DataFrame:
     """(query_id, vec_id, score): alpha * cosine + (1 - alpha) * keyword score, from ``least``."""
     rows = cosines.join(keywords, ["query_id", "vec_id"], "left")
-    return rows.select("query_id", "vec_id", F.round(alpha * F.col("cosine") + (1 - alpha) * F.coalesce("keyword", F.lit(0.0)), 6).alias("score")).filter(F.col("score") >= least)
+    return rows.select("query_id", "vec_id", F.round(alpha * F.col("cosine") + (1 - alpha) * F.coalesce("keyword", F.lit(0.0)), 8).alias("score")).filter(F.col("score") >= least)
 
 
 def mmr(hits: DataFrame, k: int = 8, weight: float = 0.6) -> DataFrame:

@@ -155,6 +155,6 @@ walk AS (SELECT recording_id, seg_id, 0 AS chunk_id, 0 AS first_, 1 AS n, l0 AS
         "wp AS (SELECT w, q, 1 - levenshtein(q, w)::DOUBLE / greatest(length(q), length(w)) AS sim, " + _PHON.format("w") + " AS wk, " + _PHON.format("q") + " AS qk FROM (SELECT DISTINCT w FROM dw WHERE w <> ''), (SELECT DISTINCT q FROM qw WHERE q <> '')), pairs AS (SELECT * FROM dw JOIN wp USING (w) JOIN qw USING (q))",
     ),
     "vector_topk": "WITH " + _COS + " SELECT query_id, vec_id, cosine, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS r FROM cos) WHERE r <= 8",
-    "hybrid_topk": "WITH " + _COS + ", h AS (SELECT query_id, vec_id, round(0.75::DOUBLE * cosine + 0.25::DOUBLE * CASE WHEN (vec_id + query_id) % 7 = 0 THEN (vec_id * 13) % 10 / 10.0::DOUBLE ELSE 0 END, 6) AS score FROM cos) SELECT query_id, vec_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM h WHERE score >= 0.15) WHERE r <= 8",
+    "hybrid_topk": "WITH " + _COS + ", h AS (SELECT query_id, vec_id, round(0.75::DOUBLE * cosine + 0.25::DOUBLE * CASE WHEN (vec_id + query_id) % 7 = 0 THEN (vec_id * 13) % 10 / 10.0::DOUBLE ELSE 0 END, 8) AS score FROM cos) SELECT query_id, vec_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM h WHERE score >= 0.15) WHERE r <= 8",
     "speaker_similarity": "WITH " + _COS.split(",\ncos")[0] + ", e AS (SELECT vec_id, label, v FROM nv JOIN embeddings USING (vec_id) WHERE vec_id < 100) SELECT * FROM (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(" + _DOT.format("a.v", "b.v") + ", 4) AS cosine FROM e a JOIN e b USING (label) WHERE a.vec_id < b.vec_id) WHERE cosine >= 0.2",
 }
