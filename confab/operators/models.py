@@ -43,7 +43,7 @@ def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]],
                     out += [[0.0] * dim] * len(own)
             yield pdf.assign(embedding=out)
 
-    return texts.mapInPandas(run, texts.schema.add("embedding", T.ArrayType(T.FloatType())))
+    return texts.mapInPandas(run, T.StructType([*texts.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
 def probe_positions(recordings: DataFrame, seconds: float = 60.0) -> DataFrame:
