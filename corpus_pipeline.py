@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from confab.llm.common import table, written
+from confab.sources.cluster import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,22 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs)
 
 
-STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("near-duplicate join", near_stage), ("mixing to target weights", mixing_stage), ("bpe encoding", bpe_stage)]
+def _shipped(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [
+    ("quality classifier", _shipped(quality_stage)),
+    ("exact dedup", _shipped(exact_stage)),
+    ("near-duplicate join", _shipped(near_stage)),
+    ("mixing to target weights", _shipped(mixing_stage)),
+    ("bpe encoding", _shipped(bpe_stage)),
+]
 
 #: The classifier and the near-duplicate join have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
