@@ -20,5 +20,7 @@ QUERIES = {
 ORACLES = {
     "op4_url_filters": url_filters.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
 }
