@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from confab.functions import text as t
@@ -34,7 +35,7 @@ def _folded_columns(segs):
 def _translated(segs):
     """Replies translate the first five lines of each batch, and every fourth reply is broken."""
     batches = x.translation_batches(segs)
-    k = F.row_number().over(__import__("pyspark").sql.Window.partitionBy("recording_id", "batch_id").orderBy("seg_id"))
+    k = F.row_number().over(Window.partitionBy("recording_id", "batch_id").orderBy("seg_id"))
     rows = segs.join(batches, ["recording_id", "seg_id"]).withColumn("k", k).filter("k <= 5").groupBy("recording_id", "batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda s: F.concat(F.lit("PL "), s["text"])).alias("l"))
     reply = F.when((F.col("recording_id") + F.col("batch_id")) % 4 == 3, "{broken").otherwise(F.to_json(F.struct(F.col("l").alias("tlumaczenia_pl"))))
     return x.aligned(segs, batches, rows.select("recording_id", "batch_id", reply.alias("reply")))
