@@ -266,3 +266,38 @@ def split_at_turns(segs: DataFrame, turns: DataFrame, least_ms: int = 100, bin_m
     pieces = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda i: F.struct(F.get("edges", i).alias("s"), F.get("edges", i + 1).alias("e"))))
     rows = rows.select(REC, "seg_id", pieces.alias("piece", "p")).filter(F.col("p.e") - F.col("p.s") >= least_ms)
     return rows.select(REC, "seg_id", "piece", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"))
+
+
+def energy_speakers(segs: DataFrame, gap_ms: int = 1500, ratio: float = 4.0, speakers: int = 6) -> DataFrame:
+    """(recording_id, seg_id, speaker_no): the next speaker after a gap or where the energy changes ``ratio`` times.
+
+    ``segs`` has a column energy; where either is zero the ratio is 1.
+    """
+    before = F.lag("energy").over(by_id())
+    change = F.when((before > 0) & (F.col("energy") > 0), F.greatest(before, "energy") / F.least(before, "energy")).otherwise(1.0)
+    flag = F.when((F.col("start_ms") - F.lag("end_ms").over(by_id()) >= gap_ms) | (change >= ratio), 1).otherwise(0)
+    return segs.withColumn("_c", flag).select(REC, "seg_id", (F.sum("_c").over(so_far()) % speakers).cast("int").alias("speaker_no"))
+
+
+def quote_lines(segs: DataFrame, least_ms: int = 300_000, rows: int = 60, chars: int = 3000) -> DataFrame:
+    """(recording_id, block): ``[m:ss name] text`` of the first segments of recordings long enough, cut to ``chars``."""
+    from confab.functions.text import clock
+
+    ends = F.max("end_ms").over(Window.partitionBy(REC))
+    nth = F.row_number().over(by_id())
+    line = F.concat(F.lit("["), clock(F.col("start_ms")), F.lit(" "), F.col("speaker"), F.lit("] "), F.col("text"))
+    own = segs.withColumns({"_ends": ends, "_n": nth, "line": line}).filter((F.col("_ends") >= least_ms) & (F.col("_n") <= rows))
+    return own.groupBy(REC).agg(F.substring(joined_text("seg_id", "line", "\n"), 1, chars).alias("block"))
+
+
+def neighbour_texts(segs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(recording_id, seg_id, before, text, after) of the segments named in ``ids`` (recording_id, seg_id)."""
+    rows = segs.select(REC, "seg_id", F.lag("text").over(by_id()).alias("before"), "text", F.lead("text").over(by_id()).alias("after"))
+    return rows.join(ids, [REC, "seg_id"], "left_semi")
+
+
+def unsure_words(words: DataFrame, below: int = 40) -> DataFrame:
+    """(recording_id, seg_id, n, marked): words below the probability, for the phonetic boundary, in order."""
+    own = words.filter(F.col("prob_pct") < below)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda s: s["word"]), " ")
+    return own.groupBy(REC, "seg_id").agg(F.count(F.lit(1)).alias("n"), text.alias("marked"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from confab.operators import flows, profiles, signal
 from confab.operators import models as m
 from confab.operators import retrieval as r
+from confab.operators import segments as s
 from confab.plans.segment_queries import _base, _segs, _segs_turns, _sql
 from confab.plans.text_queries import _ASKED, _DT, _KW, _docs, _queries
 from confab.sources import conversations as c
@@ -40,6 +41,19 @@ def _merges(segs):
     return m.guarded_merges(rows)
 
 
+def _twice(segs):
+    """The second hearing doubles the first word or hears something else; confidences by position."""
+    key = F.col("recording_id") * 1000 + F.col("seg_id")
+    return segs.select(key.alias("key"), (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"), F.col("text").alias("a_text"), ((key * 7) % 100 / 100.0).alias("a_conf"), F.when(key % 2 == 0, F.lit("quite other words")).otherwise(F.col("text")).alias("b_text"), ((key * 13) % 100 / 100.0).alias("b_conf"))
+
+
+def _profiles(segs):
+    base = segs.groupBy("recording_id", "speaker").agg(F.count(F.lit(1)).alias("n_segments"))
+    names = s.display_names(base.select("recording_id", "speaker", F.lit(None).cast("string").alias("name"), F.lit("female").alias("gender"))).filter("speaker <> 'system'")
+    features = segs.filter("end_ms - start_ms > 9000").groupBy("recording_id", "speaker").agg(F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"))
+    return profiles.profiles(base, names, features)
+
+
 QUERIES = {
     "event_routing": lambda spark, d: flows.routed(c.table(spark, d, "events"), terminal=("purchase",)),
     "allowed_parameters": lambda spark, d: flows.allowed_parameters(c.table(spark, d, "events").select(F.col("event_id").alias("recording_id"), F.create_map(F.lit("language"), F.col("event_type"), F.lit("beam_size"), F.when(F.col("event_id") % 2 == 0, "5"), F.lit("secret"), F.lit("x")).alias("params"))).select("recording_id", F.explode("params").alias("name", "value")),
@@ -53,6 +67,14 @@ QUERIES = {
     "guarded_merges": _segs(_merges),
     "diarize_pipeline": _segs_turns(lambda s, t: flows.diarized(s, t).select("recording_id", "seg_id", "speaker")),
     "refine_pipeline": _segs(lambda s: flows.refined(s).select("recording_id", "seg_id", "speaker")),
+    "energy_speakers": _segs(lambda x: s.energy_speakers(x.withColumn("energy", (F.col("seg_id") * 37 % 11).cast("double")))),
+    "quote_lines": _segs(lambda x: s.quote_lines(x, 60_000)),
+    "retranslate_context": _segs(lambda x: s.neighbour_texts(x, x.filter("seg_id % 7 = 3").select("recording_id", "seg_id"))),
+    "unsure_words": _segs(lambda x: s.unsure_words(c.words(x))),
+    "multi_pass_choice": _segs(lambda x: m.multi_pass(_twice(x))),
+    "best_candidate": lambda spark, d: m.better_candidate(c.table(spark, d, "events").select("user_id", "event_id", F.round("value", 1).alias("confidence"), (F.col("event_id") * -1).alias("preferred")), ["user_id"]).select("user_id", "event_id", "confidence"),
+    "speaker_profiles": _segs(_profiles),
+    "probe_summary": lambda spark, d: m.probe_summary(c.table(spark, d, "events").select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("pos"), ((F.col("event_id") % 100) / 100.0).alias("confidence"), F.col("event_type").alias("language"))),
     "probe_positions": _segs(lambda s: m.probe_positions(s.groupBy("recording_id").agg((F.max("end_ms") / 1000.0).alias("duration"))).select("recording_id", F.round("at", 4).alias("at"), "length")),
 }
 
@@ -77,5 +99,14 @@ SELECT recording_id, raw, CASE WHEN s >= 0.3 THEN found ELSE printf('GŁOS_%02d'
     "guarded_merges": _sql("""SELECT recording_id, removed, arg_max(kept, a || '|' || b) AS kept FROM (SELECT recording_id, a, b, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS removed, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS kept, cosine, min(cosine) OVER (PARTITION BY recording_id) AS low
   FROM (SELECT x.recording_id, x.speaker AS a, y.speaker AS b, round(0.985::DOUBLE + ((x.recording_id * 7 + length(x.speaker) * 3 + length(y.speaker)) % 13) / 1000.0::DOUBLE, 4) AS cosine FROM (SELECT DISTINCT recording_id, speaker FROM segments) x JOIN (SELECT DISTINCT recording_id, speaker FROM segments) y ON x.recording_id = y.recording_id AND x.speaker < y.speaker))
 WHERE low <= 0.99 AND cosine >= 0.99 AND recording_id % 11 <> 0 GROUP BY ALL"""),
+    "energy_speakers": _sql("SELECT recording_id, seg_id, CAST(sum(ch) OVER (PARTITION BY recording_id ORDER BY seg_id) % 6 AS INT) AS speaker_no FROM (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w >= 1500 OR (e > 0 AND lag(e) OVER w > 0 AND greatest(e, lag(e) OVER w) >= 4 * least(e, lag(e) OVER w)) THEN 1 ELSE 0 END AS ch FROM (SELECT *, seg_id * 37 % 11 AS e FROM segments) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id))"),
+    "quote_lines": _sql("SELECT recording_id, substr(string_agg('[' || (start_ms // 60000) || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') || ' ' || speaker || '] ' || text, chr(10) ORDER BY seg_id), 1, 3000) AS block FROM (SELECT *, max(end_ms) OVER (PARTITION BY recording_id) AS m FROM segments) WHERE m >= 60000 AND seg_id < 60 GROUP BY recording_id"),
+    "retranslate_context": _sql("SELECT * FROM (SELECT recording_id, seg_id, lag(text) OVER w AS before, text, lead(text) OVER w AS after FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id)) WHERE seg_id % 7 = 3"),
+    "unsure_words": _sql("SELECT recording_id, seg_id, count(*) AS n, string_agg(word, ' ' ORDER BY word_idx) AS marked FROM words WHERE prob_pct < 40 GROUP BY recording_id, seg_id"),
+    "multi_pass_choice": _sql(r"""SELECT key, CASE WHEN second THEN 'quite other words' ELSE text END AS text, CASE WHEN second THEN b ELSE a END AS confidence, NOT (a < 0.45 AND b < 0.45 AND dur < 500) AS kept FROM (SELECT *, dur < 800 AND key % 2 = 0 AND b > a AND len(list_intersect(ws, ['quite', 'other', 'words'])) < 0.4 * len(list_distinct(list_concat(ws, ['quite', 'other', 'words']))) AS second
+  FROM (SELECT recording_id * 1000 + seg_id AS key, end_ms - start_ms AS dur, text, (recording_id * 1000 + seg_id) * 7 % 100 / 100.0::DOUBLE AS a, (recording_id * 1000 + seg_id) * 13 % 100 / 100.0::DOUBLE AS b, list_distinct(regexp_split_to_array(lower(trim(text)), '\s+')) AS ws FROM segments))""".replace("\\\\", "\\")),
+    "best_candidate": "SELECT user_id, event_id, round(value, 1) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 1) DESC, event_id) AS r FROM events) WHERE r = 1",
+    "speaker_profiles": _sql("SELECT recording_id, speaker, count(*) AS n_segments, CASE WHEN speaker <> 'system' THEN 'Kobieta_' || row_number() OVER (PARTITION BY recording_id ORDER BY speaker) END AS display, max(end_ms - start_ms) FILTER (end_ms - start_ms > 9000) AS longest_ms FROM segments GROUP BY recording_id, speaker"),
+    "probe_summary": "SELECT recording_id, confidence, language, CASE WHEN confidence < 0.6 THEN 'large' WHEN confidence < 0.75 THEN 'context' ELSE 'none' END AS suggestion FROM (SELECT user_id AS recording_id, round(avg(event_id % 100 / 100.0::DOUBLE), 4) AS confidence FROM events GROUP BY ALL) JOIN (SELECT user_id AS recording_id, event_type AS language FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1) USING (recording_id)",
     "probe_positions": _sql("SELECT recording_id, round(unnest(CASE WHEN d > 180 THEN [greatest(30, 0.15::DOUBLE * d), 0.5::DOUBLE * d, 0.8::DOUBLE * d] WHEN d > 90 THEN [greatest(10, 0.2::DOUBLE * d), 0.65::DOUBLE * d] ELSE [least(30, 0.2::DOUBLE * d)] END), 4) AS at, 60.0::DOUBLE AS length FROM (SELECT recording_id, max(end_ms) / 1000.0::DOUBLE AS d FROM segments GROUP BY ALL)"),
 }
