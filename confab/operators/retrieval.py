@@ -11,18 +11,28 @@ from confab.functions import text as t
 from confab.functions.vectors import dot, normalised
 
 
+def _of_near_length(words: DataFrame, asked: DataFrame, low: str, high: str) -> DataFrame:
+    """Pairs (w, q) with a length of w from ``low`` to ``high`` (of q's length n): an equal join on lengths."""
+    spans = asked.withColumn("n", F.length("q")).select("q", F.explode(F.sequence(F.expr(low).cast("int"), F.expr(high).cast("int"))).alias("len"))
+    return words.withColumn("len", F.length("w")).join(spans, "len").select("w", "q")
+
+
+def _of_same_start(words: DataFrame, asked: DataFrame, chars: int) -> DataFrame:
+    return words.withColumn("_s", F.substring("w", 1, chars)).join(asked.withColumn("_s", F.substring("q", 1, chars)), "_s").select("w", "q")
+
+
 def keyword_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, avg_len: float = 60.0) -> DataFrame:
     """(query_id, doc_id, score): mean weight of the query's tokens times the share that matches.
 
     ``docs`` (doc_id, text) and ``queries`` (query_id, query). Similarity is worked out once for each
-    distinct pair of tokens that can match: equal first letters for prefixes, near lengths for edits.
+    distinct pair of tokens that can match: equal first three letters for prefixes, near lengths for edits.
     """
     d = docs.select("doc_id", t.tokens(F.col("text")).alias("ts")).withColumn("n", F.size("ts"))
     q = queries.select("query_id", t.tokens(F.col("query")).alias("qs")).withColumn("total", F.size("qs"))
     dt, qt = d.select("doc_id", "n", F.explode("ts").alias("w")), q.select("query_id", "total", F.posexplode("qs").alias("i", "q"))
     words, asked = dt.select("w").distinct(), qt.select("q").distinct()
-    near = F.abs(F.length("w") - F.length("q")) <= 2
-    sims = words.join(F.broadcast(asked), F.col("w").startswith(F.col("q")) | F.col("q").startswith(F.col("w")) | near)
+    close = _of_near_length(words, asked, "n - 2", "n + 2").filter((F.length("q") >= 4) & (F.levenshtein("w", "q") <= 2))
+    sims = _of_same_start(words, asked, 3).union(close).distinct()
     sims = sims.withColumn("sim", t.keyword_similarity(F.col("q"), F.col("w"))).filter("sim > 0")
     hits = dt.distinct().join(sims, "w").join(qt, "q").groupBy("query_id", "doc_id", "i", "n", "total").agg(F.max("sim").alias("sim"))
     weight = (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n") / avg_len))
@@ -41,7 +51,9 @@ def word_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.explode(F.array_distinct(t.tokens(F.col("text"), 1))).alias("w")).filter("w <> ''")
     q = queries.select("query_id", F.posexplode(t.tokens(F.col("query"), 1)).alias("i", "q"), F.size(t.tokens(F.col("query"), 1)).alias("total")).filter("q <> ''")
     words, asked = d.select("w").distinct(), q.select("q").distinct()
-    pairs = words.join(F.broadcast(asked), F.col("w").startswith(F.col("q")) | (F.abs(F.length("w") - F.length("q")) * 100 <= 28 * F.greatest(F.length("w"), F.length("q"))) | (t.phonetic_key(F.col("w")) == t.phonetic_key(F.col("q"))))
+    close = _of_near_length(words, asked, "ceil(n * 0.72)", "floor(n / 0.72)").filter(t.similarity(F.col("q"), F.col("w")) >= 0.72)
+    alike = words.withColumn("_k", t.phonetic_key(F.col("w"))).join(asked.withColumn("_k", t.phonetic_key(F.col("q"))), "_k").select("w", "q")
+    pairs = _of_same_start(words, asked, 1).filter(F.col("w").startswith(F.col("q"))).union(close).union(alike).distinct()
     sim, key = t.similarity(F.col("q"), F.col("w")), t.phonetic_key(F.col("q"))
     both = (F.length("q") >= 4) & (F.length("w") >= 4)
     m = F.when(F.col("w").startswith(F.col("q")), F.struct(F.lit(3).alias("o"), F.lit(1.0).alias("s"))).when(both & (sim >= 0.72), F.struct(F.lit(2).alias("o"), sim.alias("s"))).when(both & (F.length(key) >= 2) & (key == t.phonetic_key(F.col("w"))), F.struct(F.lit(1).alias("o"), F.lit(0.7).alias("s")))
