@@ -51,7 +51,7 @@ def _profiles(segs):
     base = segs.groupBy("recording_id", "speaker").agg(F.count(F.lit(1)).alias("n_segments"))
     names = s.display_names(base.select("recording_id", "speaker", F.lit(None).cast("string").alias("name"), F.lit("female").alias("gender"))).filter("speaker <> 'system'")
     features = segs.filter("end_ms - start_ms > 9000").groupBy("recording_id", "speaker").agg(F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"))
-    return profiles.profiles(base, names, features)
+    return profiles.profiles(base, names, features).withColumn("longest_ms", F.coalesce("longest_ms", F.lit(0)))
 
 
 QUERIES = {
@@ -106,7 +106,7 @@ WHERE low <= 0.99 AND cosine >= 0.99 AND recording_id % 11 <> 0 GROUP BY ALL""")
     "multi_pass_choice": _sql(r"""SELECT key, CASE WHEN second THEN 'quite other words' ELSE text END AS text, CASE WHEN second THEN b ELSE a END AS confidence, NOT (a < 0.45 AND b < 0.45 AND dur < 500) AS kept FROM (SELECT *, dur < 800 AND key % 2 = 0 AND b > a AND len(list_intersect(ws, ['quite', 'other', 'words'])) < 0.4 * len(list_distinct(list_concat(ws, ['quite', 'other', 'words']))) AS second
   FROM (SELECT recording_id * 1000 + seg_id AS key, end_ms - start_ms AS dur, text, (recording_id * 1000 + seg_id) * 7 % 100 / 100.0::DOUBLE AS a, (recording_id * 1000 + seg_id) * 13 % 100 / 100.0::DOUBLE AS b, list_distinct(regexp_split_to_array(lower(trim(text)), '\s+')) AS ws FROM segments))""".replace("\\\\", "\\")),
     "best_candidate": "SELECT user_id, event_id, round(value, 1) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 1) DESC, event_id) AS r FROM events) WHERE r = 1",
-    "speaker_profiles": _sql("SELECT recording_id, speaker, count(*) AS n_segments, CASE WHEN speaker <> 'system' THEN 'Kobieta_' || row_number() OVER (PARTITION BY recording_id ORDER BY speaker) END AS display, max(end_ms - start_ms) FILTER (end_ms - start_ms > 9000) AS longest_ms FROM segments GROUP BY recording_id, speaker"),
+    "speaker_profiles": _sql("SELECT recording_id, speaker, count(*) AS n_segments, CASE WHEN speaker <> 'system' THEN 'Kobieta_' || row_number() OVER (PARTITION BY recording_id ORDER BY speaker) END AS display, coalesce(max(end_ms - start_ms) FILTER (end_ms - start_ms > 9000), 0) AS longest_ms FROM segments GROUP BY recording_id, speaker"),
     "probe_summary": "SELECT recording_id, confidence, language, CASE WHEN confidence < 0.6 THEN 'large' WHEN confidence < 0.75 THEN 'context' ELSE 'none' END AS suggestion FROM (SELECT user_id AS recording_id, round(avg(event_id % 100 / 100.0::DOUBLE), 4) AS confidence FROM events GROUP BY ALL) JOIN (SELECT user_id AS recording_id, event_type AS language FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1) USING (recording_id)",
     "probe_positions": _sql("SELECT recording_id, round(unnest(CASE WHEN d > 180 THEN [greatest(30, 0.15::DOUBLE * d), 0.5::DOUBLE * d, 0.8::DOUBLE * d] WHEN d > 90 THEN [greatest(10, 0.2::DOUBLE * d), 0.65::DOUBLE * d] ELSE [least(30, 0.2::DOUBLE * d)] END), 4) AS at, 60.0::DOUBLE AS length FROM (SELECT recording_id, max(end_ms) / 1000.0::DOUBLE AS d FROM segments GROUP BY ALL)"),
 }
