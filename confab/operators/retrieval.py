@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import text as t
 from confab.functions.vectors import dot, normalised
+from confab.sources.storage import written
 
 
 def _of_near_length(words: DataFrame, asked: DataFrame, low: str, high: str) -> DataFrame:
@@ -111,12 +112,22 @@ def near_labels(vectors: DataFrame, least: float = 0.0) -> DataFrame:
     return a.join(b, "label").filter("a < b").select("label", "a", "b", F.round(dot(F.col("x"), F.col("y")), 4).alias("cosine")).filter(F.col("cosine") >= least)
 
 
-def merge_map(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(removed, kept) with chains followed: A to B and B to C give A to C. A cycle stops where it began."""
-    now = pairs.select("removed", "kept")
-    for _ in range(max(1, rounds.bit_length())):
+def merge_map(pairs: DataFrame) -> DataFrame:
+    """(removed, kept) with chains followed: A to B and B to C give A to C. A cycle of two stops where it began, a
+    longer one at one of its members.
+
+    Each round doubles the length of the chains followed and is a written table; it ends when none
+    changes, or when a chain of all pairs would be followed.
+    """
+    now = written(pairs.select("removed", "kept"), "merges")
+    for _ in range(now.count().bit_length() + 1):
         ahead = now.select(F.col("removed").alias("_r"), F.col("kept").alias("_k"))
-        now = now.join(ahead, F.col("kept") == F.col("_r"), "left").select("removed", F.when(F.col("_k") == F.col("removed"), F.col("kept")).otherwise(F.coalesce("_k", "kept")).alias("kept"))
+        ends = F.when(F.col("_k") == F.col("removed"), F.col("kept")).otherwise(F.coalesce("_k", "kept"))
+        new = written(now.join(ahead, F.col("kept") == F.col("_r"), "left").select("removed", ends.alias("kept"), F.col("kept").alias("_old")), "merges")
+        changed = not new.filter("kept <> _old").isEmpty()
+        now = new.drop("_old")
+        if not changed:
+            break
     return now
 
 

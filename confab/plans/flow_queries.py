@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from confab.operators import flows, profiles, signal
+from confab.operators import asr, flows, profiles, signal
 from confab.operators import models as m
 from confab.operators import retrieval as r
 from confab.operators import segments as s
@@ -33,12 +33,23 @@ def _summaries(segs):
     return flows.summarised(segs, model, width=1000, long_ms=20_000)
 
 
+def _cutoff(segs):
+    """Chunks of 30 s that begin 4 s before the last one's end hear every segment that starts in them."""
+    chunks = signal.overlapping_chunks(segs.groupBy("recording_id").agg(F.max("end_ms").alias("n")), 30_000, 4_000).select("recording_id", "chunk", F.col("start").alias("start_ms"), F.col("end").alias("_end"))
+    heard = segs.select("recording_id", "seg_id", "start_ms").join(chunks.withColumnRenamed("start_ms", "_at"), "recording_id").filter("start_ms >= _at and start_ms < _end")
+    return asr.without_overlap(heard.select("recording_id", "chunk", "seg_id", "start_ms"), chunks, 4_000)
+
+
 def _merges(segs):
+    return m.guarded_merges(_pairs(segs))
+
+
+def _pairs(segs):
     pairs = segs.select("recording_id", "speaker").distinct()
     a, b = pairs.withColumnRenamed("speaker", "a"), pairs.withColumnRenamed("speaker", "b")
     score = F.round(0.985 + ((F.col("recording_id") * 7 + F.length("a") * 3 + F.length("b")) % 13) / 1000.0, 4)
     rows = a.join(b, "recording_id").filter("a < b").withColumns({"cosine": score, "conflict": F.col("recording_id") % 11 == 0, "overlap": F.lit(False), "talk_a": F.length("a"), "talk_b": F.length("b")})
-    return m.guarded_merges(rows)
+    return rows
 
 
 def _twice(segs):
@@ -67,6 +78,11 @@ QUERIES = {
     "guarded_merges": _segs(_merges),
     "diarize_pipeline": _segs_turns(lambda s, t: flows.diarized(s, t).select("recording_id", "seg_id", "speaker")),
     "refine_pipeline": _segs(lambda s: flows.refined(s).select("recording_id", "seg_id", "speaker")),
+    "speaker_counts": _segs_turns(lambda x, t: asr.speaker_counts(t.withColumn("probe", F.col("turn_idx") % 2))),
+    "chunk_overlap_cutoff": _segs(_cutoff),
+    "chosen_run": _segs_turns(lambda x, t: asr.chosen_run(t.withColumn("run", F.lit(0)).unionByName(t.filter("turn_idx % 3 < 2").withColumn("run", F.lit(1))), 0.3)),
+    "recogniser_prompts": _segs(asr.prompts),
+    "merged_speakers": _segs(lambda x: asr.merged_speakers(x, _pairs(x))),
     "energy_speakers": _segs(lambda x: s.energy_speakers(x.withColumn("energy", (F.col("seg_id") * 37 % 11).cast("double")))),
     "quote_lines": _segs(lambda x: s.quote_lines(x, 60_000)),
     "retranslate_context": _segs(lambda x: s.neighbour_texts(x, x.filter("seg_id % 7 = 3").select("recording_id", "seg_id"))),
@@ -99,6 +115,10 @@ SELECT recording_id, raw, CASE WHEN s >= 0.3 THEN found ELSE printf('GŁOS_%02d'
     "guarded_merges": _sql("""SELECT recording_id, removed, arg_max(kept, a || '|' || b) AS kept FROM (SELECT recording_id, a, b, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS removed, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS kept, cosine, min(cosine) OVER (PARTITION BY recording_id) AS low
   FROM (SELECT x.recording_id, x.speaker AS a, y.speaker AS b, round(0.985::DOUBLE + ((x.recording_id * 7 + length(x.speaker) * 3 + length(y.speaker)) % 13) / 1000.0::DOUBLE, 4) AS cosine FROM (SELECT DISTINCT recording_id, speaker FROM segments) x JOIN (SELECT DISTINCT recording_id, speaker FROM segments) y ON x.recording_id = y.recording_id AND x.speaker < y.speaker))
 WHERE low <= 0.99 AND cosine >= 0.99 AND recording_id % 11 <> 0 GROUP BY ALL"""),
+    "speaker_counts": _sql("SELECT recording_id, max(n) AS n_speakers FROM (SELECT recording_id, count(DISTINCT speaker_raw) AS n FROM turns GROUP BY recording_id, turn_idx % 2) GROUP BY recording_id"),
+    "chunk_overlap_cutoff": _sql("SELECT recording_id, CAST(i AS INT) AS chunk, seg_id, start_ms FROM segments JOIN (SELECT recording_id, max(end_ms) AS n FROM segments GROUP BY ALL) USING (recording_id), range(0, 10000) r(i) WHERE (i = 0 OR i * 26000 + 4000 < n) AND start_ms >= i * 26000 + CASE WHEN i = 0 THEN 0 ELSE 2000 END AND start_ms < least(i * 26000 + 30000, n)"),
+    "chosen_run": _sql("SELECT r.* FROM (SELECT *, 0 AS run FROM turns UNION ALL SELECT *, 1 FROM turns WHERE turn_idx % 3 < 2) r LEFT JOIN (SELECT recording_id, min(ms) >= 0.3 * sum(ms) AS more FROM (SELECT recording_id, speaker_raw, sum(end_ms - start_ms) AS ms FROM turns WHERE turn_idx % 3 < 2 GROUP BY ALL) GROUP BY recording_id) USING (recording_id) WHERE run = CASE WHEN more THEN 1 ELSE 0 END"),
+    "recogniser_prompts": _sql("SELECT recording_id, seg_id, coalesce(array_to_string(list(substr(text, 1, 120)) OVER (PARTITION BY recording_id ORDER BY seg_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' '), '') AS prompt FROM segments"),
     "energy_speakers": _sql("SELECT recording_id, seg_id, CAST(sum(ch) OVER (PARTITION BY recording_id ORDER BY seg_id) % 6 AS INT) AS speaker_no FROM (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w >= 1500 OR (e > 0 AND lag(e) OVER w > 0 AND greatest(e, lag(e) OVER w) >= 4 * least(e, lag(e) OVER w)) THEN 1 ELSE 0 END AS ch FROM (SELECT *, seg_id * 37 % 11 AS e FROM segments) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id))"),
     "quote_lines": _sql("SELECT recording_id, substr(string_agg('[' || (start_ms // 60000) || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') || ' ' || speaker || '] ' || text, chr(10) ORDER BY seg_id), 1, 3000) AS block FROM (SELECT *, max(end_ms) OVER (PARTITION BY recording_id) AS m FROM segments) WHERE m >= 60000 AND seg_id < 60 GROUP BY recording_id"),
     "retranslate_context": _sql("SELECT * FROM (SELECT recording_id, seg_id, lag(text) OVER w AS before, text, lead(text) OVER w AS after FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id)) WHERE seg_id % 7 = 3"),

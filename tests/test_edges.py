@@ -144,6 +144,10 @@ def test_named_and_merged_speakers(spark):
     assert [tuple(r) for r in m.named_speakers(replies).collect()] == [(1, "A", "Ada")]
     pairs = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D"), ("X", "Y")], "removed string, kept string")
     assert {r.removed: r.kept for r in retrieval.merge_map(pairs).collect()} == {"A": "D", "B": "D", "C": "D", "X": "Y"}
+    pairs = spark.createDataFrame([("A", "B"), ("B", "A")], "removed string, kept string")
+    assert {r.removed: r.kept for r in retrieval.merge_map(pairs).collect()} == {"A": "B", "B": "A"}
+    pairs = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A")], "removed string, kept string")
+    assert {r.kept for r in retrieval.merge_map(pairs).collect()} <= {"A", "B", "C"}
     kind = "recording_id long, a string, b string, cosine double, conflict boolean, overlap boolean, talk_a long, talk_b long"
     rows = [(1, "A", "B", 0.995, False, False, 5, 9), (1, "A", "C", 0.2, False, False, 5, 9), (2, "A", "B", 0.999, False, False, 1, 1), (3, "A", "B", 0.995, True, False, 1, 1), (3, "A", "C", 0.1, False, False, 1, 1)]
     assert [tuple(r) for r in m.guarded_merges(spark.createDataFrame(rows, kind)).collect()] == [(1, "A", "B")]

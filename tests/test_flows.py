@@ -65,3 +65,38 @@ def test_summaries_of_short_and_long_texts(spark):
 def test_verdicts(spark):
     scores = spark.createDataFrame([(1, 0, 1), (1, 1, 4), (1, 2, 4), (2, 0, 1)], "recording_id long, seg_id int, score int")
     assert sorted(tuple(r) for r in flows.quality_verdict(scores).collect()) == [(1, 3.0, 0, True), (2, 1.0, 0, False)]
+
+
+def test_recogniser_boundary_and_settings(spark):
+    from confab.operators import asr
+
+    s = asr.Transcription().updated(beam_size=3, unknown=1, language=None)
+    assert s.beam_size == 3 and s.language is None
+    chunks = spark.createDataFrame([(1, 0, 0, [0.0] * 3), (1, 1, 1000, [0.0])], "recording_id long, chunk int, start_ms long, samples array<double>")
+    got = asr.transcribed(chunks, lambda x, c: [(i * 10, i * 10 + 5, f"t{i} {c['beam_size']}") for i in range(len(x))], s).collect()
+    assert sorted((r.chunk, r.pos, r.start_ms, r.text) for r in got) == [(0, 0, 0, "t0 3"), (0, 1, 10, "t1 3"), (0, 2, 20, "t2 3"), (1, 0, 1000, "t0 3")]
+
+
+def test_pitch_of_a_tone():
+    from confab.operators.asr import mean_pitch
+
+    t = np.arange(16_000) / 16_000
+    assert mean_pitch(np.sin(2 * np.pi * 200 * t)) == pytest.approx(200, rel=0.02)
+    assert mean_pitch(np.zeros(16_000)) is None
+
+
+def test_assembled_messages_and_merges(spark):
+    from confab.operators import asr
+
+    segs = spark.createDataFrame([(1, 0, "A", 0, 10, "x"), (1, 1, "B", 10, 15, "y"), (1, 2, "C", 15, 50, "z")], SEG)
+    profiles_ = spark.createDataFrame([(1, "A", 30), (2, "Z", 40)], "recording_id long, speaker string, age int")
+    entities = spark.createDataFrame([(1, "person", ["Ada"])], "recording_id long, kind string, values array<string>")
+    got = {r.recording_id: r for r in asr.assembled(segs, profiles_, entities).collect()}
+    assert len(got[1].segments) == 3 and got[1].entities == {"person": ["Ada"]} and got[2].error == "no segments" and got[1].error is None
+    chat = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q")], "recording_id long, pos int, role string, content string")
+    new = asr.last_overwritten(chat, spark.createDataFrame([(1, "b"), (2, "b")], "recording_id long, content string"))
+    assert sorted((r.recording_id, r.pos, r.content) for r in new.collect()) == [(1, 0, "q"), (1, 1, "b"), (2, 0, "q")]
+    kind = "recording_id long, a string, b string, cosine double, conflict boolean, overlap boolean, talk_a long, talk_b long"
+    pairs = spark.createDataFrame([(1, "A", "B", 0.995, False, False, 10, 5), (1, "A", "C", 0.3, False, False, 10, 35)], kind)
+    assert {r.seg_id: r.speaker for r in asr.merged_speakers(segs, pairs).collect()} == {0: "GŁOS_02", 1: "GŁOS_02", 2: "GŁOS_01"}
+    assert asr.prompted(segs, "summary").first().prompt.endswith("\nx")
