@@ -22,7 +22,8 @@ def sentences(conversations: DataFrame) -> DataFrame:
 def segments(conversations: DataFrame) -> DataFrame:
     """(recording_id, seg_id, turn, speaker, text, start_ms, end_ms), one row per sentence."""
     order = Window.partitionBy("recording_id").orderBy("seg_id")
-    rows = sentences(conversations).select(F.col("conv_id").alias("recording_id"), "turn", "role", "text", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "pos")) - 1).alias("seg_id"))
+    rows = sentences(conversations).withColumnRenamed("conv_id", "recording_id")  # renamed first: every window below keeps one partitioning
+    rows = rows.select("recording_id", "turn", "role", "text", (F.row_number().over(Window.partitionBy("recording_id").orderBy("turn", "pos")) - 1).alias("seg_id"))
     rows = rows.withColumn("h", (F.col("recording_id") * 7919 + F.col("seg_id") * 104729) % 13)
     h = F.col("h")
     dur = F.greatest(F.lit(100), F.least(F.length("text") * F.when(h.isin(4, 9), 10).otherwise(60), F.lit(25000)))
