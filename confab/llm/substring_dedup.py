@@ -25,7 +25,8 @@ from confab.llm.textkernel import flat, mix, pieces, run_hashes, word_hashes, wo
 
 SPAN = 20
 ANCHOR = 8
-_PIECE = 2 << 20
+#: Bytes of texts worked on at once; tables of powers are as long, so just below a power of two.
+_PIECE = (1 << 20) - 1
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
