@@ -13,7 +13,10 @@ from confab.operators.segments import REC
 from confab.operators.text import char_windows, sliding_chunks, transcripts
 
 #: Parameters of a transcription that may be set: fixed values.
-PARAMETERS = ("language", "beam_size", "temperature", "vad_threshold", "min_silence_ms", "speech_pad_ms", "no_speech_threshold", "condition_on_previous", "initial_prompt")
+PARAMETERS = (
+    "vad_filter_threshold", "beam_size", "temperature", "no_speech_threshold", "compression_ratio_threshold",
+    "chunk_minutes", "overlap_seconds", "adaptive_vad", "ipa_threshold",
+)
 #: Event kinds that end a session, and those that change what is shown: fixed values.
 TERMINAL = ("result", "error", "cancelled")
 

@@ -101,7 +101,7 @@ def named_speakers(replies: DataFrame) -> DataFrame:
     """(recording_id, speaker, name): names from the first flat JSON object of a reply; null-like ones are dropped."""
     names = F.from_json(first_json(F.col("reply"), greedy=False), "map<string,string>")
     rows = replies.select(REC, F.explode(names).alias("speaker", "name")).withColumn("name", F.trim("name"))
-    return rows.filter(~F.lower("name").isin("", "null", "none", "unknown", "nieznany", "brak"))
+    return rows.filter(~F.lower("name").isin("", "imię lub null", "null", "brak", "nieznany", "unknown"))
 
 
 def retry_contexts(rows: DataFrame) -> DataFrame:

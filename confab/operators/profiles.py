@@ -13,7 +13,10 @@ from confab.functions.vectors import cosine
 from confab.operators.segments import LABEL, REC
 
 #: Non-speech marks and the badge shown for them: fixed values.
-SOUND_BADGES = {"śmiech": "laugh", "kaszel": "cough", "oklaski": "applause", "muzyka": "music", "cisza": "silence", "westchnienie": "sigh", "płacz": "cry"}
+SOUND_BADGES = {
+    "mhm": "👍 mhm", "hmm": "🤔 hmm", "hm": "🤔 hm", "aha": "💡 aha", "ugh": "😩 ugh", "uhh": "🔇 uhh", "uh": "🔇 uh", "eh": "🤷 eh",
+    "[cough]": "🤧 kaszel", "[laugh]": "😄 śmiech", "[noise]": "🔊 szum", "[music]": "🎵 muzyka", "[applause]": "👏 aplauz",
+}
 
 
 def argmax(probs: Column) -> Column:
@@ -23,7 +26,7 @@ def argmax(probs: Column) -> Column:
 
 
 def sound_badge(text: Column) -> Column:
-    bare = F.trim(F.translate(F.lower(text), ".,!?[]()", ""))
+    bare = F.trim(F.translate(F.lower(text), ".,!?", ""))
     return F.create_map(*[F.lit(x) for kv in SOUND_BADGES.items() for x in kv])[bare]
 
 
@@ -103,7 +106,7 @@ def extracted(audio: DataFrame, extractors: dict[str, Callable[[np.ndarray], flo
 
 
 def rate_label(rate: Column) -> Column:
-    return F.when(rate < 2.5, "wolno").when(rate < 4.5, "normalnie").when(rate.isNotNull(), "szybko")
+    return F.when(rate < 2.5, "wolne").when(rate < 4.5, "normalne").when(rate.isNotNull(), "szybkie")
 
 
 def remapped_fragment(fragment: DataFrame, known: DataFrame, least: float = 0.75) -> DataFrame:

@@ -12,7 +12,10 @@ REC = "recording_id"
 #: Speaker label of the engine's output: fixed format.
 LABEL = "GŁOS_%02d"
 #: One-word reactions: fixed values.
-INTERJECTIONS = ("mhm", "mm", "hm", "hmm", "aha", "uhm", "uh", "eh", "ah", "oh", "no", "tak", "nie", "ok", "okej", "dobra", "dobrze", "jasne", "właśnie", "racja")
+INTERJECTIONS = (
+    "tak", "nie", "mhm", "aha", "ok", "okay", "no", "hm", "hmm", "eh", "ach", "och", "oj", "uff", "he", "ha", "e", "ee",
+    "dobrze", "jasne", "rozumiem", "oczywiście", "właśnie", "yes", "yeah", "right", "sure", "uh", "um",
+)
 
 
 def by_id():
@@ -77,14 +80,14 @@ def quality_report(segs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def tags(segs: DataFrame, words: DataFrame) -> DataFrame:
-    """(recording_id, seg_id, tags): interjection, check_speaker, question, low_confidence, long, silence_gap."""
+    """(recording_id, seg_id, tags): interjection, check-speaker, question, low-conf, long, silence-gap."""
     rows = segs.join(confidence(words).select(REC, "seg_id", "prob_sum", "n_words"), [REC, "seg_id"], "left")
     bare = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_\s]", ""))
     left, right = F.lag("speaker").over(by_id()), F.lead("speaker").over(by_id())
     gap = F.col("start_ms") - F.lag("end_ms").over(by_id())
     found = F.array(
-        F.when(bare.isin(*INTERJECTIONS), "interjection"), F.when((left == right) & (left != F.col("speaker")), "check_speaker"), F.when(F.rtrim("text").endswith("?"), "question"),
-        F.when(F.col("prob_sum") < 55 * F.col("n_words"), "low_confidence"), F.when(F.col("end_ms") - F.col("start_ms") > 20_000, "long"), F.when(gap > 3000, "silence_gap"),
+        F.when(bare.isin(*INTERJECTIONS), "interjection"), F.when((left == right) & (left != F.col("speaker")), "check-speaker"), F.when(F.rtrim("text").endswith("?"), "question"),
+        F.when(F.col("prob_sum") < 55 * F.col("n_words"), "low-conf"), F.when(F.col("end_ms") - F.col("start_ms") > 20_000, "long"), F.when(gap > 3000, "silence-gap"),
     )
     return rows.select(REC, "seg_id", F.array_compact(found).alias("tags"))
 
@@ -241,7 +244,7 @@ def display_names(speakers: DataFrame) -> DataFrame:
 
     ``speakers`` has recording_id, speaker, name and gender.
     """
-    kind = F.when(F.col("gender") == "female", "Kobieta").when(F.col("gender") == "male", "Mężczyzna").when(F.col("gender") == "child", "Dziecko").otherwise("Osoba")
+    kind = F.when(F.col("gender") == "zenski", "Kobieta").when(F.col("gender") == "meski", "Mężczyzna").when(F.col("gender") == "dziecko", "Dziecko").otherwise("Osoba")
     rows = speakers.withColumns({"_kind": kind, "_no": F.col("name").isNull() | (F.trim("name") == "")})
     nth = F.row_number().over(Window.partitionBy(REC, "_no", "_kind").orderBy("speaker"))
     return rows.select(REC, "speaker", F.when(F.col("_no"), F.concat_ws("_", "_kind", nth.cast("string"))).otherwise(F.col("name")).alias("display"))

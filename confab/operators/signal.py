@@ -79,12 +79,12 @@ def snr(levels: DataFrame) -> DataFrame:
     rows = levels.withColumns({"r": rank, "n": n})
     g = rows.groupBy(REC).agg(F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("s"), F.avg(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10)), F.col("rms"))).alias("q"))
     db = F.when(F.col("s") < 1e-9, F.lit(None)).when(F.col("q") < 1e-9, F.lit(40.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(60.0), 20 * F.log10(F.col("s") / F.col("q")))))
-    return g.withColumn("snr_db", db).select(REC, "snr_db", F.when(F.col("snr_db").isNull(), "cisza").when(F.col("snr_db") < 10, "low").when(F.col("snr_db") < 25, "medium").otherwise("high").alias("label"))
+    return g.withColumn("snr_db", db).select(REC, "snr_db", F.when(F.col("snr_db").isNull(), "cisza").when(F.col("snr_db") < 10, "niski (szum)").when(F.col("snr_db") < 25, "sredni").otherwise("wysoki (czysty)").alias("label"))
 
 
 def pitch_profile(f0: Column) -> Column:
     """struct(gender, age, age_group) from a mean voiced pitch in Hz."""
-    gender = F.when(f0 > 250, "child").when(f0 >= 165, "female").when(f0.isNotNull(), "male")
+    gender = F.when(f0 > 250, "dziecko").when(f0 >= 165, "zenski").when(f0.isNotNull(), "meski")
     clamp = lambda x, lo, hi: F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
     age = F.when(f0 > 250, clamp(300 - 0.5 * f0, 5, 17)).when(f0 >= 165, clamp(300 - 0.8 * f0, 18, 80)).when(f0.isNotNull(), clamp(220 - 0.7 * f0, 18, 80))
     return F.struct(gender.alias("gender"), age.alias("age"), age_group(age, gender).alias("age_group"))
@@ -95,4 +95,4 @@ def calibrated_age(raw: Column) -> Column:
 
 
 def age_group(age: Column, gender: Column) -> Column:
-    return F.when(age.isNull(), "nieznany").when((gender == "child") | (age < 18), "dziecko").when(age < 30, "młody").when(age < 55, "dorosły").otherwise("senior")
+    return F.when(age.isNull(), "nieznany").when((gender == "dziecko") | (age < 18), "dziecko").when(age < 30, "mlody").when(age < 55, "dorosly").otherwise("starszy")

@@ -60,14 +60,14 @@ def _twice(segs):
 
 def _profiles(segs):
     base = segs.groupBy("recording_id", "speaker").agg(F.count(F.lit(1)).alias("n_segments"))
-    names = s.display_names(base.select("recording_id", "speaker", F.lit(None).cast("string").alias("name"), F.lit("female").alias("gender"))).filter("speaker <> 'system'")
+    names = s.display_names(base.select("recording_id", "speaker", F.lit(None).cast("string").alias("name"), F.lit("zenski").alias("gender"))).filter("speaker <> 'system'")
     features = segs.filter("end_ms - start_ms > 9000").groupBy("recording_id", "speaker").agg(F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"))
     return profiles.profiles(base, names, features).withColumn("longest_ms", F.coalesce("longest_ms", F.lit(0)))
 
 
 QUERIES = {
     "event_routing": lambda spark, d: flows.routed(c.table(spark, d, "events"), terminal=("purchase",)),
-    "allowed_parameters": lambda spark, d: flows.allowed_parameters(c.table(spark, d, "events").select(F.col("event_id").alias("recording_id"), F.create_map(F.lit("language"), F.col("event_type"), F.lit("beam_size"), F.when(F.col("event_id") % 2 == 0, "5"), F.lit("secret"), F.lit("x")).alias("params"))).select("recording_id", F.explode("params").alias("name", "value")),
+    "allowed_parameters": lambda spark, d: flows.allowed_parameters(c.table(spark, d, "events").select(F.col("event_id").alias("recording_id"), F.create_map(F.lit("temperature"), F.col("event_type"), F.lit("beam_size"), F.when(F.col("event_id") % 2 == 0, "5"), F.lit("secret"), F.lit("x")).alias("params"))).select("recording_id", F.explode("params").alias("name", "value")),
     "age_profiles": lambda spark, d: c.table(spark, d, "customer").select("c_custkey", signal.pitch_profile(F.when(F.col("c_custkey") % 9 != 0, 60 + F.col("c_custkey") % 300)).alias("p"), signal.calibrated_age(F.col("c_custkey") % 90).alias("model_age")).select("c_custkey", "p.gender", F.round("p.age", 6).alias("age"), "p.age_group", F.col("model_age").cast("long").alias("model_age")),
     "emotion_argmax": lambda spark, d: c.table(spark, d, "events").select("event_id", profiles.argmax(F.create_map(F.lit("joy"), F.col("event_id") % 7, F.lit("anger"), F.col("event_id") % 5, F.lit("calm"), F.col("event_id") % 3)).alias("emotion")),
     "index_entries": _segs(lambda s: flows.index_entries(s, 4).withColumn("segment_ids", F.array_join(F.col("segment_ids").cast("array<string>"), ","))),
@@ -98,10 +98,10 @@ _REMAP = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(
 
 ORACLES = {
     "event_routing": "SELECT user_id, count(*) AS n_events, arg_max(event_type, event_id) AS last_kind, bool_or(e IS NOT NULL) AS ended, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM (SELECT *, min(event_id) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS e FROM events) WHERE e IS NULL OR event_id <= e GROUP BY user_id",
-    "allowed_parameters": "SELECT event_id AS recording_id, 'language' AS name, event_type AS value FROM events WHERE event_type IS NOT NULL UNION ALL SELECT event_id, 'beam_size', '5' FROM events WHERE event_id % 2 = 0",
-    "age_profiles": """SELECT c_custkey, gender, round(age, 6) AS age, CASE WHEN age IS NULL THEN 'nieznany' WHEN gender = 'child' OR age < 18 THEN 'dziecko' WHEN age < 30 THEN 'młody' WHEN age < 55 THEN 'dorosły' ELSE 'senior' END AS age_group,
+    "allowed_parameters": "SELECT event_id AS recording_id, 'temperature' AS name, event_type AS value FROM events WHERE event_type IS NOT NULL UNION ALL SELECT event_id, 'beam_size', '5' FROM events WHERE event_id % 2 = 0",
+    "age_profiles": """SELECT c_custkey, gender, round(age, 6) AS age, CASE WHEN age IS NULL THEN 'nieznany' WHEN gender = 'dziecko' OR age < 18 THEN 'dziecko' WHEN age < 30 THEN 'mlody' WHEN age < 55 THEN 'dorosly' ELSE 'starszy' END AS age_group,
   CASE WHEN c_custkey % 90 < 35 THEN greatest(5, c_custkey % 90 - 8) WHEN c_custkey % 90 < 55 THEN greatest(18, c_custkey % 90 - 10) ELSE greatest(18, c_custkey % 90 - 12) END AS model_age
-FROM (SELECT c_custkey, CASE WHEN f > 250 THEN 'child' WHEN f >= 165 THEN 'female' WHEN f IS NOT NULL THEN 'male' END AS gender,
+FROM (SELECT c_custkey, CASE WHEN f > 250 THEN 'dziecko' WHEN f >= 165 THEN 'zenski' WHEN f IS NOT NULL THEN 'meski' END AS gender,
   CASE WHEN f > 250 THEN least(greatest(300 - 0.5::DOUBLE * f, 5), 17) WHEN f >= 165 THEN least(greatest(300 - 0.8::DOUBLE * f, 18), 80) WHEN f IS NOT NULL THEN least(greatest(220 - 0.7::DOUBLE * f, 18), 80) END::DOUBLE AS age FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN 60 + c_custkey % 300 END AS f FROM customer))""",
     "emotion_argmax": "SELECT event_id, CASE WHEN event_id % 5 >= event_id % 7 AND event_id % 5 >= event_id % 3 THEN 'anger' WHEN event_id % 3 >= event_id % 7 THEN 'calm' ELSE 'joy' END AS emotion FROM events",
     "chat_context": _sql(

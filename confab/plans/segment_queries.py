@@ -51,7 +51,7 @@ def _fragment(segs):
 def _named(segs):
     """Every third recording names its users; kinds follow the speaker."""
     rows = segs.select("recording_id", "speaker").distinct()
-    return rows.withColumns({"name": F.when((F.col("recording_id") % 3 == 0) & (F.col("speaker") == "user"), "Ada"), "gender": F.when(F.col("speaker") == "assistant", "female").when(F.col("speaker") == "user", "male")})
+    return rows.withColumns({"name": F.when((F.col("recording_id") % 3 == 0) & (F.col("speaker") == "user"), "Ada"), "gender": F.when(F.col("speaker") == "assistant", "zenski").when(F.col("speaker") == "user", "meski")})
 
 
 QUERIES = {
@@ -100,9 +100,9 @@ _ISLANDS = """islands AS (
 _TAGS = r"""tagged AS (
   SELECT recording_id, seg_id, list_filter([
     CASE WHEN trim(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g')) IN (""" + ", ".join(f"'{x}'" for x in s.INTERJECTIONS) + r""") THEN 'interjection' END,
-    CASE WHEN lag(speaker) OVER w = lead(speaker) OVER w AND lag(speaker) OVER w <> speaker THEN 'check_speaker' END,
-    CASE WHEN rtrim(text) LIKE '%?' THEN 'question' END, CASE WHEN prob_sum < 55 * n_words THEN 'low_confidence' END,
-    CASE WHEN end_ms - start_ms > 20000 THEN 'long' END, CASE WHEN start_ms - lag(end_ms) OVER w > 3000 THEN 'silence_gap' END], lambda x: x IS NOT NULL) AS tags
+    CASE WHEN lag(speaker) OVER w = lead(speaker) OVER w AND lag(speaker) OVER w <> speaker THEN 'check-speaker' END,
+    CASE WHEN rtrim(text) LIKE '%?' THEN 'question' END, CASE WHEN prob_sum < 55 * n_words THEN 'low-conf' END,
+    CASE WHEN end_ms - start_ms > 20000 THEN 'long' END, CASE WHEN start_ms - lag(end_ms) OVER w > 3000 THEN 'silence-gap' END], lambda x: x IS NOT NULL) AS tags
   FROM segments LEFT JOIN conf USING (recording_id, seg_id) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id))"""
 _OVER = """over_ AS (
   SELECT s.recording_id, s.seg_id, t.turn_idx, t.speaker_raw, least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms) AS overlap_ms

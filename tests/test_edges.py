@@ -44,7 +44,7 @@ def test_tags_and_quality(spark):
     segs = spark.createDataFrame(rows, SEG)
     words = spark.createDataFrame([(1, 0, 0, "Dużo", 50), (1, 0, 1, "słów", 40)], "recording_id long, seg_id int, word_idx int, word string, prob_pct int")
     got = {r.seg_id: r.tags for r in s.tags(segs, words).collect()}
-    assert got == {0: ["low_confidence", "long"], 1: ["interjection", "check_speaker"], 2: ["question", "silence_gap"], 3: ["question", "silence_gap"]}
+    assert got == {0: ["low-conf", "long"], 1: ["interjection", "check-speaker"], 2: ["question", "silence-gap"], 3: ["question", "silence-gap"]}
     q = s.quality_report(segs, words).first()
     assert (q.low_confidence, q.very_short, q.repetitions, q.long_gaps, q.avg_confidence, q.retranscribe) == (1, 1, 1, 1, 0.45, True)
 
@@ -105,7 +105,7 @@ def test_signal_regions(spark):
     assert [tuple(r) for r in signal.silence_regions(df).collect()] == [(1, 1000, 4000)]
     assert signal.snr(df).first().snr_db == 40.0
     r = one(spark, signal.pitch_profile(F.lit(300.0)).alias("c"), signal.pitch_profile(F.lit(200.0)).alias("f"), signal.pitch_profile(F.lit(None).cast("double")).alias("n"))
-    assert (r.c.gender, r.c.age, r.f.gender, r.f.age, r.n.age_group) == ("child", 17.0, "female", 80.0, "nieznany")
+    assert (r.c.gender, r.c.age, r.f.gender, r.f.age, r.n.age_group) == ("dziecko", 17.0, "zenski", 80.0, "nieznany")
 
 
 def test_translation_boundary(spark):

@@ -31,10 +31,10 @@ def test_signal_kernels():
 
 def test_labels(spark):
     r = spark.range(1).select(
-        profiles.sound_badge(F.lit("[Śmiech].")).alias("a"), profiles.sound_badge(F.lit("tak")).alias("b"), profiles.rate_label(F.lit(3.0)).alias("c"),
+        profiles.sound_badge(F.lit("[Laugh].")).alias("a"), profiles.sound_badge(F.lit("tak")).alias("b"), profiles.rate_label(F.lit(3.0)).alias("c"),
         profiles.energy(F.array(F.lit(3.0), F.lit(4.0)), F.lit(0.0), F.lit(1.0), rate=2).alias("d"), profiles.energy(F.array(F.lit(3.0)), F.lit(5.0), F.lit(5.0)).alias("e"),
     ).first()
-    assert (r.a, r.b, r.c, r.e) == ("laugh", None, "normalnie", 0.0) and r.d == pytest.approx(12.5**0.5)
+    assert (r.a, r.b, r.c, r.e) == ("😄 śmiech", None, "normalne", 0.0) and r.d == pytest.approx(12.5**0.5)
 
 
 def test_refined_asks_only_about_short_rows(spark):
