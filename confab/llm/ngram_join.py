@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from confab.llm.common import table, written
 from confab.llm.graphs import components
-from confab.llm.textkernel import flat, mix, pieces, run_hashes, word_hashes, words
+from confab.llm.textkernel import flat, mix, pieces, run_hashes, tidy, word_hashes, words
 
 WORDS = 5
 PERCENT = 80
 CELL = 512
 #: Sets of one batch under one shingle beyond which it counts as very common and isn't sent to one reducer.
 COMMON = 32
-_PIECE = 4 << 20
+#: Bytes of texts worked on at once; tables of powers are as long, so just below a power of two.
+_PIECE = (1 << 21) - 1
 _BITS = np.uint64(53)
 _MOST = 1023
 
@@ -67,6 +68,7 @@ def _infos(docs: DataFrame) -> DataFrame:
                 _, at, digest = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digest.view(np.int64), mask=n == 0)], ["doc_id", "n", "node"])
+        tidy()
 
     return docs.mapInArrow(run, "doc_id long, n long, node long")
 
@@ -119,6 +121,7 @@ def _by_range(docs: DataFrame, buckets: int) -> DataFrame:
                 if out:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], schema.replace(" binary", "").replace(" int", "").split(", "))
+        tidy()
 
     return docs.select("text").mapInArrow(run, schema)
 
@@ -139,6 +142,7 @@ def _shared(parts: DataFrame, buckets: int) -> DataFrame:
         h[:, :6] = six
         h = h.view(np.uint64).ravel()
         node = np.repeat(nodes, counts)
+        del six
         order = np.argsort(h)
         h, node = h[order], node[order]
         marks = np.unique(_wide(group, "marks", np.uint64)) - low[bucket]
@@ -164,6 +168,8 @@ def _shared(parts: DataFrame, buckets: int) -> DataFrame:
         node, token, to = node[order], token[order], to[order]
         cut = np.searchsorted(to, np.arange(buckets + 1))
         own = [x for x in range(buckets) if cut[x + 1] > cut[x]]
+        del h, order, edge, run, passed
+        tidy()
         blobs = [[np.unique(node[cut[x] : cut[x + 1]], return_counts=True) for x in own], [token[cut[x] : cut[x + 1]].tobytes() for x in own]]
         return pa.table({"bucket": pa.array(own, pa.int32()), "nodes": pa.array([x[0].tobytes() for x in blobs[0]], pa.binary()), "counts": pa.array([x[1].astype(np.uint32).tobytes() for x in blobs[0]], pa.binary()), "tokens": pa.array(blobs[1], pa.binary())})
 
@@ -175,6 +181,8 @@ def _shared(parts: DataFrame, buckets: int) -> DataFrame:
         one = np.concatenate([[True], (node[1:] != node[:-1]) | (token[1:] != token[:-1])]) if len(node) else np.zeros(0, bool)
         node, token = node[one], token[one]
         nodes, counts = np.unique(node, return_counts=True)
+        del order, one, node
+        tidy()
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(token.view(np.int64)))
         return pa.table({"node": pa.array(nodes.view(np.int64)), "tokens": lists})
 
@@ -264,6 +272,8 @@ def _cells(rows: DataFrame) -> DataFrame:
                     now, cell = c, []
                 cell.append((nodes[i], sizes[i], labels[i], batch.column(4)[i].values.to_numpy().view(np.uint64)))
         edges += solve(cell)
+        cell = []
+        tidy()
         if edges:
             a, b = zip(*edges, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -282,7 +292,7 @@ def near_links(infos: DataFrame, docs: DataFrame, buckets: int, percent: int = P
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
     posted = written(sets.select("node", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token")), "postings")
     mark = F.xxhash64("node")
-    groups = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("leader"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s")).filter("many > 1")
+    groups = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("leader"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 34)).alias("s")).filter("many > 1")
     groups = written(groups, "groups")
     once = groups.groupBy("many", "leader", "x", "s").agg(F.min("token").alias("token"))  # a group of the same members once
     pairs = posted.join(written(once.select("token", "leader"), "stars"), "token").select("leader", "node").filter("leader <> node").distinct()
@@ -320,7 +330,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing and is its own component; rows without id never name a component unless all of its rows lack one.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = buckets or max(48, min(100_000, own.rdd.getNumPartitions()))
+    buckets = buckets or max(96, min(100_000, own.rdd.getNumPartitions()))
     infos = written(_infos(own), "sets")
     labels = near_links(infos, own, buckets)
     named = infos.withColumn("label", F.col("node"))

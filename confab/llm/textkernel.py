@@ -5,9 +5,17 @@ Hashes are 64-bit: a polynomial over the bytes of a word, then over the words of
 
 from __future__ import annotations
 
+import ctypes
+import platform
+
 import numpy as np
 import pyarrow as pa
 
+#: In a Python worker, which lives across tasks, large arrays go back to the system when they are freed.
+_LIBC = ctypes.CDLL("libc.so.6") if platform.libc_ver()[0] == "glibc" else None
+if _LIBC is not None:
+    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
 _RNG = np.random.default_rng(1729)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -18,6 +26,13 @@ _LOWER[65:91] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def tidy() -> None:
+    """Returns what is free to the system, at the end of a task's or group's work."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets of len + 1) of a string or binary column; null is empty."""
     if column.type in (pa.string(), pa.large_string()):
