@@ -22,8 +22,11 @@ from confab.llm.common import table, written
 
 TREES = 16
 BITS = 48
-#: Candidates of a query over all trees, one found in several trees counting in each.
+#: Least candidates of a query over all trees, one found in several trees counting in each.
 CANDIDATES = 45_000
+#: Recall@k that more candidates are taken for, and the queries it is measured on: 0.9 and a margin for the sample.
+RECALL = 0.93
+PROBES = 256
 #: Rows that the hyperplanes' places are fitted on.
 SAMPLE = 4_000
 K = 10
@@ -126,13 +129,70 @@ def _searched(rows: DataFrame, dim: int, k: int) -> DataFrame:
     return ordered.mapInArrow(run, "q long, id long, dist double")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, candidates: int = CANDIDATES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _truth(index: DataFrame, probes: list, forest: Forest, k: int) -> dict[int, list[int]]:
+    """For each probe (id, v, codes) the longest prefix that each of its ``k`` nearest shares with it in any tree.
+
+    One pass over ``index``; a task returns its ``k`` nearest of each probe only.
+    """
+    q_ids = np.array([p["id"] for p in probes], np.int64)
+    q = np.array([p["v"] for p in probes], float)
+    own = np.array([p["codes"] for p in probes], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))] * len(q)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BLOCK):
+                part = batch.slice(at, _BLOCK)
+                ids, x = part.column(0).to_numpy(), _matrix(part.column(1), forest.dim)
+                codes = part.column(2).flatten().to_numpy().reshape(-1, forest.trees)
+                d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
+                d[q_ids[:, None] == ids[None]] = np.inf
+                near = np.argpartition(d, k - 1, axis=1)[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(q), 1))
+                for i, cols in enumerate(near):
+                    cols = cols[np.isfinite(d[i, cols])]
+                    shared = forest.bits - np.frexp((codes[cols] ^ own[i]).astype(float))[1].min(axis=1) if len(cols) else np.empty(0, np.int64)
+                    rows = [np.concatenate(c) for c in zip(best[i], (d[i, cols], ids[cols], shared), strict=True)]
+                    keep = np.lexsort((rows[1], rows[0]))[:k]
+                    best[i] = tuple(r[keep] for r in rows)
+        n = [len(b[0]) for b in best]
+        dist, ids, shared = (np.concatenate(c) for c in zip(*best, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(ids), pa.array(dist), pa.array(shared.astype(np.int64))], ["q", "id", "dist", "shared"])
+
+    order = F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))
+    found = index.select("id", "v", "codes").mapInArrow(run, "q long, id long, dist double, shared long")
+    out: dict[int, list[int]] = {}
+    for r in found.withColumn("nth", order).filter(F.col("nth") <= k).select("q", "shared").collect():  # at most PROBES * k rows
+        out.setdefault(r["q"], []).append(r["shared"])
+    return out
+
+
+def _enough(least: int, recall: float, sizes: dict[int, dict[int, int]], truth: dict[int, list[int]]) -> int:
+    """The fewest candidates, from ``least`` in steps of a fifth, with which the probes find ``recall`` of their neighbours.
+
+    ``sizes`` has for each probe the candidates at each depth.
+    """
+    total = sum(map(len, truth.values()))
+    while total:
+        found = 0
+        for q, shared in truth.items():
+            depth = max((d for d, n in sizes[q].items() if n >= least), default=0)
+            found += sum(s >= depth for s in shared)
+        if found >= recall * total:
+            break
+        least += max(1, least // 5)
+    return least
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, candidates: int = CANDIDATES, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries``, by Euclidean distance.
 
     ``queries`` has the columns of ``vectors`` and may be part of it; a row's own id is no answer to it. Ties
     go to the smaller id. Rows without id or without a usable vector (null, zero, not finite, or of
     another length than most) take no part; rows of one id count once, at the nearest of its vectors.
     The forest is fitted on ``SAMPLE`` rows by hash; every row is indexed. Empty tables give no rows.
+
+    A query has ``candidates`` at least, and more where ``PROBES`` queries by hash, held against all rows,
+    find less than ``recall`` of their neighbours: what is looked at follows the table's size and shape.
     """
     rows = usable(vectors, id_col, vec_col)
     sample = rows.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()["v"]
@@ -159,6 +219,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, trees
     counts = written(counts, "counts")
     paths = prefixes(reps.withColumnRenamed("id", "q"), every, "q")
     found = paths.join(counts, ["tree", "depth", "prefix"])
+    if total > candidates // trees and recall > 0:
+        probes = reps.orderBy(F.xxhash64("id"), "id").limit(PROBES).collect()
+        sizes: dict[int, dict[int, int]] = {p["id"]: {} for p in probes}
+        for r in found.filter(F.col("q").isin(*sizes)).groupBy("q", "depth").agg(F.sum("n").alias("n")).collect():
+            sizes[r["q"]][r["depth"]] = r["n"]
+        candidates = _enough(candidates, recall, sizes, _truth(index, probes, forest, k)) if probes else candidates
     depth = found.groupBy("q", "depth").agg(F.sum("n").alias("n")).groupBy("q").agg(F.coalesce(F.max(F.when(F.col("n") >= candidates, F.col("depth"))), F.lit(0)).alias("depth"))
     stops = written(found.join(depth, ["q", "depth"]).select("q", "tree", "depth", "prefix", F.ceil(F.col("n") / _CELL).cast("int").alias("blocks")), "stops")
     cells = written(stops.select("tree", "depth", "prefix", "blocks").distinct(), "cells")

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,19 @@ def test_recall_of_prefixes(spark):
     assert len(got) == len(want) and len(hit) >= 0.9 * len(want)
 
 
+def test_recall_holds_as_the_table_grows(spark, tmp_path):
+    """Noise of 16 dimensions; a budget that does for the smaller table is too small for the larger one."""
+    for n in (4000, 24_000):
+        x = np.random.default_rng(5).normal(size=(n, 16))
+        pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), path := f"{tmp_path}/{n}.parquet")
+        df = spark.read.parquet(path)
+        d = ((x[::100, None] - x[None]) ** 2).sum(2)
+        d[np.arange(len(d)), np.arange(0, n, 100)] = np.inf
+        want = {(q * 100, i) for q, own in enumerate(np.argsort(d, axis=1)[:, :10].tolist()) for i in own}
+        got = {(r.query_id, r.vec_id) for r in ann.nearest_neighbours(df, df.filter("vec_id % 100 = 0"), trees=8, candidates=4000).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_few_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(100, [1.0, 0.0])]) == []
