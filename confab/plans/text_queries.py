@@ -56,6 +56,16 @@ def _vectors(spark, d, most=20):
     return v, v.filter(F.col("vec_id") < most).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def in_recordings(vectors):
+    """All of ``vectors`` with a recording_id: 20 ids in a row are the voices of a recording."""
+    return vectors.withColumn("recording_id", F.expr("vec_id div 20"))
+
+
+def _voices(spark, d):
+    v = in_recordings(c.table(spark, d, "embeddings").select("vec_id", "embedding"))
+    return r.near_labels(v.withColumnRenamed("recording_id", "label"), 0.2).withColumnRenamed("label", "recording_id")
+
+
 def _cosines(spark, d):
     return r.vector_scores(*_vectors(spark, d))
 
@@ -94,6 +104,7 @@ QUERIES = {
     "hybrid_topk": lambda spark, d: _top(_hybrid(spark, d)),
     "mmr_rerank": _mmr,
     "speaker_similarity": lambda spark, d: r.near_labels(_vectors(spark, d)[0].filter("vec_id < 100"), 0.2),
+    "speaker_similarity_whole": _voices,
 }
 
 _FOLD = r"trim(regexp_replace(translate(lower({0}), 'ąćęłńóśźż', 'acelnoszz'), '[^a-z0-9]+', ' ', 'g'))"
