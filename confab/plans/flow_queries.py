@@ -9,7 +9,7 @@ from confab.operators import models as m
 from confab.operators import retrieval as r
 from confab.operators import segments as s
 from confab.plans.segment_queries import _base, _segs, _segs_turns, _sql
-from confab.plans.text_queries import _ASKED, _DT, _KW, _docs, _queries
+from confab.plans.text_queries import _ASKED, _DT, _KW, _docs, _queries, in_recordings
 from confab.sources import conversations as c
 
 
@@ -26,6 +26,14 @@ def _vectors(spark, d, least, most, name):
     return v.select((F.col("vec_id") % 5).alias("recording_id"), label.alias(name), F.col("embedding").alias("vector"))
 
 
+def _fragments(spark, d):
+    """Of each recording's 20 voices the first 8 are known, the others are a fragment's."""
+    v, nth = in_recordings(c.table(spark, d, "embeddings")), F.col("vec_id") % 20
+    known = v.filter(nth < 8).select("recording_id", F.format_string("GŁOS_%02d", nth + 1).alias("label"), F.col("embedding").alias("vector"))
+    heard = v.filter(nth >= 8).select("recording_id", F.concat(F.lit("raw"), F.col("vec_id").cast("string")).alias("raw"), F.col("embedding").alias("vector"))
+    return profiles.remapped_fragment(heard, known, 0.3)
+
+
 def _summaries(segs):
     def model(prompts):
         return prompts.select("recording_id", "part", F.concat(F.lit("S "), F.substring("prompt", 1, 40), F.lit("\nline\nmore\nunused")).alias("reply"))
@@ -73,6 +81,7 @@ QUERIES = {
     "index_entries": _segs(lambda s: flows.index_entries(s, 4).withColumn("segment_ids", F.array_join(F.col("segment_ids").cast("array<string>"), ","))),
     "chat_context": _chat,
     "fragment_remap": lambda spark, d: profiles.remapped_fragment(_vectors(spark, d, 100, 200, "raw"), _vectors(spark, d, 0, 60, "label"), 0.3),
+    "fragment_remap_whole": _fragments,
     "map_reduce_summary": _segs(_summaries),
     "ambiguous_segments": _segs(lambda s: m.ambiguous(s, 800, 2, 30)),
     "guarded_merges": _segs(_merges),
