@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +78,71 @@ def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return v.join(q, F.lit(True)).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("cosine"))
 
 
+def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int, blend: Callable | None = None, least: float = -math.inf, parts: int = 64, block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, score, rank): the ``k`` best rows of each query over all ``vectors``, a row's own id left out.
+
+    As ``vector_scores`` and ``top_k``, for query sets that grow with the table: blocks of queries meet ``parts``
+    parts of the rows, and each part returns its best only. ``blend`` maps (query ids, row ids, cosines),
+    which broadcast, to scores; those below ``least`` are left out. Rows without a whole vector of the
+    queries' longest length take no part.
+    """
+    q = queries.select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    dim, asked = q.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    dim, blocks = dim or 1, max(1, -(-asked // block))
+    whole = F.col("id").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    own, first = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("id"), F.lit(blocks)) * parts
+    q = q.filter(whole).select(F.explode(F.sequence(first, first + parts - 1)).alias("cell"), F.lit(True).alias("is_query"), "id", "v")
+    v = v.filter(whole).select(F.explode(F.sequence(own, own + (blocks - 1) * parts, F.lit(parts).cast("long"))).alias("cell"), F.lit(False).alias("is_query"), "id", "v")
+
+    def better(q_ids, x, ids, y, best):
+        score = np.round(x @ y.T, 6)
+        if blend is not None:
+            score = blend(q_ids[:, None], ids[None], score)
+        score = np.where((q_ids[:, None] == ids[None]) | (score < least), -np.inf, score)
+        low = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q_ids), -np.inf)
+        at_q, at_x = np.nonzero((score >= low[:, None]) & (score > -np.inf))
+        rows = [np.concatenate(c) for c in zip(best, (at_q, ids[at_x], score[at_q, at_x]), strict=True)]
+        order = np.lexsort((rows[1], -rows[2], rows[0]))
+        at_q = rows[0][order]
+        keep = order[np.arange(len(order)) - np.searchsorted(at_q, at_q) < k]
+        return [c[keep] for c in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q_ids, x, best = None, [], [], None
+        none = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+
+        def found():
+            if best is not None and len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            cells, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            ids, vec = batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy().reshape(-1, dim)
+            length = np.sqrt((vec * vec).sum(1, keepdims=True))
+            vec = vec / np.where(length == 0, 1, length)
+            edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(cells)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if cells[a] != now:
+                    yield from found()
+                    now, q_ids, x, best = cells[a], [], [], None
+                if asks[a]:
+                    q_ids.append(ids[a:b])
+                    x.append(vec[a:b])
+                elif len(x):
+                    if best is None:
+                        q_ids, x, best = np.concatenate(q_ids), np.concatenate(x), none
+                    for s in range(a, b, block):
+                        e = min(b, s + block)
+                        best = better(q_ids, x, ids[s:e], vec[s:e], best)
+        yield from found()
+
+    met = q.unionByName(v).repartition("cell").sortWithinPartitions("cell", F.desc("is_query"))
+    return top_k(met.mapInArrow(run, "query_id long, vec_id long, score double"), k, tie="vec_id")
+
+
 def hybrid(cosines: DataFrame, keywords: DataFrame, alpha: float = 0.75, least: float = 0.15) -> DataFrame:
     """(query_id, vec_id, score): alpha * cosine + (1 - alpha) * keyword score, from ``least``."""
     rows = cosines.join(keywords, ["query_id", "vec_id"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -80,9 +81,23 @@ def _top(rows, k=8):
     return r.top_k(rows, k, tie="vec_id")
 
 
-def _mmr(spark, d):
+def _searches(spark, d):
+    """All vectors, and every fiftieth id as the queries."""
     v = c.table(spark, d, "embeddings").select("vec_id", "embedding")
-    return r.mmr(_hybrid(spark, d).join(v, "vec_id"))
+    return v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _blend(q, i, cosine):
+    """The scores of _hybrid, in numpy."""
+    return np.round(0.75 * cosine + 0.25 * np.where((i + q) % 7 == 0, (i * 13) % 10 / 10.0, 0.0), 8)
+
+
+def _hybrid_whole(spark, d, k=8):
+    return r.nearest_rows(*_searches(spark, d), k, _blend, 0.15)
+
+
+def _mmr(spark, d):
+    return r.mmr(_hybrid_whole(spark, d, 24).drop("rank").join(_searches(spark, d)[0], "vec_id"))
 
 
 QUERIES = {
@@ -102,6 +117,8 @@ QUERIES = {
     "text_search_kinds": _search(r.word_match),
     "vector_topk": lambda spark, d: r.top_k(_cosines(spark, d), 8, score="cosine", tie="vec_id"),
     "hybrid_topk": lambda spark, d: _top(_hybrid(spark, d)),
+    "vector_topk_whole": lambda spark, d: r.nearest_rows(*_searches(spark, d), 8).withColumnRenamed("score", "cosine"),
+    "hybrid_topk_whole": _hybrid_whole,
     "mmr_rerank": _mmr,
     "speaker_similarity": lambda spark, d: r.near_labels(_vectors(spark, d)[0].filter("vec_id < 100"), 0.2),
     "speaker_similarity_whole": _voices,
