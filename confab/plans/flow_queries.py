@@ -38,7 +38,7 @@ def _summaries(segs):
     def model(prompts):
         return prompts.select("recording_id", "part", F.concat(F.lit("S "), F.substring("prompt", 1, 40), F.lit("\nline\nmore\nunused")).alias("reply"))
 
-    return flows.summarised(segs, model, width=1000, long_ms=20_000)
+    return flows.summarised(segs, model)
 
 
 def _cutoff(segs):
@@ -78,7 +78,7 @@ QUERIES = {
     "allowed_parameters": lambda spark, d: flows.allowed_parameters(c.table(spark, d, "events").select(F.col("event_id").alias("recording_id"), F.create_map(F.lit("temperature"), F.col("event_type"), F.lit("beam_size"), F.when(F.col("event_id") % 2 == 0, "5"), F.lit("secret"), F.lit("x")).alias("params"))).select("recording_id", F.explode("params").alias("name", "value")),
     "age_profiles": lambda spark, d: c.table(spark, d, "customer").select("c_custkey", signal.pitch_profile(F.when(F.col("c_custkey") % 9 != 0, 60 + F.col("c_custkey") % 300)).alias("p"), signal.calibrated_age(F.col("c_custkey") % 90).alias("model_age")).select("c_custkey", "p.gender", F.round("p.age", 6).alias("age"), "p.age_group", F.col("model_age").cast("long").alias("model_age")),
     "emotion_argmax": lambda spark, d: c.table(spark, d, "events").select("event_id", profiles.argmax(F.create_map(F.lit("joy"), F.col("event_id") % 7, F.lit("anger"), F.col("event_id") % 5, F.lit("calm"), F.col("event_id") % 3)).alias("emotion")),
-    "index_entries": _segs(lambda s: flows.index_entries(s, 4).withColumn("segment_ids", F.array_join(F.col("segment_ids").cast("array<string>"), ","))),
+    "index_entries": _segs(lambda s: flows.index_entries(s).withColumn("segment_ids", F.array_join(F.col("segment_ids").cast("array<string>"), ","))),
     "chat_context": _chat,
     "fragment_remap": lambda spark, d: profiles.remapped_fragment(_vectors(spark, d, 100, 200, "raw"), _vectors(spark, d, 0, 60, "label"), 0.3),
     "fragment_remap_whole": _fragments,

@@ -107,10 +107,12 @@ QUERIES = {
     "numbered_blocks": _segs(lambda s: x.numbered_blocks(s, x.translation_batches(s))),
     "translation_alignment": _segs(_translated),
     "char_windows": _segs(lambda s: x.char_windows(x.transcripts(s), 1000, 6)),
+    "char_windows_whole": _segs(lambda s: x.char_windows(x.transcripts(s))),
     "entity_union_sorted": _segs(lambda s: _list(x.merged_entities(_entities(s)))),
     "entity_union_ordered": _segs(lambda s: _list(x.merged_entities(_entities(s), keep_order=True))),
     "export_text": _segs(lambda s: x.exported(s.withColumn("text_pl", F.when(F.col("seg_id") % 2 == 0, F.concat(F.lit("PL "), "text")).otherwise("")))),
     "topic_windows": _segs(lambda s: x.topic_windows(s, 30_000)),
+    "topic_windows_whole": _segs(x.topic_windows),
     "chunk_sliding": _segs(x.sliding_chunks),
     "keyword_scores": _search(r.keyword_scores),
     "keyword_topk": _search(lambda d, q: r.top_k(r.keyword_scores(d, q), 8)),
