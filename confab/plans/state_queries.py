@@ -25,6 +25,20 @@ def _names(e):
     return out.select("user_id", F.explode("names").alias("name", "value"))
 
 
+def _appended_whole(e):
+    """Events up to the middle of each user's ids are there; all events arrive."""
+    own = e.select("event_id", "user_id")
+    middle = own.groupBy("user_id").agg(F.avg("event_id").alias("middle"))
+    return st.appended(own.join(middle, "user_id").filter("event_id <= middle").select(*own.columns), own, ["event_id"])
+
+
+def _names_whole(e):
+    """Every user has a name, and every event renames."""
+    maps = e.select("user_id").distinct().withColumn("names", F.create_map(F.lit("seed"), F.lit("0")))
+    out = st.upserted(maps, e.select("user_id", F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("seq")), "user_id")
+    return out.select("user_id", F.explode("names").alias("name", "value"))
+
+
 def _pcm(segs):
     """A waveform for each recording: a level per segment as 10 samples, silence between."""
     level = F.when(F.col("seg_id") % 5 == 0, 0.0).otherwise((F.col("end_ms") - F.col("start_ms")) / 25000.0)
@@ -41,8 +55,10 @@ QUERIES = {
     "events_first_wins": _events(lambda e: st.first_wins(e, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")),
     "events_latest": _events(lambda e: st.latest(e.select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")),
     "events_append_unseen": _events(lambda e: st.appended(e.filter("event_id % 2 = 0").select("event_id", "user_id"), e.filter("event_id % 3 = 0").select("event_id", "user_id"), ["event_id"])),
+    "events_append_unseen_whole": _events(_appended_whole),
     "labels_last_wins": _events(_labels),
     "names_upsert": _events(_names),
+    "names_upsert_whole": _events(_names_whole),
     "running_index": _events(lambda e: st.running_index(e.select("user_id", "event_id", (F.col("event_id") % 5).alias("size")), "user_id", "event_id", "size")),
     "event_log": _events(lambda e: st.event_log(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", ("click",))),
     "session_states": _events(st.session_states),
