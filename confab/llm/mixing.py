@@ -109,10 +109,11 @@ def training_order(placed: DataFrame, partitions: int | None = None) -> DataFram
     return rows.repartitionByRange(*parts, "position", "order").sortWithinPartitions("position", "order").drop("order")
 
 
-def mixed(docs: DataFrame, **kw) -> DataFrame:
+def mixed(docs: DataFrame, whole: bool = False, **kw) -> DataFrame:
     """``docs`` (doc_id, text, ...) as the mix takes them, in training order: repeats are rows, a part is its first words.
 
-    Columns are those of ``docs``; in a part, words are joined by one space and n_chars (if there) follows.
+    With ``whole`` no document is cut: the one at the end of a source's target is taken where at least half
+    of it would be, else left out. Columns are those of ``docs``; in a part, words are joined by one space and n_chars (if there) follows.
     Short rows are placed and then joined with the texts; only where rows of one id and text repeat,
     whole rows are placed.
     """
@@ -127,6 +128,8 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
         rows = rows.repartitionByRange("position", "order").sortWithinPartitions("position", "order")
     else:
         rows = training_order(curriculum(docs, **kw))
+    if whole:
+        rows = rows.filter(F.col("words") * 2 >= F.col("size")).withColumn("words", F.col("size"))
     part = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")))
     rows = rows.withColumn("_text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("doc.text")))
     put = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}

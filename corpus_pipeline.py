@@ -31,8 +31,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them, in training order."""
-    return mixing.mixed(docs)
+    """Whole documents as often as their source's target takes them, in training order."""
+    return mixing.mixed(docs, whole=True)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

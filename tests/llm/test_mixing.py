@@ -2,6 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from confab.llm import mixing
 from tests.llm.support import awkward, table, words
 
@@ -71,3 +72,13 @@ def test_mixed_rows(spark):
 def test_empty_table(spark):
     assert mixing.curriculum(table(spark, [])).collect() == []
     assert mixing.mixed(table(spark, [])).collect() == []
+
+
+def test_pipeline_mixes_whole_texts(spark):
+    rows = [(i, f"{i} " * (7 + i % 5 * 20) + "\n\tend", "abc"[i % 3]) for i in range(60)]
+    docs = table(spark, rows)
+    got, sizes = [(r.doc_id, r.text) for r in cp.mixing_stage(spark, docs, "").collect()], {i: len(words(t)) for i, t, _ in rows}
+    assert set(got) <= {(i, t) for i, t, _ in rows} and max(got.count(g) for g in set(got)) <= 2
+    for s in "abc":
+        target = next(r.target for r in mixing.curriculum(docs, carry=["source"]).collect() if r.doc.source == s)
+        assert abs(sum(sizes[i] for i, _ in got if "abc"[i % 3] == s) - target) <= max(sizes.values()) / 2 + 1
