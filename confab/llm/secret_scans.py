@@ -22,7 +22,7 @@ HEX = r"[0-9a-f]{24,}"
 BASE = (("assign", ASSIGN, 2, 6, "secret"), ("access", ACCESS, 0, 20, "id"), ("hex", HEX, 0, 24, "secret"))
 WEAK = (
     ("weak_id", r"""(?i:user|username|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", "id"),
-    ("weak_secret", r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]{0,60}[0-9])(?=[A-Z0-9+/_]{0,60}[a-z])(?=[a-z0-9+/_]{0,60}[A-Z])[A-Za-z0-9+/_]{20,}", "secret"),
+    ("weak_secret", r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]*+[0-9])(?=[A-Z0-9+/_]*+[a-z])(?=[a-z0-9+/_]*+[A-Z])[A-Za-z0-9+/_]{20,}", "secret"),
     ("weak_endpoint", r"""(?:https?|jdbc:[a-z]+|postgres|mysql|redis|amqp)://[^\x20\x09-\x0D"'<>]+""", "endpoint"),
 )
 KINDS = [x[0] for x in BASE] + [x[0] for x in WEAK]

@@ -45,3 +45,10 @@ def test_spans_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert ss.scan_secrets(table(spark, [])).collect() == []
+
+
+def test_long_keys_whose_classes_come_late(spark):
+    keys = ["aB" * 40 + "3", "A1" * 40 + "b", "x1" * 40 + "B", "x" * 5000 + "B3"]
+    rows = [(i, f"login=walter then {key} end", None) for i, key in enumerate(keys)]
+    got = {r.doc_id: {(x.kind, x.start, x.end) for x in r.spans} for r in ss.scan_secrets(table(spark, rows)).collect()}
+    assert all(("weak_secret", 18, 18 + len(key)) in got[i] for i, key in enumerate(keys))
