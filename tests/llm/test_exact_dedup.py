@@ -42,3 +42,11 @@ def test_deduplicated_keeps_columns_and_one_of_each(spark):
     rows = got.collect()
     assert len(rows) == len(want)
     assert {r.doc_id for r in rows} == {d for d, _ in want}
+
+
+def test_names_do_not_depend_on_partitions(spark):
+    rows = [*awkward(), *((100 + i, f"hot {i % 3}", None) for i in range(400))]
+    one, many = ({tuple(map(str, r)) for r in exact_dedup.identities(table(spark, rows).repartition(n), block_chars=16).collect()} for n in (1, 7))
+    assert one == many
+    got = exact_dedup.exact_groups(table(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)

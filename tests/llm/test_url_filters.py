@@ -38,3 +38,15 @@ def test_cascade_is_exact_over_its_universe(spark):
     levels = u.cascade(universe, listed, "test")
     assert len(levels) > 1
     assert {x.key for x in universe.filter(F.expr(u.contains(levels, "key"))).collect()} == set(keys[:300])
+
+
+def test_long_lists_are_joined_with_equal_results(spark):
+    pages = spark.createDataFrame([(i, x) for i, x in enumerate(URLS)] * 3, "page_id long, url string").withColumns({"rule": F.lit("clash"), "_n": F.lit(1)})
+    rules = spark.createDataFrame([*u.RULES, ("other", "a.com", "/"), ("block", None, "/")], "verdict string, host string, path string")
+    for most in (0, 1, 100):
+        got = u.judge_urls(pages, rules, most=most)
+        assert got.columns == ["page_id", "url", "rule", "_n", "host", "path", "verdict"]
+        rows = got.collect()
+        assert len(rows) == 3 * len(URLS)
+        for r in rows:
+            assert (r.host, r.path, r.rule, r.verdict) == judge(r.url, u.RULES)
