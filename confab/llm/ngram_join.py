@@ -8,15 +8,18 @@ meet), in cells around a leader. A cell stores its sets in a trie; a probe walks
 that a path has so far, and prunes subtrees by what path and probe have left. Linked sets become one
 component at once, and subtrees of the probe's own component are skipped, so a large group of near
 copies costs about its size. Then every prefix shingle under which two components still meet gets an
-exact cell (large ones in blocks against blocks). Equal sets are one node from the start.
+exact cell (large ones in blocks against blocks of a size that can link). Equal sets are one node from the
+start, named by a 128-bit digest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +30,17 @@ from confab.llm.textkernel import flat, mix, pieces, run_hashes, tidy, word_hash
 WORDS = 5
 PERCENT = 80
 CELL = 512
+#: Shingles in a range of hashes, on average: what a reducer holds at once.
+RANGE = 500_000
 #: Sets of one batch under one shingle beyond which it counts as very common and isn't sent to one reducer.
 COMMON = 32
 #: Bytes of texts worked on at once; tables of powers are as long, so just below a power of two.
 _PIECE = (1 << 21) - 1
-_BITS = np.uint64(53)
 _MOST = 1023
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all rows, their offsets, a digest of each row's set)."""
+    """(sorted distinct shingle hashes of all rows, their offsets, a digest of two words for each row's set)."""
     starts, ends, first = words(data, offsets)
     hashes = word_hashes(data, starts, ends, lower=True)
     grams = run_hashes(hashes, k)
@@ -52,14 +56,34 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
         sizes[i] = len(own)
     all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     at = np.concatenate([[0], np.cumsum(sizes)])
+    digest = np.zeros((len(sizes), 2), np.uint64)
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(all_ + np.uint64(77)), dtype=np.uint64)])
-        digest = mix(total[at[1:]] - total[at[:-1]] + sizes.astype(np.uint64))
+        for x, seed in enumerate((77, 0x5851F42D4C957F2D)):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(all_ + np.uint64(seed)), dtype=np.uint64)])
+            digest[:, x] = mix(total[at[1:]] - total[at[:-1]] + sizes.astype(np.uint64))
     return all_, at, digest
 
 
+def _binary(digests: np.ndarray) -> pa.Array:
+    """Rows of two words as 16 bytes each."""
+    n = len(digests)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 16), pa.py_buffer(np.ascontiguousarray(digests).tobytes())])
+
+
+def _distinct(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, the place of each row among them)."""
+    if not len(digests):
+        return digests, np.zeros(0, np.int64)
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    own = digests[order]
+    new = np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return own[new], place
+
+
 def _infos(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node): size and digest of each document's set; node is null for an empty one."""
+    """(doc_id, n, node): size and 128-bit digest of each document's set; node is null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,24 +91,30 @@ def _infos(docs: DataFrame) -> DataFrame:
             for a, b in pieces(offsets, _PIECE):
                 _, at, digest = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digest.view(np.int64), mask=n == 0)], ["doc_id", "n", "node"])
+                node = pc.if_else(pa.array(n > 0), _binary(digest), pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), node], ["doc_id", "n", "node"])
         tidy()
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+    return docs.mapInArrow(run, "doc_id long, n long, node binary")
+
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Number of the range that a 53-bit hash is in; rises with the hash."""
+    return (((h >> np.uint64(21)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
-def _low(buckets: int) -> np.ndarray:
-    """Smallest hash of each bucket's range."""
-    return np.array([-(-(b << 32) // buckets) << 21 for b in range(buckets)], np.uint64)
+
+def _low(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Smallest hash of a bucket's range."""
+    return ((bucket.astype(np.uint64) << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets) << np.uint64(21)
 
 
 def _by_range(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, nodes, counts, hashes, marks, passed): shingle hashes of each batch's distinct sets, by range.
+    """(bucket, nodes, counts, hashes, marks, passed_nodes, passed): shingle hashes of each batch's distinct sets, by range.
 
-    ``marks`` are very common shingles; their (node, hash) pairs are ``passed`` on under another bucket.
+    ``marks`` are very common shingles; their (node, hash) pairs are ``passed`` on under the bucket of the node.
+    Only ranges that a batch has something for get a row.
     """
-    schema = "bucket int, nodes binary, counts binary, hashes binary, marks binary, passed binary"
-    low = _low(buckets)
+    names = ["bucket", "nodes", "counts", "hashes", "marks", "passed_nodes", "passed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,38 +122,39 @@ def _by_range(docs: DataFrame, buckets: int) -> DataFrame:
             for a, b in pieces(offsets, _PIECE):
                 grams, at, digest = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(at)
-                rows = np.sort(np.flatnonzero(n > 0)[np.unique(digest[n > 0], return_index=True)[1]])
-                nodes = digest[rows]
-                own = np.repeat(np.isin(np.arange(len(n)), rows), n)
-                doc = np.repeat(np.arange(len(n)), n)[own]
-                h = grams[own] >> np.uint64(11)
-                seen, back, often = np.unique(h, return_inverse=True, return_counts=True)
-                common = (often > COMMON)[back]
-                bucket = (((h >> np.uint64(21)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-                slot = np.zeros(len(n), np.int64)
-                slot[rows] = np.arange(len(rows))
-                passed = np.column_stack([digest[doc[common]], h[common]])
-                passed_at = (passed[:, 0] % np.uint64(buckets)).astype(np.int64)
-                marks = seen[often > COMMON]
-                marks_at = (((marks >> np.uint64(21)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-                h, bucket, slot = h[~common], bucket[~common], slot[doc[~common]]
-                order = np.argsort(bucket, kind="stable")  # slots stay in order
-                h, slot = h[order] - low[bucket[order]], slot[order]
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = []
-                for x in range(buckets):
-                    s, e = cut[x], cut[x + 1]
-                    m, p = marks[marks_at == x], passed[passed_at == x]
-                    if e > s or len(m) or len(p):
-                        there, counts = np.unique(slot[s:e], return_counts=True)
-                        packed = np.ascontiguousarray(h[s:e]).view(np.uint8).reshape(-1, 8)[:, :6]
-                        out.append((x, nodes[there].tobytes(), counts.astype(np.uint32).tobytes(), packed.tobytes(), m.tobytes(), p.tobytes()))
+                nodes, place = _distinct(digest)
+                rows = np.zeros(len(nodes), np.int64)
+                rows[place[::-1]] = np.arange(len(n))[::-1]  # the first row of each set
+                rows = rows[n[rows] > 0]
+                nodes, slot_of = digest[rows], np.full(len(n), -1, np.int64)
+                slot_of[rows] = np.arange(len(rows))
+                slot = np.repeat(slot_of, n)
+                h, slot = grams[slot >= 0] >> np.uint64(11), slot[slot >= 0]
+                order = np.argsort(h, kind="stable")  # slots stay in order
+                h, slot = h[order], slot[order]
+                edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                run_ = np.diff(np.append(edge, len(h)))
+                marks = h[edge[run_ > COMMON]]
+                common = np.repeat(run_ > COMMON, run_)
+                to = (nodes[slot[common], 0] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                to, passed, passed_slot = to[order], h[common][order], slot[common][order]
+                h, slot = h[~common], slot[~common]
+                bucket, marks_at = _bucket(h, buckets), _bucket(marks, buckets)
+                order = np.lexsort((h, slot, bucket))
+                h, slot, bucket = (h - _low(bucket, buckets))[order], slot[order], bucket[order]
+                edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (slot[1:] != slot[:-1])])) if len(h) else np.zeros(0, np.int64)
+                counts = np.diff(np.append(edge, len(h))).astype(np.uint32)
+                packed = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
+                used = np.unique(np.concatenate([bucket, marks_at, to]))
+                span = lambda column: zip(*(np.searchsorted(column, used, side=x).tolist() for x in ("left", "right")), strict=True)
+                cut = zip(span(bucket[edge]), span(bucket), span(marks_at), span(to), strict=True)
+                out = [[nodes[slot[edge[e0:e1]]].tobytes(), counts[e0:e1].tobytes(), packed[h0:h1].tobytes(), marks[m0:m1].tobytes(), nodes[passed_slot[p0:p1]].tobytes(), passed[p0:p1].tobytes()] for (e0, e1), (h0, h1), (m0, m1), (p0, p1) in cut]
                 if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], schema.replace(" binary", "").replace(" int", "").split(", "))
+                    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], names)
         tidy()
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in names[1:]))
 
 
 def _wide(table_: pa.Table, name: str, kind) -> np.ndarray:
@@ -131,21 +162,21 @@ def _wide(table_: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def _shared(parts: DataFrame, buckets: int) -> DataFrame:
-    """(node, tokens): the shingles that at least one other set has too, in global order."""
-    low = _low(buckets)
+    """(name, tokens): the shingles that at least one other set has too, in global order."""
 
     def count(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        nodes, counts = _wide(group, "nodes", np.uint64), _wide(group, "counts", np.uint32)
+        low = _low(np.array([bucket]), buckets)[0]
+        names, place = _distinct(_wide(group, "nodes", np.uint64).reshape(-1, 2))
+        node = np.repeat(place, _wide(group, "counts", np.uint32))
         six = _wide(group, "hashes", np.uint8).reshape(-1, 6)
         h = np.zeros((len(six), 8), np.uint8)
         h[:, :6] = six
         h = h.view(np.uint64).ravel()
-        node = np.repeat(nodes, counts)
-        del six
+        del six, place
         order = np.argsort(h)
         h, node = h[order], node[order]
-        marks = np.unique(_wide(group, "marks", np.uint64)) - low[bucket]
+        marks = np.unique(_wide(group, "marks", np.uint64)) - low
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         run = np.diff(np.append(edge, len(h)))
         some = np.repeat((run > 1) | np.isin(h[edge], marks), run)
@@ -159,35 +190,38 @@ def _shared(parts: DataFrame, buckets: int) -> DataFrame:
         run = np.diff(np.append(edge, len(h)))
         frequency = np.where(np.isin(h[edge], marks), _MOST, np.minimum(run, _MOST - 1)).astype(np.uint64)
         keep = np.repeat(frequency > 1, run)
-        token = ((np.repeat(frequency, run) << np.uint64(54)) | (h + low[bucket]))[keep]
-        passed = _wide(group, "passed", np.uint64).reshape(-1, 2)
-        node = np.concatenate([node[keep], passed[:, 0]])
-        token = np.concatenate([token, (np.uint64(_MOST) << np.uint64(54)) | passed[:, 1]])
-        to = (node % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((node, to))
-        node, token, to = node[order], token[order], to[order]
-        cut = np.searchsorted(to, np.arange(buckets + 1))
-        own = [x for x in range(buckets) if cut[x + 1] > cut[x]]
-        del h, order, edge, run, passed
+        token = ((np.repeat(frequency, run) << np.uint64(54)) | (h + low))[keep]
+        names = np.concatenate([names[node[keep]], _wide(group, "passed_nodes", np.uint64).reshape(-1, 2)])
+        token = np.concatenate([token, (np.uint64(_MOST) << np.uint64(54)) | _wide(group, "passed", np.uint64)])
+        to = (names[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((names[:, 1], names[:, 0], to))
+        names, token, to = names[order], token[order], to[order]
+        del h, order, edge, run, node
+        fresh = np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]) if len(names) else np.zeros(0, bool)
+        edge = np.flatnonzero(fresh)
+        counts = np.diff(np.append(edge, len(names))).astype(np.uint32)
+        own, first = np.unique(to[edge], return_index=True)
+        ends = np.append(first[1:], len(edge))
+        starts, stops = np.append(edge, len(names))[first], np.append(edge, len(names))[ends]
+        blobs = [(names[edge[a:b]].tobytes(), counts[a:b].tobytes(), token[s:e].tobytes()) for a, b, s, e in zip(first.tolist(), ends.tolist(), starts.tolist(), stops.tolist(), strict=True)]
         tidy()
-        blobs = [[np.unique(node[cut[x] : cut[x + 1]], return_counts=True) for x in own], [token[cut[x] : cut[x + 1]].tobytes() for x in own]]
-        return pa.table({"bucket": pa.array(own, pa.int32()), "nodes": pa.array([x[0].tobytes() for x in blobs[0]], pa.binary()), "counts": pa.array([x[1].astype(np.uint32).tobytes() for x in blobs[0]], pa.binary()), "tokens": pa.array(blobs[1], pa.binary())})
+        return pa.table({"bucket": pa.array(own.astype(np.int32)), **{c: pa.array([x[i] for x in blobs], pa.binary()) for i, c in enumerate(("nodes", "counts", "tokens"))}})
 
     def collect(group: pa.Table) -> pa.Table:
-        node = np.repeat(_wide(group, "nodes", np.uint64), _wide(group, "counts", np.uint32))
+        names, place = _distinct(_wide(group, "nodes", np.uint64).reshape(-1, 2))
+        node = np.repeat(place, _wide(group, "counts", np.uint32))
         token = _wide(group, "tokens", np.uint64)
         order = np.lexsort((token, node))
         node, token = node[order], token[order]
         one = np.concatenate([[True], (node[1:] != node[:-1]) | (token[1:] != token[:-1])]) if len(node) else np.zeros(0, bool)
-        node, token = node[one], token[one]
-        nodes, counts = np.unique(node, return_counts=True)
+        token, counts = token[one], np.bincount(node[one], minlength=len(names))
         del order, one, node
         tidy()
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(token.view(np.int64)))
-        return pa.table({"node": pa.array(nodes.view(np.int64)), "tokens": lists})
+        return pa.table({"name": _binary(names), "tokens": lists})
 
     returned = parts.groupBy("bucket").applyInArrow(count, "bucket int, nodes binary, counts binary, tokens binary")
-    return returned.groupBy("bucket").applyInArrow(collect, "node long, tokens array<long>")
+    return returned.groupBy("bucket").applyInArrow(collect, "name binary, tokens array<long>")
 
 
 class Trie:
@@ -282,12 +316,34 @@ def _cells(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _blocked(own: DataFrame, percent: int, cell: int) -> DataFrame:
+    """(cell, node, label) of the members ``own`` (token, node, label, n) of very common shingles.
+
+    Sets that link differ in size by less than two classes of a geometric scale: blocks of a class meet
+    those of their own and of the next class, no others.
+    """
+    scale = math.log(100 / percent) * (1 + 1e-9)
+    own = own.withColumn("class", F.floor(F.log("n") / scale))
+    per = written(own.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks")), "classes")
+    at = lambda by, name: per.select("token", (F.col("class") + by).alias("class"), F.col("blocks").alias(name))
+    rows = own.join(per, ["token", "class"]).join(at(1, "below"), ["token", "class"], "left").join(at(-1, "above"), ["token", "class"], "left")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    numbers = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
+    named = lambda kind, low, a, b: F.xxhash64("token", F.lit(kind), low, a, b)
+    cells = F.concat(
+        F.transform(numbers(F.col("blocks")), lambda o: named(0, F.col("class"), F.least(block, o), F.greatest(block, o))),
+        F.transform(numbers(F.col("above")), lambda o: named(1, F.col("class"), block, o)),
+        F.transform(numbers(F.col("below")), lambda o: named(1, F.col("class") - 1, o, block)),
+    )
+    return rows.select(F.explode(cells).alias("cell"), "node", "label")
+
+
 def near_links(infos: DataFrame, docs: DataFrame, buckets: int, percent: int = PERCENT, cell: int = CELL) -> DataFrame | None:
-    """(node, label) of the nodes with links to other nodes; None without any."""
+    """(name, label) of the sets with links to other sets, both 128-bit digests; None without any."""
     shared = _shared(_by_range(docs, buckets), buckets)
-    sizes = infos.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"))
-    sets = shared.join(sizes, "node").filter(F.size("tokens") * 100 >= F.col("n") * percent)
-    sets = written(sets, "candidates")
+    sizes = infos.filter("node is not null").groupBy(F.col("node").alias("name")).agg(F.max("n").alias("n"))
+    sets = shared.join(sizes, "name").filter(F.size("tokens") * 100 >= F.col("n") * percent)
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "candidates")  # from here a set is a number
     alone = F.col("n") - F.size("tokens")
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
     posted = written(sets.select("node", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token")), "postings")
@@ -309,38 +365,41 @@ def near_links(infos: DataFrame, docs: DataFrame, buckets: int, percent: int = P
     known = written(known, "known")
     mixed = known.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("token")
     rest = groups.join(mixed, "token", "left_semi").groupBy("many", "x", "s").agg(F.min("token").alias("token"))
-    rest = written(rest.select("token", F.ceil(F.col("many") / cell).cast("int").alias("blocks")), "rest")
+    rest = written(rest.select("token", "many"), "rest")
     if not rest.isEmpty():
-        own = known.join(rest, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        own = own.select("token", "node", "label", "block", other.alias("other"))
-        own = own.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node", "label")
-        more = written(_cells(own.join(sets, "node")), "links")
+        few = known.join(rest.filter(F.col("many") <= cell), "token").select(F.xxhash64("token").alias("cell"), "node", "label")
+        often = known.join(rest.filter(F.col("many") > cell).select("token"), "token").join(sets.select("node", "n"), "node")
+        more = written(_cells(few.unionByName(_blocked(often, percent, cell)).join(sets, "node")), "links")
         if not more.isEmpty():
             labels = written(components(edges.unionByName(more)), "components")
-    return labels
+    if labels is None:
+        return None
+    names = sets.select("node", "name")
+    return labels.join(names, "node").join(names.select(F.col("node").alias("label"), F.col("name").alias("_label")), "label").select("name", F.col("_label").alias("label"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, cell: int = CELL) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per input row.
 
     Words are split at white space, A-Z lower-cased; a set holds distinct shingles of ``WORDS`` words,
     or the whole sequence where it is shorter. Two documents link when their Jaccard similarity is
     ``PERCENT`` or more; component_id is the smallest id reachable. A null or empty text links with
     nothing and is its own component; rows without id never name a component unless all of its rows lack one.
+    Repeated rows are one set; other columns are ignored; an empty table gives no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = buckets or max(96, min(100_000, own.rdd.getNumPartitions()))
     infos = written(_infos(own), "sets")
-    labels = near_links(infos, own, buckets)
+    buckets = buckets or max(32, -(-(infos.agg(F.sum("n")).first()[0] or 0) // RANGE))
+    labels = near_links(infos, own, buckets, cell=cell)
     named = infos.withColumn("label", F.col("node"))
     if labels is not None:
-        named = written(infos.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+        named = written(infos.join(labels.withColumnRenamed("name", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = written(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_groups`` of all of ``documents``."""
     return near_groups(table(spark, sf_dir, "documents"))
 
 

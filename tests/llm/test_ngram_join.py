@@ -57,6 +57,16 @@ def test_groups_of_near_copies(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_very_common_shingles_of_many_groups(spark):
+    r, common = random.Random(8), prose(3000, 300)
+    rows = []
+    for g in range(14):
+        base = (common if g % 3 else " ".join(common.split()[:150])) + " " + prose(3100 + g, 62)
+        rows += [(100 * g + i, mutated(r, base, i), None) for i in range(3)]
+    check(spark, rows, cell=4)
+    check(spark, rows, cell=4, buckets=3000)
+
+
 def test_empty_table(spark):
     assert nj.near_groups(table(spark, [])).collect() == []
 
