@@ -9,7 +9,7 @@ that a path has so far, and prunes subtrees by what path and probe have left. Li
 component at once, and subtrees of the probe's own component are skipped, so a large group of near
 copies costs about its size. Then every prefix shingle under which two components still meet gets an
 exact cell (large ones in blocks against blocks of a size that can link). Equal sets are one node from the
-start, named by a 128-bit digest.
+start, named by a digest; where two sets have one digest, a second one tells them apart.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +30,9 @@ WORDS = 5
 PERCENT = 80
 CELL = 512
 #: Shingles in a range of hashes, on average: what a reducer holds at once.
-RANGE = 500_000
+RANGE = 1_000_000
+#: Digests of several sets beyond which something else than chance is at work.
+MOST_TWICE = 100_000
 #: Sets of one batch under one shingle beyond which it counts as very common and isn't sent to one reducer.
 COMMON = 32
 #: Bytes of texts worked on at once; tables of powers are as long, so just below a power of two.
@@ -40,7 +41,7 @@ _MOST = 1023
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all rows, their offsets, a digest of two words for each row's set)."""
+    """(sorted distinct shingle hashes of all rows, their offsets, two digests of each row's set as columns)."""
     starts, ends, first = words(data, offsets)
     hashes = word_hashes(data, starts, ends, lower=True)
     grams = run_hashes(hashes, k)
@@ -64,26 +65,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
     return all_, at, digest
 
 
-def _binary(digests: np.ndarray) -> pa.Array:
-    """Rows of two words as 16 bytes each."""
-    n = len(digests)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 16), pa.py_buffer(np.ascontiguousarray(digests).tobytes())])
-
-
-def _distinct(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, the place of each row among them)."""
-    if not len(digests):
-        return digests, np.zeros(0, np.int64)
-    order = np.lexsort((digests[:, 1], digests[:, 0]))
-    own = digests[order]
-    new = np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return own[new], place
-
-
 def _infos(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node): size and 128-bit digest of each document's set; node is null for an empty one."""
+    """(doc_id, n, node, other): size and two digests of each document's set; both null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +74,25 @@ def _infos(docs: DataFrame) -> DataFrame:
             for a, b in pieces(offsets, _PIECE):
                 _, at, digest = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(at)
-                node = pc.if_else(pa.array(n > 0), _binary(digest), pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), node], ["doc_id", "n", "node"])
+                names = [pa.array(digest[:, x].view(np.int64), mask=n == 0) for x in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *names], ["doc_id", "n", "node", "other"])
         tidy()
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, other long")
+
+
+def named_sets(infos: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(``infos`` (doc_id, n, node) in which different sets have different nodes, the digests that several sets had).
+
+    A set whose first digest is also another's is named by its second one. Of N sets some N * N / 2 ** 65
+    pairs are to be expected: a few among ten billion sets, so the list is short at any size.
+    """
+    seen = infos.filter("node is not null").groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).filter("low <> high")
+    twice = sorted(r["node"] for r in seen.select("node").limit(MOST_TWICE + 1).collect())
+    if len(twice) > MOST_TWICE:
+        raise ValueError("far more equal digests than chance gives")
+    name = F.when(F.col("node").isin(twice), F.col("other")).otherwise(F.col("node")) if twice else F.col("node")
+    return infos.select("doc_id", "n", name.alias("node")), twice
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -108,12 +105,13 @@ def _low(bucket: np.ndarray, buckets: int) -> np.ndarray:
     return ((bucket.astype(np.uint64) << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets) << np.uint64(21)
 
 
-def _by_range(docs: DataFrame, buckets: int) -> DataFrame:
+def _by_range(docs: DataFrame, buckets: int, twice: list[int]) -> DataFrame:
     """(bucket, nodes, counts, hashes, marks, passed_nodes, passed): shingle hashes of each batch's distinct sets, by range.
 
     ``marks`` are very common shingles; their (node, hash) pairs are ``passed`` on under the bucket of the node.
-    Only ranges that a batch has something for get a row.
+    Only ranges that a batch has something for get a row. Sets are named as ``named_sets`` names them.
     """
+    again = np.array(twice, np.int64).view(np.uint64)
     names = ["bucket", "nodes", "counts", "hashes", "marks", "passed_nodes", "passed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +120,9 @@ def _by_range(docs: DataFrame, buckets: int) -> DataFrame:
             for a, b in pieces(offsets, _PIECE):
                 grams, at, digest = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(at)
-                nodes, place = _distinct(digest)
-                rows = np.zeros(len(nodes), np.int64)
-                rows[place[::-1]] = np.arange(len(n))[::-1]  # the first row of each set
-                rows = rows[n[rows] > 0]
-                nodes, slot_of = digest[rows], np.full(len(n), -1, np.int64)
+                names_ = np.where(np.isin(digest[:, 0], again), digest[:, 1], digest[:, 0]) if len(again) else digest[:, 0]
+                rows = np.sort(np.flatnonzero(n > 0)[np.unique(names_[n > 0], return_index=True)[1]])
+                nodes, slot_of = names_[rows], np.full(len(n), -1, np.int64)
                 slot_of[rows] = np.arange(len(rows))
                 slot = np.repeat(slot_of, n)
                 h, slot = grams[slot >= 0] >> np.uint64(11), slot[slot >= 0]
@@ -136,7 +132,7 @@ def _by_range(docs: DataFrame, buckets: int) -> DataFrame:
                 run_ = np.diff(np.append(edge, len(h)))
                 marks = h[edge[run_ > COMMON]]
                 common = np.repeat(run_ > COMMON, run_)
-                to = (nodes[slot[common], 0] % np.uint64(buckets)).astype(np.int64)
+                to = (nodes[slot[common]] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 to, passed, passed_slot = to[order], h[common][order], slot[common][order]
                 h, slot = h[~common], slot[~common]
@@ -162,18 +158,17 @@ def _wide(table_: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def _shared(parts: DataFrame, buckets: int) -> DataFrame:
-    """(name, tokens): the shingles that at least one other set has too, in global order."""
+    """(node, tokens): the shingles that at least one other set has too, in global order."""
 
     def count(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         low = _low(np.array([bucket]), buckets)[0]
-        names, place = _distinct(_wide(group, "nodes", np.uint64).reshape(-1, 2))
-        node = np.repeat(place, _wide(group, "counts", np.uint32))
+        node = np.repeat(_wide(group, "nodes", np.uint64), _wide(group, "counts", np.uint32))
         six = _wide(group, "hashes", np.uint8).reshape(-1, 6)
         h = np.zeros((len(six), 8), np.uint8)
         h[:, :6] = six
         h = h.view(np.uint64).ravel()
-        del six, place
+        del six
         order = np.argsort(h)
         h, node = h[order], node[order]
         marks = np.unique(_wide(group, "marks", np.uint64)) - low
@@ -191,37 +186,36 @@ def _shared(parts: DataFrame, buckets: int) -> DataFrame:
         frequency = np.where(np.isin(h[edge], marks), _MOST, np.minimum(run, _MOST - 1)).astype(np.uint64)
         keep = np.repeat(frequency > 1, run)
         token = ((np.repeat(frequency, run) << np.uint64(54)) | (h + low))[keep]
-        names = np.concatenate([names[node[keep]], _wide(group, "passed_nodes", np.uint64).reshape(-1, 2)])
+        node = np.concatenate([node[keep], _wide(group, "passed_nodes", np.uint64)])
         token = np.concatenate([token, (np.uint64(_MOST) << np.uint64(54)) | _wide(group, "passed", np.uint64)])
-        to = (names[:, 0] % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((names[:, 1], names[:, 0], to))
-        names, token, to = names[order], token[order], to[order]
-        del h, order, edge, run, node
-        fresh = np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]) if len(names) else np.zeros(0, bool)
-        edge = np.flatnonzero(fresh)
-        counts = np.diff(np.append(edge, len(names))).astype(np.uint32)
+        to = (node % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((node, to))
+        node, token, to = node[order], token[order], to[order]
+        del h, order, edge, run
+        edge = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(edge, len(node))).astype(np.uint32)
         own, first = np.unique(to[edge], return_index=True)
-        ends = np.append(first[1:], len(edge))
-        starts, stops = np.append(edge, len(names))[first], np.append(edge, len(names))[ends]
-        blobs = [(names[edge[a:b]].tobytes(), counts[a:b].tobytes(), token[s:e].tobytes()) for a, b, s, e in zip(first.tolist(), ends.tolist(), starts.tolist(), stops.tolist(), strict=True)]
+        ends = np.append(first, len(edge))[1:]
+        starts, stops = np.append(edge, len(node))[first], np.append(edge, len(node))[ends]
+        blobs = [(node[edge[a:b]].tobytes(), counts[a:b].tobytes(), token[s:e].tobytes()) for a, b, s, e in zip(first.tolist(), ends.tolist(), starts.tolist(), stops.tolist(), strict=True)]
         tidy()
         return pa.table({"bucket": pa.array(own.astype(np.int32)), **{c: pa.array([x[i] for x in blobs], pa.binary()) for i, c in enumerate(("nodes", "counts", "tokens"))}})
 
     def collect(group: pa.Table) -> pa.Table:
-        names, place = _distinct(_wide(group, "nodes", np.uint64).reshape(-1, 2))
-        node = np.repeat(place, _wide(group, "counts", np.uint32))
+        node = np.repeat(_wide(group, "nodes", np.uint64), _wide(group, "counts", np.uint32))
         token = _wide(group, "tokens", np.uint64)
         order = np.lexsort((token, node))
         node, token = node[order], token[order]
         one = np.concatenate([[True], (node[1:] != node[:-1]) | (token[1:] != token[:-1])]) if len(node) else np.zeros(0, bool)
-        token, counts = token[one], np.bincount(node[one], minlength=len(names))
+        node, token = node[one], token[one]
+        nodes, counts = np.unique(node, return_counts=True)
         del order, one, node
         tidy()
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(token.view(np.int64)))
-        return pa.table({"name": _binary(names), "tokens": lists})
+        return pa.table({"node": pa.array(nodes.view(np.int64)), "tokens": lists})
 
     returned = parts.groupBy("bucket").applyInArrow(count, "bucket int, nodes binary, counts binary, tokens binary")
-    return returned.groupBy("bucket").applyInArrow(collect, "name binary, tokens array<long>")
+    return returned.groupBy("bucket").applyInArrow(collect, "node long, tokens array<long>")
 
 
 class Trie:
@@ -338,12 +332,12 @@ def _blocked(own: DataFrame, percent: int, cell: int) -> DataFrame:
     return rows.select(F.explode(cells).alias("cell"), "node", "label")
 
 
-def near_links(infos: DataFrame, docs: DataFrame, buckets: int, percent: int = PERCENT, cell: int = CELL) -> DataFrame | None:
-    """(name, label) of the sets with links to other sets, both 128-bit digests; None without any."""
-    shared = _shared(_by_range(docs, buckets), buckets)
-    sizes = infos.filter("node is not null").groupBy(F.col("node").alias("name")).agg(F.max("n").alias("n"))
-    sets = shared.join(sizes, "name").filter(F.size("tokens") * 100 >= F.col("n") * percent)
-    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "candidates")  # from here a set is a number
+def near_links(infos: DataFrame, docs: DataFrame, buckets: int, twice: list[int], percent: int = PERCENT, cell: int = CELL) -> DataFrame | None:
+    """(node, label) of the sets with links to other sets; None without any."""
+    shared = _shared(_by_range(docs, buckets, twice), buckets)
+    sizes = infos.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"))
+    sets = shared.join(sizes, "node").filter(F.size("tokens") * 100 >= F.col("n") * percent)
+    sets = written(sets, "candidates")
     alone = F.col("n") - F.size("tokens")
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
     posted = written(sets.select("node", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token")), "postings")
@@ -372,10 +366,7 @@ def near_links(infos: DataFrame, docs: DataFrame, buckets: int, percent: int = P
         more = written(_cells(few.unionByName(_blocked(often, percent, cell)).join(sets, "node")), "links")
         if not more.isEmpty():
             labels = written(components(edges.unionByName(more)), "components")
-    if labels is None:
-        return None
-    names = sets.select("node", "name")
-    return labels.join(names, "node").join(names.select(F.col("node").alias("label"), F.col("name").alias("_label")), "label").select("name", F.col("_label").alias("label"))
+    return labels
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, cell: int = CELL) -> DataFrame:
@@ -388,12 +379,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows are one set; other columns are ignored; an empty table gives no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    infos = written(_infos(own), "sets")
+    infos, twice = named_sets(written(_infos(own), "sets"))
     buckets = buckets or max(32, -(-(infos.agg(F.sum("n")).first()[0] or 0) // RANGE))
-    labels = near_links(infos, own, buckets, cell=cell)
+    labels = near_links(infos, own, buckets, twice, cell=cell)
     named = infos.withColumn("label", F.col("node"))
     if labels is not None:
-        named = written(infos.join(labels.withColumnRenamed("name", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+        named = written(infos.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = written(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -67,6 +67,18 @@ def test_very_common_shingles_of_many_groups(spark):
     check(spark, rows, cell=4, buckets=3000)
 
 
+def test_sets_of_one_digest_keep_apart(spark, monkeypatch):
+    sets = nj.shingle_sets
+
+    def weak(data, offsets, k=5):
+        all_, at, digest = sets(data, offsets, k)
+        digest[:, 0] %= 7
+        return all_, at, digest
+
+    monkeypatch.setattr(nj, "shingle_sets", weak)
+    check(spark, awkward())
+
+
 def test_empty_table(spark):
     assert nj.near_groups(table(spark, [])).collect() == []
 
