@@ -29,6 +29,8 @@ from confab.llm.textkernel import flat, mix, pieces, run_hashes, tidy, word_hash
 WORDS = 5
 PERCENT = 80
 CELL = 512
+#: Blocks of a shingle up to which all meet all; beyond, sizes tell which can link.
+FEW = 3
 #: Shingles in a range of hashes, on average: what a reducer holds at once.
 RANGE = 1_000_000
 #: Digests of several sets beyond which something else than chance is at work.
@@ -361,8 +363,11 @@ def near_links(infos: DataFrame, docs: DataFrame, buckets: int, twice: list[int]
     rest = groups.join(mixed, "token", "left_semi").groupBy("many", "x", "s").agg(F.min("token").alias("token"))
     rest = written(rest.select("token", "many"), "rest")
     if not rest.isEmpty():
-        few = known.join(rest.filter(F.col("many") <= cell), "token").select(F.xxhash64("token").alias("cell"), "node", "label")
-        often = known.join(rest.filter(F.col("many") > cell).select("token"), "token").join(sets.select("node", "n"), "node")
+        few = known.join(rest.filter(F.col("many") <= FEW * cell), "token").withColumn("blocks", F.ceil(F.col("many") / cell).cast("int"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        few = few.select("token", "node", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        few = few.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node", "label")
+        often = known.join(rest.filter(F.col("many") > FEW * cell).select("token"), "token").join(sets.select("node", "n"), "node")
         more = written(_cells(few.unionByName(_blocked(often, percent, cell)).join(sets, "node")), "links")
         if not more.isEmpty():
             labels = written(components(edges.unionByName(more)), "components")
