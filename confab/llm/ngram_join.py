@@ -8,7 +8,8 @@ meet), in cells around a leader. A cell stores its sets in a trie; a probe walks
 that a path has so far, and prunes subtrees by what path and probe have left. Linked sets become one
 component at once, and subtrees of the probe's own component are skipped, so a large group of near
 copies costs about its size. Then every prefix shingle under which two components still meet gets an
-exact cell (large ones in blocks against blocks of a size that can link). Equal sets are one node from the
+exact cell (large ones in blocks against blocks of a size that can link), in which parities of the sets'
+hashes rule out, exactly, those that can't link before their tries are built. Equal sets are one node from the
 start, named by a digest; where two sets have one digest, a second one tells them apart.
 """
 
@@ -312,6 +313,74 @@ def _cells(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit for each token hash modulo a power of two, at least four times their number: set where an odd number falls."""
+    width = 1 << max(6, int(4 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _with_parity(sets: DataFrame) -> DataFrame:
+    """(node, n, s, bits) of ``sets`` (node, n, tokens): the number of tokens and their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [x.values.to_numpy().view(np.uint64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in tokens], pa.int64()), pa.array([parity(x) for x in tokens], pa.binary())], ["node", "n", "s", "bits"])
+
+    return sets.select("node", "n", "tokens").mapInArrow(run, "node long, n long, s long, bits binary")
+
+
+def feasible(n: np.ndarray, s: np.ndarray, label: np.ndarray, bits: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """Which sets of a cell may link with one of another component.
+
+    Two sets differ in at least as many tokens as their parities do, folded to the shorter length: that
+    bounds their overlap from above, and no pair that links is missed.
+    """
+    may = np.zeros(len(n), bool)
+    words_ = [np.frombuffer(b, np.uint64) for b in bits]
+    width = np.array([len(w) for w in words_])
+    folded = {}
+    for i in range(len(n)):
+        other = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (np.arange(len(n)) > i))
+        for size in np.unique(np.minimum(width[other], width[i])).tolist():
+            own = other[np.minimum(width[other], width[i]) == size]
+            for j in (i, *own.tolist()):
+                if (j, size) not in folded:
+                    folded[j, size] = np.bitwise_xor.reduce(words_[j].reshape(-1, size), axis=0)
+            apart = np.bitwise_count(np.stack([folded[j, size] for j in own.tolist()]) ^ folded[i, size]).sum(axis=1, dtype=np.int64)
+            own = own[(100 + percent) * (s[own] + s[i] - apart) >= 2 * percent * (n[own] + n[i])]
+            may[own] = True
+            may[i] |= len(own) > 0
+    return may
+
+
+def _feasible(rows: DataFrame) -> DataFrame:
+    """(cell, node, label) of the ``rows`` (cell, node, label, n, s, bits) that may link in their cell."""
+
+    def solve(cell: list[tuple]) -> list[tuple]:
+        held = list({x[1]: x for x in cell}.values())
+        if len(held) < 2:
+            return []
+        n, s, label = (np.array([x[k] for x in held]) for k in (3, 4, 2))
+        return [held[i][:3] for i in np.flatnonzero(feasible(n, s, label, [x[5] for x in held])).tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if row[0] != now:
+                    out += solve(cell)
+                    now, cell = row[0], []
+                cell.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["cell", "node", "label"])
+        out = solve(cell)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["cell", "node", "label"])
+
+    ordered = rows.select("cell", "node", "label", "n", "s", "bits").repartition("cell").sortWithinPartitions("cell", "node")
+    return ordered.mapInArrow(run, "cell long, node long, label long")
+
+
 def _blocked(own: DataFrame, percent: int, cell: int) -> DataFrame:
     """(cell, node, label) of the members ``own`` (token, node, label, n) of very common shingles.
 
@@ -368,7 +437,9 @@ def near_links(infos: DataFrame, docs: DataFrame, buckets: int, twice: list[int]
         few = few.select("token", "node", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         few = few.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node", "label")
         often = known.join(rest.filter(F.col("many") > FEW * cell).select("token"), "token").join(sets.select("node", "n"), "node")
-        more = written(_cells(few.unionByName(_blocked(often, percent, cell)).join(sets, "node")), "links")
+        met = few.unionByName(_blocked(often, percent, cell)).join(_with_parity(sets), "node")
+        met = written(_feasible(met), "feasible")  # short rows: full sets go only where a link is possible
+        more = written(_cells(met.join(sets, "node")), "links")
         if not more.isEmpty():
             labels = written(components(edges.unionByName(more)), "components")
     return labels

@@ -105,3 +105,20 @@ def test_trie_finds_the_components_of_all_links():
             label = merge(label, a, b)
         same = lambda x: {frozenset(i for i, v in enumerate(x) if v == u) for u in x}
         assert same(label) == same(want)
+
+
+def test_parities_never_rule_out_a_link():
+    r = np.random.default_rng(7)
+    for _ in range(30):
+        pool = r.choice(1 << 53, 400, replace=False).astype(np.uint64)
+        sets = [r.choice(pool[: r.integers(30, 400)], r.integers(5, 30), replace=False) for _ in range(8)]
+        for base in (pool[:200], pool[200:230]):
+            sets += [np.delete(base, r.choice(len(base), r.integers(0, len(base) // 6), replace=False)) for _ in range(5)]
+        s = np.array([len(x) for x in sets])
+        n, label = s + r.integers(0, 3, len(s)), r.integers(0, 6, len(s))
+        may = nj.feasible(n, s, label, [nj.parity(x) for x in sets])
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if label[a] != label[b] and 100 * both >= 80 * (n[a] + n[b] - both):
+                    assert may[a] and may[b]
