@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Letters folded to ASCII: fixed values.
 FOLD_FROM, FOLD_TO = "ąćęłńóśźż", "acelnoszz"
-#: Digraphs replaced in this order: fixed values.
-DIGRAPHS = (("rz", "z"), ("ch", "h"), ("sz", "s"), ("cz", "c"), ("dz", "z"))
+#: Digraphs replaced in this order, the last one twice (after ddz it appears anew): fixed values.
+DIGRAPHS = (("rz", "z"), ("ch", "h"), ("sz", "s"), ("cz", "c"), ("dz", "z"), ("dz", "z"))
 
 
 def folded(text: Column) -> Column:

@@ -27,9 +27,12 @@ def allowed_parameters(rows: DataFrame, allowed: tuple[str, ...] = PARAMETERS) -
 
 
 def diarized(segs: DataFrame, turns: DataFrame) -> DataFrame:
-    """Segments with speakers by overlap with turns, carried over gaps, voted in short rows and labelled by talk time."""
+    """Segments with speakers by overlap with turns, carried over gaps, voted in short rows and labelled by talk time.
+
+    A recording without turns has one speaker.
+    """
     own = s.assign_speakers(segs, turns).select(REC, "seg_id", "carried")
-    rows = segs.drop("speaker").join(own, [REC, "seg_id"]).withColumnRenamed("carried", "speaker").filter("speaker is not null")
+    rows = segs.drop("speaker").join(own, [REC, "seg_id"]).withColumnRenamed("carried", "speaker")
     voted = folds.neighbour_vote(rows).select(REC, "seg_id", F.col("speaker").alias("voted"))
     rows = rows.drop("speaker").join(voted, [REC, "seg_id"]).withColumnRenamed("voted", "speaker").filter(F.trim("text") != "")
     labels = s.talk_time(rows).select(REC, "speaker", "label")

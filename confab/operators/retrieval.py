@@ -27,7 +27,9 @@ def _of_same_start(words: DataFrame, asked: DataFrame, chars: int) -> DataFrame:
 
 
 def keyword_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, avg_len: float = 60.0) -> DataFrame:
-    """(query_id, doc_id, score): mean weight of the query's tokens times the share that matches.
+    """(query_id, doc_id, score): weight of the query's tokens over the largest they could have, times the share that matches.
+
+    A token's best similarity s in a text weighs s * s * (k1 + 1) / (s + k1 * (1 - b + b * length / avg_len)).
 
     ``docs`` (doc_id, text) and ``queries`` (query_id, query). Similarity is worked out once for each
     distinct pair of tokens that can match: equal first three letters for prefixes, near lengths for edits.
@@ -40,8 +42,8 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: floa
     sims = _of_same_start(words, asked, 3).union(close).distinct()
     sims = sims.withColumn("sim", t.keyword_similarity(F.col("q"), F.col("w"))).filter("sim > 0")
     hits = dt.distinct().join(sims, "w").join(qt, "q").groupBy("query_id", "doc_id", "i", "n", "total").agg(F.max("sim").alias("sim"))
-    weight = (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n") / avg_len))
-    rows = hits.groupBy("query_id", "doc_id", "total").agg(F.sum(weight * F.col("sim")).alias("s"), F.count(F.lit(1)).alias("matched"), F.max(weight).alias("m"))
+    weight = lambda s: s * (k1 + 1) / (s + k1 * (1 - b + b * F.col("n") / avg_len))
+    rows = hits.groupBy("query_id", "doc_id", "total").agg(F.sum(weight(F.col("sim")) * F.col("sim")).alias("s"), F.count(F.lit(1)).alias("matched"), F.max(weight(F.lit(1.0))).alias("m"))
     score = F.least(F.lit(1.0), F.col("s") / (F.col("m") * F.col("total"))) * F.col("matched") / F.col("total")
     return rows.select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
@@ -60,29 +62,20 @@ def word_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     alike = words.withColumn("_k", t.phonetic_key(F.col("w"))).join(asked.withColumn("_k", t.phonetic_key(F.col("q"))), "_k").select("w", "q")
     pairs = _of_same_start(words, asked, 1).filter(F.col("w").startswith(F.col("q"))).union(close).union(alike).distinct()
     sim, key = t.similarity(F.col("q"), F.col("w")), t.phonetic_key(F.col("q"))
+    fuzzy = (F.length("q") >= 4) & (F.length("w") >= 3) & (sim >= 0.72)
     both = (F.length("q") >= 4) & (F.length("w") >= 4)
-    m = F.when(F.col("w").startswith(F.col("q")), F.struct(F.lit(3).alias("o"), F.lit(1.0).alias("s"))).when(both & (sim >= 0.72), F.struct(F.lit(2).alias("o"), sim.alias("s"))).when(both & (F.length(key) >= 2) & (key == t.phonetic_key(F.col("w"))), F.struct(F.lit(1).alias("o"), F.lit(0.7).alias("s")))
+    m = F.when(F.col("w").startswith(F.col("q")), F.struct(F.lit(3).alias("o"), F.lit(1.0).alias("s"))).when(fuzzy, F.struct(F.lit(2).alias("o"), sim.alias("s"))).when(both & (F.length(key) >= 2) & (key == t.phonetic_key(F.col("w"))), F.struct(F.lit(1).alias("o"), F.lit(0.7).alias("s")))
     pairs = pairs.withColumn("m", m).filter("m is not null")
     best = d.join(pairs, "w").join(q, "q").groupBy("query_id", "doc_id", "i", "total").agg(F.max("m").alias("m"))
     rows = best.groupBy("query_id", "doc_id", "total").agg(F.sum("m.s").alias("s"), F.max("m.o").alias("o"))
     return rows.select("query_id", "doc_id", F.round(F.col("s") / F.col("total"), 6).alias("score"), F.element_at(F.array(*map(F.lit, ("phonetic", "fuzzy", "exact"))), F.col("o")).alias("kind"))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, cosine) of a stated query set against all rows; vectors are normalised once.
-
-    Queries are the small side: Spark sends them to the scan.
-    """
-    v = vectors.select("vec_id", normalised(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", normalised(F.col("embedding")).alias("q"))
-    return v.join(q, F.lit(True)).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("cosine"))
-
-
 def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int, blend: Callable | None = None, least: float = -math.inf, parts: int = 64, block: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``k`` best rows of each query over all ``vectors``, a row's own id left out.
 
-    As ``vector_scores`` and ``top_k``, for query sets that grow with the table: blocks of queries meet ``parts``
-    parts of the rows, and each part returns its best only. ``blend`` maps (query ids, row ids, cosines),
+    For query sets that grow with the table: blocks of queries meet ``parts`` parts of the rows, and each part
+    returns its best only. ``blend`` maps (query ids, row ids, cosines),
     which broadcast, to scores; those below ``least`` are left out. Rows without a whole vector of the
     queries' longest length take no part.
     """
@@ -143,16 +136,30 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int, blend: Callable
     return top_k(met.mapInArrow(run, "query_id long, vec_id long, score double"), k, tie="vec_id")
 
 
-def hybrid(cosines: DataFrame, keywords: DataFrame, alpha: float = 0.75, least: float = 0.15) -> DataFrame:
-    """(query_id, vec_id, score): alpha * cosine + (1 - alpha) * keyword score, from ``least``."""
-    rows = cosines.join(keywords, ["query_id", "vec_id"], "left")
-    return rows.select("query_id", "vec_id", F.round(alpha * F.col("cosine") + (1 - alpha) * F.coalesce("keyword", F.lit(0.0)), 8).alias("score")).filter(F.col("score") >= least)
+def pair_cosines(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, vec_id, ...) with ``cosine``; each side's vector is fetched by an equal join."""
+    v = vectors.select("vec_id", normalised(F.col("embedding")).alias("_v"))
+    q = queries.select("query_id", normalised(F.col("embedding")).alias("_q"))
+    return pairs.join(q, "query_id").join(v, "vec_id").withColumn("cosine", F.round(dot(F.col("_q"), F.col("_v")), 6)).drop("_q", "_v")
+
+
+def hybrid(vectors: DataFrame, queries: DataFrame, keywords: DataFrame, k: int = 8, alpha: float = 0.75, least: float = 0.15) -> DataFrame:
+    """(query_id, vec_id, score, rank): the ``k`` best by alpha * cosine + (1 - alpha) * keyword score, from ``least``.
+
+    ``keywords`` (query_id, vec_id, keyword) holds the pairs whose texts match at all. Of the others only the
+    ``k`` nearest can be among the best, so the two sets together are enough, and exact.
+    """
+    near = nearest_rows(vectors, queries, k).select("query_id", "vec_id", F.lit(0.0).alias("keyword"))
+    both = keywords.filter("query_id <> vec_id").select("query_id", "vec_id", "keyword").unionByName(near).groupBy("query_id", "vec_id").agg(F.max("keyword").alias("keyword"))
+    score = F.round(alpha * F.col("cosine") + (1 - alpha) * F.col("keyword"), 8)
+    return top_k(pair_cosines(both, vectors, queries).select("query_id", "vec_id", score.alias("score")).filter(F.col("score") >= least), k, tie="vec_id")
 
 
 def mmr(hits: DataFrame, k: int = 8, weight: float = 0.6) -> DataFrame:
     """(query_id, rank, vec_id): of each query's best 3k, greedily weight * score - (1 - weight) * nearest chosen.
 
-    ``hits`` has query_id, vec_id, score and embedding. At most 3k rows of a query meet in a task.
+    Up to ``k`` hits stay in order of their scores. ``hits`` has query_id, vec_id, score and embedding. At
+    most 3k rows of a query meet in a task.
     """
     pool = top_k(hits, 3 * k, tie="vec_id").select("query_id", "vec_id", "score", "embedding")
 
@@ -163,6 +170,8 @@ def mmr(hits: DataFrame, k: int = 8, weight: float = 0.6) -> DataFrame:
         x = x / np.where(length == 0, 1, length)
         score, near, chosen = pdf["score"].to_numpy(), np.zeros(len(pdf)), []
         left = np.ones(len(pdf), bool)
+        if len(pdf) <= k:
+            chosen = list(range(len(pdf)))
         while len(chosen) < min(k, len(pdf)):
             value = np.where(left, np.round(weight * score - (1 - weight) * near, 12), -np.inf)
             i = int(np.argmax(value))
@@ -175,7 +184,10 @@ def mmr(hits: DataFrame, k: int = 8, weight: float = 0.6) -> DataFrame:
 
 
 def near_labels(vectors: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a, b, cosine): upper triangle of similarities of one small group's rows (speakers of a recording)."""
+    """(label, a, b, cosine): upper triangle of similarities of one small group's rows.
+
+    A label is a recording and its rows are that recording's speakers: a few tens by nature, which bounds the pairs.
+    """
     a = vectors.select("label", F.col("vec_id").alias("a"), normalised(F.col("embedding")).alias("x"))
     b = vectors.select("label", F.col("vec_id").alias("b"), normalised(F.col("embedding")).alias("y"))
     return a.join(b, "label").filter("a < b").select("label", "a", "b", F.round(dot(F.col("x"), F.col("y")), 4).alias("cosine")).filter(F.col("cosine") >= least)

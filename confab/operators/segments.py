@@ -74,20 +74,29 @@ def quality_report(segs: DataFrame, words: DataFrame) -> DataFrame:
         F.count_if(F.col("prob_sum") < 55 * F.col("n_words")).alias("low_confidence"), F.count_if(F.col("end_ms") - F.col("start_ms") < 400).alias("very_short"),
         F.count_if("_rep").alias("repetitions"), F.count_if("_gap").alias("long_gaps"),
     )
-    mean = F.when(F.col("_w") > 0, F.col("_p") / (F.col("_w") * 100.0)).otherwise(1.0)
+    mean = F.when(F.col("_w") > 0, F.expr("(20 * _p + _w) div (2 * _w)") / 1000.0).otherwise(1.0)  # to 3 digits, before the thresholds
     warn = F.array_compact(F.array(F.when(mean < 0.65, "low_average"), F.when(F.col("low_confidence") > 0.2 * F.col("n_segments"), "many_low"), F.when(F.col("repetitions") > 3, "repetitions"), F.when(F.col("long_gaps") > 0, "gaps")))
-    return g.withColumns({"avg_confidence": F.round(mean, 6), "warnings": F.array_join(warn, ","), "retranscribe": (mean < 0.6) | (F.col("repetitions") > 5)}).drop("_p", "_w")
+    return g.withColumns({"avg_confidence": mean, "warnings": F.array_join(warn, ","), "retranscribe": (mean < 0.6) | (F.col("repetitions") > 5)}).drop("_p", "_w")
 
 
 def tags(segs: DataFrame, words: DataFrame) -> DataFrame:
-    """(recording_id, seg_id, tags): interjection, check-speaker, question, low-conf, long, silence-gap."""
+    """(recording_id, seg_id, tags): interjection, check-speaker, question, low-conf, long, silence-gap, ipa.
+
+    The translated text (``text_pl``), where there is one, is tagged before the original; only an
+    interjection between two rows of one other speaker asks to check its speaker; ``words`` may have ``ipa``.
+    """
     rows = segs.join(confidence(words).select(REC, "seg_id", "prob_sum", "n_words"), [REC, "seg_id"], "left")
-    bare = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_\s]", ""))
+    text = F.trim(F.coalesce(F.nullif("text_pl", F.lit("")), "text") if "text_pl" in segs.columns else F.col("text"))
+    bare = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", ""))
+    if "ipa" in words.columns:
+        rows = rows.join(words.filter("ipa <> ''").select(REC, "seg_id", F.lit(True).alias("_ipa")).distinct(), [REC, "seg_id"], "left")
+    else:
+        rows = rows.withColumn("_ipa", F.lit(False))
     left, right = F.lag("speaker").over(by_id()), F.lead("speaker").over(by_id())
     gap = F.col("start_ms") - F.lag("end_ms").over(by_id())
     found = F.array(
-        F.when(bare.isin(*INTERJECTIONS), "interjection"), F.when((left == right) & (left != F.col("speaker")), "check-speaker"), F.when(F.rtrim("text").endswith("?"), "question"),
-        F.when(F.col("prob_sum") < 55 * F.col("n_words"), "low-conf"), F.when(F.col("end_ms") - F.col("start_ms") > 20_000, "long"), F.when(gap > 3000, "silence-gap"),
+        F.when(bare.isin(*INTERJECTIONS), "interjection"), F.when(bare.isin(*INTERJECTIONS) & (left == right) & (left != F.col("speaker")), "check-speaker"), F.when(text.endswith("?"), "question"),
+        F.when(F.col("prob_sum") < 55 * F.col("n_words"), "low-conf"), F.when(F.col("end_ms") - F.col("start_ms") > 20_000, "long"), F.when(gap > 3000, "silence-gap"), F.when(F.col("_ipa"), "ipa"),
     )
     return rows.select(REC, "seg_id", F.array_compact(found).alias("tags"))
 
@@ -118,7 +127,7 @@ def assign_speakers(segs: DataFrame, turns: DataFrame) -> DataFrame:
     """(recording_id, seg_id, assigned, carried): speaker of the largest total overlap; gaps take the last one.
 
     An overlap must reach 1 % (short segments) or 5 % of the segment; ties go to the first turn; before
-    the first assignment the first assigned speaker holds.
+    the first assignment the first assigned speaker holds, and without any the first label.
     """
     g = overlaps(segs, turns).groupBy(REC, "seg_id", "speaker_raw").agg(F.sum("overlap_ms").alias("ms"), F.min("turn_idx").alias("first"))
     best = g.groupBy(REC, "seg_id").agg(F.max_by(F.struct("speaker_raw", "ms"), F.struct(F.col("ms"), -F.col("first"))).alias("best"))
@@ -127,7 +136,7 @@ def assign_speakers(segs: DataFrame, turns: DataFrame) -> DataFrame:
     enough = F.col("best.ms") * 100 >= dur * F.when(dur < 500, 1).otherwise(5)
     rows = rows.select(REC, "seg_id", F.when(enough, F.col("best.speaker_raw")).alias("assigned"))
     first = F.first("assigned", ignorenulls=True).over(by_id().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("carried", F.coalesce(F.last("assigned", ignorenulls=True).over(so_far()), first))
+    return rows.withColumn("carried", F.coalesce(F.last("assigned", ignorenulls=True).over(so_far()), first, F.lit(LABEL % 1)))
 
 
 def gap_speakers(segs: DataFrame, gap_ms: int = 1500, speakers: int = 6) -> DataFrame:

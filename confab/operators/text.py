@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from confab.functions.text import clock
-from confab.operators.segments import REC, by_id, joined_text
+from confab.operators.folds import per_recording
+from confab.operators.segments import REC, joined_text
 
 
-def folded_rows(segs: DataFrame, fields: list[str], zero: Column, step, schema: str) -> DataFrame:
-    """A fold over each recording's segments in order: ``step(state, row)`` gives the next state, whose
-    ``out`` array grows by what it emits. One row of one recording's segments is in memory at a time.
-    """
-    rows = segs.groupBy(REC).agg(F.array_sort(F.collect_list(F.struct("seg_id", *[f for f in fields if f != "seg_id"]))).alias("rows"))
-    state = F.aggregate("rows", zero, step)
-    return rows.select(REC, F.explode(state["out"].cast(schema)).alias("o")).select(REC, "o.*")
+def folded_rows(segs: DataFrame, fields: list[str], fold, schema: str) -> DataFrame:
+    """``fold`` (rows in order -> rows) over each recording's segments, sorted and streamed: a task holds one recording."""
+    return per_recording(segs.select(REC, "seg_id", *[f for f in fields if f != "seg_id"]), fold, schema)
 
 
 def translation_batches(segs: DataFrame, max_chars: int = 3000, max_rows: int = 15) -> DataFrame:
     """(recording_id, seg_id, batch_id): a batch closes after the row that reaches either limit."""
-    kind = "array<struct<seg_id:int,batch_id:int>>"
-    zero = F.struct(F.lit(0).alias("rows"), F.lit(0).alias("chars"), F.lit(0).alias("batch"), F.array().cast(kind).alias("out"))
 
-    def step(s, r):
-        n, c = s["rows"] + 1, s["chars"] + F.length(r["text"])
-        full = (c >= max_chars) | (n >= max_rows)
-        out = F.concat(s["out"], F.array(F.struct(r["seg_id"].cast("int").alias("seg_id"), s["batch"].alias("batch_id"))))
-        return F.struct(F.when(full, 0).otherwise(n).alias("rows"), F.when(full, 0).otherwise(c).alias("chars"), F.when(full, s["batch"] + 1).otherwise(s["batch"]).alias("batch"), out.alias("out"))
+    def fold(rows):
+        out, batch, n, chars = [], 0, 0, 0
+        for r in rows:
+            n, chars = n + 1, chars + r["len"]
+            out.append({"seg_id": r["seg_id"], "batch_id": batch})
+            if chars >= max_chars or n >= max_rows:
+                batch, n, chars = batch + 1, 0, 0
+        return out
 
-    return folded_rows(segs, ["text"], zero, step, kind)
+    return folded_rows(segs.withColumn("len", F.length("text")), ["len"], fold, "seg_id int, batch_id int")
 
 
 def numbered_blocks(segs: DataFrame, batches: DataFrame) -> DataFrame:
@@ -96,34 +94,35 @@ def exported(segs: DataFrame) -> DataFrame:
 
 def topic_windows(segs: DataFrame, width_ms: int = 300_000, most: int = 8, chars: int = 1000) -> DataFrame:
     """(recording_id, win_id, start_ms, end_ms, n, text): windows anchored at the segment that opens them."""
-    kind = "array<struct<seg_id:int,win_id:int>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("win"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
 
-    def step(s, r):
-        new = (r["start_ms"] - s["at"] >= width_ms) & (s["n"] > 0)
-        win = F.when(new, s["win"] + 1).otherwise(s["win"])
-        out = F.concat(s["out"], F.array(F.struct(r["seg_id"].cast("int").alias("seg_id"), win.alias("win_id"))))
-        return F.struct(F.when(new, r["start_ms"]).otherwise(s["at"]).alias("at"), win.alias("win"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), out.alias("out"))
+    def fold(rows):
+        out, at, win, n = [], 0, 0, 0
+        for r in rows:
+            if r["start_ms"] - at >= width_ms and n:
+                at, win, n = r["start_ms"], win + 1, 0
+            n += 1
+            out.append({"seg_id": r["seg_id"], "win_id": win})
+        return out
 
-    rows = segs.join(folded_rows(segs, ["start_ms"], zero, step, kind), [REC, "seg_id"]).filter(F.col("win_id") < most)
+    rows = segs.join(folded_rows(segs, ["start_ms"], fold, "seg_id int, win_id int"), [REC, "seg_id"]).filter(F.col("win_id") < most)
     return rows.groupBy(REC, "win_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n"), F.substring(joined_text(), 1, chars).alias("text"))
 
 
 def sliding_chunks(segs: DataFrame, back: int = 2, least_rows: int = 3, least_chars: int = 600) -> DataFrame:
     """(recording_id, chunk_id, first_idx, last_idx, text): each chunk repeats the last ``back`` rows and adds one at least."""
-    kind = "array<struct<seg_id:int,chunk_id:int>>"
-    zero = F.struct(F.array().cast("array<struct<seg_id:int,n:int>>").alias("tail"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("chunk"), F.lit(True).alias("open"), F.array().cast(kind).alias("out"))
-
-    def step(s, r):
-        size, one = F.length(r["text"]), F.struct(r["seg_id"].cast("int").alias("seg_id"), F.length(r["text"]).alias("n"))
-        held = F.when(s["open"], F.size(s["tail"])).otherwise(s["n"])
-        chars = F.when(s["open"], F.aggregate(s["tail"], F.lit(0), lambda a, t: a + t["n"])).otherwise(s["chars"])
-        repeat = F.when(s["open"], F.transform(s["tail"], lambda t: F.struct(t["seg_id"].alias("seg_id"), s["chunk"].alias("chunk_id")))).otherwise(F.array().cast(kind))
-        out = F.concat(s["out"], repeat, F.array(F.struct(one["seg_id"].alias("seg_id"), s["chunk"].alias("chunk_id"))))
-        n, c = held + 1, chars + size
-        full = ~((n < least_rows) | (c < least_chars))
-        tail = F.slice(F.concat(s["tail"], F.array(one)), -F.least(F.lit(back), F.size(s["tail"]) + 1), back)
-        return F.struct(tail.alias("tail"), n.cast("int").alias("n"), c.cast("int").alias("chars"), F.when(full, s["chunk"] + 1).otherwise(s["chunk"]).alias("chunk"), full.alias("open"), out.alias("out"))
-
-    rows = folded_rows(segs, ["text"], zero, step, kind).join(segs.select(REC, "seg_id", "text"), [REC, "seg_id"])
+
+    def fold(rows):
+        out, chunk, held, chars, fresh = [], 0, [], 0, True
+        for r in rows:
+            if fresh:
+                out += [{"seg_id": i, "chunk_id": chunk} for i, _ in held]
+                chars, n = sum(c for _, c in held), len(held)
+            held = [*held, (r["seg_id"], r["len"])][-back:] if back else []
+            out.append({"seg_id": r["seg_id"], "chunk_id": chunk})
+            n, chars = n + 1, chars + r["len"]
+            fresh = n >= least_rows and chars >= least_chars
+            chunk += fresh
+        return out
+
+    rows = folded_rows(segs.withColumn("len", F.length("text")), ["len"], fold, "seg_id int, chunk_id int").join(segs.select(REC, "seg_id", "text"), [REC, "seg_id"])
     return rows.groupBy(REC, "chunk_id").agg(F.min("seg_id").alias("first_idx"), F.max("seg_id").alias("last_idx"), joined_text().alias("text"))

@@ -9,7 +9,7 @@ from confab.operators import models as m
 from confab.operators import retrieval as r
 from confab.operators import segments as s
 from confab.plans.segment_queries import _base, _segs, _segs_turns, _sql
-from confab.plans.text_queries import _ASKED, _DT, _KW, _docs, _queries, in_recordings
+from confab.plans.text_queries import _ASKED, _CHUNKS, _DT, _KW, _docs, _queries, in_recordings
 from confab.sources import conversations as c
 
 
@@ -20,12 +20,6 @@ def _chat(spark, d):
     return flows.chat_context(hits, docs, more.select("query_id", F.col("query").alias("text")))
 
 
-def _vectors(spark, d, least, most, name):
-    v = c.table(spark, d, "embeddings").filter((F.col("vec_id") >= least) & (F.col("vec_id") < most))
-    label = F.format_string("GŁOS_%02d", F.col("vec_id") + 1) if name == "label" else F.concat(F.lit("raw"), F.col("vec_id").cast("string"))
-    return v.select((F.col("vec_id") % 5).alias("recording_id"), label.alias(name), F.col("embedding").alias("vector"))
-
-
 def _fragments(spark, d):
     """Of each recording's 20 voices the first 8 are known, the others are a fragment's."""
     v, nth = in_recordings(c.table(spark, d, "embeddings")), F.col("vec_id") % 20
@@ -80,8 +74,7 @@ QUERIES = {
     "emotion_argmax": lambda spark, d: c.table(spark, d, "events").select("event_id", profiles.argmax(F.create_map(F.lit("joy"), F.col("event_id") % 7, F.lit("anger"), F.col("event_id") % 5, F.lit("calm"), F.col("event_id") % 3)).alias("emotion")),
     "index_entries": _segs(lambda s: flows.index_entries(s).withColumn("segment_ids", F.array_join(F.col("segment_ids").cast("array<string>"), ","))),
     "chat_context": _chat,
-    "fragment_remap": lambda spark, d: profiles.remapped_fragment(_vectors(spark, d, 100, 200, "raw"), _vectors(spark, d, 0, 60, "label"), 0.3),
-    "fragment_remap_whole": _fragments,
+    "fragment_remap": _fragments,
     "map_reduce_summary": _segs(_summaries),
     "ambiguous_segments": _segs(lambda s: m.ambiguous(s, 800, 2, 30)),
     "guarded_merges": _segs(_merges),
@@ -93,8 +86,8 @@ QUERIES = {
     "recogniser_prompts": _segs(asr.prompts),
     "merged_speakers": _segs(lambda x: asr.merged_speakers(x, _pairs(x))),
     "energy_speakers": _segs(lambda x: s.energy_speakers(x.withColumn("energy", (F.col("seg_id") * 37 % 11).cast("double")))),
-    "quote_lines": _segs(lambda x: s.quote_lines(x, 60_000)),
-    "retranslate_context": _segs(lambda x: s.neighbour_texts(x, x.filter("seg_id % 7 = 3").select("recording_id", "seg_id"))),
+    "quote_lines": _segs(s.quote_lines),
+    "retranslate_context": _segs(lambda x: m.retry_contexts(x.withColumn("score", F.col("seg_id") % 5 + 1))),
     "unsure_words": _segs(lambda x: s.unsure_words(c.words(x))),
     "multi_pass_choice": _segs(lambda x: m.multi_pass(_twice(x))),
     "best_candidate": lambda spark, d: m.better_candidate(c.table(spark, d, "events").select("user_id", "event_id", F.round("value", 1).alias("confidence"), (F.col("event_id") * -1).alias("preferred")), ["user_id"]).select("user_id", "event_id", "confidence"),
@@ -117,9 +110,12 @@ FROM (SELECT c_custkey, CASE WHEN f > 250 THEN 'dziecko' WHEN f >= 165 THEN 'zen
         "SELECT q.query_id, coalesce(l, substr(query, 1, 3000)) AS context FROM (SELECT * FROM asked UNION ALL SELECT 9, 'zzz') q LEFT JOIN (SELECT query_id, string_agg('[' || r || '] ' || text, chr(10) || chr(10) ORDER BY r) AS l FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM kw) k JOIN segments s ON s.recording_id * 1000 + s.seg_id = k.doc_id WHERE r <= 6 GROUP BY query_id) h USING (query_id)",
         _ASKED, _DT, _KW,
     ),
-    "fragment_remap": f"""WITH best AS (SELECT * FROM (SELECT a.vec_id % 5 AS recording_id, 'raw' || a.vec_id AS raw, printf('GŁOS_%02d', b.vec_id + 1) AS found, round({_REMAP}, 6) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_REMAP}, 6) DESC, printf('GŁOS_%02d', b.vec_id + 1) DESC) AS r
-    FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = b.vec_id % 5 WHERE a.vec_id >= 100 AND a.vec_id < 200 AND b.vec_id < 60) WHERE r = 1), tops AS (SELECT vec_id % 5 AS recording_id, max(vec_id + 1) AS top FROM embeddings WHERE vec_id < 60 GROUP BY 1)
-SELECT recording_id, raw, CASE WHEN s >= 0.3 THEN found ELSE printf('GŁOS_%02d', top + row_number() OVER (PARTITION BY recording_id, s >= 0.3 ORDER BY raw)) END AS label FROM best JOIN tops USING (recording_id)""",
+    "fragment_remap": f"""WITH heard AS (SELECT * FROM embeddings WHERE vec_id % 20 >= 8), known AS (SELECT * FROM embeddings WHERE vec_id % 20 < 8), best AS (SELECT vec_id // 20 AS recording_id, 'raw' || vec_id AS raw, found, s FROM (
+    SELECT a.vec_id, printf('GŁOS_%02d', b.vec_id % 20 + 1) AS found, round({_REMAP}, 6) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_REMAP}, 6) DESC, b.vec_id) AS r FROM heard a LEFT JOIN known b ON a.vec_id // 20 = b.vec_id // 20) WHERE r = 1),
+  tops AS (SELECT vec_id // 20 AS recording_id, max(vec_id % 20 + 1) AS top FROM known GROUP BY 1)
+SELECT recording_id, raw, CASE WHEN s >= 0.3 THEN found ELSE printf('GŁOS_%02d', coalesce(top, 0) + row_number() OVER (PARTITION BY recording_id, coalesce(s >= 0.3, false) ORDER BY raw)) END AS label FROM best LEFT JOIN tops USING (recording_id)""",
+    "index_entries": _sql("SELECT c.recording_id, CAST(chunk_id AS INT) AS chunk_id, string_agg(text, ' ' ORDER BY s.seg_id) AS text, string_agg(CAST(s.seg_id AS VARCHAR), ',' ORDER BY s.seg_id) AS segment_ids FROM chunks_ c JOIN segments s ON s.recording_id = c.recording_id AND s.seg_id BETWEEN first_idx AND last_idx WHERE chunk_id < 300 GROUP BY c.recording_id, chunk_id", _CHUNKS).replace("WITH ", "WITH RECURSIVE ", 1),
+    "map_reduce_summary": _sql("SELECT recording_id, substr('S ' || substr(CASE WHEN ms <= 1800000 OR length(t) <= 6000 THEN t ELSE 'S ' || substr(t, 1, 40) || chr(10) || 'line' || chr(10) || 'more' END, 1, 40), 1, 300) || ' line more' AS summary FROM (SELECT recording_id, max(end_ms) AS ms, string_agg(text, ' ' ORDER BY seg_id) AS t FROM segments GROUP BY ALL)"),
     "ambiguous_segments": _sql("SELECT recording_id, seg_id, context FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM (SELECT *, array_to_string(list(speaker || ': ' || text) OVER (PARTITION BY recording_id ORDER BY seg_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), chr(10)) AS context FROM segments) WHERE end_ms - start_ms < 800 AND trim(text) <> '') WHERE n <= 30"),
     "guarded_merges": _sql("""SELECT recording_id, removed, arg_max(kept, a || '|' || b) AS kept FROM (SELECT recording_id, a, b, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS removed, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS kept, cosine, min(cosine) OVER (PARTITION BY recording_id) AS low
   FROM (SELECT x.recording_id, x.speaker AS a, y.speaker AS b, round(0.985::DOUBLE + ((x.recording_id * 7 + length(x.speaker) * 3 + length(y.speaker)) % 13) / 1000.0::DOUBLE, 4) AS cosine FROM (SELECT DISTINCT recording_id, speaker FROM segments) x JOIN (SELECT DISTINCT recording_id, speaker FROM segments) y ON x.recording_id = y.recording_id AND x.speaker < y.speaker))
@@ -129,8 +125,8 @@ WHERE low <= 0.99 AND cosine >= 0.99 AND recording_id % 11 <> 0 GROUP BY ALL""")
     "chosen_run": _sql("SELECT r.* FROM (SELECT *, 0 AS run FROM turns UNION ALL SELECT *, 1 FROM turns WHERE turn_idx % 3 < 2) r LEFT JOIN (SELECT recording_id, min(ms) >= 0.3 * sum(ms) AS more FROM (SELECT recording_id, speaker_raw, sum(end_ms - start_ms) AS ms FROM turns WHERE turn_idx % 3 < 2 GROUP BY ALL) GROUP BY recording_id) USING (recording_id) WHERE run = CASE WHEN more THEN 1 ELSE 0 END"),
     "recogniser_prompts": _sql("SELECT recording_id, seg_id, coalesce(array_to_string(list(substr(text, 1, 120)) OVER (PARTITION BY recording_id ORDER BY seg_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' '), '') AS prompt FROM segments"),
     "energy_speakers": _sql("SELECT recording_id, seg_id, CAST(sum(ch) OVER (PARTITION BY recording_id ORDER BY seg_id) % 6 AS INT) AS speaker_no FROM (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w >= 1500 OR (e > 0 AND lag(e) OVER w > 0 AND greatest(e, lag(e) OVER w) >= 4 * least(e, lag(e) OVER w)) THEN 1 ELSE 0 END AS ch FROM (SELECT *, seg_id * 37 % 11 AS e FROM segments) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id))"),
-    "quote_lines": _sql("SELECT recording_id, substr(string_agg('[' || (start_ms // 60000) || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') || ' ' || speaker || '] ' || text, chr(10) ORDER BY seg_id), 1, 3000) AS block FROM (SELECT *, max(end_ms) OVER (PARTITION BY recording_id) AS m FROM segments) WHERE m >= 60000 AND seg_id < 60 GROUP BY recording_id"),
-    "retranslate_context": _sql("SELECT * FROM (SELECT recording_id, seg_id, lag(text) OVER w AS before, text, lead(text) OVER w AS after FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id)) WHERE seg_id % 7 = 3"),
+    "quote_lines": _sql("SELECT recording_id, substr(string_agg('[' || (start_ms // 60000) || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') || ' ' || speaker || '] ' || text, chr(10) ORDER BY seg_id), 1, 3000) AS block FROM (SELECT *, max(end_ms) OVER (PARTITION BY recording_id) AS m FROM segments) WHERE m >= 300000 AND seg_id < 60 GROUP BY recording_id"),
+    "retranslate_context": _sql("SELECT * FROM (SELECT recording_id, seg_id, concat_ws(chr(10), lag(text, 2) OVER w, lag(text) OVER w, text, lead(text) OVER w) AS context FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id)) WHERE seg_id % 5 < 2"),
     "unsure_words": _sql("SELECT recording_id, seg_id, count(*) AS n, string_agg(word, ' ' ORDER BY word_idx) AS marked FROM words WHERE prob_pct < 40 GROUP BY recording_id, seg_id"),
     "multi_pass_choice": _sql(r"""SELECT key, CASE WHEN second THEN 'quite other words' ELSE text END AS text, CASE WHEN second THEN b ELSE a END AS confidence, NOT (a < 0.45 AND b < 0.45 AND dur < 500) AS kept FROM (SELECT *, dur < 800 AND key % 2 = 0 AND b > a AND len(list_intersect(ws, ['quite', 'other', 'words'])) < 0.4 * len(list_distinct(list_concat(ws, ['quite', 'other', 'words']))) AS second
   FROM (SELECT recording_id * 1000 + seg_id AS key, end_ms - start_ms AS dur, text, (recording_id * 1000 + seg_id) * 7 % 100 / 100.0::DOUBLE AS a, (recording_id * 1000 + seg_id) * 13 % 100 / 100.0::DOUBLE AS b, list_distinct(regexp_split_to_array(lower(trim(text)), '\s+')) AS ws FROM segments))""".replace("\\\\", "\\")),

@@ -48,6 +48,12 @@ def _fragment(segs):
     return own.withColumns({"text": F.concat(F.lit("again "), "text"), "start_ms": F.col("start_ms") + 5, "end_ms": F.col("end_ms") + 5})
 
 
+def _tagged(segs, words):
+    """Every fifth row is translated, to a reaction or a question; very sure words have a phonetic mark."""
+    pl = F.when(F.col("seg_id") % 10 == 5, "Mhm!").when(F.col("seg_id") % 5 == 0, F.concat("text", F.lit("?")))
+    return s.tags(segs.withColumn("text_pl", pl), words.withColumn("ipa", F.when(F.col("prob_pct") > 97, "x")))
+
+
 def _named(segs):
     """Every third recording names its users; kinds follow the speaker."""
     rows = segs.select("recording_id", "speaker").distinct()
@@ -61,8 +67,8 @@ QUERIES = {
     "speaker_talk_share": _segs(lambda x: s.talk_time(s.merge_islands(x), order="island")),
     "segment_confidence": _segs_words(lambda x, w: s.confidence(w).withColumn("bucket", s.confidence_bucket(F.col("confidence")))),
     "quality_report": _segs_words(s.quality_report),
-    "segment_tags": _segs_words(lambda x, w: s.tags(x, w).withColumn("tags", F.array_join("tags", ","))),
-    "tag_summary": _segs_words(lambda x, w: s.tag_summary(s.tags(x, w))),
+    "segment_tags": _segs_words(lambda x, w: _tagged(x, w).withColumn("tags", F.array_join("tags", ","))),
+    "tag_summary": _segs_words(lambda x, w: s.tag_summary(_tagged(x, w))),
     "seg_overlap_pairs": _segs_turns(s.overlaps),
     "seg_overlap_assign": _segs_turns(s.assign_speakers),
     "speaker_renumber": _segs_turns(lambda x, t: s.talk_time(s.assign_speakers(x, t).join(x.drop("speaker"), ["recording_id", "seg_id"]).filter("carried is not null"), "carried")),
@@ -99,16 +105,17 @@ _ISLANDS = """islands AS (
   GROUP BY ALL)"""
 _TAGS = r"""tagged AS (
   SELECT recording_id, seg_id, list_filter([
-    CASE WHEN trim(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g')) IN (""" + ", ".join(f"'{x}'" for x in s.INTERJECTIONS) + r""") THEN 'interjection' END,
-    CASE WHEN lag(speaker) OVER w = lead(speaker) OVER w AND lag(speaker) OVER w <> speaker THEN 'check-speaker' END,
-    CASE WHEN rtrim(text) LIKE '%?' THEN 'question' END, CASE WHEN prob_sum < 55 * n_words THEN 'low-conf' END,
-    CASE WHEN end_ms - start_ms > 20000 THEN 'long' END, CASE WHEN start_ms - lag(end_ms) OVER w > 3000 THEN 'silence-gap' END], lambda x: x IS NOT NULL) AS tags
-  FROM segments LEFT JOIN conf USING (recording_id, seg_id) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id))"""
+    CASE WHEN trim(regexp_replace(lower(shown), '[^\p{L}\p{N}_\s]', '', 'g')) IN (""" + ", ".join(f"'{x}'" for x in s.INTERJECTIONS) + r""") THEN 'interjection' END,
+    CASE WHEN trim(regexp_replace(lower(shown), '[^\p{L}\p{N}_\s]', '', 'g')) IN (""" + ", ".join(f"'{x}'" for x in s.INTERJECTIONS) + r""") AND lag(speaker) OVER w = lead(speaker) OVER w AND lag(speaker) OVER w <> speaker THEN 'check-speaker' END,
+    CASE WHEN shown LIKE '%?' THEN 'question' END, CASE WHEN prob_sum < 55 * n_words THEN 'low-conf' END,
+    CASE WHEN end_ms - start_ms > 20000 THEN 'long' END, CASE WHEN start_ms - lag(end_ms) OVER w > 3000 THEN 'silence-gap' END, CASE WHEN ipa THEN 'ipa' END], lambda x: x IS NOT NULL) AS tags
+  FROM (SELECT *, trim(CASE WHEN seg_id % 10 = 5 THEN 'Mhm!' WHEN seg_id % 5 = 0 THEN text || '?' ELSE text END) AS shown FROM segments) LEFT JOIN conf USING (recording_id, seg_id)
+    LEFT JOIN (SELECT DISTINCT recording_id, seg_id, true AS ipa FROM words WHERE prob_pct > 97) USING (recording_id, seg_id) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id))"""
 _OVER = """over_ AS (
   SELECT s.recording_id, s.seg_id, t.turn_idx, t.speaker_raw, least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms) AS overlap_ms
   FROM segments s JOIN turns t USING (recording_id) WHERE least(s.end_ms, t.end_ms) > greatest(s.start_ms, t.start_ms))"""
 _ASSIGN = """assign_ AS (
-  SELECT recording_id, seg_id, start_ms, end_ms, assigned, coalesce(last_value(assigned IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY seg_id), first_value(assigned IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS carried
+  SELECT recording_id, seg_id, start_ms, end_ms, assigned, coalesce(last_value(assigned IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY seg_id), first_value(assigned IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 'GŁOS_01') AS carried
   FROM (SELECT s.recording_id, s.seg_id, s.start_ms, s.end_ms, CASE WHEN ms * 100 >= (end_ms - start_ms) * CASE WHEN end_ms - start_ms < 500 THEN 1 ELSE 5 END THEN speaker_raw END AS assigned
     FROM segments s LEFT JOIN (SELECT * FROM (SELECT recording_id, seg_id, speaker_raw, sum(overlap_ms) AS ms, row_number() OVER (PARTITION BY recording_id, seg_id ORDER BY sum(overlap_ms) DESC, min(turn_idx)) AS r FROM over_ GROUP BY recording_id, seg_id, speaker_raw) WHERE r = 1) b USING (recording_id, seg_id)))"""
 
@@ -133,11 +140,11 @@ ORACLES = {
     "speaker_talk_share": _sql(_talk("islands", "speaker", "island"), _ISLANDS),
     "segment_confidence": _sql("SELECT *, CASE WHEN confidence < 0.5 THEN 'red' WHEN confidence < 0.7 THEN 'amber' END AS bucket FROM conf", _CONF),
     "quality_report": _sql(
-        """SELECT recording_id, n_segments, low_confidence, very_short, repetitions, long_gaps, round(mean, 6) AS avg_confidence,
+        """SELECT recording_id, n_segments, low_confidence, very_short, repetitions, long_gaps, mean AS avg_confidence,
   concat_ws(',', CASE WHEN mean < 0.65 THEN 'low_average' END, CASE WHEN low_confidence > 0.2 * n_segments THEN 'many_low' END, CASE WHEN repetitions > 3 THEN 'repetitions' END, CASE WHEN long_gaps > 0 THEN 'gaps' END) AS warnings,
   mean < 0.6 OR repetitions > 5 AS retranscribe
 FROM (SELECT recording_id, count(*) AS n_segments, count(*) FILTER (prob_sum < 55 * n_words) AS low_confidence, count(*) FILTER (end_ms - start_ms < 400) AS very_short, count(*) FILTER (same = prev AND same <> '') AS repetitions,
-  count(*) FILTER (gap > 10000) AS long_gaps, CASE WHEN coalesce(sum(n_words), 0) > 0 THEN sum(prob_sum) / (sum(n_words) * 100.0) ELSE 1.0 END AS mean
+  count(*) FILTER (gap > 10000) AS long_gaps, CASE WHEN coalesce(sum(n_words), 0) > 0 THEN (20 * sum(prob_sum) + sum(n_words))::BIGINT // (2 * sum(n_words))::BIGINT / 1000.0::DOUBLE ELSE 1.0 END::DOUBLE AS mean
   FROM (SELECT s.*, n_words, prob_sum, lower(trim(text)) AS same, lag(lower(trim(text))) OVER w AS prev, start_ms - lag(end_ms) OVER w AS gap FROM segments s LEFT JOIN conf USING (recording_id, seg_id) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id)) GROUP BY ALL)""",
         _CONF,
     ),

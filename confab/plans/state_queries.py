@@ -19,20 +19,14 @@ def _labels(e):
     return st.patched_by_id(st.first_wins(e, ["user_id"], "event_id").select("user_id", "event_id", "event_type"), e.select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id")
 
 
-def _names(e):
-    maps = e.filter("event_id % 5 = 0").select("user_id").distinct().withColumn("names", F.create_map(F.lit("seed"), F.lit("0")))
-    out = st.upserted(maps, e.filter("event_id % 3 = 0").select("user_id", F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("seq")), "user_id")
-    return out.select("user_id", F.explode("names").alias("name", "value"))
-
-
-def _appended_whole(e):
+def _appended(e):
     """Events up to the middle of each user's ids are there; all events arrive."""
     own = e.select("event_id", "user_id")
     middle = own.groupBy("user_id").agg(F.avg("event_id").alias("middle"))
     return st.appended(own.join(middle, "user_id").filter("event_id <= middle").select(*own.columns), own, ["event_id"])
 
 
-def _names_whole(e):
+def _names(e):
     """Every user has a name, and every event renames."""
     maps = e.select("user_id").distinct().withColumn("names", F.create_map(F.lit("seed"), F.lit("0")))
     out = st.upserted(maps, e.select("user_id", F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("seq")), "user_id")
@@ -54,11 +48,9 @@ def _levels(segs):
 QUERIES = {
     "events_first_wins": _events(lambda e: st.first_wins(e, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")),
     "events_latest": _events(lambda e: st.latest(e.select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")),
-    "events_append_unseen": _events(lambda e: st.appended(e.filter("event_id % 2 = 0").select("event_id", "user_id"), e.filter("event_id % 3 = 0").select("event_id", "user_id"), ["event_id"])),
-    "events_append_unseen_whole": _events(_appended_whole),
+    "events_append_unseen": _events(_appended),
     "labels_last_wins": _events(_labels),
     "names_upsert": _events(_names),
-    "names_upsert_whole": _events(_names_whole),
     "running_index": _events(lambda e: st.running_index(e.select("user_id", "event_id", (F.col("event_id") % 5).alias("size")), "user_id", "event_id", "size")),
     "event_log": _events(lambda e: st.event_log(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", ("click",))),
     "session_states": _events(st.session_states),
@@ -86,9 +78,9 @@ _PCM = "pcm AS (SELECT recording_id, seg_id * 10 + i - 1 AS at_, abs(CASE WHEN s
 ORACLES = {
     "events_first_wins": "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL",
     "events_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL",
-    "events_append_unseen": "SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0",
+    "events_append_unseen": "SELECT event_id, user_id FROM events",
     "labels_last_wins": "SELECT user_id, min(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL",
-    "names_upsert": "SELECT user_id, 'seed' AS name, '0' AS value FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 5 = 0) UNION ALL SELECT user_id, event_type, CAST(max(event_id) AS VARCHAR) FROM events WHERE event_id % 3 = 0 GROUP BY ALL",
+    "names_upsert": "SELECT user_id, 'seed' AS name, '0' AS value FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT user_id, event_type, CAST(max(event_id) AS VARCHAR) FROM events GROUP BY ALL",
     "running_index": "SELECT user_id, event_id, event_id % 5 AS size, CAST(coalesce(sum(event_id % 5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_index FROM events",
     "event_log": "SELECT user_id, event_id, event_type, CAST(r AS INT) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_type <> 'click') WHERE r <= 12",
     "session_states": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s",
@@ -98,4 +90,16 @@ ORACLES = {
     "vad_threshold": _sql("SELECT recording_id, CASE WHEN m < 0.005 THEN 0.15 WHEN m < 0.02 THEN 0.19 WHEN x > 0.3 AND x > 8 * m THEN 0.30 ELSE 0.25 END::DOUBLE AS threshold FROM (SELECT recording_id, quantile_cont(rms, 0.5) AS m, max(rms) AS x FROM levels GROUP BY ALL)", _LEVELS),
     "signal_chunks": _sql("SELECT recording_id, CAST(i AS INT) AS chunk, i * 28000 AS start, least(i * 28000 + 30000, n) AS end FROM (SELECT recording_id, n, unnest(range((n - 1) // 28000 + 1)) AS i FROM (SELECT recording_id, max(end_ms) AS n FROM segments GROUP BY ALL)) WHERE i = 0 OR i * 28000 + 2000 < n"),
     "waveform_peaks": _sql("SELECT recording_id, CAST(at_ // b AS INT) AS col, max(x) AS peak FROM (SELECT *, greatest(1, count(*) OVER (PARTITION BY recording_id) // least(16, count(*) OVER (PARTITION BY recording_id))) AS b FROM pcm) WHERE at_ // b < 16 GROUP BY ALL", _PCM),
+    "audio_quality": _sql(
+        """SELECT recording_id, round(sqrt(sum(x * x) / count(*)), 5) AS rms, round(max(x), 5) AS peak, round(avg(CASE WHEN x > 0.98 THEN 1.0 ELSE 0.0 END), 5) AS clip_ratio, round(coalesce(max(silence), 0), 5) AS silence_ratio,
+  concat_ws(',', CASE WHEN avg(CASE WHEN x > 0.98 THEN 1.0 ELSE 0.0 END) > 0.001 THEN 'clipping' END, CASE WHEN sqrt(sum(x * x) / count(*)) < 0.01 THEN 'quiet' END, CASE WHEN coalesce(max(silence), 0) > 0.65 THEN 'silence' END, CASE WHEN max(x) > 0 AND 20 * log10(max(x) / (sqrt(sum(x * x) / count(*)) + 1e-10)) < 6 THEN 'flat' END) AS warnings
+FROM pcm LEFT JOIN (SELECT recording_id, avg(CASE WHEN e < p THEN 1.0 ELSE 0.0 END) AS silence FROM frames_ JOIN (SELECT recording_id, quantile_cont(e, 0.2) AS p FROM frames_ GROUP BY ALL) USING (recording_id) GROUP BY recording_id) USING (recording_id) GROUP BY recording_id""",
+        _PCM,
+        "frames_ AS (SELECT recording_id, at_ // 10 AS frame_idx, pow(sqrt(sum(x * x) / 10), 2) AS e FROM (SELECT *, max(at_) OVER (PARTITION BY recording_id) AS top FROM pcm) WHERE at_ // 10 < top // 10 GROUP BY ALL)",
+    ),
+    "snr_levels": _sql(
+        """SELECT recording_id, round(db, 5) AS snr_db, CASE WHEN db IS NULL THEN 'cisza' WHEN db < 10 THEN 'niski (szum)' WHEN db < 25 THEN 'sredni' ELSE 'wysoki (czysty)' END AS label FROM (SELECT recording_id, CASE WHEN s < 1e-9 THEN NULL WHEN q < 1e-9 THEN 40.0 ELSE greatest(0, least(60, 20 * log10(s / q))) END::DOUBLE AS db
+  FROM (SELECT recording_id, sqrt(avg(rms * rms)) AS s, avg(rms) FILTER (r <= greatest(1, n // 10)) AS q FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY rms, frame_idx) AS r, count(*) OVER (PARTITION BY recording_id) AS n FROM levels) GROUP BY ALL))""",
+        _LEVELS,
+    ),
 }

@@ -8,16 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local session without it gets a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Without it a local session gets a temporary folder; a cluster has none that all share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="confab-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/confab/{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, in a folder of the application's own."""
+    return f"{shared_folder(spark)}/confab/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes what this application has written there. Results are lazy and may still read it: call it after the last."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/confab/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

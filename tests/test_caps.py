@@ -16,13 +16,13 @@ def texts(spark):
 
 def test_char_windows_hold_the_whole_text(spark, texts):
     got = {}
-    for r in sorted(catalog.QUERIES["char_windows_whole"](spark, SF).collect(), key=lambda r: (r.recording_id, r.window)):
+    for r in sorted(catalog.QUERIES["char_windows"](spark, SF).collect(), key=lambda r: (r.recording_id, r.window)):
         got[r.recording_id] = got.get(r.recording_id, "") + (r.chunk[600:] if r.window else r.chunk)
     assert got == {i: t[:33_000] for i, t in texts.items()} and max(map(len, texts.values())) > 5500
 
 
 def test_topic_windows_hold_every_segment(spark):
-    rows = catalog.QUERIES["topic_windows_whole"](spark, SF).collect()
+    rows = catalog.QUERIES["topic_windows"](spark, SF).collect()
     assert max(r.win_id for r in rows) < 8 and sum(r.n for r in rows) == _base(spark, SF)[1].count()
 
 

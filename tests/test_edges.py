@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from confab.functions import text as t
 from confab.functions import vectors as v
 from confab.operators import models as m
-from confab.operators import retrieval, signal
+from confab.operators import flows, profiles, retrieval, signal
 from confab.operators import segments as s
 from confab.operators import text as x
 from confab.sources import transcripts as tr
@@ -165,3 +165,45 @@ def test_hits_and_mmr(spark):
     assert [tuple(r) for r in retrieval.hit_segments(hits, chunks).collect()] == [(0, 5, 0.9)]
     own = spark.createDataFrame([(0, 1, 0.9, [1.0, 0.0]), (0, 2, 0.89, [1.0, 0.001]), (0, 3, 0.5, [0.0, 1.0])], "query_id long, vec_id long, score double, embedding array<double>")
     assert [r.vec_id for r in retrieval.mmr(own, k=2).orderBy("rank").collect()] == [1, 3]
+
+
+def test_keyword_scores_saturate_by_similarity(spark):
+    docs = spark.createDataFrame([(1, "alpho beta")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta")], "query_id long, query string")
+    got = {r.query_id: r.score for r in retrieval.keyword_scores(docs, asked).collect()}
+    length = 1.5 * (0.25 + 0.75 * 2 / 60)
+    assert got[2] == 1.0 and got[1] == pytest.approx(0.8 * 0.8 * 2.5 / (0.8 + length) / (2.5 / (1 + length)), abs=1e-6) and got[1] == pytest.approx(0.7456, abs=1e-4)
+
+
+def test_words_of_three_letters_match_fuzzily_and_digraphs_twice(spark):
+    docs = spark.createDataFrame([(1, "kod alpha")], "doc_id long, text string")
+    got = retrieval.word_match(docs, spark.createDataFrame([(1, "kody")], "query_id long, query string")).first()
+    assert (got.score, got.kind) == (0.75, "fuzzy")
+    assert one(spark, t.phonetic_key(F.lit("oddział")))[0] == "zl"
+
+
+def test_only_reactions_ask_to_check_their_speaker(spark):
+    rows = [(1, 0, "A", 0, 1000, "one"), (1, 1, "B", 1000, 2000, "four words are here"), (1, 2, "A", 2000, 3000, "two"), (1, 3, "B", 3000, 4000, "Tak."), (1, 4, "A", 4000, 5000, "three")]
+    words = spark.createDataFrame([(1, 2, 0, "two", 90, "tu"), (1, 4, 0, "three", 90, "")], "recording_id long, seg_id int, word_idx int, word string, prob_pct int, ipa string")
+    segs = spark.createDataFrame(rows, SEG).withColumn("text_pl", F.when(F.col("seg_id") == 4, "Trzy?").otherwise(""))
+    got = {r.seg_id: r.tags for r in s.tags(segs, words).collect()}
+    assert got == {0: [], 1: [], 2: ["ipa"], 3: ["interjection", "check-speaker"], 4: ["question"]}
+
+
+def test_mean_confidence_is_rounded_before_its_thresholds(spark):
+    segs = spark.createDataFrame([(1, 0, "A", 0, 5000, "x")], SEG)
+    words = spark.createDataFrame([(1, 0, i, "x", 60 if i else 59) for i in range(3000)], "recording_id long, seg_id int, word_idx int, word string, prob_pct int")
+    got = s.quality_report(segs, words).first()
+    assert got.avg_confidence == 0.6 and not got.retranscribe
+
+
+def test_a_recording_without_turns_has_one_speaker(spark):
+    segs = spark.createDataFrame([(1, i, "A", i * 1000, i * 1000 + 900, "x") for i in range(3)], SEG)
+    turns = spark.createDataFrame([], "recording_id long, turn_idx int, speaker_raw string, start_ms long, end_ms long")
+    assert {(r.seg_id, r.speaker) for r in flows.diarized(segs, turns).collect()} == {(i, "GŁOS_01") for i in range(3)}
+
+
+def test_equally_similar_speakers_give_the_first(spark):
+    heard = spark.createDataFrame([(1, "r", [1.0, 0.0])], "recording_id long, raw string, vector array<double>")
+    known = spark.createDataFrame([(1, f"GŁOS_0{i}", [2.0, 0.0]) for i in (2, 1, 3)], "recording_id long, label string, vector array<double>")
+    assert profiles.remapped_fragment(heard, known).first().label == "GŁOS_01"

@@ -38,3 +38,19 @@ def test_package_is_shipped_where_workers_cannot_import_it(spark, tmp_path, monk
     cluster.ship(spark)
     cluster.ship(spark)
     assert len(sent) == 1 and sent[0].endswith(".zip")
+
+
+def test_shared_folder(spark, monkeypatch):
+    storage = importlib.import_module("confab.sources.storage")
+    table = storage.written(spark.range(3), "t")
+    path = table.inputFiles()[0]
+    assert table.count() == 3 and spark.sparkContext.applicationId in path
+    kept = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(spark)
+    monkeypatch.undo()
+    spark.conf.set("spark.checkpoint.dir", kept)
+    storage.cleared(spark)
+    assert not os.path.exists(path.removeprefix("file:").replace("///", "/"))

@@ -19,5 +19,5 @@ def test_every_fragment_voice_is_named(spark):
                 new += 1
                 label = f"GŁOS_{new:02d}"
             want[rec, raw] = label
-    got = {(r.recording_id, r.raw): r.label for r in catalog.QUERIES["fragment_remap_whole"](spark, SF).collect()}
+    got = {(r.recording_id, r.raw): r.label for r in catalog.QUERIES["fragment_remap"](spark, SF).collect()}
     assert got == want and len(got) == sum(i % 20 >= 8 for i in rows)
