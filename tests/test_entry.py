@@ -2,6 +2,7 @@ import importlib
 import os
 import subprocess
 import sys
+from types import SimpleNamespace
 
 import pytest
 
@@ -40,17 +41,13 @@ def test_package_is_shipped_where_workers_cannot_import_it(spark, tmp_path, monk
     assert len(sent) == 1 and sent[0].endswith(".zip")
 
 
-def test_shared_folder(spark, monkeypatch):
+def test_shared_folder(spark):
     storage = importlib.import_module("confab.sources.storage")
     table = storage.written(spark.range(3), "t")
     path = table.inputFiles()[0]
     assert table.count() == 3 and spark.sparkContext.applicationId in path
-    kept = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+    elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
-        storage.shared_folder(spark)
-    monkeypatch.undo()
-    spark.conf.set("spark.checkpoint.dir", kept)
+        storage.shared_folder(elsewhere)
     storage.cleared(spark)
     assert not os.path.exists(path.removeprefix("file:").replace("///", "/"))
