@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from confab.sources.storage import shared_folder, written  # noqa: F401
+
 #: White space of every operator here: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (a local session) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="confab-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table written once to the shared folder: short lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/confab/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
