@@ -1,19 +1,20 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes cuts texts into chunks at the same places wherever the same passage
-stands. A task encodes each chunk once and reuses it across documents. Where a cut falls inside a
-word, the pieces on both sides are joined and encoded anew, over as many chunks as it takes until
-both ends are at white space; there this kind of tokenizer (white space dropped, no token across it)
-splits anyway, so the joined ids are exactly those of the whole text. Within chunks, words are reused
-in the same way, and within words the pieces that the tokenizer splits off first. All stores are
-bounded and live in the Python worker, across its tasks.
+stands. A task encodes each chunk once, whole, and reuses its ids across documents. Where two chunks
+join, what was encoded apart is repaired: a window from the last white space of the one to the first of
+the other, and a whole word further on both sides, is encoded anew. Its ids replace those of the cut
+word if at both ends they agree with what the chunks have for the further words; where they don't, the
+window widens to the text. Chunks without white space are part of the window. Stores are bounded and
+live in the Python worker, across its tasks.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +23,16 @@ from pyspark.sql import functions as F
 
 from confab.llm.common import table
 
-CHUNK_MASK = 0xFF
+CHUNK_MASK = 0x1FF
 WINDOW = 16
 MAX_WORDS = 100_000
-MAX_PIECES = 300_000
-MAX_CHUNKS = 15_000
+MAX_WINDOWS = 100_000
+MAX_CHUNKS = 40_000
+#: Chunks and windows of more bytes are not kept beyond their batch.
+LONG = 8192
 BATCH_BYTES = 1 << 20
 _GEAR = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = b" \t\n\x0b\x0c\r"
-#: Words of these characters only are split here as the tokenizer splits them; others go to it whole.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class Store:
@@ -72,10 +72,20 @@ def cuts(data: np.ndarray, mask: int = CHUNK_MASK) -> np.ndarray:
     return at[(data[at] & 0xC0) != 0x80]
 
 
+class Chunk(NamedTuple):
+    """A chunk's first and last word (empty at white space), the words next to them inside, and the ids between."""
+
+    head: bytes
+    second: bytes
+    body: bytes
+    last: bytes
+    tail: bytes
+
+
 class ChunkEncoder:
     """Encodes and decodes whole texts; ids are kept as bytes of int32."""
 
-    def __init__(self, path: str, mask: int = CHUNK_MASK, max_words: int = MAX_WORDS, max_pieces: int = MAX_PIECES, max_chunks: int = MAX_CHUNKS):
+    def __init__(self, path: str, mask: int = CHUNK_MASK, max_words: int = MAX_WORDS, max_windows: int = MAX_WINDOWS, max_chunks: int = MAX_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,66 +95,84 @@ class ChunkEncoder:
         if self.tok.decoder is not None or self.ids("a b,c") != self.ids("a") + self.ids("b,c"):
             raise ValueError("only tokenizers that drop white space and have no decoder")
         self.tokens = {i: t.encode() for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        self.mask, self.max_chunks = mask, max_chunks
-        self.words, self.pieces = Store(max_words), Store(max_pieces)
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
+        self.mask = mask
+        self.words, self.windows, self.chunks = Store(max_words), Store(max_windows), Store(max_chunks)
+        self.encoded = 0
 
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def learn(self, texts: list[bytes]) -> None:
-        """Encodes the words of ``texts`` that aren't held yet, each once."""
-        if len(self.chunks) > self.max_chunks:
-            self.chunks.clear()
-        parts = {}
-        for w in self.words.missing(set(b"\n".join(texts).split())):
-            text = w.decode()
-            parts[w] = _PIECES.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else [text]
-        new = self.pieces.missing({x for p in parts.values() for x in p})
-        held = self.pieces.new
-        for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            held[x] = np.array(e.ids, "<i4").tobytes()
-        for w, p in parts.items():
-            self.words.new[w] = held[p[0]] if len(p) == 1 else b"".join([held[x] for x in p])
-
-    def chunk(self, data: bytes):
-        """(piece before the first white space, ids between, piece after the last); None without any."""
-        if len(parts := data.split()) < 2 and not any(x in _SPACES for x in data):
-            return None
-        head = b"" if data[0] in _SPACES else parts.pop(0)
-        tail = b"" if data[-1] in _SPACES or not parts else parts.pop()
-        words = self.words.new
-        return head, b"".join([words[w] for w in parts]), tail
-
-    def encode(self, data: bytes) -> bytes:
-        """Ids of a text whose words are learnt."""
-        ids, open_, words = [], [], self.words.new
-
-        def repair(last: bytes) -> None:
-            open_.append(last)
-            if word := b"".join(open_):
-                ids.append(words[word])
-            open_.clear()
-
-        at = 0
-        for end in [*cuts(np.frombuffer(data, np.uint8), self.mask).tolist(), len(data)]:
-            piece, at = data[at:end], end
-            if not piece:
+    def _all(self, texts: list[bytes]) -> list[bytes]:
+        self.encoded += sum(map(len, texts))
+        return [array("i", e.ids).tobytes() for e in self.tok.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+
+    def _learn_chunks(self, pieces_: set[bytes]) -> dict[bytes, Chunk | None]:
+        """A record of each piece, encoded once; None without white space inside, or where its ends don't agree."""
+        new, words, ends = self.chunks.missing(x for x in pieces_ if len(x) <= LONG) + [x for x in pieces_ if len(x) > LONG], [], {}
+        for piece in new:
+            own = piece.split()
+            head = own.pop(0) if own and piece[0] not in _SPACES else b""
+            tail = own.pop() if own and piece[-1] not in _SPACES else b""
+            if head and not own and not tail and piece[-1] not in _SPACES:
+                ends[piece] = None  # one word, open on both sides
                 continue
-            try:
-                got = self.chunks[piece]
-            except KeyError:
-                got = self.chunk(piece)
-                if len(piece) <= 2048:
-                    self.chunks[piece] = got
-            if got is None:
-                open_.append(piece)
-                continue
-            repair(got[0])
-            ids.append(got[1])
-            open_.append(got[2])
-        repair(b"")
-        return b"".join(ids)
+            ends[piece] = head, own[0] if own else b"", own[-1] if own else b"", tail
+            words += ends[piece]
+        whole = [x for x in new if ends[x]]
+        words = self.words.missing({x for x in words if x})
+        got = self._all(whole + words)
+        self.words.new.update(zip(words, got[len(whole) :], strict=True))
+        records: dict[bytes, Chunk | None] = dict.fromkeys(new)
+        for piece, ids in zip(whole, got, strict=False):
+            head, second, last, tail = ends[piece]
+            front, back = self.of(head), self.of(tail)
+            if ids.startswith(front + self.of(second)) and ids.endswith(self.of(last) + back):
+                records[piece] = Chunk(head, second, ids[len(front) : len(ids) - len(back)], last, tail)
+        self.chunks.new.update((x, r) for x, r in records.items() if len(x) <= LONG)
+        return records
+
+    def of(self, word: bytes) -> bytes:
+        return self.words.new[word] if word else b""
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each whole text."""
+        cut = []
+        for text in texts:
+            at = [0, *cuts(np.frombuffer(text, np.uint8), self.mask).tolist(), len(text)]
+            cut.append([text[a:b] for a, b in zip(at, at[1:], strict=False) if b > a])
+        fresh = self._learn_chunks({x for own in cut for x in own})
+        held = self.chunks.new
+        self.words.missing({w for own in cut for x in own if (r := fresh.get(x) or held.get(x)) for w in (r.second, r.last) if w and w not in self.words.new})
+        lost = {w for own in cut for x in own if (r := fresh.get(x) or held.get(x)) for w in (r.second, r.last) if w and w not in self.words.new}
+        lost = list(lost)
+        self.words.new.update(zip(lost, self._all(lost), strict=True))
+        plans = []
+        for own in cut:
+            plan, open_, last = [], [], b""
+            for piece in own:
+                r = fresh[piece] if piece in fresh else held[piece]
+                if r is None:
+                    open_.append(piece)
+                    continue
+                open_.append(r.head)
+                plan += [(last, b"".join(open_), r.second), r.body]
+                open_, last = [r.tail], r.last
+            plan.append((last, b"".join(open_), b""))
+            plans.append([x for x in plan if isinstance(x, bytes) or x[1]])
+        asked = {x for plan in plans for x in plan if not isinstance(x, bytes)}
+        short = {x for x in asked if len(x[1]) <= LONG}
+        new = self.windows.missing(short) + list(asked - short)
+        local = {}
+        for (last, middle, second), ids in zip(new, self._all([b" ".join(x for x in w if x) for w in new]), strict=True):
+            front, back = self.of(last), self.of(second)
+            agrees = ids.startswith(front) and ids.endswith(back) and len(ids) >= len(front) + len(back)
+            local[last, middle, second] = ids[len(front) : len(ids) - len(back)] if agrees else None
+        self.windows.new.update((w, x) for w, x in local.items() if len(w[1]) <= LONG)
+        out = []
+        for text, plan in zip(texts, plans, strict=True):
+            parts = [x if isinstance(x, bytes) else local[x] if x in local else self.windows.new[x] for x in plan]
+            out.append(self._all([text])[0] if None in parts else b"".join(parts))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
@@ -164,7 +192,8 @@ def encoder(path: str, **kw) -> ChunkEncoder:
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """(doc_id, ids array<int>, decoded string), a row per input row.
 
-    The whole text is encoded without special tokens added; a null or empty text has no ids. The
+    The whole text is encoded without special tokens added; a null or empty text has no ids, a null id is
+    kept. Repeated rows give equal rows; other columns are ignored; an empty table gives no rows. The
     text decoded from the ids joins the tokens by a space, as a tokenizer without decoder does.
     ``tokenizer_path`` must be readable on the executors.
     """
@@ -180,8 +209,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 base = ends[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(ends, base + BATCH_BYTES, side="right")))
                 own = texts.slice(first, last - first).to_pylist()
-                enc.learn(own)
-                got = [enc.encode(x) for x in own]
+                got = enc.encode_all(own)
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(got))]))
                 decoded = pa.array([enc.decode(x) for x in got], pa.binary()).cast(pa.string())
@@ -192,10 +220,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token_digests`` of all of ``documents``."""
     return token_digests(table(spark, sf_dir, "documents"))
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row per input row; cases as in ``encode_documents``."""
     if tokenizer_path is None:
         import public_tokenizers
 

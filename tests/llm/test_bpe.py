@@ -9,17 +9,31 @@ ODD = ["<|endoftext|> a<|endoftext|>b", "it's o'the '' 3.14", "İstanbul ΣΑΣ
 
 @pytest.mark.parametrize("mask", [0x0, 0x7, 0xFF])
 def test_chunked_ids_equal_whole_text_ids(mask):
-    enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"), mask=mask, max_words=500, max_pieces=200, max_chunks=50)
-    for _ in range(2):
-        for text in [*ODD, *(r[1] or "" for r in awkward())]:
-            data = text.encode()
-            enc.learn([data])
-            ids = enc.encode(data)
+    enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"), mask=mask, max_words=500, max_windows=200, max_chunks=50)
+    texts = [*ODD, *(r[1] or "" for r in awkward())]
+    for batch in (texts, texts[:3], texts[::-1], *([x] for x in texts)):
+        for text, ids in zip(batch, enc.encode_all([x.encode() for x in batch]), strict=True):
             want = enc.ids(text)
             assert memoryview(ids).cast("i").tolist() == want
             assert enc.decode(ids).decode() == enc.tok.decode(want, skip_special_tokens=False)
 
 
+def test_shared_chunks_are_encoded_once():
+    enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"))
+    text = prose(9, 4000).encode()
+    enc.encode_all([text])
+    first = enc.encoded
+    enc.encode_all([b"before it " + text, text + b" and after"])
+    assert enc.encoded - first < first / 10
+
+
+def test_windows_that_do_not_agree_widen_to_the_text(monkeypatch):
+    enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"), mask=0x7)
+    text, all_ = prose(10, 50), enc._all
+    monkeypatch.setattr(enc, "_all", lambda texts: [b"\0\0\0\0" + x if b" " in t and t != text.encode() else x for t, x in zip(texts, all_(texts), strict=True)])
+    assert memoryview(enc.encode_all([text.encode()])[0]).cast("i").tolist() == enc.ids(text)
+
+
 def test_query_digests(spark):
     rows = [*awkward(), (None, "no id", None), *((100 + i, t, "o") for i, t in enumerate(ODD))]
     got = sorted(((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.token_digests(table(spark, rows)).collect()))
