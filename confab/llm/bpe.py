@@ -5,13 +5,15 @@ stands. A task encodes each chunk once, whole, and reuses its ids across documen
 join, what was encoded apart is repaired: a window from the last white space of the one to the first of
 the other, and a whole word further on both sides, is encoded anew. Its ids replace those of the cut
 word if at both ends they agree with what the chunks have for the further words; where they don't, the
-window widens to the text. Chunks without white space are part of the window. Stores are bounded and
-live in the Python worker, across its tasks.
+window widens to the text. Chunks without white space are part of the window. Windows always go to the
+tokenizer as they stand; inside a chunk, words that were seen before keep their ids (white space is
+dropped, no token crosses it). Stores are bounded and live in the Python worker, across its tasks.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,13 +28,17 @@ from confab.llm.common import table
 CHUNK_MASK = 0x1FF
 WINDOW = 16
 MAX_WORDS = 100_000
-MAX_WINDOWS = 100_000
-MAX_CHUNKS = 40_000
+MAX_PIECES = 300_000
+MAX_WINDOWS = 50_000
+MAX_CHUNKS = 20_000
 #: Chunks and windows of more bytes are not kept beyond their batch.
 LONG = 8192
 BATCH_BYTES = 1 << 20
 _GEAR = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = b" \t\n\x0b\x0c\r"
+#: Words of these characters only are split here as the tokenizer splits them; others go to it whole.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class Store:
@@ -85,7 +91,7 @@ class Chunk(NamedTuple):
 class ChunkEncoder:
     """Encodes and decodes whole texts; ids are kept as bytes of int32."""
 
-    def __init__(self, path: str, mask: int = CHUNK_MASK, max_words: int = MAX_WORDS, max_windows: int = MAX_WINDOWS, max_chunks: int = MAX_CHUNKS):
+    def __init__(self, path: str, mask: int = CHUNK_MASK, max_words: int = MAX_WORDS, max_pieces: int = MAX_PIECES, max_windows: int = MAX_WINDOWS, max_chunks: int = MAX_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,7 +102,7 @@ class ChunkEncoder:
             raise ValueError("only tokenizers that drop white space and have no decoder")
         self.tokens = {i: t.encode() for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.mask = mask
-        self.words, self.windows, self.chunks = Store(max_words), Store(max_windows), Store(max_chunks)
+        self.words, self.pieces, self.windows, self.chunks = Store(max_words), Store(max_pieces), Store(max_windows), Store(max_chunks)
         self.encoded = 0
 
     def ids(self, text: str) -> list[int]:
@@ -106,28 +112,33 @@ class ChunkEncoder:
         self.encoded += sum(map(len, texts))
         return [array("i", e.ids).tobytes() for e in self.tok.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
 
+    def _learn_words(self, words) -> None:
+        """Encodes those of ``words`` that aren't held, each once; within words, the pieces that the tokenizer splits off first."""
+        parts = {}
+        for w in self.words.missing(words):
+            text = w.decode()
+            parts[w] = _PIECES.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else [text]
+        new = self.pieces.missing({x for p in parts.values() for x in p})
+        held = self.pieces.new
+        for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            held[x] = array("i", e.ids).tobytes()
+        for w, p in parts.items():
+            self.words.new[w] = held[p[0]] if len(p) == 1 else b"".join([held[x] for x in p])
+
     def _learn_chunks(self, pieces_: set[bytes]) -> dict[bytes, Chunk | None]:
-        """A record of each piece, encoded once; None without white space inside, or where its ends don't agree."""
-        new, words, ends = self.chunks.missing(x for x in pieces_ if len(x) <= LONG) + [x for x in pieces_ if len(x) > LONG], [], {}
-        for piece in new:
-            own = piece.split()
+        """A record of each piece that isn't held, encoded once; None for one without white space."""
+        new = self.chunks.missing(x for x in pieces_ if len(x) <= LONG) + [x for x in pieces_ if len(x) > LONG]
+        split = [x.split() for x in new]
+        self._learn_words({w for own in split for w in own})
+        held, records = self.words.new, {}
+        for piece, own in zip(new, split, strict=True):
+            self.encoded += len(piece)
             head = own.pop(0) if own and piece[0] not in _SPACES else b""
-            tail = own.pop() if own and piece[-1] not in _SPACES else b""
-            if head and not own and not tail and piece[-1] not in _SPACES:
-                ends[piece] = None  # one word, open on both sides
+            if head and not own and piece[-1] not in _SPACES:
+                records[piece] = None  # one word, open on both sides
                 continue
-            ends[piece] = head, own[0] if own else b"", own[-1] if own else b"", tail
-            words += ends[piece]
-        whole = [x for x in new if ends[x]]
-        words = self.words.missing({x for x in words if x})
-        got = self._all(whole + words)
-        self.words.new.update(zip(words, got[len(whole) :], strict=True))
-        records: dict[bytes, Chunk | None] = dict.fromkeys(new)
-        for piece, ids in zip(whole, got, strict=False):
-            head, second, last, tail = ends[piece]
-            front, back = self.of(head), self.of(tail)
-            if ids.startswith(front + self.of(second)) and ids.endswith(self.of(last) + back):
-                records[piece] = Chunk(head, second, ids[len(front) : len(ids) - len(back)], last, tail)
+            tail = own.pop() if own and piece[-1] not in _SPACES else b""
+            records[piece] = Chunk(head, own[0] if own else b"", b"".join([held[w] for w in own]), own[-1] if own else b"", tail)
         self.chunks.new.update((x, r) for x, r in records.items() if len(x) <= LONG)
         return records
 
@@ -142,10 +153,7 @@ class ChunkEncoder:
             cut.append([text[a:b] for a, b in zip(at, at[1:], strict=False) if b > a])
         fresh = self._learn_chunks({x for own in cut for x in own})
         held = self.chunks.new
-        self.words.missing({w for own in cut for x in own if (r := fresh.get(x) or held.get(x)) for w in (r.second, r.last) if w and w not in self.words.new})
-        lost = {w for own in cut for x in own if (r := fresh.get(x) or held.get(x)) for w in (r.second, r.last) if w and w not in self.words.new}
-        lost = list(lost)
-        self.words.new.update(zip(lost, self._all(lost), strict=True))
+        self._learn_words({w for own in cut for x in own if (r := fresh[x] if x in fresh else held[x]) for w in (r.second, r.last) if w})
         plans = []
         for own in cut:
             plan, open_, last = [], [], b""

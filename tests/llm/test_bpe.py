@@ -9,7 +9,7 @@ ODD = ["<|endoftext|> a<|endoftext|>b", "it's o'the '' 3.14", "İstanbul ΣΑΣ
 
 @pytest.mark.parametrize("mask", [0x0, 0x7, 0xFF])
 def test_chunked_ids_equal_whole_text_ids(mask):
-    enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"), mask=mask, max_words=500, max_windows=200, max_chunks=50)
+    enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"), mask=mask, max_words=500, max_pieces=200, max_windows=200, max_chunks=50)
     texts = [*ODD, *(r[1] or "" for r in awkward())]
     for batch in (texts, texts[:3], texts[::-1], *([x] for x in texts)):
         for text, ids in zip(batch, enc.encode_all([x.encode() for x in batch]), strict=True):
