@@ -47,6 +47,32 @@ def test_passages_in_many_places(spark):
     check(spark, rows)
 
 
+def test_unbranched_passages_are_one_row_and_branches_are_not(spark):
+    passage = prose(70, 2000)
+    rows = [(i, f"{prose(80 + i, 40)} {passage} {prose(90 + i, 40)}", None) for i in range(3)]
+    keyed = sd._keyed(table(spark, rows), "doc_id", "text")
+    kinds = {r.kind: r["count"] for r in sd.repeated_anchors(keyed).groupBy("kind").count().collect()}
+    assert kinds[2] > 200 and kinds.get(0, 0) <= 4
+    spans = sd.repeated_spans(keyed).collect()
+    assert sorted((r.did, [tuple(x) for x in r.spans]) for r in spans) == [(i, [(40, 2040)]) for i in (1, 2)]
+    check(spark, rows)
+
+
+def test_spans_whose_texts_differ_stay(spark, monkeypatch):
+    """With window hashes of 3 bits, false places abound: no word that is not repeated may go."""
+
+    class Weak(sd.Paths):
+        def __init__(self, *a):
+            super().__init__(*a)
+            if len(self.doc):
+                self.anchor, self.windows, self.content = (x & np.uint64(7) for x in (self.anchor, self.windows, self.content))
+                self.next = self.content
+
+    monkeypatch.setattr(sd, "Paths", Weak)
+    rows = [(i, prose(300 + i, 60), None) for i in range(20)] + [(50, prose(301, 60), None)]
+    assert all(r.n_removed == 0 for r in sd.without_repeats(table(spark, rows)).filter("doc_id < 50").collect())
+
+
 def test_empty_table(spark):
     assert sd.without_repeats(table(spark, [])).collect() == []
 
