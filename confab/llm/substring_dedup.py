@@ -189,8 +189,8 @@ def _long_spans(later: DataFrame) -> DataFrame:
             new = np.concatenate([[True], start[1:] + (group[1:] << 32) > reach[:-1]])
             at = np.flatnonzero(new)
             stop = (np.append(reach[at[1:] - 1], reach[-1]) - (group[at] << 32)).astype(np.int32)
-            took = batch.take(pa.array(rows[at]))
-            yield pa.RecordBatch.from_arrays([*took.columns[:3], pa.array(start[at]), pa.array(stop), pa.array(s_no[at]), pa.array(s_did[at]), pa.array(s_th[at]), pa.array(s_start[at])], [c.split()[0] for c in _PLACE.split(", ")])
+            took = pa.array(rows[at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(took) for i in range(3)), pa.array(start[at]), pa.array(stop), pa.array(s_no[at]), pa.array(s_did[at]), pa.array(s_th[at]), pa.array(s_start[at])], [c.split()[0] for c in _PLACE.split(", ")])
 
     spans = F.collect_list(F.struct("start", "end", *[F.col(f"earliest.{a}").alias(b) for a, b in (("no_id", "s_no"), ("did", "s_did"), ("th", "s_th"), ("start", "s_start"))]))
     return later.groupBy("no_id", "did", "th").agg(spans.alias("spans")).mapInArrow(run, _PLACE)
