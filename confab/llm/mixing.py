@@ -103,7 +103,11 @@ def curriculum(docs: DataFrame, schedules=None, share: float = 1.5, cap: float =
 
 
 def training_order(placed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """A row per copy (doc, nth, words, size, position), range-sorted by position."""
+    """A row per copy (doc, nth, words, size, position), range-sorted by position, then a hash of the id.
+
+    Documents without words or that the mix doesn't take have no copies and no row; repeated rows have
+    copies of their own; an empty table gives no rows.
+    """
     rows = placed.select("doc", "size", "order", F.explode("copies").alias("copy")).select("doc", "size", "copy.*", "order")
     parts = [partitions] if partitions else []
     return rows.repartitionByRange(*parts, "position", "order").sortWithinPartitions("position", "order").drop("order")
@@ -137,6 +141,7 @@ def mixed(docs: DataFrame, whole: bool = False, **kw) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents`` with what the mix takes of it, in training order; cases as in ``curriculum``."""
     placed = curriculum(table(spark, sf_dir, "documents"), carry=["doc_id"])
     words = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     rows = placed.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", words.alias("taken"), F.array_min(F.transform("copies", lambda c: c["position"])).alias("position"), "order")

@@ -173,25 +173,31 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN, **kw) -> RuleModel:
     """Learns ``label_col`` from at most ``max_train`` labelled rows that aren't held out, taken by hash of doc_id.
 
-    Rows whose label is not 0 or 1 or whose id is null are left out.
+    Rows whose label is not 0 or 1 or whose id is null are left out. Where ids repeat in ``docs``, at most
+    four rows for each label are taken, by hash too, so that reruns agree. Without rows the score is 0.5.
     """
     own = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null").filter(~held_out(F.col("_id")))
     own = own.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_train)
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text"), keep=["doc_id", "_y"])
-    got = rows.select("_y", "_stats.*", "doc_id").limit(4 * max_train).toPandas().sort_values(["doc_id", *STATS])
+    got = rows.select("_y", "_stats.*", "doc_id").orderBy(F.xxhash64("doc_id", *STATS), "doc_id", "_y").limit(4 * max_train).toPandas().sort_values(["doc_id", *STATS])
     if not len(got):
         return RuleModel(0.0)
     return fit(got[list(STATS)].to_numpy(float), got["_y"].to_numpy(float), **kw)
 
 
 def scored(docs: DataFrame, model: RuleModel, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (columns ``keep``) with score and predicted; such columns of its own are replaced."""
+    """``docs`` (columns ``keep``, all by default) with score and predicted; such columns of its own are replaced.
+
+    A row per input row. A null or empty text has zero statistics and the score of those; repeated rows get
+    equal scores; a score of just 0.5 predicts 1; an empty table gives no rows.
+    """
     own = docs.select(*[c for c in docs.columns if c not in ("score", "predicted", "_stats")])
     rows = with_statistics(own, keep=None if keep is None else keep)
     return rows.withColumn("score", model.score(F.col("_stats"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_stats")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each of ``documents``, learnt from the labels that aren't held out; cases as in ``scored``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -202,13 +202,13 @@ def _digests(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            spans, out = [], []
-            for i in range(batch.num_rows):
-                own = z.decompress(batch.column(0)[i].as_py()).split()
-                for x in batch.column(1)[i].as_py():
-                    spans.append(x["span"])
-                    out.append(blake2b(b" ".join(own[x["start"] : x["end"]]), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(spans, pa.int64()), pa.array(out, pa.binary())], ["span", "digest"])
+            spans, start, end = batch.column(1).flatten().flatten()
+            start, end, out, at = start.to_pylist(), end.to_pylist(), [], 0
+            for packed, n in zip(batch.column(0), np.diff(batch.column(1).offsets.to_numpy()).tolist(), strict=True):
+                own = z.decompress(packed.as_py()).split()
+                out += [blake2b(b" ".join(own[a:b]), digest_size=16).digest() for a, b in zip(start[at : at + n], end[at : at + n], strict=True)]
+                at += n
+            yield pa.RecordBatch.from_arrays([spans, pa.array(out, pa.binary())], ["span", "digest"])
 
     return rows.select("packed", "asked").mapInArrow(run, "span long, digest binary")
 

@@ -20,7 +20,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm.common import shared_folder, table, written
+from confab.llm.common import table, written
+from confab.sources.storage import scratch_path
 
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -179,7 +180,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int =
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/confab/warc-{uuid.uuid4().hex}"
+    """All of ``pages`` written as archives and read back; cases as in ``write_archives``, an empty table gives no rows."""
+    folder = scratch_path(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

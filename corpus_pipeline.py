@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality classifier, exact dedup, near-duplicate join, mixing to targets, BPE encoding."""
+"""Corpus pipeline: quality classifier, exact dedup, near-duplicate join, mixing to targets, BPE encoding.
+
+Every stage works on all rows of its input and takes nulls, empty and very long texts, repeated rows, empty
+tables and extra columns; the last aside, a stage's columns are those of its input.
+"""
 
 from __future__ import annotations
 
@@ -13,30 +17,37 @@ from confab.sources.cluster import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labels of documents that are not held out."""
+    """Documents that the classifier accepts; it learns from the labels of documents that are not held out.
+
+    Each row is judged by its text alone, so repeated rows stay or go together; an empty or null text has a score too.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal without white space."""
+    """One document of each group of texts that are equal without white space: of the most code points, then the
+    smallest id. Null and empty texts are one group; of equal rows one stays."""
     return exact_dedup.deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; documents without id stay if their whole group has none."""
+    """The document of the smallest id of each group of near duplicates; documents without id stay if their whole group has none.
+
+    Rows that repeat the id that stays, stay too; a document without words is a group of its own.
+    """
     groups = ngram_join.near_groups(docs)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as their source's target takes them, in training order."""
+    """Whole documents as often as their source's target takes them, in training order; those without words go."""
     return mixing.mixed(docs, whole=True)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """A row per document: token counts and digests of ids and decoded texts; a null text is empty."""
     return bpe.token_digests(docs)
 
 

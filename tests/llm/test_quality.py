@@ -49,3 +49,22 @@ def test_held_out_accuracy(spark):
     right = ((got["score"] >= 0.5) == (got["quality"] == 1)).mean()
     print("auc", area, "accuracy", right)
     assert area > 0.95 and right > 0.95 and docs.count()
+
+
+def test_compiled_column_equals_the_rules_row_by_row(spark):
+    """The Spark column against the rules as stated, on statistics of whole texts worked out one by one."""
+    docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
+    model = quality.train(docs, labels)
+    assert model.rules and quality.train(docs.repartition(5), labels) == model
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.scored(docs, model, keep=["doc_id"]).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        raw = (r.text or "").encode()
+        x = quality.statistics(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        total = model.intercept
+        for weight, rule in model.rules:
+            if all(x[i] > bound if above else x[i] <= bound for i, above, bound in rule):
+                total += weight
+        for weight, i, low, high in model.linear:
+            total += weight * min(max(x[i], low), high)
+        score = 1 / (1 + np.exp(-total))
+        assert got[r.doc_id] == (pytest.approx(score, abs=1e-9), int(score >= 0.5))

@@ -3,9 +3,10 @@ import io
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from confab.llm import warc
-from confab.llm.common import shared_folder
+from confab.sources.storage import shared_folder
 
 
 def rows():
@@ -14,7 +15,7 @@ def rows():
 
 
 def test_round_trip(spark):
-    pages = spark.createDataFrame(rows(), "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows(), "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("payload", "same", "top", "_id", "_same", "record_type", "path", "n")})
     manifest = warc.write_archives(pages, shared_folder(spark) + "/warc-test", archive_bytes=4000)
     assert manifest.count() > 2
     got = warc.read_archives(manifest).collect()
