@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm.common import table
+from confab.llm.textkernel import tidy
 
-CHUNK_MASK = 0x1FF
+CHUNK_MASK = 0x3FF
 WINDOW = 16
 MAX_WORDS = 100_000
-MAX_PIECES = 300_000
-MAX_WINDOWS = 50_000
-MAX_CHUNKS = 20_000
+MAX_PIECES = 200_000
+MAX_WINDOWS = 15_000
+MAX_CHUNKS = 5_000
 #: Chunks and windows of more bytes are not kept beyond their batch.
 LONG = 8192
 BATCH_BYTES = 1 << 20
@@ -223,6 +224,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 decoded = pa.array([enc.decode(x) for x in got], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), ids, decoded], ["doc_id", "ids", "decoded"])
                 first = last
+        tidy()
 
     return rows.mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from confab.llm.common import table
-from confab.llm.textkernel import flat, pieces, words
+from confab.llm.textkernel import flat, pieces, tidy, words
 
 MAX_TRAIN = 20_000
 STATS = ("log_chars", "word_chars", "upper", "symbols", "exclaims", "digits", "stops", "bars", "markup", "wide", "line_words", "new_lines", "new_words", "ended")
@@ -66,10 +66,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(at))
-            for a, b in pieces(offsets, 4 << 20):
+            for a, b in pieces(offsets, 1 << 20):
                 got = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 stats = pa.StructArray.from_arrays([pa.array(got[:, i]) for i in range(len(STATS))], names=list(STATS))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in order), stats], names=schema.names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
