@@ -20,7 +20,7 @@ def test_chunked_ids_equal_whole_text_ids(mask):
 
 def test_shared_chunks_are_encoded_once():
     enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"))
-    text = prose(9, 4000).encode()
+    text = prose(9, 40_000).encode()
     enc.encode_all([text])
     first = enc.encoded
     enc.encode_all([b"before it " + text, text + b" and after"])
