@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import text as t
 from confab.functions.vectors import dot, normalised
-from confab.sources.storage import written
+from confab.sources.storage import settling, written
 
 
 def _of_near_length(words: DataFrame, asked: DataFrame, low: str, high: str) -> DataFrame:
@@ -193,6 +193,7 @@ def near_labels(vectors: DataFrame, least: float = 0.0) -> DataFrame:
     return a.join(b, "label").filter("a < b").select("label", "a", "b", F.round(dot(F.col("x"), F.col("y")), 4).alias("cosine")).filter(F.col("cosine") >= least)
 
 
+@settling("merged")
 def merge_map(pairs: DataFrame) -> DataFrame:
     """(removed, kept) with chains followed: A to B and B to C give A to C. A cycle of two stops where it began, a
     longer one at one of its members.

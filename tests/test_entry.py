@@ -51,3 +51,23 @@ def test_shared_folder(spark):
         storage.shared_folder(elsewhere)
     storage.cleared(spark)
     assert not os.path.exists(path.removeprefix("file:").replace("///", "/"))
+
+
+def test_tables_on_the_way_to_a_settled_one_are_deleted(spark):
+    storage = importlib.import_module("confab.sources.storage")
+    seen = []
+
+    def noted(df, label):
+        out = storage.written(df, label)
+        seen.extend(f.removeprefix("file://") for f in out.inputFiles())
+        return out
+
+    inner = lambda: noted(noted(spark.range(5), "a").filter("id > 1"), "b")
+    outer = storage.settled(lambda: storage.settled(inner, "inner").filter("id > 2"), "outer")
+    assert sorted(r.id for r in outer.collect()) == [3, 4]
+    folder = os.path.dirname(os.path.dirname(outer.inputFiles()[0].removeprefix("file://")))
+    assert seen and not any(map(os.path.exists, seen))
+    assert not [n for n in os.listdir(folder) if n.startswith("inner-")]
+    with pytest.raises(ValueError):
+        storage.settled(lambda: noted(spark.range(2), "lost") and int("x"), "never")
+    assert not any(map(os.path.exists, seen))
