@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from confab.llm.common import table, written
+from confab.llm.common import settling, table, written
 
 TREES = 16
 BITS = 48
@@ -307,6 +307,7 @@ def _enough(least: int, recall: float, sizes: dict[int, list[int]], truth: dict[
     return least
 
 
+@settling("neighbours")
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, candidates: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, array: int = ARRAY) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries``, by Euclidean distance.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.sources.storage import written  # noqa: F401
+from confab.sources.storage import settled, settling, written  # noqa: F401
 
 #: White space of every operator here: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from confab.llm.common import squeezed, table, written
+from confab.llm.common import settling, squeezed, table, written
 
 BLOCK_CHARS = 4096
 #: Sorted buckets whose sizes give the ranks that are names.
@@ -64,6 +64,7 @@ def _level(seq: DataFrame, level: int, top: int) -> DataFrame:
     return written(pairs.join(names, ["left", "right"]).select(*_KEY, "rows", "n", "idx", "name"), f"sequence{level}")
 
 
+@settling("identities")
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, hash_bits: int = 64) -> DataFrame:
     """(doc_id, chars, digest, rows, level, name): one row per id and text; (level, name) is its identity.
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confab.llm.common import written
+from confab.llm.common import settling, written
 
 
+@settling("components")
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) can reach.
 
     Labels spread along edges and are then replaced by their own label's label, so that the number of
-    rounds follows the logarithm of the longest path. Each round's labels are a written table.
+    rounds follows the logarithm of the longest path. Each round's labels are a written table, deleted with the
+    others once the last stands.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")

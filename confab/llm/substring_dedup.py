@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm.common import table, written
+from confab.llm.common import settling, table, written
 from confab.llm.textkernel import flat, mix, pieces, run_hashes, word_hashes, words
 
 SPAN = 20
@@ -228,6 +228,7 @@ def verified(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(read.filter("span >= 0"), "span").filter(F.col("digest") == F.col("_first")).drop("_len", "_first", "digest")
 
 
+@settling("repeats")
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(no_id, did, th, spans): word ranges (start, end) of each document that also start earlier."""
     repeated = written(repeated_anchors(keyed), "anchors")
@@ -252,7 +253,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     64 bits met) stays.
     """
     keyed = _keyed(docs, id_col, text_col)
-    spans = written(repeated_spans(keyed), "repeats").withColumnsRenamed({"no_id": "_n", "did": "_d", "th": "_t"})
+    spans = repeated_spans(keyed).withColumnsRenamed({"no_id": "_n", "did": "_d", "th": "_t"})
     same = (F.col("did") == F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("no_id") == F.col("_n"))
     rows = _packed(keyed).join(spans, same, "left").select("doc_id", "packed", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 

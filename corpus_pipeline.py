@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from confab.llm.common import table, written
+from confab.llm.common import settled, table
 from confab.sources.cluster import ship
 
 
@@ -73,8 +73,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each result is written as Parquet and read again."""
+    """Applies STAGES to documents; each result is written as Parquet and read again, and what a stage wrote on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(functools.partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
