@@ -8,7 +8,7 @@ meet), in cells around a leader. A cell stores its sets in a trie; a probe walks
 that a path has so far, and prunes subtrees by what path and probe have left. Linked sets become one
 component at once, and subtrees of the probe's own component are skipped, so a large group of near
 copies costs about its size. Then every prefix shingle under which two components still meet gets an
-exact cell (large ones in blocks against blocks of a size that can link), in which parities of the sets'
+exact cell (large ones in blocks, by number or by shingles, against blocks of a size that can link), in which parities of the sets'
 hashes rule out, exactly, those that can't link before their tries are built. Equal sets are one node from the
 start, named by a digest; where two sets have one digest, a second one tells them apart.
 """
@@ -16,20 +16,22 @@ start, named by a digest; where two sets have one digest, a second one tells the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.llm.common import table, written
+from confab.llm.common import settling, table, written
 from confab.llm.graphs import components
 from confab.llm.textkernel import flat, mix, pieces, run_hashes, tidy, word_hashes, words
 
 WORDS = 5
 PERCENT = 80
 CELL = 512
+#: Shingles of a cell's sets, on average: cells of long sets hold fewer of them.
+WEIGHT = 1 << 23
 #: Blocks of a shingle up to which all meet all; beyond, sizes tell which can link.
 FEW = 3
 #: Shingles in a range of hashes, on average: what a reducer holds at once.
@@ -381,15 +383,16 @@ def _feasible(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "cell long, node long, label long")
 
 
-def _blocked(own: DataFrame, percent: int, cell: int) -> DataFrame:
-    """(cell, node, label) of the members ``own`` (token, node, label, n) of very common shingles.
+def _blocked(own: DataFrame, percent: int, parts: Callable) -> DataFrame:
+    """(cell, node, label) of the members ``own`` (token, node, label, size, n) of very common shingles.
 
-    Sets that link differ in size by less than two classes of a geometric scale: blocks of a class meet
-    those of their own and of the next class, no others.
+    ``parts`` gives the number of blocks for a number of sets and their shingles. Sets that link differ in
+    size by less than two classes of a geometric scale: blocks of a class meet those of their own and of the
+    next class, no others.
     """
     scale = math.log(100 / percent) * (1 + 1e-9)
     own = own.withColumn("class", F.floor(F.log("n") / scale))
-    per = written(own.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks")), "classes")
+    per = written(own.groupBy("token", "class").agg(parts(F.count(F.lit(1)), F.sum("size")).alias("blocks")), "classes")
     at = lambda by, name: per.select("token", (F.col("class") + by).alias("class"), F.col("blocks").alias(name))
     rows = own.join(per, ["token", "class"]).join(at(1, "below"), ["token", "class"], "left").join(at(-1, "above"), ["token", "class"], "left")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -403,7 +406,7 @@ def _blocked(own: DataFrame, percent: int, cell: int) -> DataFrame:
     return rows.select(F.explode(cells).alias("cell"), "node", "label")
 
 
-def near_links(infos: DataFrame, docs: DataFrame, buckets: int, twice: list[int], percent: int = PERCENT, cell: int = CELL) -> DataFrame | None:
+def near_links(infos: DataFrame, docs: DataFrame, buckets: int, twice: list[int], percent: int = PERCENT, cell: int = CELL, weight: int = WEIGHT) -> DataFrame | None:
     """(node, label) of the sets with links to other sets; None without any."""
     shared = _shared(_by_range(docs, buckets, twice), buckets)
     sizes = infos.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"))
@@ -411,41 +414,43 @@ def near_links(infos: DataFrame, docs: DataFrame, buckets: int, twice: list[int]
     sets = written(sets, "candidates")
     alone = F.col("n") - F.size("tokens")
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
-    posted = written(sets.select("node", F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token")), "postings")
+    posted = written(sets.select("node", F.size("tokens").alias("size"), F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token")), "postings")
+    parts = lambda many, size: F.ceil(F.greatest(many / cell, size / weight)).cast("int")
     mark = F.xxhash64("node")
-    groups = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("leader"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 34)).alias("s")).filter("many > 1")
+    groups = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("leader"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 34)).alias("s"), F.sum("size").alias("size")).filter("many > 1")
     groups = written(groups, "groups")
     once = groups.groupBy("many", "leader", "x", "s").agg(F.min("token").alias("token"))  # a group of the same members once
-    pairs = posted.join(written(once.select("token", "leader"), "stars"), "token").select("leader", "node").filter("leader <> node").distinct()
+    pairs = posted.join(written(once.select("token", "leader"), "stars"), "token").select("leader", "node", "size").filter("leader <> node").distinct()
     pairs = written(pairs, "pairs")
-    chunks = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("chunks"))
+    chunks = pairs.groupBy("leader").agg(parts(F.count(F.lit(1)), F.sum("size")).alias("chunks"))
     members = pairs.join(written(chunks, "chunks"), "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node")
     leaders = chunks.select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("leader").alias("node"))
     stars = members.unionByName(leaders).select(F.xxhash64("leader", "chunk").alias("cell"), "node")
     edges = written(_cells(stars.join(sets, "node").withColumn("label", F.col("node"))), "links")
-    labels = written(components(edges), "components") if not edges.isEmpty() else None
+    labels = components(edges) if not edges.isEmpty() else None
     known = posted.withColumn("label", F.col("node"))
     if labels is not None:
         known = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = written(known, "known")
     mixed = known.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("token")
-    rest = groups.join(mixed, "token", "left_semi").groupBy("many", "x", "s").agg(F.min("token").alias("token"))
-    rest = written(rest.select("token", "many"), "rest")
+    rest = groups.join(mixed, "token", "left_semi").groupBy("many", "x", "s", "size").agg(F.min("token").alias("token"))
+    rest = written(rest.select("token", parts(F.col("many"), F.col("size")).alias("blocks")), "rest")
     if not rest.isEmpty():
-        few = known.join(rest.filter(F.col("many") <= FEW * cell), "token").withColumn("blocks", F.ceil(F.col("many") / cell).cast("int"))
+        few = known.join(rest.filter(F.col("blocks") <= FEW), "token")
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         few = few.select("token", "node", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         few = few.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node", "label")
-        often = known.join(rest.filter(F.col("many") > FEW * cell).select("token"), "token").join(sets.select("node", "n"), "node")
-        met = few.unionByName(_blocked(often, percent, cell)).join(_with_parity(sets), "node")
+        often = known.join(rest.filter(F.col("blocks") > FEW).select("token"), "token").join(sets.select("node", "n"), "node")
+        met = few.unionByName(_blocked(often, percent, parts)).join(_with_parity(sets), "node")
         met = written(_feasible(met), "feasible")  # short rows: full sets go only where a link is possible
         more = written(_cells(met.join(sets, "node")), "links")
         if not more.isEmpty():
-            labels = written(components(edges.unionByName(more)), "components")
+            labels = components(edges.unionByName(more))
     return labels
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, cell: int = CELL) -> DataFrame:
+@settling("near-groups")
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, cell: int = CELL, weight: int = WEIGHT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per input row.
 
     Words are split at white space, A-Z lower-cased; a set holds distinct shingles of ``WORDS`` words,
@@ -457,7 +462,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     infos, twice = named_sets(written(_infos(own), "sets"))
     buckets = buckets or max(32, -(-(infos.agg(F.sum("n")).first()[0] or 0) // RANGE))
-    labels = near_links(infos, own, buckets, twice, cell=cell)
+    labels = near_links(infos, own, buckets, twice, cell=cell, weight=weight)
     named = infos.withColumn("label", F.col("node"))
     if labels is not None:
         named = written(infos.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")

@@ -65,6 +65,7 @@ def test_very_common_shingles_of_many_groups(spark):
         rows += [(100 * g + i, mutated(r, base, i), None) for i in range(3)]
     check(spark, rows, cell=4)
     check(spark, rows, cell=4, buckets=3000)
+    check(spark, rows, weight=700)
 
 
 def test_sets_of_one_digest_keep_apart(spark, monkeypatch):
