@@ -7,9 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where each written table is.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Paths written on the way to the innermost ``settled`` table.
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
@@ -35,7 +38,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     if (made := _MADE.get()) is not None:
         made.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes the table behind ``df``, a result of ``written`` that nothing reads any more."""
+    _delete(df.sparkSession, [_PATHS.pop(df)])
 
 
 def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
