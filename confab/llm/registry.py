@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from confab.llm import ann, bpe, exact_dedup, mixing, ngram_join, quality, secret_scans, substring_dedup, url_filters, warc
+from confab.llm import ann, bpe, centroids, exact_dedup, mixing, ngram_join, packing, quality, resampling, secret_scans, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_secrets": secret_scans.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_packing": packing.op12_packing,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 ORACLES = {
