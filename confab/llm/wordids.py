@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
+from confab.llm.textkernel import _LOWER as LOWER
 from confab.llm.textkernel import _SPACE as BLANK
 from confab.llm.textkernel import flat, words
 
@@ -21,7 +23,11 @@ _LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
 #: Pre-tokenizers that split at all white space and drop it: fixed values.
 _DROPPING = {"WhitespaceSplit", "Whitespace", "BertPreTokenizer"}
 _BLANK = " \t\n\x0b\x0c\r"
-MAX_WORDS = 150_000
+MAX_WORDS = 200_000
+#: 1 for ASCII letters, 2 for ASCII signs and digits.
+_KIND = np.zeros(256, np.int8)
+_KIND[33:127] = 2
+_KIND[65:91] = _KIND[97:123] = 1
 #: Words of more bytes are not kept beyond their batch.
 LONG = 256
 
@@ -37,20 +43,34 @@ def _local(step: dict) -> bool:
     return step["type"] in _LOCAL or blank
 
 
+#: A part of a pattern: a class without white space and letters or of letters, or one character.
+_PART = r"(?P<other>\[\^\\s\\p\{L\}(?:\\p\{\w+\}|\\d)*\])\+?|(?P<letter>\[\\p\{L\}\]\+?|[A-Za-z])|(?P<digit>\[\\p\{N\}\]\+?)|(?P<sign>['-])"
+
+
+def _parts(pattern: str) -> list[list[str]] | None:
+    """For each alternative of a pattern the kinds of its parts; None if it has any other part."""
+    import regex
+
+    if not regex.fullmatch(rf"(?:{regex.sub(r'[?]P<[a-z]+>', '?:', _PART)}|[|])+", pattern):
+        return None
+    parts = [[m.lastgroup for m in regex.finditer(_PART, own)] for own in pattern.split("|")]
+    return parts if all(parts) else None
+
+
 def _drops_blanks(step: dict) -> bool:
-    """Whether a Split keeps only matches of a pattern whose every alternative is a class or letters without white space."""
+    """Whether no piece that a pre-tokenizer makes has white space, and white space is dropped."""
     if step["type"] in _DROPPING:
         return True
     if step["type"] != "Split" or step["behavior"] != "Removed":
         return False
     pattern = step["pattern"].get("Regex") or ""
-    if not step["invert"]:
-        return pattern in (r"\s+", r"\s")
-    import regex
+    return _parts(pattern) is not None if step["invert"] else pattern in (r"\s+", r"\s")
+
 
-    single = regex.compile(r"(?:\[\^\\s(?:[^\[\]\\]|\\[pP]\{\w+\}|\\d)*\]|\[(?:\\[p]\{[LN]\w?\}|[\w'-])+\]|[\w'])\+?")
-    kept = regex.split(r"\|", pattern)
-    return all(k and regex.fullmatch(rf"(?:{single.pattern})+", k) for k in kept)
+def _ends_with_letters(step: dict) -> bool:
+    """Whether every piece that has a letter before something else than a letter is split between them."""
+    parts = _parts(step["pattern"].get("Regex") or "") if step["type"] == "Split" and step["invert"] else None
+    return parts is not None and all(b == "letter" for own in parts for a, b in zip(own, own[1:], strict=False) if a == "letter")
 
 
 def separates_words(config: dict) -> bool:
@@ -61,6 +81,12 @@ def separates_words(config: dict) -> bool:
     return added and config.get("post_processor") is None and all(map(_local, _steps(config.get("normalizer"), "normalizers"))) and bool(pre) and _drops_blanks(pre[0]) and not prefix
 
 
+def folds_letters(config: dict) -> bool:
+    """Whether, besides, letter case makes no difference and a word may be cut between an ASCII letter and an ASCII sign or digit."""
+    lower = any(s["type"] == "Lowercase" for s in _steps(config.get("normalizer"), "normalizers"))
+    return separates_words(config) and lower and _ends_with_letters(_steps(config["pre_tokenizer"], "pretokenizers")[0])
+
+
 class WordIds:
     """Encodes columns of texts. Ids of words live in the Python worker across its tasks, about twice ``most`` at a time."""
 
@@ -72,31 +98,39 @@ class WordIds:
         self.tok.no_padding()
         self.tok.no_truncation()
         with open(path, encoding="utf-8") as f:
-            self.by_word = separates_words(json.load(f))
+            config = json.load(f)
+        self.by_word, self.by_part = separates_words(config), folds_letters(config)
+        self.added = [t["content"].lower().encode() for t in config.get("added_tokens") or []]
         self.most, self.new, self.old = most, {}, {}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[array]:
+        return [array("i", e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_words(self, own: list[bytes]) -> list[bytes]:
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        for w in own:
-            if w not in new and w in old:
-                new[w] = old[w]
-        lacking = [w for w in own if w not in new]
-        found = {w: x.tobytes() for w, x in zip(lacking, self.ids([w.decode() for w in lacking]), strict=True)}
-        new.update((w, x) for w, x in found.items() if len(w) <= LONG)
-        return [found[w] if w in found else new[w] for w in own]
+        out = [new.get(w) or old.get(w) for w in own]
+        lacking = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(lacking, self.ids([own[i].decode() for i in lacking]), strict=True):
+            out[i] = x.tobytes()
+        new.update((w, x) for w, x in zip(own, out, strict=True) if len(w) <= LONG)
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, int32; where each text's ids end). A null text has none."""
         if not self.by_word:
             each = self.ids(["" if t is None else t for t in column.to_pylist()])
-            return np.concatenate([*each, np.zeros(0, np.int32)]), np.cumsum([len(x) for x in each], dtype=np.int64)
+            return np.concatenate([*(np.frombuffer(x, np.int32) for x in each), np.zeros(0, np.int32)]), np.cumsum([len(x) for x in each], dtype=np.int64)
         data, offsets = flat(column)
         starts, ends, first = words(data, offsets)
+        if self.by_part:
+            lower = LOWER[data]
+            if not any(lower.tobytes().find(t) >= 0 for t in self.added):  # added tokens are found as they are written
+                data, kind = lower, _KIND[lower]
+                inside = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+                starts, ends = (np.sort(np.concatenate([x, np.setdiff1d(inside, x, assume_unique=True)]), kind="stable") for x in (starts, ends))
+                first = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(column), np.int64)
         letters = data[~BLANK[data]]

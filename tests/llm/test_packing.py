@@ -154,3 +154,18 @@ def test_whole_texts_where_words_may_join(tmp_path):
             each = [enc.tok.encode(t or "", add_special_tokens=False).ids for t in own]
             assert ids.tolist() == [i for e in each for i in e] and ends.tolist() == np.cumsum([len(e) for e in each]).tolist()
     assert wordids.WordIds(public.path("byte_bpe_50k.json")).by_word is False
+
+
+def test_parts_of_words_have_the_ids_of_the_words():
+    import pyarrow as pa
+
+    r, enc = random.Random(6), wordids.WordIds(PATH, most=50)
+    assert enc.by_part and not wordids.folds_letters(json.load(open(PATH)) | {"normalizer": None})
+    odd = [*"aZst'.,-9 \té\u0301İΣ<|>", "'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "\u00a0"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randrange(12))) for _ in range(3000)]
+    for own in (texts, [t for t in texts if "<|end" not in t.lower()]):
+        ids, ends = enc.encode(pa.array(own))
+        each = [enc.tok.encode(t, add_special_tokens=False).ids for t in own]
+        assert ids.tolist() == [i for e in each for i in e] and ends.tolist() == np.cumsum([len(e) for e in each]).tolist()
+    refused = ["[a-z ]+", "\\S+ ?", "[\\p{L}]+[.]", "a|", "[^\\p{L}]+"]
+    assert not any(wordids._drops_blanks({"type": "Split", "behavior": "Removed", "invert": True, "pattern": {"Regex": x}}) for x in refused)
