@@ -8,22 +8,36 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.functions import text as t
 from confab.functions.vectors import dot, normalised
-from confab.sources.storage import settling, written
+from confab.operators.edits import edit_pairs, prefix_pairs, share_edits, vocabulary
+from confab.sources.storage import settled, settling, written
 
 
-def _of_near_length(words: DataFrame, asked: DataFrame, low: str, high: str) -> DataFrame:
-    """Pairs (w, q) with a length of w from ``low`` to ``high`` (of q's length n): an equal join on lengths."""
-    spans = asked.withColumn("n", F.length("q")).select("q", F.explode(F.sequence(F.expr(low).cast("int"), F.expr(high).cast("int"))).alias("len"))
-    return words.withColumn("len", F.length("w")).join(spans, "len").select("w", "q")
+def _keyword_edits(n: Column) -> Column:
+    """Edits within which a similarity above 0.6 and two edits at most allow, by the longer word's length."""
+    return F.when(n < 6, 1).otherwise(2)
 
 
-def _of_same_start(words: DataFrame, asked: DataFrame, chars: int) -> DataFrame:
-    return words.withColumn("_s", F.substring("w", 1, chars)).join(asked.withColumn("_s", F.substring("q", 1, chars)), "_s").select("w", "q")
+def keyword_pairs(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(w, q, sim): distinct words of texts (w) and of queries (q) that match: 1 where one begins the other, else 1 - edits / longer length above 0.6."""
+    swapped = lambda df: df.select(F.col(df.columns[0]).alias("q" if df.columns[0] == "w" else "w"))
+    begun = prefix_pairs(words, asked, 1).unionByName(prefix_pairs(swapped(asked), swapped(words), 1).select(F.col("q").alias("w"), F.col("w").alias("q")))
+    close = edit_pairs(words, asked, _keyword_edits, 3, 4).withColumn("sim", 1 - F.col("edits") / F.greatest(F.length("w"), F.length("q"))).filter("sim > 0.6")
+    return begun.withColumn("sim", F.lit(1.0)).unionByName(close.drop("edits")).groupBy("w", "q").agg(F.max("sim").alias("sim"))
+
+
+def match_pairs(words: DataFrame, asked: DataFrame, least: float = 0.72) -> DataFrame:
+    """(w, q, m): distinct words that match, with the best kind (o: 3 begins with, 2 fuzzy, 1 phonetic) and its score (s)."""
+    kind = lambda o, s: F.struct(F.lit(o).alias("o"), s.alias("s"))
+    begun = prefix_pairs(words, asked, 1).select("w", "q", kind(3, F.lit(1.0)).alias("m"))
+    close = edit_pairs(words, asked, share_edits(1 - least), 3, 4, 1 - least).withColumn("sim", 1 - F.col("edits") / F.greatest(F.length("w"), F.length("q"))).filter(F.col("sim") >= least)
+    keyed = lambda df, c: df.filter(F.length(c) >= 4).withColumn("_k", t.phonetic_key(F.col(c))).filter(F.length("_k") >= 2)
+    alike = keyed(words, "w").join(keyed(asked, "q"), "_k").select("w", "q", kind(1, F.lit(0.7)).alias("m"))
+    return begun.unionByName(close.select("w", "q", kind(2, F.col("sim")).alias("m"))).unionByName(alike).groupBy("w", "q").agg(F.max("m").alias("m"))
 
 
 def keyword_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, avg_len: float = 60.0) -> DataFrame:
@@ -32,15 +46,12 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: floa
     A token's best similarity s in a text weighs s * s * (k1 + 1) / (s + k1 * (1 - b + b * length / avg_len)).
 
     ``docs`` (doc_id, text) and ``queries`` (query_id, query). Similarity is worked out once for each
-    distinct pair of tokens that can match: equal first three letters for prefixes, near lengths for edits.
+    distinct pair of tokens that meet: by equal joins on beginnings and on what is left without up to two letters.
     """
     d = docs.select("doc_id", t.tokens(F.col("text")).alias("ts")).withColumn("n", F.size("ts"))
     q = queries.select("query_id", t.tokens(F.col("query")).alias("qs")).withColumn("total", F.size("qs"))
     dt, qt = d.select("doc_id", "n", F.explode("ts").alias("w")), q.select("query_id", "total", F.posexplode("qs").alias("i", "q"))
-    words, asked = dt.select("w").distinct(), qt.select("q").distinct()
-    close = _of_near_length(words, asked, "n - 2", "n + 2").filter((F.length("q") >= 4) & (F.levenshtein("w", "q") <= 2))
-    sims = _of_same_start(words, asked, 3).union(close).distinct()
-    sims = sims.withColumn("sim", t.keyword_similarity(F.col("q"), F.col("w"))).filter("sim > 0")
+    sims = settled(lambda: keyword_pairs(vocabulary(dt.select("w")), vocabulary(qt.select("q"))), "pairs")
     hits = dt.distinct().join(sims, "w").join(qt, "q").groupBy("query_id", "doc_id", "i", "n", "total").agg(F.max("sim").alias("sim"))
     weight = lambda s: s * (k1 + 1) / (s + k1 * (1 - b + b * F.col("n") / avg_len))
     rows = hits.groupBy("query_id", "doc_id", "total").agg(F.sum(weight(F.col("sim")) * F.col("sim")).alias("s"), F.count(F.lit(1)).alias("matched"), F.max(weight(F.lit(1.0))).alias("m"))
@@ -57,15 +68,7 @@ def word_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score, kind): exact, fuzzy (0.72 or more) or phonetic (0.7) best match of each query word."""
     d = docs.select("doc_id", F.explode(F.array_distinct(t.tokens(F.col("text"), 1))).alias("w")).filter("w <> ''")
     q = queries.select("query_id", F.posexplode(t.tokens(F.col("query"), 1)).alias("i", "q"), F.size(t.tokens(F.col("query"), 1)).alias("total")).filter("q <> ''")
-    words, asked = d.select("w").distinct(), q.select("q").distinct()
-    close = _of_near_length(words, asked, "ceil(n * 0.72)", "floor(n / 0.72)").filter(t.similarity(F.col("q"), F.col("w")) >= 0.72)
-    alike = words.withColumn("_k", t.phonetic_key(F.col("w"))).join(asked.withColumn("_k", t.phonetic_key(F.col("q"))), "_k").select("w", "q")
-    pairs = _of_same_start(words, asked, 1).filter(F.col("w").startswith(F.col("q"))).union(close).union(alike).distinct()
-    sim, key = t.similarity(F.col("q"), F.col("w")), t.phonetic_key(F.col("q"))
-    fuzzy = (F.length("q") >= 4) & (F.length("w") >= 3) & (sim >= 0.72)
-    both = (F.length("q") >= 4) & (F.length("w") >= 4)
-    m = F.when(F.col("w").startswith(F.col("q")), F.struct(F.lit(3).alias("o"), F.lit(1.0).alias("s"))).when(fuzzy, F.struct(F.lit(2).alias("o"), sim.alias("s"))).when(both & (F.length(key) >= 2) & (key == t.phonetic_key(F.col("w"))), F.struct(F.lit(1).alias("o"), F.lit(0.7).alias("s")))
-    pairs = pairs.withColumn("m", m).filter("m is not null")
+    pairs = settled(lambda: match_pairs(vocabulary(d.select("w")), vocabulary(q.select("q"))), "pairs")
     best = d.join(pairs, "w").join(q, "q").groupBy("query_id", "doc_id", "i", "total").agg(F.max("m").alias("m"))
     rows = best.groupBy("query_id", "doc_id", "total").agg(F.sum("m.s").alias("s"), F.max("m.o").alias("o"))
     return rows.select("query_id", "doc_id", F.round(F.col("s") / F.col("total"), 6).alias("score"), F.element_at(F.array(*map(F.lit, ("phonetic", "fuzzy", "exact"))), F.col("o")).alias("kind"))
