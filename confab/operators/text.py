@@ -7,28 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from confab.functions.text import clock
-from confab.operators.folds import per_recording
+from confab.operators.jumps import first_at_least, indexed, numbered, reached, running
 from confab.operators.segments import REC, joined_text
-
-
-def folded_rows(segs: DataFrame, fields: list[str], fold, schema: str) -> DataFrame:
-    """``fold`` (rows in order -> rows) over each recording's segments, sorted and streamed: a task holds one recording."""
-    return per_recording(segs.select(REC, "seg_id", *[f for f in fields if f != "seg_id"]), fold, schema)
+from confab.sources.storage import written
 
 
 def translation_batches(segs: DataFrame, max_chars: int = 3000, max_rows: int = 15) -> DataFrame:
     """(recording_id, seg_id, batch_id): a batch closes after the row that reaches either limit."""
+    n = F.length("text").cast("long")
+    rows = written(indexed(segs.select(REC, "seg_id", "text"), {"key": n}).select(REC, "seg_id", "i", "key", (F.col("key") - n + max_chars).alias("least")), "batch-rows")
+    ends = first_at_least(rows, max_chars)
+    last = F.least(F.coalesce("hit", F.col("i") + max_rows), F.col("i") + max_rows - 1)
+    return numbered(rows, reached(_within(ends.select(REC, "i", (last + 1).alias("to")), rows)), "batch_id").select(REC, "seg_id", "batch_id")
 
-    def fold(rows):
-        out, batch, n, chars = [], 0, 0, 0
-        for r in rows:
-            n, chars = n + 1, chars + r["len"]
-            out.append({"seg_id": r["seg_id"], "batch_id": batch})
-            if chars >= max_chars or n >= max_rows:
-                batch, n, chars = batch + 1, 0, 0
-        return out
 
-    return folded_rows(segs.withColumn("len", F.length("text")), ["len"], fold, "seg_id int, batch_id int")
+def _within(pointers: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pointers`` with ``to`` null where the recording has no such row."""
+    last = rows.groupBy(REC).agg(F.max("i").alias("_last"))
+    return pointers.join(last, REC).withColumn("to", F.when(F.col("to") <= F.col("_last"), F.col("to"))).drop("_last")
 
 
 def numbered_blocks(segs: DataFrame, batches: DataFrame) -> DataFrame:
@@ -93,36 +89,33 @@ def exported(segs: DataFrame) -> DataFrame:
 
 
 def topic_windows(segs: DataFrame, width_ms: int = 300_000, most: int = 8, chars: int = 1000) -> DataFrame:
-    """(recording_id, win_id, start_ms, end_ms, n, text): windows anchored at the segment that opens them."""
-
-    def fold(rows):
-        out, at, win, n = [], 0, 0, 0
-        for r in rows:
-            if r["start_ms"] - at >= width_ms and n:
-                at, win, n = r["start_ms"], win + 1, 0
-            n += 1
-            out.append({"seg_id": r["seg_id"], "win_id": win})
-        return out
-
-    rows = segs.join(folded_rows(segs, ["start_ms"], fold, "seg_id int, win_id int"), [REC, "seg_id"]).filter(F.col("win_id") < most)
+    """(recording_id, win_id, start_ms, end_ms, n, text): windows anchored at the segment that opens them, the first at 0.
+
+    A segment opens a window if it starts ``width_ms`` or more after the one before did. All segments before an
+    opener start earlier than it, so the first running maximum to get there is the opener itself.
+    """
+
+    far = F.lit(-(1 << 62))
+    rows = indexed(segs.select(REC, "seg_id", "start_ms"))
+    rows = running(rows.withColumn("_own", F.when(F.col("i") > 0, F.col("start_ms")).otherwise(far)), {"key": F.col("_own").cast("long")}, "i", F.max)
+    rows = written(rows.select(REC, "seg_id", "i", F.greatest("key", F.lit(-width_ms)).alias("key"), (F.when(F.col("i") > 0, F.col("start_ms")).otherwise(0) + width_ms).cast("long").alias("least")), "window-rows")
+    opens = reached(first_at_least(rows, width_ms).select(REC, "i", F.when(F.col("hit") > F.col("i"), F.col("hit")).alias("to")))
+    rows = segs.join(numbered(rows, opens, "win_id").select(REC, "seg_id", "win_id"), [REC, "seg_id"]).filter(F.col("win_id") < most)
     return rows.groupBy(REC, "win_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n"), F.substring(joined_text(), 1, chars).alias("text"))
 
 
 def sliding_chunks(segs: DataFrame, back: int = 2, least_rows: int = 3, least_chars: int = 600) -> DataFrame:
     """(recording_id, chunk_id, first_idx, last_idx, text): each chunk repeats the last ``back`` rows and adds one at least."""
 
-    def fold(rows):
-        out, chunk, held, chars, fresh = [], 0, [], 0, True
-        for r in rows:
-            if fresh:
-                out += [{"seg_id": i, "chunk_id": chunk} for i, _ in held]
-                chars, n = sum(c for _, c in held), len(held)
-            held = [*held, (r["seg_id"], r["len"])][-back:] if back else []
-            out.append({"seg_id": r["seg_id"], "chunk_id": chunk})
-            n, chars = n + 1, chars + r["len"]
-            fresh = n >= least_rows and chars >= least_chars
-            chunk += fresh
-        return out
-
-    rows = folded_rows(segs.withColumn("len", F.length("text")), ["len"], fold, "seg_id int, chunk_id int").join(segs.select(REC, "seg_id", "text"), [REC, "seg_id"])
+    n = F.length("text").cast("long")
+    rows = written(indexed(segs.select(REC, "seg_id", "text"), {"key": n}).select(REC, "seg_id", "text", "i", "key", (F.col("key") - n + least_chars).alias("least")), "chunk-rows")
+    ends = first_at_least(rows.select(REC, "i", "key", "least"), max(1, least_chars))
+    least_last = F.col("i") + F.when(F.col("i") > 0, max(least_rows - 1, back)).otherwise(least_rows - 1)
+    ends = written(_within(ends.select(REC, "i", (F.greatest("hit", least_last, F.col("i")) + 1).alias("to"), F.col("hit").isNull().alias("_open")), rows), "chunk-ends")
+    begins = reached(ends.select(REC, "i", F.when(~F.col("_open"), F.col("to") - back).alias("to")))
+    chunk = F.row_number().over(Window.partitionBy(REC).orderBy("i")) - 1
+    spans = begins.join(ends, [REC, "i"]).join(rows.groupBy(REC).agg(F.max("i").alias("_last")), REC)
+    last = F.when(F.col("_open") | F.col("to").isNull(), F.col("_last")).otherwise(F.col("to") - 1)
+    spans = spans.select(REC, "i", chunk.alias("chunk_id"), last.alias("_end")).select(REC, "chunk_id", F.explode(F.sequence("i", "_end")).alias("i"))
+    rows = spans.join(rows.select(REC, "i", "seg_id", "text"), [REC, "i"])
     return rows.groupBy(REC, "chunk_id").agg(F.min("seg_id").alias("first_idx"), F.max("seg_id").alias("last_idx"), joined_text().alias("text"))
