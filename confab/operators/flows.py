@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from confab.operators import folds
+from confab.operators import folds, votes
 from confab.operators import segments as s
 from confab.operators.segments import REC
 from confab.operators.text import char_windows, sliding_chunks, transcripts
@@ -33,7 +33,7 @@ def diarized(segs: DataFrame, turns: DataFrame) -> DataFrame:
     """
     own = s.assign_speakers(segs, turns).select(REC, "seg_id", "carried")
     rows = segs.drop("speaker").join(own, [REC, "seg_id"]).withColumnRenamed("carried", "speaker")
-    voted = folds.neighbour_vote(rows).select(REC, "seg_id", F.col("speaker").alias("voted"))
+    voted = votes.neighbour_vote(rows).select(REC, "seg_id", F.col("speaker").alias("voted"))
     rows = rows.drop("speaker").join(voted, [REC, "seg_id"]).withColumnRenamed("voted", "speaker").filter(F.trim("text") != "")
     labels = s.talk_time(rows).select(REC, "speaker", "label")
     return rows.join(labels, [REC, "speaker"]).drop("speaker").withColumnRenamed("label", "speaker")
@@ -47,8 +47,8 @@ def refined(segs: DataFrame, ask: Callable[[DataFrame], DataFrame] | None = None
         new = new.select(REC, "seg_id", F.col("speaker").alias("_s"))
         return rows.join(new, [REC, "seg_id"], "left").withColumn("speaker", F.coalesce("_s", "speaker")).drop("_s")
 
-    rows = put(segs, folds.refined_vote(segs))
-    rows = put(rows, folds.bridges(rows))
+    rows = put(segs, votes.refined_vote(segs))
+    rows = put(rows, votes.bridges(rows))
     if ask is not None:
         rows = put(rows, accepted_speakers(ask(ambiguous(rows)), rows))
     return rows

@@ -28,41 +28,6 @@ def per_recording(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], sch
     return rows.groupBy(REC).applyInPandas(run, f"{REC} long, {schema}")
 
 
-def _vote(rows: list[dict], reach: int, below_ms: int, other: bool) -> list[dict]:
-    labels = [r["speaker"] for r in rows]
-    for i, r in enumerate(rows):
-        near = labels[max(0, i - reach) : i] + labels[i + 1 : i + 1 + reach]
-        if r["end_ms"] - r["start_ms"] >= below_ms or not near:
-            continue
-        winner, n = Counter(near).most_common(1)[0]
-        if n >= max(2, len(near) // 2) and (winner != labels[i] or not other):
-            labels[i] = winner
-    return [{"seg_id": r["seg_id"], "speaker": x, "changed": x != r["speaker"]} for r, x in zip(rows, labels, strict=True)]
-
-
-def neighbour_vote(segs: DataFrame, reach: int = 3, below_ms: int = 1000, other: bool = False) -> DataFrame:
-    """Short segments take the majority of their neighbours, left ones already changed; ties to the first seen."""
-    return per_recording(segs.select(REC, "seg_id", "speaker", "start_ms", "end_ms"), lambda rows: _vote(rows, reach, below_ms, other), "seg_id int, speaker string, changed boolean")
-
-
-def refined_vote(segs: DataFrame) -> DataFrame:
-    return neighbour_vote(segs, 4, 1500, True)
-
-
-def bridges(segs: DataFrame, gap_ms: int = 500) -> DataFrame:
-    """A segment between two of one other speaker, both gaps below ``gap_ms``, becomes theirs; in order."""
-
-    def fold(rows):
-        labels = [r["speaker"] for r in rows]
-        for i in range(1, len(rows) - 1):
-            near = rows[i]["start_ms"] - rows[i - 1]["end_ms"] < gap_ms and rows[i + 1]["start_ms"] - rows[i]["end_ms"] < gap_ms
-            if labels[i - 1] == labels[i + 1] != labels[i] and near:
-                labels[i] = labels[i - 1]
-        return [{"seg_id": r["seg_id"], "speaker": x, "changed": x != r["speaker"]} for r, x in zip(rows, labels, strict=True)]
-
-    return per_recording(segs.select(REC, "seg_id", "speaker", "start_ms", "end_ms"), fold, "seg_id int, speaker string, changed boolean")
-
-
 def sentence_fragments(segs: DataFrame, gap_ms: int = 100, most_ms: int = 15_000, same_speaker: bool = True) -> DataFrame:
     """(recording_id, first_id, speaker, start_ms, end_ms, text): fragments joined until a sentence ends or ``most_ms``."""
 

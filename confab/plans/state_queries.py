@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from confab.operators import folds, signal
+from confab.operators import folds, signal, votes
 from confab.plans.segment_queries import _segs, _sql
 from confab.sources import conversations as c
 from confab.streaming import sessions as st
@@ -55,9 +55,9 @@ QUERIES = {
     "event_log": _events(lambda e: st.event_log(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", ("click",))),
     "session_states": _events(st.session_states),
     "stream_windowed_counts": _events(lambda e: st.replayed(e.select("ts", "event_type"), st.windowed_counts)),
-    "neighbour_vote": _segs(folds.neighbour_vote),
-    "refined_vote": _segs(folds.refined_vote),
-    "speaker_bridges": _segs(folds.bridges),
+    "neighbour_vote": _segs(votes.neighbour_vote),
+    "refined_vote": _segs(votes.refined_vote),
+    "speaker_bridges": _segs(votes.bridges),
     "sentence_fragments": _segs(folds.sentence_fragments),
     "loose_fragments": _segs(lambda s: folds.sentence_fragments(s, 400, 20_000, False)),
     "repetition_filter": _segs(lambda s: folds.without_repetitions(s, 2000)),

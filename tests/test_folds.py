@@ -5,7 +5,7 @@ from collections import OrderedDict
 
 import pytest
 
-from confab.operators import folds
+from confab.operators import folds, votes
 from confab.operators import text as x
 
 SCHEMA = "recording_id long, seg_id int, speaker string, start_ms long, end_ms long, text string"
@@ -47,10 +47,24 @@ def test_neighbour_vote(spark, kw):
                 if near.count(best) >= max(2, len(near) // 2) and not (other and best == labels[i]):
                     labels[i] = best
         want += [(rec, r[1], s) for r, s in zip(own, labels, strict=True)]
-    got = folds.neighbour_vote(spark.createDataFrame(rows, SCHEMA), **kw).collect()
+    got = votes.neighbour_vote(spark.createDataFrame(rows, SCHEMA), **kw).collect()
     assert sorted((r.recording_id, r.seg_id, r.speaker) for r in got) == sorted(want)
 
 
+def test_votes_of_one_long_recording(spark):
+    """40,000 rows of one recording, half of them short: the same as the loop, in chains of their own."""
+    r = random.Random(9)
+    rows = [(1, i, r.choice("AB"), 0, r.choice((300, 5000)) if i % 1000 > 40 else 300, "") for i in range(40_000)]
+    labels = [x[2] for x in rows]
+    for i, x in enumerate(rows):
+        near = labels[max(0, i - 3) : i] + labels[i + 1 : i + 4]
+        best = max(dict.fromkeys(near), key=near.count)
+        if x[4] < 1000 and near.count(best) >= max(2, len(near) // 2):
+            labels[i] = best
+    got = votes.neighbour_vote(spark.createDataFrame(rows, SCHEMA)).orderBy("seg_id").toPandas()
+    assert got.speaker.tolist() == labels and got.changed.tolist() == [x[2] != y for x, y in zip(rows, labels, strict=True)]
+
+
 def test_bridges(spark):
     rows = lists(2)
     want = []
@@ -60,7 +74,7 @@ def test_bridges(spark):
             if s[i - 1] == s[i + 1] and s[i] != s[i - 1] and own[i][3] - own[i - 1][4] < 500 and own[i + 1][3] - own[i][4] < 500:
                 s[i] = s[i - 1]
         want += [(rec, r[1], v) for r, v in zip(own, s, strict=True)]
-    got = folds.bridges(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = votes.bridges(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.recording_id, r.seg_id, r.speaker) for r in got) == sorted(want)
 
 
