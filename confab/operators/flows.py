@@ -97,7 +97,7 @@ def quality_sample(rows: DataFrame, most: int = 10, seed: int = 7) -> DataFrame:
     return rows.filter("text_pl is not null and text_pl <> text").withColumn("_n", order).filter(F.col("_n") <= most).select(REC, "seg_id", "text", "text_pl")
 
 
-def quality_verdict(scores: DataFrame, least: int = 3, accept: float = 3.5) -> DataFrame:
-    """(recording_id, average, worst, retranslate) of scored samples; fewer than ``least`` give no advice."""
-    g = scores.groupBy(REC).agg(F.round(F.avg("score"), 4).alias("average"), F.min_by("seg_id", F.struct("score", "seg_id")).alias("worst"), F.count(F.lit(1)).alias("n"))
-    return g.select(REC, "average", "worst", ((F.col("n") >= least) & (F.col("average") < accept)).alias("retranslate"))
+def quality_verdict(scores: DataFrame, poor: float = 3.0, accept: float = 3.5) -> DataFrame:
+    """(recording_id, average, worst, retranslate, recommended) of scored samples: needed below ``poor``, advised below ``accept``."""
+    g = scores.groupBy(REC).agg(F.round(F.avg("score"), 4).alias("average"), F.min_by("seg_id", F.struct("score", "seg_id")).alias("worst"))
+    return g.select(REC, "average", "worst", (F.col("average") < poor).alias("retranslate"), (F.col("average") < accept).alias("recommended"))

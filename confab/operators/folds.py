@@ -12,7 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from confab.operators.segments import REC
+from confab.operators.segments import REC, shown_text
 
 _SENTENCE_END = (".", "!", "?", "…", ";")
 
@@ -99,7 +99,7 @@ def without_near_duplicates(segs: DataFrame, above: float = 0.85) -> DataFrame:
 
 def buffered_chunks(segs: DataFrame, least: int = 800, tail: int = 150, tail_ids: int = 3, most: int = 300) -> DataFrame:
     """(recording_id, chunk_id, text, segment_ids, start_ms, end_ms, speaker): a buffer closes at ``least`` characters
-    and the next one begins with its last ``tail`` characters and ids; the speaker stays from before."""
+    and the next one begins with its last ``tail`` characters and ids; the speaker stays from before. Blank rows are not seen."""
 
     def fold(rows):
         out, buf, ids, start, end, speaker = [], "", [], None, None, None
@@ -108,9 +108,11 @@ def buffered_chunks(segs: DataFrame, least: int = 800, tail: int = 150, tail_ids
             out.append({"chunk_id": len(out), "text": buf.strip(), "segment_ids": list(ids), "start_ms": start, "end_ms": end, "speaker": speaker})
 
         for r in rows:
+            if not r["text"]:
+                continue
             if not buf:
                 start, speaker = r["start_ms"], r["speaker"]
-            buf = f"{buf} {r['text']}".strip() if buf else r["text"]
+            buf = f"{buf} {r['text']}" if buf else r["text"]
             ids, end = [*ids, r["seg_id"]], r["end_ms"]
             if len(buf) >= least:
                 emit()
@@ -121,4 +123,4 @@ def buffered_chunks(segs: DataFrame, least: int = 800, tail: int = 150, tail_ids
             emit()
         return out
 
-    return per_recording(segs.select(REC, "seg_id", "speaker", "start_ms", "end_ms", "text"), fold, "chunk_id int, text string, segment_ids array<int>, start_ms long, end_ms long, speaker string")
+    return per_recording(segs.select(REC, "seg_id", "speaker", "start_ms", "end_ms", shown_text(segs).alias("text")), fold, "chunk_id int, text string, segment_ids array<int>, start_ms long, end_ms long, speaker string")

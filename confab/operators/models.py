@@ -69,18 +69,24 @@ def better_candidate(candidates: DataFrame, key: list[str]) -> DataFrame:
     return candidates.groupBy(*key).agg(F.max_by(F.struct(*own), F.struct("confidence", "preferred")).alias("c")).select(*key, "c.*")
 
 
-def multi_pass(turns: DataFrame) -> DataFrame:
-    """(key, text, confidence, kept) of turns heard twice (key, dur_ms, a_text, a_conf, b_text, b_conf).
+def multi_pass(turns: DataFrame, unsure: float = 0.3, short_ms: int = 800) -> DataFrame:
+    """(key, text, confidence, kept) of turns heard twice (key, dur_ms, a_text, a_conf, b_text, b_conf) and, with c_text and c_conf, in a wider window.
 
-    Only turns below 0.8 s with different words (Jaccard below 0.4) take the surer text; both unsure
-    (0.45) and below 0.5 s, they go.
+    Only turns below ``short_ms`` are arbitrated, where both hearings have text and their words differ (Jaccard below 0.4): the surer
+    one is taken; if both are below ``unsure`` and the turn below 0.5 s, it goes. What is then below 0.45 in a turn below 3 s takes the
+    wider hearing if that is surer. A turn without text goes.
     """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != ""))
     a, b = words(F.col("a_text")), words(F.col("b_text"))
     differ = F.size(F.array_intersect(a, b)) < 0.4 * F.greatest(F.size(F.array_union(a, b)), F.lit(1))
-    second = (F.col("dur_ms") < 800) & differ & (F.col("b_conf") > F.col("a_conf"))
-    kept = ~((F.col("a_conf") < 0.45) & (F.col("b_conf") < 0.45) & (F.col("dur_ms") < 500))
-    return turns.select("key", F.when(second, F.col("b_text")).otherwise(F.col("a_text")).alias("text"), F.when(second, F.col("b_conf")).otherwise(F.col("a_conf")).alias("confidence"), kept.alias("kept"))
+    judged = (F.col("dur_ms") < short_ms) & ~blank(F.col("a_text")) & ~blank(F.col("b_text")) & (F.col("a_text") != F.col("b_text")) & differ
+    second = judged & (F.col("b_conf") > F.col("a_conf"))
+    gone = judged & (F.greatest("a_conf", "b_conf") < unsure) & (F.col("dur_ms") < 500)
+    wide = [F.col(c) if c in turns.columns else F.lit(None) for c in ("c_text", "c_conf")]
+    rows = turns.select("key", "dur_ms", F.when(second, F.col("b_text")).otherwise(F.col("a_text")).alias("text"), F.when(second, F.col("b_conf")).otherwise(F.col("a_conf")).alias("confidence"), F.coalesce(gone, F.lit(False)).alias("_gone"), wide[0].cast("string").alias("c_text"), wide[1].cast("double").alias("c_conf"))
+    surer = F.coalesce(~blank(F.col("text")) & (F.col("confidence") < 0.45) & (F.col("dur_ms") < 3000) & ~blank(F.col("c_text")) & (F.col("c_conf") > F.col("confidence")), F.lit(False))
+    return rows.select("key", F.when(surer, F.col("c_text")).otherwise(F.col("text")).alias("text"), F.when(surer, F.col("c_conf")).otherwise(F.col("confidence")).alias("confidence"), (~F.col("_gone") & ~blank(F.col("text"))).alias("kept"))
 
 
 def ambiguous(segs: DataFrame, below_ms: int = 800, reach: int = 2, most: int = 8) -> DataFrame:
@@ -105,17 +111,21 @@ def named_speakers(replies: DataFrame) -> DataFrame:
 
 
 def retry_contexts(rows: DataFrame) -> DataFrame:
-    """Translations scored 2 or less (recording_id, seg_id, text, text_pl, score) with two rows before and one after."""
-    w = by_id()
-    context = F.concat_ws("\n", F.lag("text", 2).over(w), F.lag("text", 1).over(w), "text", F.lead("text", 1).over(w))
+    """Translations scored 2 or less (recording_id, seg_id, text, text_pl, score) with two rows before and one after.
+
+    The rows around are shown as they are translated, where they are; the row itself is the original.
+    """
+    shown, w = F.coalesce(F.nullif("text_pl", F.lit("")), F.nullif("text", F.lit(""))), by_id()
+    context = F.concat_ws("\n", F.lag(shown, 2).over(w), F.lag(shown, 1).over(w), "text", F.lead(shown, 1).over(w))
     return rows.withColumn("context", context).filter("score <= 2").select(REC, "seg_id", "context")
 
 
 def applied_retries(rows: DataFrame, retries: DataFrame) -> DataFrame:
-    """A retried translation counts if it is neither blank nor the original."""
-    good = retries.filter(F.trim("retry") != "").select(REC, "seg_id", "retry")
+    """``rows`` with retried translations (recording_id, seg_id, retry), trimmed, where they are neither blank nor, case aside, the original."""
+    good = retries.withColumn("retry", F.trim("retry")).filter("retry <> ''").select(REC, "seg_id", "retry")
     rows = rows.join(good, [REC, "seg_id"], "left")
-    return rows.withColumn("text_pl", F.when(F.col("retry") != F.col("text"), F.col("retry")).otherwise(F.col("text_pl"))).drop("retry")
+    return rows.withColumn("text_pl", F.when(F.lower("retry") != F.lower("text"), F.col("retry")).otherwise(F.col("text_pl"))).drop("retry")
+
 
 
 def guarded_merges(pairs: DataFrame, least: float = 0.99) -> DataFrame:

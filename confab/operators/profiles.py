@@ -112,13 +112,14 @@ def rate_label(rate: Column) -> Column:
 def remapped_fragment(fragment: DataFrame, known: DataFrame, least: float = 0.75) -> DataFrame:
     """(recording_id, raw, label): a fragment's speakers by most similar known one, else the next free numbers.
 
-    ``fragment`` has recording_id, raw and vector; ``known`` recording_id, label and vector. Of equally
+    ``fragment`` has recording_id, raw, vector and, with it, first, by which new numbers are given: the
+    place where a speaker is first heard (else by name); ``known`` recording_id, label and vector. Of equally
     similar ones the first label holds. Both are the few speakers of a recording, which bounds the pairs.
     """
     pairs = fragment.select(REC, "raw", F.col("vector").alias("x")).join(known.select(REC, "label", F.col("vector").alias("y")), REC)
     best = pairs.groupBy(REC, "raw").agg(F.min(F.struct((-F.round(cosine(F.col("x"), F.col("y")), 6)).alias("s"), F.col("label"))).alias("b"))
-    rows = fragment.select(REC, "raw").join(best, [REC, "raw"], "left").withColumn("found", F.when(F.col("b.s") <= -least, F.col("b.label")))
+    rows = fragment.select(REC, "raw", (F.col("first") if "first" in fragment.columns else F.col("raw")).alias("_first")).join(best, [REC, "raw"], "left").withColumn("found", F.when(F.col("b.s") <= -least, F.col("b.label")))
     used = known.groupBy(REC).agg(F.max(F.regexp_extract("label", r"(\d+)$", 1).try_cast("int")).alias("top"))
-    nth = F.row_number().over(Window.partitionBy(REC, F.col("found").isNull()).orderBy("raw"))
+    nth = F.row_number().over(Window.partitionBy(REC, F.col("found").isNull()).orderBy("_first", "raw"))
     rows = rows.join(used, REC, "left").withColumn("label", F.coalesce("found", F.format_string(LABEL, F.coalesce("top", F.lit(0)) + nth)))
     return rows.select(REC, "raw", "label")

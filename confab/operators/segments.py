@@ -28,6 +28,12 @@ def so_far():
     return by_id().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def shown_text(segs: DataFrame) -> Column:
+    """The translation where there is one, else the text; trimmed, never null."""
+    own = F.col("text") if "text_pl" not in segs.columns else F.coalesce(F.nullif("text_pl", F.lit("")), F.col("text"))
+    return F.trim(F.coalesce(own, F.lit("")))
+
+
 def joined_text(order: str = "seg_id", text: str = "text", sep: str = " ") -> Column:
     """Texts of a group in order, joined."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), sep)
@@ -146,11 +152,18 @@ def gap_speakers(segs: DataFrame, gap_ms: int = 1500, speakers: int = 6) -> Data
 
 
 def overlap_flags(turns: DataFrame) -> DataFrame:
-    """(recording_id, turn_idx, overlapping, overlap_with, overlap_sec) against the turn before only."""
+    """(recording_id, turn_idx, overlapping, overlap_with, overlap_sec) against the turn before only.
+
+    The overlap is counted to the end of the turn before, even where this one ends earlier; that turn's speaker is named
+    by the label of their talk time, ties to the first heard.
+    """
     w = Window.partitionBy(REC).orderBy("start_ms", "turn_idx")
-    end, who = F.lag("end_ms").over(w), F.lag("speaker_raw").over(w)
+    talk = turns.groupBy(REC, "speaker_raw").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.min(F.struct("start_ms", "turn_idx")).alias("first"))
+    labels = talk.select(REC, "speaker_raw", F.format_string(LABEL, F.row_number().over(Window.partitionBy(REC).orderBy(F.desc("ms"), "first"))).alias("_label"))
+    rows = turns.join(labels, [REC, "speaker_raw"])
+    end, who = F.lag("end_ms").over(w), F.lag("_label").over(w)
     flag = F.coalesce(F.col("start_ms") < end, F.lit(False))
-    return turns.select(REC, "turn_idx", flag.alias("overlapping"), F.when(flag, who).alias("overlap_with"), F.when(flag, F.round((F.least(end, F.col("end_ms")) - F.col("start_ms")) / 1000.0, 3)).alias("overlap_sec"))
+    return rows.select(REC, "turn_idx", flag.alias("overlapping"), F.when(flag, who).alias("overlap_with"), F.when(flag, F.round((end - F.col("start_ms")) / 1000.0, 3)).alias("overlap_sec"))
 
 
 def min_speaker_share(turns: DataFrame) -> DataFrame:

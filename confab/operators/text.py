@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from confab.functions.text import clock
 from confab.operators.jumps import first_at_least, indexed, numbered, reached, running
-from confab.operators.segments import REC, joined_text
+from confab.operators.segments import REC, joined_text, shown_text
 from confab.sources.storage import written
 
 
@@ -65,7 +65,8 @@ def char_windows(texts: DataFrame, width: int = 6000, most: int = 6, overlap: in
 
 
 def transcripts(segs: DataFrame) -> DataFrame:
-    return segs.groupBy(REC).agg(joined_text().alias("text"))
+    """(recording_id, text): what is shown of each row, in order; a blank row leaves its space."""
+    return segs.select(REC, "seg_id", shown_text(segs).alias("text")).groupBy(REC).agg(joined_text().alias("text"))
 
 
 def merged_entities(found: DataFrame, keep_order: bool = False, keywords: int = 20) -> DataFrame:

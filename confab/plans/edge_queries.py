@@ -128,10 +128,19 @@ def _hits(segs):
     return retrieval.hit_segments(hits, chunks)
 
 
+def _cut_stream(events):
+    """Each user's events as one stream of lines, cut every 7 to 23 bytes; the last line lacks its end, every fifth is no event."""
+    line = F.concat(F.when(F.col("event_id") % 5 == 0, ": ").otherwise("data: "), F.lit('{"type": "'), "event_type", F.lit('", "name": "gł'), "event_id", F.lit('"}'))
+    body = events.groupBy(F.col("user_id").alias("stream")).agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n"), "UTF-8").alias("b"))
+    step = (7 + F.col("stream") % 17).cast("int")
+    cut = body.select("stream", "b", step.alias("s"), F.posexplode(F.sequence(F.lit(1), F.length("b"), step)).alias("pos", "at"))
+    return cut.select("stream", "pos", F.expr("substring(b, at, s)").alias("data"))
+
+
 def _edited(segs, words):
-    own = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda w: F.struct(F.concat(F.when(w["word_idx"] > 0, " ").otherwise(""), w["word"]).alias("text"), F.array(F.lit("alt")).alias("alternatives")))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda w: F.struct(F.concat(F.when(w["word_idx"] % 2 == 1, "\t ").when(w["word_idx"] > 0, " ").otherwise(""), w["word"]).alias("text"), F.array(F.lit("alt")).alias("alternatives")))
     rows = words.groupBy(REC, "seg_id").agg(own.alias("words"))
-    return st.edited_word(rows, 1, "EDIT").select(REC, "seg_id", "text", F.aggregate("words", F.lit(0), lambda a, w: a + F.size(w["alternatives"])).alias("n_alternatives"))
+    return st.edited_word(rows, 1, " EDIT ").select(REC, "seg_id", "text", "text_pl", F.aggregate("words", F.lit(0), lambda a, w: a + F.size(w["alternatives"])).alias("n_alternatives"))
 
 
 def _overwritten(conv):
@@ -145,6 +154,7 @@ QUERIES = {
     "transcript_rejects": _segs(lambda s: tr.rejected(_documents(s, True))),
     "timestamps": _events(lambda e: e.select("event_id", t.seconds_of(F.expr("CASE event_id % 5 WHEN 0 THEN concat_ws(':', event_id % 30, event_id % 60, event_id % 59) WHEN 1 THEN concat_ws(':', event_id % 60, event_id % 59) WHEN 2 THEN concat(event_id % 59, '.5') WHEN 3 THEN 'N/A' ELSE '' END")).alias("seconds"))),
     "speaker_numbering": _segs(lambda s: tr.numbered_speakers(s.withColumn("text", F.when(F.col("seg_id") % 6 == 0, " ").otherwise(F.col("text"))))),
+    "event_stream_chunks": _events(lambda e: tr.event_lines(tr.stitched_lines(_cut_stream(e)))),
     "event_stream_lines": _events(lambda e: tr.event_lines(_lines(e))),
     "chat_stream_text": _segs(_deltas),
     "memories_saved": _events(lambda e: tr.saved_memories(_memories(e, 0), _memories(e, 1))),
@@ -180,6 +190,7 @@ ORACLES = {
     "transcript_rejects": _sql("SELECT DISTINCT recording_id, 'no array of segments' AS error FROM segments WHERE recording_id % 10 = 9"),
     "timestamps": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 30 * 3600 + event_id % 60 * 60 + event_id % 59 WHEN 1 THEN event_id % 60 * 60 + event_id % 59 WHEN 2 THEN event_id % 59 + 0.5 ELSE 0 END::DOUBLE AS seconds FROM events",
     "speaker_numbering": _sql("SELECT recording_id, seg_id, label, text FROM segments JOIN (SELECT recording_id, speaker, printf('GŁOS_%02d', row_number() OVER (PARTITION BY recording_id ORDER BY min(seg_id))) AS label FROM segments GROUP BY recording_id, speaker) USING (recording_id, speaker) WHERE seg_id % 6 <> 0"),
+    "event_stream_chunks": """SELECT '{"type": "' || event_type || '", "name": "gł' || event_id || '"}' AS value, event_type AS type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE event_id % 5 > 0 AND r > 1""",
     "event_stream_lines": """SELECT '{"type": "' || event_type || '", "id": ' || event_id || '}' AS value, event_type AS type FROM events WHERE event_id % 3 = 0""",
     "chat_stream_text": _sql("SELECT recording_id AS stream, string_agg(text, '' ORDER BY seg_id) AS content FROM segments WHERE seg_id % 5 <> 4 GROUP BY recording_id"),
     "memories_saved": f"SELECT id, created, observation, importance FROM (SELECT *, row_number() OVER (PARTITION BY left(lower(trim(observation)), 80) ORDER BY new_, created, id) AS r FROM ({_MEM})) WHERE r = 1 ORDER BY created DESC, id DESC LIMIT 50",
@@ -195,11 +206,11 @@ ORACLES = {
     "identified_speakers": _sql("SELECT DISTINCT recording_id, 'user' AS speaker, CASE WHEN recording_id % 3 = 0 THEN 'Ada' ELSE 'Bob' END AS name FROM segments WHERE recording_id % 3 < 2"),
     "segment_translation": _sql("SELECT recording_id, seg_id, 'PL ' || text AS text_pl FROM segments"),
     "model_replies": "SELECT event_id, CASE WHEN event_id % 7 <> 3 THEN upper(event_type || event_id % 7) END AS reply FROM events",
-    "quality_verdicts": _sql("SELECT recording_id, round(avg(s), 4) AS average, arg_min(seg_id, s * 100000 + seg_id) AS worst, count(*) >= 3 AND round(avg(s), 4) < 3.5 AS retranslate FROM (SELECT *, (seg_id * 7 + recording_id) % 5 + 1 AS s FROM segments) GROUP BY recording_id"),
+    "quality_verdicts": _sql("SELECT recording_id, round(avg(s), 4) AS average, arg_min(seg_id, s * 100000 + seg_id) AS worst, round(avg(s), 4) < 3.0 AS retranslate, round(avg(s), 4) < 3.5 AS recommended FROM (SELECT *, (seg_id * 7 + recording_id) % 5 + 1 AS s FROM segments) GROUP BY recording_id"),
     "prompt_texts": _sql("SELECT recording_id, 'List people, places, organisations, dates and keywords as JSON:' || chr(10) || substr(string_agg(text, ' ' ORDER BY seg_id), 1, 4000) AS prompt FROM segments GROUP BY recording_id"),
     "json_extracts": """SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN '{"a": {"b": ' || event_id || '}}' END AS "outer", CASE WHEN event_id % 3 <> 1 THEN '{"b": ' || event_id || '}' END AS "inner" FROM events""",
     "embedded_chunks": _sql("SELECT c.recording_id, CAST(chunk_id AS INT) AS chunk_id, length(string_agg(text, ' ' ORDER BY s.seg_id))::DOUBLE AS first FROM chunks_ c JOIN segments s ON s.recording_id = c.recording_id AND s.seg_id BETWEEN first_idx AND last_idx GROUP BY c.recording_id, chunk_id", _CHUNKS).replace("WITH ", "WITH RECURSIVE ", 1),
     "hit_segments": _sql("SELECT query_id, seg_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, seg_id ORDER BY score DESC, vec_id) AS r FROM (SELECT recording_id AS query_id, seg_id AS vec_id, CAST(seg_id // 3 AS INT) AS seg_id, seg_id * 7 % 10 / 10.0::DOUBLE AS score FROM segments WHERE seg_id % 6 <> 5)) WHERE r = 1"),
-    "edited_words": _sql("SELECT recording_id, seg_id, trim(string_agg(CASE WHEN word_idx > 0 THEN ' ' ELSE '' END || CASE WHEN word_idx = 1 THEN 'EDIT' ELSE word END, '' ORDER BY word_idx)) AS text, CAST(count(*) FILTER (word_idx <> 1) AS INT) AS n_alternatives FROM words GROUP BY recording_id, seg_id"),
+    "edited_words": _sql("SELECT *, text AS text_pl FROM (SELECT recording_id, seg_id, trim(string_agg(CASE WHEN word_idx % 2 = 1 THEN chr(9) || ' ' WHEN word_idx > 0 THEN ' ' ELSE '' END || CASE WHEN word_idx = 1 THEN 'EDIT' ELSE word END, '' ORDER BY word_idx)) AS text, CAST(count(*) FILTER (word_idx <> 1) AS INT) AS n_alternatives FROM words GROUP BY recording_id, seg_id)"),
     "chat_overwrite": "SELECT conv_id AS recording_id, turn AS pos, role, CASE WHEN conv_id % 2 = 0 AND role = 'assistant' AND turn = max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) THEN 'new' ELSE text END AS content FROM conversations",
 }

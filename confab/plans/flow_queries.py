@@ -24,7 +24,7 @@ def _fragments(spark, d):
     """Of each recording's 20 voices the first 8 are known, the others are a fragment's."""
     v, nth = in_recordings(c.table(spark, d, "embeddings")), F.col("vec_id") % 20
     known = v.filter(nth < 8).select("recording_id", F.format_string("GŁOS_%02d", nth + 1).alias("label"), F.col("embedding").alias("vector"))
-    heard = v.filter(nth >= 8).select("recording_id", F.concat(F.lit("raw"), F.col("vec_id").cast("string")).alias("raw"), F.col("embedding").alias("vector"))
+    heard = v.filter(nth >= 8).select("recording_id", F.concat(F.lit("raw"), F.col("vec_id").cast("string")).alias("raw"), F.col("embedding").alias("vector"), (-F.col("vec_id")).alias("first"))
     return profiles.remapped_fragment(heard, known, 0.3)
 
 
@@ -54,10 +54,15 @@ def _pairs(segs):
     return rows
 
 
+def _half_translated(segs):
+    """Two of three rows are translated, two of five translations are scored 2 or less."""
+    return segs.withColumns({"score": F.col("seg_id") % 5 + 1, "text_pl": F.when(F.col("seg_id") % 3 == 0, "").otherwise(F.concat(F.lit("PL "), "text"))})
+
+
 def _twice(segs):
     """The second hearing doubles the first word or hears something else; confidences by position."""
     key = F.col("recording_id") * 1000 + F.col("seg_id")
-    return segs.select(key.alias("key"), (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"), F.col("text").alias("a_text"), ((key * 7) % 100 / 100.0).alias("a_conf"), F.when(key % 2 == 0, F.lit("quite other words")).otherwise(F.col("text")).alias("b_text"), ((key * 13) % 100 / 100.0).alias("b_conf"))
+    return segs.select(key.alias("key"), (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"), F.col("text").alias("a_text"), ((key * 7) % 100 / 100.0).alias("a_conf"), F.when(key % 2 == 0, F.lit("quite other words")).otherwise(F.col("text")).alias("b_text"), ((key * 13) % 100 / 100.0).alias("b_conf"), F.concat("text", F.lit(" again")).alias("c_text"), ((key * 31) % 100 / 100.0).alias("c_conf"))
 
 
 def _profiles(segs):
@@ -87,7 +92,8 @@ QUERIES = {
     "merged_speakers": _segs(lambda x: asr.merged_speakers(x, _pairs(x))),
     "energy_speakers": _segs(lambda x: s.energy_speakers(x.withColumn("energy", (F.col("seg_id") * 37 % 11).cast("double")))),
     "quote_lines": _segs(s.quote_lines),
-    "retranslate_context": _segs(lambda x: m.retry_contexts(x.withColumn("score", F.col("seg_id") % 5 + 1))),
+    "retranslate_context": _segs(lambda x: m.retry_contexts(_half_translated(x))),
+    "retranslated_rows": _segs(lambda x: m.applied_retries(_half_translated(x), _half_translated(x).filter("score <= 2").select("recording_id", "seg_id", F.expr("CASE seg_id % 3 WHEN 0 THEN ' ' || lower(text) || ' ' WHEN 1 THEN ' ' ELSE ' anew ' || text || ' ' END").alias("retry"))).select("recording_id", "seg_id", "text_pl")),
     "unsure_words": _segs(lambda x: s.unsure_words(c.words(x))),
     "multi_pass_choice": _segs(lambda x: m.multi_pass(_twice(x))),
     "best_candidate": lambda spark, d: m.better_candidate(c.table(spark, d, "events").select("user_id", "event_id", F.round("value", 1).alias("confidence"), (F.col("event_id") * -1).alias("preferred")), ["user_id"]).select("user_id", "event_id", "confidence"),
@@ -113,7 +119,7 @@ FROM (SELECT c_custkey, CASE WHEN f > 250 THEN 'dziecko' WHEN f >= 165 THEN 'zen
     "fragment_remap": f"""WITH heard AS (SELECT * FROM embeddings WHERE vec_id % 20 >= 8), known AS (SELECT * FROM embeddings WHERE vec_id % 20 < 8), best AS (SELECT vec_id // 20 AS recording_id, 'raw' || vec_id AS raw, found, s FROM (
     SELECT a.vec_id, printf('GŁOS_%02d', b.vec_id % 20 + 1) AS found, round({_REMAP}, 6) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_REMAP}, 6) DESC, b.vec_id) AS r FROM heard a LEFT JOIN known b ON a.vec_id // 20 = b.vec_id // 20) WHERE r = 1),
   tops AS (SELECT vec_id // 20 AS recording_id, max(vec_id % 20 + 1) AS top FROM known GROUP BY 1)
-SELECT recording_id, raw, CASE WHEN s >= 0.3 THEN found ELSE printf('GŁOS_%02d', coalesce(top, 0) + row_number() OVER (PARTITION BY recording_id, coalesce(s >= 0.3, false) ORDER BY raw)) END AS label FROM best LEFT JOIN tops USING (recording_id)""",
+SELECT recording_id, raw, CASE WHEN s >= 0.3 THEN found ELSE printf('GŁOS_%02d', coalesce(top, 0) + row_number() OVER (PARTITION BY recording_id, coalesce(s >= 0.3, false) ORDER BY CAST(raw[4:] AS BIGINT) DESC)) END AS label FROM best LEFT JOIN tops USING (recording_id)""",
     "index_entries": _sql("SELECT c.recording_id, CAST(chunk_id AS INT) AS chunk_id, string_agg(text, ' ' ORDER BY s.seg_id) AS text, string_agg(CAST(s.seg_id AS VARCHAR), ',' ORDER BY s.seg_id) AS segment_ids FROM chunks_ c JOIN segments s ON s.recording_id = c.recording_id AND s.seg_id BETWEEN first_idx AND last_idx WHERE chunk_id < 300 GROUP BY c.recording_id, chunk_id", _CHUNKS).replace("WITH ", "WITH RECURSIVE ", 1),
     "map_reduce_summary": _sql("SELECT recording_id, substr('S ' || substr(CASE WHEN ms <= 1800000 OR length(t) <= 6000 THEN t ELSE 'S ' || substr(t, 1, 40) || chr(10) || 'line' || chr(10) || 'more' END, 1, 40), 1, 300) || ' line more' AS summary FROM (SELECT recording_id, max(end_ms) AS ms, string_agg(text, ' ' ORDER BY seg_id) AS t FROM segments GROUP BY ALL)"),
     "ambiguous_segments": _sql("SELECT recording_id, seg_id, context FROM (SELECT *, count(*) OVER (PARTITION BY recording_id) AS n FROM (SELECT *, array_to_string(list(speaker || ': ' || text) OVER (PARTITION BY recording_id ORDER BY seg_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), chr(10)) AS context FROM segments) WHERE end_ms - start_ms < 800 AND trim(text) <> '') WHERE n <= 30"),
@@ -126,10 +132,11 @@ WHERE low <= 0.99 AND cosine >= 0.99 AND recording_id % 11 <> 0 GROUP BY ALL""")
     "recogniser_prompts": _sql("SELECT recording_id, seg_id, coalesce(array_to_string(list(substr(text, 1, 120)) OVER (PARTITION BY recording_id ORDER BY seg_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' '), '') AS prompt FROM segments"),
     "energy_speakers": _sql("SELECT recording_id, seg_id, CAST(sum(ch) OVER (PARTITION BY recording_id ORDER BY seg_id) % 6 AS INT) AS speaker_no FROM (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w >= 1500 OR (e > 0 AND lag(e) OVER w > 0 AND greatest(e, lag(e) OVER w) >= 4 * least(e, lag(e) OVER w)) THEN 1 ELSE 0 END AS ch FROM (SELECT *, seg_id * 37 % 11 AS e FROM segments) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id))"),
     "quote_lines": _sql("SELECT recording_id, substr(string_agg('[' || (start_ms // 60000) || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') || ' ' || speaker || '] ' || text, chr(10) ORDER BY seg_id), 1, 3000) AS block FROM (SELECT *, max(end_ms) OVER (PARTITION BY recording_id) AS m FROM segments) WHERE m >= 300000 AND seg_id < 60 GROUP BY recording_id"),
-    "retranslate_context": _sql("SELECT * FROM (SELECT recording_id, seg_id, concat_ws(chr(10), lag(text, 2) OVER w, lag(text) OVER w, text, lead(text) OVER w) AS context FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id)) WHERE seg_id % 5 < 2"),
+    "retranslate_context": _sql("SELECT * FROM (SELECT recording_id, seg_id, concat_ws(chr(10), lag(shown, 2) OVER w, lag(shown) OVER w, text, lead(shown) OVER w) AS context FROM (SELECT *, CASE WHEN seg_id % 3 = 0 THEN text ELSE 'PL ' || text END AS shown FROM segments) WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id)) WHERE seg_id % 5 < 2"),
+    "retranslated_rows": _sql("SELECT recording_id, seg_id, CASE WHEN seg_id % 5 < 2 AND seg_id % 3 = 2 THEN 'anew ' || text WHEN seg_id % 3 > 0 THEN 'PL ' || text ELSE '' END AS text_pl FROM segments"),
     "unsure_words": _sql("SELECT recording_id, seg_id, count(*) AS n, string_agg(word, ' ' ORDER BY word_idx) AS marked FROM words WHERE prob_pct < 40 GROUP BY recording_id, seg_id"),
-    "multi_pass_choice": _sql(r"""SELECT key, CASE WHEN second THEN 'quite other words' ELSE text END AS text, CASE WHEN second THEN b ELSE a END AS confidence, NOT (a < 0.45 AND b < 0.45 AND dur < 500) AS kept FROM (SELECT *, dur < 800 AND key % 2 = 0 AND b > a AND len(list_intersect(ws, ['quite', 'other', 'words'])) < 0.4 * len(list_distinct(list_concat(ws, ['quite', 'other', 'words']))) AS second
-  FROM (SELECT recording_id * 1000 + seg_id AS key, end_ms - start_ms AS dur, text, (recording_id * 1000 + seg_id) * 7 % 100 / 100.0::DOUBLE AS a, (recording_id * 1000 + seg_id) * 13 % 100 / 100.0::DOUBLE AS b, list_distinct(regexp_split_to_array(lower(trim(text)), '\s+')) AS ws FROM segments))""".replace("\\\\", "\\")),
+    "multi_pass_choice": _sql(r"""SELECT key, CASE WHEN wide THEN text || ' again' WHEN second THEN 'quite other words' ELSE text END AS text, CASE WHEN wide THEN c ELSE chosen END AS confidence, NOT (judged AND greatest(a, b) < 0.3 AND dur < 500) AS kept FROM (SELECT *, chosen < 0.45 AND dur < 3000 AND c > chosen AS wide FROM (SELECT *, judged AND b > a AS second, CASE WHEN judged AND b > a THEN b ELSE a END AS chosen FROM (SELECT *, dur < 800 AND key % 2 = 0 AND len(list_intersect(ws, ['quite', 'other', 'words'])) < 0.4 * len(list_distinct(list_concat(ws, ['quite', 'other', 'words']))) AS judged
+  FROM (SELECT recording_id * 1000 + seg_id AS key, end_ms - start_ms AS dur, text, (recording_id * 1000 + seg_id) * 7 % 100 / 100.0::DOUBLE AS a, (recording_id * 1000 + seg_id) * 13 % 100 / 100.0::DOUBLE AS b, (recording_id * 1000 + seg_id) * 31 % 100 / 100.0::DOUBLE AS c, list_distinct(regexp_split_to_array(lower(trim(text)), '\s+')) AS ws FROM segments))))""".replace("\\\\", "\\")),
     "best_candidate": "SELECT user_id, event_id, round(value, 1) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 1) DESC, event_id) AS r FROM events) WHERE r = 1",
     "speaker_profiles": _sql("SELECT recording_id, speaker, count(*) AS n_segments, CASE WHEN speaker <> 'system' THEN 'Kobieta_' || row_number() OVER (PARTITION BY recording_id ORDER BY speaker) END AS display, coalesce(max(end_ms - start_ms) FILTER (end_ms - start_ms > 9000), 0) AS longest_ms FROM segments GROUP BY recording_id, speaker"),
     "probe_summary": "SELECT recording_id, confidence, language, CASE WHEN confidence < 0.6 THEN 'large' WHEN confidence < 0.75 THEN 'context' ELSE 'none' END AS suggestion FROM (SELECT user_id AS recording_id, round(avg(event_id % 100 / 100.0::DOUBLE), 4) AS confidence FROM events GROUP BY ALL) JOIN (SELECT user_id AS recording_id, event_type AS language FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1) USING (recording_id)",

@@ -71,7 +71,7 @@ _BUFFER = walk(
     "v",
     "CAST('' AS VARCHAR) AS buf, CAST([] AS INT[]) AS ids, CAST(0 AS BIGINT) AS start_ms, CAST(0 AS BIGINT) AS end_ms, CAST('' AS VARCHAR) AS speaker, CAST(0 AS INT) AS n, CAST(NULL AS VARCHAR) AS out_, CAST([] AS INT[]) AS out_ids, CAST(0 AS BIGINT) AS out_start",
     """SELECT recording_id, seg_id, CASE WHEN full_ THEN right(t, 150) ELSE t END, CASE WHEN full_ THEN i[-3:] ELSE i END, CASE WHEN full_ THEN end1 ELSE s END, end1, sp, n + CASE WHEN full_ THEN 1 ELSE 0 END, CASE WHEN full_ THEN trim(t) END, i, s FROM (
-    SELECT *, length(t) >= 800 AS full_ FROM (SELECT f.recording_id, f.seg_id, f.end_ms AS end1, w.n, CASE WHEN w.buf = '' THEN f.text ELSE trim(w.buf || ' ' || f.text) END AS t, list_append(w.ids, f.seg_id) AS i, CASE WHEN w.buf = '' THEN f.start_ms ELSE w.start_ms END AS s, CASE WHEN w.buf = '' THEN f.speaker ELSE w.speaker END AS sp FROM_))""",
+    SELECT *, length(t) >= 800 AS full_ FROM (SELECT f.recording_id, f.seg_id, f.end_ms AS end1, w.n, CASE WHEN w.buf = '' THEN f.text ELSE w.buf || ' ' || f.text END AS t, list_append(w.ids, f.seg_id) AS i, CASE WHEN w.buf = '' THEN f.start_ms ELSE w.start_ms END AS s, CASE WHEN w.buf = '' THEN f.speaker ELSE w.speaker END AS sp FROM_))""",
 )
 _VOTE = _votes("v", "segments", 3, 1000, False)
 _WIDE = _votes("v", "segments", 4, 1500, True)

@@ -154,7 +154,7 @@ FROM (SELECT recording_id, count(*) AS n_segments, count(*) FILTER (prob_sum < 5
     "seg_overlap_assign": _sql("SELECT recording_id, seg_id, assigned, carried FROM assign_", _OVER, _ASSIGN),
     "speaker_renumber": _sql(_talk("assign_ WHERE carried IS NOT NULL", "carried", "seg_id"), _OVER, _ASSIGN),
     "gap_speakers": _sql("SELECT recording_id, seg_id, CAST(sum(ch) OVER (PARTITION BY recording_id ORDER BY seg_id) % 6 AS INT) AS speaker_no FROM (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY recording_id ORDER BY seg_id) >= 1500 THEN 1 ELSE 0 END AS ch FROM segments)"),
-    "turn_overlap_flags": _sql("SELECT recording_id, turn_idx, coalesce(start_ms < e, false) AS overlapping, CASE WHEN start_ms < e THEN w_ END AS overlap_with, CASE WHEN start_ms < e THEN round((least(e, end_ms) - start_ms) / 1000.0, 3) END AS overlap_sec FROM (SELECT *, lag(end_ms) OVER w AS e, lag(speaker_raw) OVER w AS w_ FROM turns WINDOW w AS (PARTITION BY recording_id ORDER BY start_ms, turn_idx))"),
+    "turn_overlap_flags": _sql("SELECT recording_id, turn_idx, coalesce(start_ms < e, false) AS overlapping, CASE WHEN start_ms < e THEN w_ END AS overlap_with, CASE WHEN start_ms < e THEN round((e - start_ms) / 1000.0, 3) END AS overlap_sec FROM (SELECT *, lag(end_ms) OVER w AS e, lag(label) OVER w AS w_ FROM turns JOIN (SELECT recording_id, speaker_raw, printf('GŁOS_%02d', row_number() OVER (PARTITION BY recording_id ORDER BY ms DESC, s0, t0)) AS label FROM (SELECT recording_id, speaker_raw, sum(end_ms - start_ms) AS ms, min(start_ms) AS s0, arg_min(turn_idx, start_ms * 100000 + turn_idx) AS t0 FROM turns GROUP BY ALL)) USING (recording_id, speaker_raw) WINDOW w AS (PARTITION BY recording_id ORDER BY start_ms, turn_idx))"),
     "min_speaker_share": _sql("SELECT recording_id, round(coalesce(min(ms) / nullif(sum(ms), 0), 0), 6) AS min_share FROM (SELECT recording_id, speaker_raw, sum(end_ms - start_ms) AS ms FROM turns GROUP BY ALL) GROUP BY ALL"),
     "hallucination_filter": _sql("SELECT * FROM (SELECT recording_id, seg_id, CASE WHEN coalesce(n_words, 0) * 1000 > 12 * greatest(end_ms - start_ms, 50) AND end_ms - start_ms < 1000 THEN 'too_fast' WHEN prob_sum < 12 * n_words AND end_ms - start_ms < 2000 THEN 'unsure' WHEN prob_sum < 30 * n_words AND end_ms - start_ms < 1500 THEN 'low_confidence' END AS reason FROM segments LEFT JOIN conf USING (recording_id, seg_id)) WHERE reason IS NOT NULL", _CONF),
     "output_rows": _sql("SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY seg_id) - 1 AS INT) AS new_id, seg_id, speaker, text, CASE WHEN seg_id % 3 = 1 THEN 'pl ' || text ELSE text END AS text_pl FROM segments WHERE trim(text) <> ''"),

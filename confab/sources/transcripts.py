@@ -68,6 +68,27 @@ def numbered_speakers(rows: DataFrame) -> DataFrame:
     return rows.join(labels, ["recording_id", "speaker"]).filter(F.trim("text") != "").select("recording_id", "seg_id", "label", "text")
 
 
+def stitched_lines(chunks: DataFrame) -> DataFrame:
+    """(stream, line, value) of byte chunks (stream, pos, data) that cut a stream anywhere, inside characters too.
+
+    A chunk is cut at its line feeds. Its first piece goes on with the last piece of the chunk before, and so on: pieces of one line have one
+    number, the line feeds before them in the stream, and are joined by it. What follows the last line feed is no line yet. Bytes
+    that are no UTF-8 become replacement characters; an empty or null chunk changes nothing.
+    """
+    raw = F.decode("data", "ISO-8859-1")  # a character for each byte
+    rows = chunks.filter("data is not null").select("stream", "pos", F.split(raw, "\n", -1).alias("_p")).withColumn("_n", F.size("_p") - 1)
+    block = Window.partitionBy("stream", "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_b", F.floor(F.col("pos") / 4096))
+    before = Window.partitionBy("stream").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("stream", "_b").agg(F.sum("_n").alias("_s")).select("stream", "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_n").over(block), F.lit(0))).join(bases, ["stream", "_b"])
+    pieces = rows.select("stream", "pos", (F.col("_base") + F.col("_in")).alias("_at"), F.posexplode("_p").alias("_k", "_t"))
+    lines = pieces.groupBy("stream", (F.col("_at") + F.col("_k")).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_t"))), lambda x: x["_t"]), "").alias("_v"))
+    ended = rows.groupBy("stream").agg(F.sum("_n").alias("_ends"))
+    text = F.decode(F.encode("_v", "ISO-8859-1"), "UTF-8")
+    return lines.join(ended, "stream").filter(F.col("line") < F.col("_ends")).select("stream", "line", text.alias("value"))
+
+
 def event_lines(lines: DataFrame) -> DataFrame:
     """(value, type) of server-sent lines that start with ``data: `` and hold JSON; others are skipped."""
     body = lines.filter(F.col("value").startswith("data: ")).select(F.expr("substring(value, 7)").alias("value"))

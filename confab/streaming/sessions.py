@@ -49,10 +49,20 @@ def upserted(maps: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 
 def edited_word(rows: DataFrame, at: int, word: str) -> DataFrame:
-    """Replaces the word at ``at``, keeps its leading space, clears its alternatives and rebuilds the text."""
-    edit = lambda w, i: F.when(i == at, F.struct(F.concat(F.when(w["text"].startswith(" "), " ").otherwise(""), F.lit(word)).alias("text"), F.array().cast("array<string>").alias("alternatives"))).otherwise(F.struct(w["text"].alias("text"), w["alternatives"].alias("alternatives")))
+    """Replaces the word at ``at`` by ``word``, trimmed, behind the white space it had; clears its alternatives, rebuilds text and text_pl."""
+    new = lambda w: F.concat(F.regexp_extract(w["text"], r"(?U)^\s*", 0), F.regexp_replace(F.lit(word), r"(?U)^\s+|\s+$", ""))
+    edit = lambda w, i: F.when(i == at, F.struct(new(w).alias("text"), F.array().cast("array<string>").alias("alternatives"))).otherwise(F.struct(w["text"].alias("text"), w["alternatives"].alias("alternatives")))
     rows = rows.withColumn("words", F.transform("words", edit))
-    return rows.withColumn("text", F.trim(F.array_join(F.transform("words", lambda w: w["text"]), "")))
+    text = F.regexp_replace(F.array_join(F.transform("words", lambda w: w["text"]), ""), r"(?U)^\s+|\s+$", "")
+    return rows.withColumns({"text": text, "text_pl": text})
+
+
+def edited_text(rows: DataFrame, edits: DataFrame, key: list[str], order: str) -> DataFrame:
+    """``rows`` with text and text_pl of the last of ``edits`` (key, text, order) for each key; words and alternatives stay."""
+    last = edits.groupBy(*key).agg(F.max_by("text", order).alias("_new"))
+    rows = rows.join(last, key, "left")
+    old = F.col("text_pl") if "text_pl" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumns({"text_pl": F.coalesce("_new", old), "text": F.coalesce("_new", "text")}).drop("_new")
 
 
 def running_index(chunks: DataFrame, key: str, order: str, size: str) -> DataFrame:

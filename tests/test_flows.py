@@ -64,7 +64,7 @@ def test_summaries_of_short_and_long_texts(spark):
 
 def test_verdicts(spark):
     scores = spark.createDataFrame([(1, 0, 1), (1, 1, 4), (1, 2, 4), (2, 0, 1)], "recording_id long, seg_id int, score int")
-    assert sorted(tuple(r) for r in flows.quality_verdict(scores).collect()) == [(1, 3.0, 0, True), (2, 1.0, 0, False)]
+    assert sorted(tuple(r) for r in flows.quality_verdict(scores).collect()) == [(1, 3.0, 0, False, True), (2, 1.0, 0, True, True)]
 
 
 def test_recogniser_boundary_and_settings(spark):

@@ -13,7 +13,7 @@ def test_every_fragment_voice_is_named(spark):
     for rec in {i // 20 for i in unit}:
         known = [i for i in unit if i // 20 == rec and i % 20 < 8]
         new = max((i % 20 + 1 for i in known), default=0)
-        for raw in sorted(f"raw{i}" for i in unit if i // 20 == rec and i % 20 >= 8):
+        for raw in (f"raw{i}" for i in sorted(unit, reverse=True) if i // 20 == rec and i % 20 >= 8):  # the last row is heard first
             score, label = max(((round(float(unit[int(raw[3:])] @ unit[k]), 6), f"GŁOS_{k % 20 + 1:02d}") for k in known), default=(-1, ""))
             if score < 0.3:
                 new += 1
