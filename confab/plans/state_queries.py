@@ -8,6 +8,7 @@ from confab.operators import folds, signal, votes
 from confab.plans.segment_queries import _segs, _sql
 from confab.sources import conversations as c
 from confab.streaming import sessions as st
+from confab.streaming import stateful as live
 
 
 def _events(op):
@@ -45,6 +46,12 @@ def _levels(segs):
     return segs.select("recording_id", F.col("seg_id").alias("frame_idx"), F.when(F.col("seg_id") % 4 < 2, 0.001).otherwise((F.col("end_ms") - F.col("start_ms")) / 25000.0).alias("rms"))
 
 
+def _item_events(events):
+    """Each user is a session; event types say what is set, the value's first digits which item, every 31st event resets."""
+    kind = F.when(F.col("event_id") % 31 == 0, "reset").when(F.col("event_id") % 3 == 0, "append").when(F.col("event_id") % 3 == 1, "label").otherwise("translate")
+    return events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("s"), (F.floor("value") % 5).cast("string")).alias("item"), F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("value"))
+
+
 QUERIES = {
     "events_first_wins": _events(lambda e: st.first_wins(e, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")),
     "events_latest": _events(lambda e: st.latest(e.select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")),
@@ -54,6 +61,8 @@ QUERIES = {
     "running_index": _events(lambda e: st.running_index(e.select("user_id", "event_id", (F.col("event_id") % 5).alias("size")), "user_id", "event_id", "size")),
     "event_log": _events(lambda e: st.event_log(e.select("user_id", "event_id", "event_type"), "user_id", "event_id", ("click",))),
     "session_states": _events(st.session_states),
+    "stream_item_states": _events(lambda e: st.replayed(_item_events(e), live.item_changes, "update", 6, ["session", "item"]).filter("n_events > 0")),
+    "item_states": _events(lambda e: live.item_states(_item_events(e))),
     "stream_windowed_counts": _events(lambda e: st.replayed(e.select("ts", "event_type"), st.windowed_counts)),
     "neighbour_vote": _segs(votes.neighbour_vote),
     "refined_vote": _segs(votes.refined_vote),
@@ -75,7 +84,12 @@ QUERIES = {
 _LEVELS = "levels AS (SELECT recording_id, seg_id AS frame_idx, CASE WHEN seg_id % 4 < 2 THEN 0.001::DOUBLE ELSE (end_ms - start_ms) / 25000.0::DOUBLE END AS rms FROM segments)"
 _PCM = "pcm AS (SELECT recording_id, seg_id * 10 + i - 1 AS at_, abs(CASE WHEN seg_id % 5 = 0 THEN 0 ELSE (end_ms - start_ms) / 25000.0::DOUBLE END) AS x FROM segments, range(1, 11) r(i))"
 
+_ITEMS = """SELECT session, item, arg_min(value, seq) FILTER (kind = 'append') AS text, arg_min(value, seq) FILTER (kind = 'translate') AS text_pl, arg_max(value, seq) FILTER (kind = 'label') AS speaker, count(*) AS n_events FROM (SELECT *, max(seq) FILTER (kind = 'reset') OVER (PARTITION BY session) AS since FROM (
+  SELECT user_id AS session, event_id AS seq, CASE WHEN event_id % 31 = 0 THEN 'reset' WHEN event_id % 3 = 0 THEN 'append' WHEN event_id % 3 = 1 THEN 'label' ELSE 'translate' END AS kind, 's' || CAST(floor(value) % 5 AS INT) AS item, event_type || '-' || event_id AS value FROM events)) WHERE kind <> 'reset' AND seq > coalesce(since, -1) GROUP BY session, item"""
+
 ORACLES = {
+    "stream_item_states": _ITEMS,
+    "item_states": _ITEMS,
     "events_first_wins": "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL",
     "events_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL",
     "events_append_unseen": "SELECT event_id, user_id FROM events",
@@ -84,6 +98,8 @@ ORACLES = {
     "running_index": "SELECT user_id, event_id, event_id % 5 AS size, CAST(coalesce(sum(event_id % 5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_index FROM events",
     "event_log": "SELECT user_id, event_id, event_type, CAST(r AS INT) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_type <> 'click') WHERE r <= 12",
     "session_states": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s",
+    "stream_item_states": _events(lambda e: st.replayed(_item_events(e), live.item_changes, "update", 6, ["session", "item"]).filter("n_events > 0")),
+    "item_states": _events(lambda e: live.item_states(_item_events(e))),
     "stream_windowed_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "silence_regions": _sql("SELECT recording_id, min(frame_idx) * 1000 AS start_ms, (max(frame_idx) + 1) * 1000 AS end_ms FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS g FROM levels WHERE rms < 0.005) GROUP BY recording_id, g HAVING count(*) >= 2", _LEVELS),
     "speech_bounds": _sql("SELECT recording_id, CASE WHEN w THEN 0 ELSE greatest(0, a * 50 - 500) END AS start_ms, CASE WHEN w THEN n ELSE least(n, (b + 1) * 50 + 500) END AS end_ms FROM (SELECT *, a IS NULL OR n < 2000 AS w FROM (SELECT recording_id, min(frame_idx) FILTER (rms >= 0.01) AS a, max(frame_idx) FILTER (rms >= 0.01) AS b, (max(frame_idx) + 1) * 50 AS n FROM levels GROUP BY ALL))", _LEVELS),

@@ -6,12 +6,11 @@ same functions.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.sources.storage import scratch_path
+from confab.streaming.stateful import merged_log, run_stream
 
 
 def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -91,16 +90,14 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-def replayed(rows: DataFrame, transform, mode: str = "complete", files: int = 8) -> DataFrame:
+def replayed(rows: DataFrame, transform, mode: str = "complete", files: int = 8, key: list[str] | None = None) -> DataFrame:
     """Writes ``rows`` as ``files`` files, runs ``transform`` over them as a stream, several files a batch, to the end.
 
-    Gives what the stream's sink holds then, as a table. State and progress are kept in the shared folder.
+    Gives what the sink holds then: in complete mode the last batch, in update mode the last row of each ``key``. Sink, state and progress are
+    kept in the shared folder.
     """
     spark = rows.sparkSession
-    path, name = scratch_path(spark, "stream"), f"replay_{uuid.uuid4().hex}"
+    path, log = scratch_path(spark, "stream"), scratch_path(spark, "log")
     rows.repartition(files).write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 3)).parquet(path)
-    writer = transform(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch_path(spark, "progress"))
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    run_stream(path, rows.schema, transform, log, scratch_path(spark, "progress"), mode, max(1, files // 3))
+    return merged_log(spark, log, transform(rows).schema if mode == "complete" else spark.read.parquet(log).drop("batch").schema, key)
