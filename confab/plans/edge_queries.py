@@ -14,6 +14,7 @@ from confab.operators import text as x
 from confab.plans.segment_queries import _segs, _segs_words, _sql
 from confab.plans.text_queries import _CHUNKS
 from confab.sources import conversations as c
+from confab.sources import audio
 from confab.sources import transcripts as tr
 from confab.streaming import sessions as st
 
@@ -137,6 +138,15 @@ def _cut_stream(events):
     return cut.select("stream", "pos", F.expr("substring(b, at, s)").alias("data"))
 
 
+def _ranges(segs):
+    """A file for each speaker of a recording, a sample for each segment, read back in ranges of seven samples."""
+    own = segs.groupBy(REC, "speaker").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "end_ms", "start_ms"))), lambda x: (x["end_ms"] - x["start_ms"]).cast("int")).alias("pcm"))
+    paths = audio.write_waves(own.select(F.concat_ws("-", REC, "speaker").alias("name"), "pcm"))
+    rows = audio.read_ranges(segs.sparkSession, paths, 16_000, 7)
+    at = F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * 32768)).cast("long")
+    return rows.groupBy(F.regexp_extract("path", r"([^/]+)[.]wav$", 1).alias("name")).agg(F.count(F.lit(1)).alias("n_ranges"), F.sum(F.size("samples")).cast("long").alias("n_samples"), F.sum(at).alias("total"))
+
+
 def _edited(segs, words):
     own = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda w: F.struct(F.concat(F.when(w["word_idx"] % 2 == 1, "\t ").when(w["word_idx"] > 0, " ").otherwise(""), w["word"]).alias("text"), F.array(F.lit("alt")).alias("alternatives")))
     rows = words.groupBy(REC, "seg_id").agg(own.alias("words"))
@@ -154,6 +164,7 @@ QUERIES = {
     "transcript_rejects": _segs(lambda s: tr.rejected(_documents(s, True))),
     "timestamps": _events(lambda e: e.select("event_id", t.seconds_of(F.expr("CASE event_id % 5 WHEN 0 THEN concat_ws(':', event_id % 30, event_id % 60, event_id % 59) WHEN 1 THEN concat_ws(':', event_id % 60, event_id % 59) WHEN 2 THEN concat(event_id % 59, '.5') WHEN 3 THEN 'N/A' ELSE '' END")).alias("seconds"))),
     "speaker_numbering": _segs(lambda s: tr.numbered_speakers(s.withColumn("text", F.when(F.col("seg_id") % 6 == 0, " ").otherwise(F.col("text"))))),
+    "audio_ranges": _segs(_ranges),
     "event_stream_chunks": _events(lambda e: tr.event_lines(tr.stitched_lines(_cut_stream(e)))),
     "event_stream_lines": _events(lambda e: tr.event_lines(_lines(e))),
     "chat_stream_text": _segs(_deltas),
@@ -190,6 +201,7 @@ ORACLES = {
     "transcript_rejects": _sql("SELECT DISTINCT recording_id, 'no array of segments' AS error FROM segments WHERE recording_id % 10 = 9"),
     "timestamps": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 30 * 3600 + event_id % 60 * 60 + event_id % 59 WHEN 1 THEN event_id % 60 * 60 + event_id % 59 WHEN 2 THEN event_id % 59 + 0.5 ELSE 0 END::DOUBLE AS seconds FROM events",
     "speaker_numbering": _sql("SELECT recording_id, seg_id, label, text FROM segments JOIN (SELECT recording_id, speaker, printf('GŁOS_%02d', row_number() OVER (PARTITION BY recording_id ORDER BY min(seg_id))) AS label FROM segments GROUP BY recording_id, speaker) USING (recording_id, speaker) WHERE seg_id % 6 <> 0"),
+    "audio_ranges": _sql("SELECT recording_id || '-' || speaker AS name, CAST(ceil(count(*) / 7.0) AS BIGINT) AS n_ranges, count(*) AS n_samples, CAST(sum(end_ms - start_ms) AS BIGINT) AS total FROM segments GROUP BY recording_id, speaker"),
     "event_stream_chunks": """SELECT '{"type": "' || event_type || '", "name": "gł' || event_id || '"}' AS value, event_type AS type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE event_id % 5 > 0 AND r > 1""",
     "event_stream_lines": """SELECT '{"type": "' || event_type || '", "id": ' || event_id || '}' AS value, event_type AS type FROM events WHERE event_id % 3 = 0""",
     "chat_stream_text": _sql("SELECT recording_id AS stream, string_agg(text, '' ORDER BY seg_id) AS content FROM segments WHERE seg_id % 5 <> 4 GROUP BY recording_id"),

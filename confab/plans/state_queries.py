@@ -98,8 +98,6 @@ ORACLES = {
     "running_index": "SELECT user_id, event_id, event_id % 5 AS size, CAST(coalesce(sum(event_id % 5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_index FROM events",
     "event_log": "SELECT user_id, event_id, event_type, CAST(r AS INT) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_type <> 'click') WHERE r <= 12",
     "session_states": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s",
-    "stream_item_states": _events(lambda e: st.replayed(_item_events(e), live.item_changes, "update", 6, ["session", "item"]).filter("n_events > 0")),
-    "item_states": _events(lambda e: live.item_states(_item_events(e))),
     "stream_windowed_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "silence_regions": _sql("SELECT recording_id, min(frame_idx) * 1000 AS start_ms, (max(frame_idx) + 1) * 1000 AS end_ms FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS g FROM levels WHERE rms < 0.005) GROUP BY recording_id, g HAVING count(*) >= 2", _LEVELS),
     "speech_bounds": _sql("SELECT recording_id, CASE WHEN w THEN 0 ELSE greatest(0, a * 50 - 500) END AS start_ms, CASE WHEN w THEN n ELSE least(n, (b + 1) * 50 + 500) END AS end_ms FROM (SELECT *, a IS NULL OR n < 2000 AS w FROM (SELECT recording_id, min(frame_idx) FILTER (rms >= 0.01) AS a, max(frame_idx) FILTER (rms >= 0.01) AS b, (max(frame_idx) + 1) * 50 AS n FROM levels GROUP BY ALL))", _LEVELS),
