@@ -11,6 +11,7 @@ from confab.operators import folds, votes
 from confab.operators import segments as s
 from confab.operators.segments import REC
 from confab.operators.text import char_windows, sliding_chunks, transcripts
+from confab.sources.storage import written
 
 #: Parameters of a transcription that may be set: fixed values.
 PARAMETERS = (
@@ -39,6 +40,39 @@ def diarized(segs: DataFrame, turns: DataFrame) -> DataFrame:
     return rows.join(labels, [REC, "speaker"]).drop("speaker").withColumnRenamed("label", "speaker")
 
 
+def cut_pieces(segs: DataFrame, turns: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(recording_id, seg_id, source_id, start_ms, end_ms, text): segments cut at turn borders, numbered anew in order.
+
+    A piece has the words (recording_id, seg_id, word_idx, word, start_ms) that begin in it; without any, the first piece keeps the whole
+    text and later ones go. A segment that is not cut stays as it is.
+    """
+    cut = s.split_at_turns(segs, turns)
+    old = segs.select(REC, "seg_id", "text", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"))
+    rows = old.join(cut, [REC, "seg_id"]).withColumn("_whole", (F.col("start_ms") == F.col("_s")) & (F.col("end_ms") == F.col("_e")))
+    rows = rows.withColumn("_own", F.lit(None).cast("string"))
+    if words is not None:
+        met = words.select(REC, "seg_id", "word_idx", F.trim("word").alias("word"), F.col("start_ms").alias("_at")).join(cut, [REC, "seg_id"]).filter("_at >= start_ms and _at < end_ms")
+        rows = rows.drop("_own").join(met.groupBy(REC, "seg_id", "piece").agg(s.joined_text("word_idx", "word").alias("_own")), [REC, "seg_id", "piece"], "left")
+    text = F.when(F.col("_whole"), F.col("text")).otherwise(F.coalesce(F.trim("_own"), F.when(F.col("piece") == 0, F.col("text")), F.lit("")))
+    rows = rows.withColumn("text", text).filter((F.trim("text") != "") | (F.col("piece") == 0) | F.col("_whole"))
+    number = F.row_number().over(Window.partitionBy(REC).orderBy("seg_id", "piece")) - 1
+    return rows.select(REC, number.alias("_n"), F.col("seg_id").alias("source_id"), "start_ms", "end_ms", "text").withColumnRenamed("_n", "seg_id")
+
+
+def diarized_whole(segs: DataFrame, turns: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(recording_id, first_id, speaker, start_ms, end_ms, text): all passes of a diarization over ``segs``.
+
+    Cut at turn borders, assigned by overlap and carried over gaps, numbered by talk time, short pieces voted by their neighbours, blank ones
+    dropped, fragments of one sentence joined again. Numbers are given before the vote, as they stay. Without turns a recording has one speaker.
+    """
+    pieces = written(cut_pieces(segs, turns, words), "pieces")
+    rows = pieces.join(s.assign_speakers(pieces, turns).select(REC, "seg_id", F.col("carried").alias("speaker")), [REC, "seg_id"])
+    rows = rows.join(s.talk_time(rows).select(REC, "speaker", "label"), [REC, "speaker"]).drop("speaker").withColumnRenamed("label", "speaker")
+    voted = votes.neighbour_vote(rows).select(REC, "seg_id", F.col("speaker").alias("voted"))
+    rows = rows.join(voted, [REC, "seg_id"]).withColumn("speaker", F.col("voted")).filter(F.trim("text") != "")
+    return folds.sentence_fragments(rows).withColumn("text", F.trim("text"))
+
+
 def refined(segs: DataFrame, ask: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(recording_id, seg_id, speaker): vote, then bridges, then a model's answers that name known speakers."""
     from confab.operators.models import accepted_speakers, ambiguous

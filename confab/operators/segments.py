@@ -281,7 +281,7 @@ def recent_transcript(segs: DataFrame, last: int = 40, chars: int = 5000) -> Dat
 
 
 def split_at_turns(segs: DataFrame, turns: DataFrame, least_ms: int = 100, bin_ms: int = 60_000) -> DataFrame:
-    """(recording_id, seg_id, piece, start_ms, end_ms): segments cut at the midpoints between turns; slivers go."""
+    """(recording_id, seg_id, piece, start_ms, end_ms): segments cut at the midpoints between turns; slivers of a cut go, whole segments stay."""
     w = Window.partitionBy(REC).orderBy("start_ms", "turn_idx")
     cuts = turns.withColumn("next", F.lead("start_ms").over(w)).filter("next is not null").select(REC, F.expr("(end_ms + next) div 2").alias("cut"))
     cuts = cuts.withColumn("_bin", F.expr(f"cut div {bin_ms}"))
@@ -289,7 +289,7 @@ def split_at_turns(segs: DataFrame, turns: DataFrame, least_ms: int = 100, bin_m
     inside = inside.groupBy(REC, "seg_id").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     rows = segs.join(inside, [REC, "seg_id"], "left").withColumn("edges", F.concat(F.array("start_ms"), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array("end_ms")))
     pieces = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda i: F.struct(F.get("edges", i).alias("s"), F.get("edges", i + 1).alias("e"))))
-    rows = rows.select(REC, "seg_id", pieces.alias("piece", "p")).filter(F.col("p.e") - F.col("p.s") >= least_ms)
+    rows = rows.select(REC, "seg_id", "edges", pieces.alias("piece", "p")).filter((F.size("edges") == 2) | (F.col("p.e") - F.col("p.s") >= least_ms))
     return rows.select(REC, "seg_id", "piece", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"))
 
 

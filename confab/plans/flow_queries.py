@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from confab.operators import asr, flows, profiles, signal
@@ -72,7 +73,15 @@ def _profiles(segs):
     return profiles.profiles(base, names, features).withColumn("longest_ms", F.coalesce("longest_ms", F.lit(0)))
 
 
+def _timed_words(segs):
+    """Words spread evenly over their segment."""
+    n, span = F.count(F.lit(1)).over(Window.partitionBy("recording_id", "seg_id")), F.col("end_ms") - F.col("start_ms")
+    rows = c.words(segs).join(segs.select("recording_id", "seg_id", "start_ms", "end_ms"), ["recording_id", "seg_id"])
+    return rows.select("recording_id", "seg_id", "word_idx", "word", (F.col("start_ms") + F.floor(F.col("word_idx") * span / n)).alias("start_ms"))
+
+
 QUERIES = {
+    "diarization_plan": _segs_turns(lambda x, t: flows.diarized_whole(x, t, _timed_words(x))),
     "event_routing": lambda spark, d: flows.routed(c.table(spark, d, "events"), terminal=("purchase",)),
     "allowed_parameters": lambda spark, d: flows.allowed_parameters(c.table(spark, d, "events").select(F.col("event_id").alias("recording_id"), F.create_map(F.lit("temperature"), F.col("event_type"), F.lit("beam_size"), F.when(F.col("event_id") % 2 == 0, "5"), F.lit("secret"), F.lit("x")).alias("params"))).select("recording_id", F.explode("params").alias("name", "value")),
     "age_profiles": lambda spark, d: c.table(spark, d, "customer").select("c_custkey", signal.pitch_profile(F.when(F.col("c_custkey") % 9 != 0, 60 + F.col("c_custkey") % 300)).alias("p"), signal.calibrated_age(F.col("c_custkey") % 90).alias("model_age")).select("c_custkey", "p.gender", F.round("p.age", 6).alias("age"), "p.age_group", F.col("model_age").cast("long").alias("model_age")),
