@@ -203,13 +203,20 @@ def reassign_by_overlap(segs: DataFrame, turns: DataFrame) -> DataFrame:
     return segs.join(best, [REC, "seg_id"], "left").select(REC, "seg_id", F.coalesce("found", "speaker").alias("speaker"))
 
 
-def speakers_overlap(segs: DataFrame, tolerance_ms: int = 200, bin_ms: int = 60_000) -> DataFrame:
-    """(recording_id, a, b): speakers with intervals that overlap by more than the tolerance."""
-    rows = binned(segs.select(REC, "speaker", "start_ms", "end_ms"), bin_ms)
-    a = rows.select(REC, "_bin", F.col("speaker").alias("a"), F.col("start_ms").alias("a0"), F.col("end_ms").alias("a1"))
-    b = rows.select(REC, "_bin", F.col("speaker").alias("b"), F.col("start_ms").alias("b0"), F.col("end_ms").alias("b1"))
-    both = a.join(b, [REC, "_bin"]).filter((F.col("a") < F.col("b")) & (F.least("a1", "b1") - F.greatest("a0", "b0") > tolerance_ms))
-    return both.select(REC, "a", "b").distinct()
+def speakers_overlap(segs: DataFrame, tolerance_ms: int = 200) -> DataFrame:
+    """(recording_id, a, b): speakers with intervals that overlap by more than the tolerance.
+
+    A sweep over each two speakers' intervals by start: the furthest end of the one so far decides whether the other's next interval
+    overlaps any of them. A row is there once for each other speaker of its recording, a few tens by nature; a crowded minute costs no more than a quiet one.
+    """
+    rows = segs.filter("speaker is not null and start_ms is not null and end_ms is not null").select(REC, "speaker", "start_ms", "end_ms")
+    others = rows.groupBy(REC).agg(F.collect_set("speaker").alias("_all"))
+    rows = rows.join(others, REC).select(REC, "speaker", "start_ms", "end_ms", F.explode("_all").alias("_o")).filter("speaker <> _o")
+    first = F.col("speaker") < F.col("_o")
+    rows = rows.select(REC, F.least("speaker", "_o").alias("a"), F.greatest("speaker", "_o").alias("b"), first.alias("_f"), "start_ms", "end_ms")
+    before = Window.partitionBy(REC, "a", "b").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, -1)
+    furthest = F.when(F.col("_f"), F.max(F.when(~F.col("_f"), F.col("end_ms"))).over(before)).otherwise(F.max(F.when(F.col("_f"), F.col("end_ms"))).over(before))
+    return rows.withColumn("_e", furthest).filter(F.least("_e", "end_ms") - F.col("start_ms") > tolerance_ms).filter("_e is not null").select(REC, "a", "b").distinct()
 
 
 def active_at(segs: DataFrame, points: DataFrame) -> DataFrame:
