@@ -12,6 +12,7 @@ dropped, no token crosses it). Stores are bounded and live in the Python worker,
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from confab.llm.common import table
 from confab.llm.textkernel import tidy
+from confab.llm.wordids import folds_letters, separates_words, split_pattern
 
 CHUNK_MASK = 0x3FF
 WINDOW = 16
@@ -37,7 +39,9 @@ LONG = 8192
 BATCH_BYTES = 1 << 20
 _GEAR = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = b" \t\n\x0b\x0c\r"
-#: Words of these characters only are split here as the tokenizer splits them; others go to it whole.
+#: Where a tokenizer file splits by this pattern, after lower-casing: fixed value.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: words of these characters only are split here as it splits them; others, and all of other tokenizers, go to the tokenizer whole.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -99,8 +103,11 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        if self.tok.decoder is not None or self.ids("a b,c") != self.ids("a") + self.ids("b,c"):
-            raise ValueError("only tokenizers that drop white space and have no decoder")
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        if self.tok.decoder is not None or not separates_words(config):
+            raise ValueError("only tokenizers that provably drop white space and have no decoder")
+        self.by_piece = folds_letters(config) and split_pattern(config) == _SPLIT
         self.tokens = {i: t.encode() for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.mask = mask
         self.words, self.pieces, self.windows, self.chunks = Store(max_words), Store(max_pieces), Store(max_windows), Store(max_chunks)
@@ -118,7 +125,7 @@ class ChunkEncoder:
         parts = {}
         for w in self.words.missing(words):
             text = w.decode()
-            parts[w] = _PIECES.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else [text]
+            parts[w] = _PIECES.findall(text.lower()) if self.by_piece and _PLAIN.fullmatch(text) and "<|" not in text else [text]
         new = self.pieces.missing({x for p in parts.values() for x in p})
         held = self.pieces.new
         for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):

@@ -87,6 +87,12 @@ def folds_letters(config: dict) -> bool:
     return separates_words(config) and lower and _ends_with_letters(_steps(config["pre_tokenizer"], "pretokenizers")[0])
 
 
+def split_pattern(config: dict) -> str:
+    """The pattern that the first pre-tokenizer keeps the matches of; empty if it has none."""
+    first = (_steps(config.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
+    return (first["pattern"].get("Regex") or "") if first.get("type") == "Split" and first["invert"] else ""
+
+
 class WordIds:
     """Encodes columns of texts. Ids of words live in the Python worker across its tasks, about twice ``most`` at a time."""
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from confab.llm import bpe
@@ -18,6 +20,24 @@ def test_chunked_ids_equal_whole_text_ids(mask):
             assert enc.decode(ids).decode() == enc.tok.decode(want, skip_special_tokens=False)
 
 
+def test_other_tokenizers_are_encoded_right_or_refused(tmp_path):
+    """One that splits at white space only and keeps case, one with another pattern; those that may join words are refused."""
+    config = json.load(open(public.path("word_bpe_49k.json")))
+    split = config["pre_tokenizer"]["pretokenizers"][0] | {"pattern": {"Regex": r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]+"}}
+    spaced = config | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "normalizer": None}
+    other = config | {"pre_tokenizer": config["pre_tokenizer"] | {"pretokenizers": [split, *config["pre_tokenizer"]["pretokenizers"][1:]]}}
+    texts = ["a one HELLO two b", "it's 2024, o'the IT'S", prose(3, 400) + " HELLO World's 12 34", *ODD[:3]]
+    for name, own in (("spaced", spaced), ("other", other), ("own", config)):
+        (tmp_path / name).write_text(json.dumps(own))
+        enc = bpe.ChunkEncoder(str(tmp_path / name), mask=0x7)
+        assert enc.by_piece == (name == "own")
+        assert [memoryview(x).cast("i").tolist() for x in enc.encode_all([t.encode() for t in texts])] == [enc.ids(t) for t in texts]
+    for name, own in (("joined", config | {"pre_tokenizer": None}), ("prefixed", config | {"normalizer": {"type": "Prepend", "prepend": "x"}})):
+        (tmp_path / name).write_text(json.dumps(own))
+        with pytest.raises(ValueError, match="provably"):
+            bpe.ChunkEncoder(str(tmp_path / name))
+
+
 def test_shared_chunks_are_encoded_once():
     enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"))
     text = prose(9, 40_000).encode()
