@@ -53,14 +53,23 @@ def ranked(rows: DataFrame, order: list[str], bucket: Column, label: str) -> Dat
     return rows.withColumn("name", inside).join(F.broadcast(counts), "bucket").withColumn("name", F.col("before") + F.col("name")).drop("bucket", "before")
 
 
-def _level(seq: DataFrame, level: int, top: int) -> DataFrame:
-    """Names each adjacent pair of ``seq``, whose names are below ``top``; an odd last name pairs with nothing."""
+def _bucket_of(key: str) -> Column:
+    """The bucket of a 64-bit hash, rising with it."""
+    return F.shiftright(key, 65 - BUCKETS.bit_length()) + BUCKETS // 2
+
+
+def _level(seq: DataFrame, level: int) -> DataFrame:
+    """Names each adjacent pair of ``seq``; an odd last name pairs with nothing.
+
+    Pairs are ranked by a hash of both names, then by the names: pairs that share a first block, as under one
+    site header, are dealt over all buckets.
+    """
     even = F.col("idx") % 2 == 0
     pairs = seq.groupBy(*_KEY, "rows", ((F.col("n") + 1) / 2).cast("int").alias("n"), F.floor(F.col("idx") / 2).cast("int").alias("idx")).agg(
         F.max(F.when(even, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(_NONE)).alias("right")
     )
-    bucket = F.floor(F.greatest("left", F.lit(0)) * float(BUCKETS - 1) / float(max(1, top)))
-    names = written(ranked(pairs.select("left", "right").distinct(), ["left", "right"], bucket, f"pairs{level}"), f"names{level}")
+    hashed = pairs.select("left", "right").distinct().withColumn("_h", F.xxhash64("left", "right"))
+    names = written(ranked(hashed, ["_h", "left", "right"], _bucket_of("_h"), f"pairs{level}").drop("_h"), f"names{level}")
     return written(pairs.join(names, ["left", "right"]).select(*_KEY, "rows", "n", "idx", "name"), f"sequence{level}")
 
 
@@ -73,7 +82,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     occ = _blocks(docs, id_col, text_col, block_chars, hash_bits)
     by_key = occ.groupBy("h1", "h2").agg((F.min("block") == F.max("block")).alias("pure"))
-    first = F.shiftright("h1", 65 - BUCKETS.bit_length()) + BUCKETS // 2 if hash_bits == 64 else F.lit(0)
+    first = _bucket_of("h1") if hash_bits == 64 else F.lit(0)
     named = written(ranked(by_key, ["h1", "h2"], first, "keys"), "names0")
     cols = [*_KEY, "n", "idx", "name"]
     top = named.count()
@@ -90,8 +99,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done.append(seq.filter("n = 1").select(*_KEY, "rows", F.lit(level).alias("level"), "name"))
         if most <= 1:
             break
-        seq, most = _level(seq.filter("n > 1"), level + 1, top), (most + 1) // 2
-        top = (seq.agg(F.max("name")).first()[0] or 0) + 1
+        seq, most = _level(seq.filter("n > 1"), level + 1), (most + 1) // 2
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -50,3 +50,18 @@ def test_names_do_not_depend_on_partitions(spark):
     assert one == many
     got = exact_dedup.exact_groups(table(spark, rows))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_one_shared_first_block_fills_no_bucket(spark, monkeypatch):
+    """3,000 texts of two blocks that begin alike: their pairs are dealt over the buckets, and all are told apart."""
+    seen, ranked = {}, exact_dedup.ranked
+
+    def spy(rows, order, bucket, label):
+        seen[label] = [r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()]
+        return ranked(rows, order, bucket, label)
+
+    monkeypatch.setattr(exact_dedup, "ranked", spy)
+    rows = [(i, "h" * 40 + f"{i:040d}", None) for i in range(3000)] + [(5000, " ".join("h" * 40 + f"{7:040d}"), None)]
+    got = exact_dedup.exact_groups(table(spark, rows), block_chars=40).collect()
+    assert sorted(r.doc_id for r in got if not r.kept) == [7] and {r.group_size for r in got if r.doc_id in (7, 5000)} == {2}
+    assert sum(seen["pairs1"]) == 3000 and max(seen["pairs1"]) < 15
