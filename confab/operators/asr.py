@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from confab.operators.segments import REC
+from confab.operators.segments import REC, binned
 
 
 @dataclass(frozen=True)
@@ -65,6 +65,32 @@ def speaker_counts(turns: DataFrame) -> DataFrame:
     return g.groupBy(REC).agg(F.max("n_speakers").alias("n_speakers"))
 
 
+def count_probes(recordings: DataFrame, seconds: float = 120.0, whole: float = 900.0) -> DataFrame:
+    """(recording_id, probe, start_ms, end_ms): where to count speakers in recordings (recording_id, duration in seconds).
+
+    All of one up to ``whole`` seconds; of a longer one a probe for every two minutes, four at least, spread evenly and moved back
+    from the end, of ``seconds`` but not beyond 180 each.
+    """
+    n, length = F.col("duration"), min(seconds, 180.0)
+    many = F.greatest(F.lit(4), F.floor(n / 120).cast("int"))
+    at = F.when(n <= whole, F.array(F.lit(0.0))).otherwise(F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.greatest(F.lit(0.0), F.least(n * i / many, n - length))))
+    rows = recordings.select(REC, "duration", F.posexplode(at).alias("probe", "_at"))
+    end = F.when(n <= whole, n).otherwise(F.least(F.col("_at") + length, n))
+    return rows.select(REC, "probe", F.round(F.col("_at") * 1000).cast("long").alias("start_ms"), F.round(end * 1000).cast("long").alias("end_ms"))
+
+
+def probed_counts(turns: DataFrame, probes: DataFrame, bin_ms: int = 60_000) -> DataFrame:
+    """(recording_id, n_speakers, n_probes): the most speakers (recording_id, speaker_raw, start_ms, end_ms) that one probe hears, one at least.
+
+    Turns and probes meet in time bins, so a long recording is many keys.
+    """
+    spans = binned(probes, bin_ms).select(REC, "probe", "_bin", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"))
+    met = binned(turns.select(REC, "speaker_raw", "start_ms", "end_ms"), bin_ms).join(spans, [REC, "_bin"]).filter("start_ms < _e and end_ms > _s")
+    counts = met.select(REC, "probe", "speaker_raw").distinct().groupBy(REC, "probe").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy(REC).agg(F.max("n").alias("n"))
+    return probes.groupBy(REC).agg(F.count(F.lit(1)).alias("n_probes")).join(counts, REC, "left").select(REC, F.greatest(F.lit(1), F.coalesce("n", F.lit(1))).alias("n_speakers"), "n_probes")
+
+
 def chosen_run(turns: DataFrame, least: float = 0.05) -> DataFrame:
     """Turns (recording_id, run, speaker_raw, start_ms, end_ms, ...) of run 1 where its quietest speaker has ``least`` of the time, else of run 0."""
     g = turns.filter("run = 1").groupBy(REC, "speaker_raw").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))

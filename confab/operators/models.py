@@ -14,17 +14,21 @@ from confab.operators.segments import REC, by_id
 
 
 def called(rows: DataFrame, prompt_col: str, model: Callable[[list[str]], list[str | None]], batch: int = 32) -> DataFrame:
-    """Adds ``reply``: the model is called once for each distinct prompt, ``batch`` at a time; failures are null."""
+    """Adds ``reply``: the model is called once for each distinct prompt, ``batch`` at a time; failures and null prompts give null.
+
+    Replies meet their rows by a digest of the prompt, so prompts are shuffled once, not twice.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             prompts, replies = pdf["prompt"].tolist(), []
             for i in range(0, len(prompts), batch):
                 replies += model(prompts[i : i + batch])
-            yield pd.DataFrame({"prompt": prompts, "reply": replies})
+            yield pd.DataFrame({"_digest": pdf["_digest"], "reply": replies})
 
-    answers = rows.select(F.col(prompt_col).alias("prompt")).distinct().mapInPandas(run, "prompt string, reply string")
-    return rows.join(answers, rows[prompt_col] == answers["prompt"], "left").drop(answers["prompt"])
+    rows = rows.withColumn("_digest", F.sha2(F.col(prompt_col), 256))
+    asked = rows.filter("_digest is not null").groupBy("_digest").agg(F.first(prompt_col).alias("prompt"))
+    return rows.join(asked.mapInPandas(run, "_digest string, reply string"), "_digest", "left").drop("_digest")
 
 
 def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 32, zero_on_failure: bool = True) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from confab.functions.text import clock
+
 REC = "recording_id"
 #: Speaker label of the engine's output: fixed format.
 LABEL = "GŁOS_%02d"
@@ -258,6 +260,26 @@ def speaker_lists(segs: DataFrame) -> DataFrame:
     return segs.groupBy(REC).agg(F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"), F.max_by("end_ms", "seg_id").alias("duration_ms"))
 
 
+def translated_counts(segs: DataFrame) -> DataFrame:
+    """(recording_id, n_translated): rows whose translation is there and is not the text itself."""
+    return segs.groupBy(REC).agg(F.count_if((F.col("text_pl") != "") & ~F.col("text_pl").eqNullSafe(F.col("text"))).alias("n_translated"))
+
+
+def context_lines(segs: DataFrame, names: DataFrame, tags: DataFrame, last: int = 150, speaker: str | None = None) -> DataFrame:
+    """(recording_id, n_rows, transcript): lines ``[m:ss name] [tags] text`` of the last rows, of one ``speaker`` or all.
+
+    ``names`` has recording_id, speaker, name; ``tags`` recording_id, seg_id and an array tags (a row with an empty one shows ``[]``). Without a
+    name the speaker's label is shown, without that ``?``; the text is the translation where there is one, trimmed.
+    """
+    rows = segs if speaker is None else segs.filter(F.col("speaker") == speaker)
+    back = F.row_number().over(Window.partitionBy(REC).orderBy(F.desc("seg_id")))
+    rows = rows.withColumn("_text", shown_text(rows)).withColumn("_back", back).filter(F.col("_back") <= last)
+    rows = rows.join(names.select(REC, "speaker", F.col("name").alias("_name")), [REC, "speaker"], "left").join(tags.select(REC, "seg_id", F.col("tags").alias("_tags")), [REC, "seg_id"], "left")
+    head = F.concat(F.lit("["), clock(F.coalesce("start_ms", F.lit(0))), F.lit(" "), F.coalesce("_name", "speaker", F.lit("?")), F.lit("]"))
+    line = F.concat(head, F.coalesce(F.concat(F.lit(" ["), F.array_join("_tags", ", "), F.lit("]")), F.lit("")), F.lit(" "), F.trim(F.coalesce("_text", F.lit(""))))
+    return rows.withColumn("_line", line).groupBy(REC).agg(F.count(F.lit(1)).alias("n_rows"), joined_text("seg_id", "_line", "\n").alias("transcript"))
+
+
 def turn_words(segs: DataFrame, words: DataFrame, turns: DataFrame, slack_ms: int = 30) -> DataFrame:
     """(recording_id, turn_idx, n_words, text): words that start in [start - slack, end + slack) of the segment's own turn."""
     n = F.count(F.lit(1)).over(Window.partitionBy(REC, "seg_id"))

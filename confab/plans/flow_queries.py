@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from confab.operators import asr, flows, profiles, signal
+from confab.operators import asr, flows, profiles, signal, translation
 from confab.operators import models as m
 from confab.operators import retrieval as r
 from confab.operators import segments as s
-from confab.plans.segment_queries import _base, _segs, _segs_turns, _sql
-from confab.plans.text_queries import _ASKED, _CHUNKS, _DT, _KW, _docs, _queries, in_recordings
+from confab.operators import text as x
+from confab.plans.segment_queries import _base, _segs, _segs_turns, _segs_words, _sql
+from confab.plans.text_queries import _ASKED, _BATCH, _CHUNKS, _DT, _KW, _docs, _queries, in_recordings
 from confab.sources import conversations as c
 
 
@@ -60,6 +64,48 @@ def _half_translated(segs):
     return segs.withColumns({"score": F.col("seg_id") % 5 + 1, "text_pl": F.when(F.col("seg_id") % 3 == 0, "").otherwise(F.concat(F.lit("PL "), "text"))})
 
 
+def _meetings(segs):
+    """Fifty conversations in a row as one recording."""
+    nth = F.row_number().over(Window.partitionBy("_m").orderBy("recording_id", "seg_id")) - 1
+    rows = segs.withColumn("_m", F.expr("recording_id div 50")).withColumn("_n", nth.cast("int"))
+    return rows.drop("recording_id", "seg_id").withColumnsRenamed({"_m": "recording_id", "_n": "seg_id"})
+
+
+def _scored(prompts):
+    """Scores by the length of what is shown: 1 of an even one, else 5; the average with them."""
+    out = []
+    for p in prompts:
+        marks = [5 if len(line) % 2 else 1 for line in p.split("\n") if line.startswith("   [pl] ")]
+        out.append(json.dumps({"scores": marks, "avg": sum(marks) / len(marks)}))
+    return out
+
+
+def _asked_again(prompts):
+    """The digest of what was asked, but for short ones nothing at all."""
+    return ["" if len(p) % 5 == 0 else " " + hashlib.md5(p.encode()).hexdigest() + " " for p in prompts]
+
+
+def _probed(segs):
+    """Speakers counted in probes; a meeting's rows are its turns."""
+    rows = _meetings(segs)
+    rows = rows.withColumns({"end_ms": F.sum(F.col("end_ms") - F.col("start_ms")).over(s.by_id().rowsBetween(Window.unboundedPreceding, 0)), "_d": F.col("end_ms") - F.col("start_ms")}).withColumn("start_ms", F.col("end_ms") - F.col("_d"))
+    probes = asr.count_probes(rows.groupBy("recording_id").agg((F.max("end_ms") / 1000).alias("duration")))
+    return asr.probed_counts(rows.withColumnRenamed("speaker", "speaker_raw"), probes)
+
+
+def _context_lines(segs, words):
+    rows = _meetings(segs).withColumn("text_pl", F.when(F.col("seg_id") % 4 == 1, F.concat(F.lit(" PL "), "text")))
+    names = rows.select("recording_id", "speaker").distinct().withColumn("name", F.when(F.col("speaker") == "user", "Ada"))
+    tags = rows.filter(F.col("text").contains("a")).select("recording_id", "seg_id", F.array_sort(F.filter(F.array(F.when(F.col("text").contains("e"), "e"), F.when(F.length("text") > 80, "long")), lambda t: t.isNotNull())).alias("tags"))
+    return s.context_lines(rows, names, tags, 30)
+
+
+def _checked(segs, report):
+    rows = _meetings(segs)
+    rows = rows.join(x.translation_batches(rows), ["recording_id", "seg_id"]).withColumn("text_pl", F.concat(F.lit("PL "), "text"))
+    return translation.checked_translation(rows.select("recording_id", "seg_id", "batch_id", "text", "text_pl"), "en", _scored, _asked_again)[report]
+
+
 def _twice(segs):
     """The second hearing doubles the first word or hears something else; confidences by position."""
     key = F.col("recording_id") * 1000 + F.col("seg_id")
@@ -103,6 +149,11 @@ QUERIES = {
     "quote_lines": _segs(s.quote_lines),
     "retranslate_context": _segs(lambda x: m.retry_contexts(_half_translated(x))),
     "retranslated_rows": _segs(lambda x: m.applied_retries(_half_translated(x), _half_translated(x).filter("score <= 2").select("recording_id", "seg_id", F.expr("CASE seg_id % 3 WHEN 0 THEN ' ' || lower(text) || ' ' WHEN 1 THEN ' ' ELSE ' anew ' || text || ' ' END").alias("retry"))).select("recording_id", "seg_id", "text_pl")),
+    "checked_translation": _segs(lambda x: _checked(x, 0)),
+    "translation_report": _segs(lambda x: _checked(x, 1)),
+    "probed_counts": _segs(_probed),
+    "context_lines": _segs_words(_context_lines),
+    "translated_counts": _segs(lambda x: s.translated_counts(_half_translated(x).withColumn("text_pl", F.when(F.col("seg_id") % 3 == 1, F.col("text")).otherwise(F.col("text_pl"))))),
     "unsure_words": _segs(lambda x: s.unsure_words(c.words(x))),
     "multi_pass_choice": _segs(lambda x: m.multi_pass(_twice(x))),
     "best_candidate": lambda spark, d: m.better_candidate(c.table(spark, d, "events").select("user_id", "event_id", F.round("value", 1).alias("confidence"), (F.col("event_id") * -1).alias("preferred")), ["user_id"]).select("user_id", "event_id", "confidence"),
@@ -113,7 +164,27 @@ QUERIES = {
 
 _REMAP = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
 
+_MEET = "meet AS (SELECT recording_id // 50 AS recording_id, CAST(row_number() OVER (PARTITION BY recording_id // 50 ORDER BY recording_id, seg_id) - 1 AS INT) AS seg_id, speaker, text, start_ms, end_ms FROM segments)"
+_WALK = """marked AS (SELECT *, CASE WHEN least(120, length(text) + 3) % 2 = 0 THEN 1 ELSE 5 END AS mark, batch_id % 2 = 1 AND row_number() OVER (PARTITION BY recording_id, batch_id ORDER BY seg_id) <= 4 AS seen FROM meet JOIN batched USING (recording_id, seg_id)),
+r AS (SELECT recording_id, seg_id, text, seen AND mark = 1 AS low, 'PL ' || lead(text) OVER (PARTITION BY recording_id ORDER BY seg_id) AS after FROM marked),
+walk AS (
+  SELECT DISTINCT recording_id, -1 AS seg_id, NULL::VARCHAR AS prev, NULL::VARCHAR AS now, false AS again FROM meet
+  UNION ALL
+  SELECT recording_id, seg_id, prev, CASE WHEN low AND length(p) % 5 <> 0 THEN md5(p) ELSE 'PL ' || text END, low AND length(p) % 5 <> 0 FROM (
+    SELECT r.*, w.now AS prev, 'Translate from en into natural Polish; answer with the translation only.' || chr(10) || CASE WHEN concat_ws(' / ', w.prev, w.now) <> '' THEN 'Before: ' || concat_ws(' / ', w.prev, w.now) || chr(10) ELSE '' END || 'TRANSLATE: ' || r.text || coalesce(chr(10) || 'After: ' || r.after, '') AS p
+    FROM walk w JOIN r ON r.recording_id = w.recording_id AND r.seg_id = w.seg_id + 1))"""
+_WALKED = (_MEET, _BATCH.replace("FROM segments)", "FROM meet)"), _WALK)
+
 ORACLES = {
+    "checked_translation": _sql("SELECT recording_id, seg_id, now AS text_pl FROM walk WHERE seg_id >= 0", *_WALKED).replace("WITH ", "WITH RECURSIVE ", 1),
+    "translation_report": _sql("SELECT recording_id, n_translated, coalesce(n_checks, 0) AS n_checks, average, n_retranslated, coalesce(average >= 3, true) AS acceptable FROM (SELECT recording_id, count(*) AS n_translated, count(*) FILTER (again) AS n_retranslated FROM walk WHERE seg_id >= 0 GROUP BY ALL) LEFT JOIN (SELECT recording_id, count(*) AS n_checks, round_even(avg(a), 2) AS average FROM (SELECT recording_id, batch_id, avg(mark) AS a FROM marked WHERE seen GROUP BY ALL) GROUP BY ALL) USING (recording_id)", *_WALKED).replace("WITH ", "WITH RECURSIVE ", 1),
+    "probed_counts": _sql("""SELECT recording_id, count(*) AS n_probes, max(n) AS n_speakers FROM (
+  SELECT p.recording_id, i, greatest(1, count(DISTINCT speaker)) AS n FROM (
+    SELECT recording_id, i, CAST(round(CASE WHEN d <= 900 THEN 0 ELSE greatest(0, least(d * i / m, d - 120)) END * 1000) AS BIGINT) AS s, CAST(round(CASE WHEN d <= 900 THEN d ELSE least(greatest(0, least(d * i / m, d - 120)) + 120, d) END * 1000) AS BIGINT) AS e
+    FROM (SELECT *, CASE WHEN d <= 900 THEN 1 ELSE greatest(4, CAST(floor(d / 120) AS INT)) END AS m FROM (SELECT recording_id, max(till) / 1000.0::DOUBLE AS d FROM said GROUP BY ALL)) JOIN range(0, 100000) g(i) ON i < m) p
+  LEFT JOIN said t ON t.recording_id = p.recording_id AND t.till - t.ms < p.e AND t.till > p.s GROUP BY ALL) GROUP BY recording_id""", _MEET, "said AS (SELECT recording_id, speaker, CAST(end_ms - start_ms AS BIGINT) AS ms, CAST(sum(end_ms - start_ms) OVER (PARTITION BY recording_id ORDER BY seg_id) AS BIGINT) AS till FROM meet)"),
+    "context_lines": _sql("SELECT recording_id, count(*) AS n_rows, string_agg('[' || (start_ms // 60000) || ':' || lpad(CAST(start_ms // 1000 % 60 AS VARCHAR), 2, '0') || ' ' || CASE speaker WHEN 'user' THEN 'Ada' ELSE speaker END || ']' || CASE WHEN contains(text, 'a') THEN ' [' || concat_ws(', ', CASE WHEN contains(text, 'e') THEN 'e' END, CASE WHEN length(text) > 80 THEN 'long' END) || ']' ELSE '' END || ' ' || CASE WHEN seg_id % 4 = 1 THEN 'PL ' || text ELSE text END, chr(10) ORDER BY seg_id) AS transcript FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg_id DESC) AS back FROM meet) WHERE back <= 30 GROUP BY ALL", _MEET),
+    "translated_counts": _sql("SELECT recording_id, count(*) FILTER (seg_id % 3 = 2) AS n_translated FROM segments GROUP BY ALL"),
     "event_routing": "SELECT user_id, count(*) AS n_events, arg_max(event_type, event_id) AS last_kind, bool_or(e IS NOT NULL) AS ended, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM (SELECT *, min(event_id) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS e FROM events) WHERE e IS NULL OR event_id <= e GROUP BY user_id",
     "allowed_parameters": "SELECT event_id AS recording_id, 'temperature' AS name, event_type AS value FROM events WHERE event_type IS NOT NULL UNION ALL SELECT event_id, 'beam_size', '5' FROM events WHERE event_id % 2 = 0",
     "age_profiles": """SELECT c_custkey, gender, round(age, 6) AS age, CASE WHEN age IS NULL THEN 'nieznany' WHEN gender = 'dziecko' OR age < 18 THEN 'dziecko' WHEN age < 30 THEN 'mlody' WHEN age < 55 THEN 'dorosly' ELSE 'starszy' END AS age_group,
