@@ -67,16 +67,20 @@ def onset_rate(x: np.ndarray, rate: int = 16_000, hop: int = 512) -> float | Non
     return peaks / (len(x) / rate)
 
 
-def mfcc_vector(x: np.ndarray, rate: int = 16_000, coefficients: int = 40) -> np.ndarray:
-    """Means and deviations of mel cepstra and their first and second differences: 6 x coefficients numbers."""
-    size, hop, bands = 512, 256, coefficients
-    x = np.pad(x, (0, max(0, size - len(x))))
-    n = 1 + (len(x) - size) // hop
-    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop][:n] * np.hanning(size)
+#: Samples of a frame, and from one frame to the next.
+SIZE, HOP = 512, 256
+
+
+def cepstra(x: np.ndarray, rate: int = 16_000, coefficients: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mel cepstra of each frame and their first and second differences; audio below a frame is filled with silence."""
+    bands = coefficients
+    x = np.pad(x, (0, max(0, SIZE - len(x))))
+    n = 1 + (len(x) - SIZE) // HOP
+    frames = np.lib.stride_tricks.sliding_window_view(x, SIZE)[::HOP][:n] * np.hanning(SIZE)
     power = np.abs(np.fft.rfft(frames)) ** 2
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(mel(0), mel(rate / 2), bands + 2) / 2595) - 1)
-    f = np.fft.rfftfreq(size, 1 / rate)
+    f = np.fft.rfftfreq(SIZE, 1 / rate)
     up = (f[None] - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
     down = (edges[2:, None] - f[None]) / (edges[2:] - edges[1:-1])[:, None]
     logs = np.log(power @ np.maximum(0, np.minimum(up, down)).T + 1e-10)
@@ -84,7 +88,12 @@ def mfcc_vector(x: np.ndarray, rate: int = 16_000, coefficients: int = 40) -> np
     cep = logs @ np.cos(np.pi / bands * (k[:, None] + 0.5) * k[None])
     delta = np.gradient(cep, axis=0) if n > 1 else np.zeros_like(cep)
     twice = np.gradient(delta, axis=0) if n > 1 else np.zeros_like(cep)
-    return np.concatenate([s for c in (cep, delta, twice) for s in (c.mean(axis=0), c.std(axis=0))])
+    return cep, delta, twice
+
+
+def mfcc_vector(x: np.ndarray, rate: int = 16_000, coefficients: int = 40) -> np.ndarray:
+    """Means and deviations of mel cepstra and their first and second differences: 6 x coefficients numbers."""
+    return np.concatenate([s for c in cepstra(x, rate, coefficients) for s in (c.mean(axis=0), c.std(axis=0))])
 
 
 EXTRACTORS: dict[str, Callable[[np.ndarray], float | None]] = {"speech_rate": onset_rate}

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from confab.operators import asr, flows, profiles, signal, translation
+from confab.operators import asr, flows, profiles, signal, translation, voices
 from confab.operators import models as m
 from confab.operators import retrieval as r
 from confab.operators import segments as s
@@ -85,10 +85,28 @@ def _asked_again(prompts):
     return ["" if len(p) % 5 == 0 else " " + hashlib.md5(p.encode()).hexdigest() + " " for p in prompts]
 
 
+def _in_a_row(segs):
+    """Segments one after the other, without gaps or overlaps."""
+    length = F.col("end_ms") - F.col("start_ms")
+    rows = segs.withColumns({"end_ms": F.sum(length).over(s.by_id().rowsBetween(Window.unboundedPreceding, 0)), "_d": length})
+    return rows.withColumn("start_ms", F.col("end_ms") - F.col("_d")).drop("_d")
+
+
+def _voices(op):
+    """Sound of 1,000 samples a second made of the texts: each letter is a tone of 60 ms."""
+
+    def run(segs):
+        rows = _in_a_row(segs)
+        tone = lambda ch: F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.sin(i * (0.2 + F.ascii(ch) % 32 / 13)).cast("float"))
+        sound = F.slice(F.flatten(F.transform(F.split("text", ""), tone)), F.lit(1), (F.col("end_ms") - F.col("start_ms")).cast("int"))
+        return op(rows, rows.select("recording_id", F.col("start_ms").alias("start"), sound.alias("samples")), rate=1000)
+
+    return run
+
+
 def _probed(segs):
     """Speakers counted in probes; a meeting's rows are its turns."""
-    rows = _meetings(segs)
-    rows = rows.withColumns({"end_ms": F.sum(F.col("end_ms") - F.col("start_ms")).over(s.by_id().rowsBetween(Window.unboundedPreceding, 0)), "_d": F.col("end_ms") - F.col("start_ms")}).withColumn("start_ms", F.col("end_ms") - F.col("_d"))
+    rows = _in_a_row(_meetings(segs))
     probes = asr.count_probes(rows.groupBy("recording_id").agg((F.max("end_ms") / 1000).alias("duration")))
     return asr.probed_counts(rows.withColumnRenamed("speaker", "speaker_raw"), probes)
 
@@ -152,6 +170,8 @@ QUERIES = {
     "checked_translation": _segs(lambda x: _checked(x, 0)),
     "translation_report": _segs(lambda x: _checked(x, 1)),
     "probed_counts": _segs(_probed),
+    "voice_pairs": _segs(_voices(voices.voice_pairs)),
+    "merged_voices": _segs(_voices(voices.merged_voices)),
     "context_lines": _segs_words(_context_lines),
     "translated_counts": _segs(lambda x: s.translated_counts(_half_translated(x).withColumn("text_pl", F.when(F.col("seg_id") % 3 == 1, F.col("text")).otherwise(F.col("text_pl"))))),
     "unsure_words": _segs(lambda x: s.unsure_words(c.words(x))),
