@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from confab.functions import sql
 from confab.functions import text as t
 from confab.operators import retrieval as r
 from confab.operators import text as x
@@ -82,8 +83,20 @@ def _mmr(spark, d):
     return r.mmr(_hybrid(spark, d, 24).drop("rank").join(_searches(spark, d)[0], "vec_id"))
 
 
+def _by_name(query):
+    """A query in SQL that calls the engine's functions by name."""
+
+    def run(spark, d):
+        sql.register(spark)
+        return spark.sql(query, segs=_base(spark, d)[1])
+
+    return run
+
+
 QUERIES = {
     "text_functions": _segs(_folded_columns),
+    "sql_functions": _by_name("SELECT w, phonetic_key(w) AS key, clock_text(max(end_ms)) AS latest, count(*) AS n FROM (SELECT end_ms, explode(ws) AS w FROM (SELECT end_ms, word_tokens(text, 3) AS ws FROM {segs})) GROUP BY w"),
+    "sql_windows": _by_name("SELECT recording_id, seg_id, window_no, fold_text(chunk) AS chunk FROM {segs} s, LATERAL text_windows(text, 200, 20) w"),
     "phonetic_keys": _segs(lambda s: s.select(F.explode(F.array_distinct(t.tokens(F.col("text"), 1))).alias("w")).filter("w <> ''").distinct().withColumn("key", t.phonetic_key(F.col("w")))),
     "translation_batches": _segs(x.translation_batches),
     "numbered_blocks": _segs(lambda s: x.numbered_blocks(s, x.translation_batches(s))),
@@ -142,6 +155,8 @@ FROM (SELECT *, lag(text) OVER w AS prev, lag(b) OVER w AS pb, coalesce(list_max
   FROM (SELECT *, list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS b FROM (SELECT *, regexp_split_to_array(trim(lower(text)), '\s+') AS l, list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+'), lambda y: y <> '') AS ws FROM segments))
   WINDOW w AS (PARTITION BY recording_id ORDER BY seg_id))"""
     ),
+    "sql_functions": _sql("SELECT w, " + _PHON.format("w") + " AS key, (max(end_ms) // 60000) || ':' || lpad(CAST(max(end_ms) // 1000 % 60 AS VARCHAR), 2, '0') AS latest, count(*) AS n FROM (SELECT end_ms, unnest(" + _WORDS.format("text", 3) + ") AS w FROM segments) GROUP BY w"),
+    "sql_windows": _sql("SELECT recording_id, seg_id, CAST(i AS INT) AS window_no, " + _FOLD.format("substr(text, i * 180 + 1, 200)") + " AS chunk FROM segments JOIN range(0, 10000) g(i) ON i = 0 OR (length(text) > 200 AND i * 180 < length(text))"),
     "phonetic_keys": _sql("SELECT w, " + _PHON.format("w") + " AS key FROM (SELECT DISTINCT unnest(" + _WORDS.format("text", 1) + ") AS w FROM segments) WHERE w <> ''"),
     "translation_batches": _sql("SELECT recording_id, seg_id, batch_id FROM batched", _BATCH).replace("WITH ", "WITH RECURSIVE ", 1),
     "numbered_blocks": _sql("SELECT recording_id, batch_id, count(*) AS n, string_agg(k || '. [' || speaker || '] ' || text, chr(10) ORDER BY k) AS block FROM lined GROUP BY ALL", _BATCH, _LINED).replace("WITH ", "WITH RECURSIVE ", 1),
