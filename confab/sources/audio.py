@@ -1,7 +1,7 @@
-"""Audio as a Spark data source: partitions are ranges of samples of a file, at one rate.
+"""Audio as a table: rows are ranges of samples of a file, at one rate.
 
-``spark.read.format("pcm_audio")`` lists files, reads their headers only and cuts each into ranges of output samples, so a
-recording of hours is many tasks and no row holds it as a whole. The resampler is polyphase: an output sample is a weighted
+Tasks read the headers of a table of paths and cut each file into ranges of output samples, so neither many files nor a
+recording of hours pass through the driver or one task, and no row holds a file as a whole. The resampler is polyphase: an output sample is a weighted
 sum of the samples around its place, with the weights of its phase. A range reads the samples that its first and last sums reach over its
 borders, so ranges joined are the samples of a whole read, bit for bit.
 """
@@ -10,19 +10,22 @@ from __future__ import annotations
 
 import math
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
-from confab.sources.storage import scratch_path
+from confab.sources.storage import scratch_path, written
 
 #: Zero crossings of the filter on either side, share of the band that passes, and the window's shape (stop band below -70 dB).
 CROSSINGS, PASS, BETA = 48, 0.93, 8.0
 BLOCK = 1 << 15
+#: Folders that written files are dealt over.
+_FOLDERS = 256
 #: Sample formats of a header (format, bits): fixed values of the container.
 _FORMATS = {(1, 8): ("u1", 128.0, 128.0), (1, 16): ("<i2", 0.0, 32768.0), (1, 32): ("<i4", 0.0, 2147483648.0), (3, 32): ("<f4", 0.0, 1.0), (3, 64): ("<f8", 0.0, 1.0)}
 
@@ -111,75 +114,103 @@ class Resampler:
         return np.einsum("ij,ij->i", around[place - place[0]], self.weights[phase])
 
 
-@dataclass
-class Range(InputPartition):
-    path: str
-    first: int
-    last: int
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["paths"].split("\n") if p]
-        self.rate, self.range = int(options.get("rate", 16_000)), int(options.get("range", 1 << 20))
-
-    def partitions(self) -> list[Range]:
-        out = []
-        for path in self.paths:
-            with _open(path) as f:
-                head = header(f)
-            n = Resampler(head.rate, self.rate).length(head.frames)
-            out += [Range(path, a, min(n, a + self.range)) for a in range(0, n, self.range)]
-        return out or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        with _open(partition.path) as f:
-            head = header(f)
-            make = Resampler(head.rate, self.rate)
-            for a in range(partition.first, partition.last, BLOCK):
-                b = min(partition.last, a + BLOCK)
-                y = make.outputs(samples(f, head, *make.needs(a, b)), a, b).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([a], pa.int64()), pa.array([y.tolist()], pa.list_(pa.float32()))], ["path", "at", "samples"])
-
-
-class PcmAudio(DataSource):
-    """Options: paths (one a line), rate of the output (16000), range (output samples of a partition)."""
+#: Header fields that a range takes with it.
+_HEAD = "path string, rate int, channels int, code int, bits int, data_at long, frames long"
+#: Samples and rows after which a batch is handed on.
+_MOST, _ROWS = 1 << 18, 4096
 
-    @classmethod
-    def name(cls) -> str:
-        return "pcm_audio"
-
-    def schema(self) -> str:
-        return "path string, at long, samples array<float>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
-
-
-def read_ranges(spark: SparkSession, paths: list[str], rate: int = 16_000, range_: int = 1 << 20) -> DataFrame:
-    """(path, at, samples): blocks of each file's samples at ``rate``; ``at`` is the place of a block's first. Empty files have no rows."""
-    spark.dataSource.register(PcmAudio)
-    return spark.read.format("pcm_audio").option("paths", "\n".join(paths)).option("rate", rate).option("range", range_).load()
 
+def _headers(paths: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                with _open(path) as f:
+                    head = header(f)
+                out.append((path, head.rate, head.channels, *head.kind, head.at, head.frames))
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int32()] * 4, *[pa.int64()] * 2], strict=True)], ["path", "rate", "channels", "code", "bits", "data_at", "frames"])
+
+    return paths.select("path").mapInArrow(run, _HEAD)
+
+
+def read_ranges(spark: SparkSession, paths: list[str] | DataFrame, rate: int = 16_000, range_: int = 1 << 20) -> DataFrame:
+    """(path, at, samples): blocks of each file's samples at ``rate``; ``at`` is the place of a block's first. Empty files have no rows.
+
+    ``paths`` is a list or a table with a column path. Headers are read by tasks, a row for each file; its ranges are rows too, and
+    are dealt over as many tasks as a shuffle has parts: ranges near each other go together, and a task opens a file once for them.
+    """
+    df = paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = F.expr(f"(frames * {rate} + rate - 1) div rate")
+    rows = _headers(df.repartition(tasks, "path")).withColumn("n", n).filter("n > 0")
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(range_).cast("long"))))
+    rows = rows.withColumn("last", F.least("n", F.col("first") + range_)).drop("n")
+    near = F.expr(f"first div {max(range_, 1 << 20)}")
+    rows = rows.repartition(tasks, "path", near).sortWithinPartitions("path", "first")
 
-def write_waves(pcm: DataFrame, label: str = "audio", rate: int = 16_000) -> list[str]:
-    """Writes each row's ``pcm`` (array<int>, 16 bits) as a file named by its ``name``, in the shared folder; gives the paths."""
-    folder = scratch_path(pcm.sparkSession, label)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Resampler] = {}
+        name, f = None, None
+        held: list[tuple[str, int, np.ndarray]] = []
+
+        def batch_of() -> pa.RecordBatch:
+            own = [y for _, _, y in held]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in held]), pa.array([a for _, a, _ in held], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["path", "at", "samples"])
+
+        try:
+            size = 0
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["path"] != name:
+                        if f is not None:
+                            f.close()
+                        name, f = r["path"], _open(r["path"])
+                    head = Header(r["rate"], r["channels"], (r["code"], r["bits"]), r["data_at"], r["frames"])
+                    if head.rate not in made:
+                        made[head.rate] = Resampler(head.rate, rate)
+                    make = made[head.rate]
+                    for a in range(r["first"], r["last"], BLOCK):
+                        b = min(r["last"], a + BLOCK)
+                        held.append((name, a, make.outputs(samples(f, head, *make.needs(a, b)), a, b).astype(np.float32)))
+                        size += b - a
+                        if size >= _MOST or len(held) >= _ROWS:
+                            yield batch_of()
+                            held, size = [], 0
+            if held:
+                yield batch_of()
+        finally:
+            if f is not None:
+                f.close()
+
+    return rows.mapInArrow(run, "path string, at long, samples array<float>")
+
+
+def write_waves(pcm: DataFrame, label: str = "audio", rate: int = 16_000) -> DataFrame:
+    """Writes each row's ``pcm`` (array<int>, 16 bits) as a file named by its ``name``, in the shared folder; gives a written table of the paths.
+
+    Files are dealt over folders by their names' checksums, so that none holds them all.
+    """
+    spark = pcm.sparkSession
+    folder, tasks = scratch_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, top = fs.FileSystem.from_uri(folder)
-        files.create_dir(top, recursive=True)
+        there = set()
         for batch in batches:
             names = []
-            for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.array(own or [], "<i2").tobytes()
-                with files.open_output_stream(f"{top}/{name}.wav") as f:
+            for name, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = own.values.cast(pa.int16()).to_numpy().astype("<i2").tobytes() if own.is_valid else b""
+                part = f"{zlib.crc32(name.encode()) % _FOLDERS:03d}"
+                if part not in there:
+                    files.create_dir(f"{top}/{part}", recursive=True)
+                    there.add(part)
+                with files.open_output_stream(f"{top}/{part}/{name}.wav") as f:
                     f.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(data)) + data)
-                names.append(f"{folder}/{name}.wav")
+                names.append(f"{folder}/{part}/{name}.wav")
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["path"])
 
-    return [r["path"] for r in pcm.selectExpr("cast(name as string) name", "pcm").mapInArrow(run, "path string").collect()]
+    return written(pcm.selectExpr("cast(name as string) name", "pcm").repartition(tasks, "name").mapInArrow(run, "path string"), "paths")

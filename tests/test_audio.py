@@ -54,3 +54,13 @@ def test_forms_and_odd_files(spark, tmp_path):
     (tmp_path / "bad.wav").write_bytes(b"no audio here")
     with pytest.raises(Exception, match="no RIFF"):
         a.read_ranges(spark, [f"file://{tmp_path / 'bad.wav'}"]).collect()
+
+
+def test_many_files_are_few_tasks(spark, tmp_path):
+    """Files come as a table, are read by as many tasks as a shuffle has parts, and give what they hold."""
+    rows = [(f"{i}-a", list(range(i, i + i % 30))) for i in range(300)]
+    paths = a.write_waves(spark.createDataFrame(rows, "name string, pcm array<int>"))
+    got = a.read_ranges(spark, paths, 16_000, 7)
+    assert got.rdd.getNumPartitions() == 4
+    want = {name: [v / 32768 for v in pcm] for name, pcm in rows if pcm}
+    assert {path.rsplit("/", 1)[1][:-4]: x for path, x in joined(got).items()} == want
