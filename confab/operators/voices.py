@@ -11,6 +11,7 @@ from confab.functions.vectors import cosine
 from confab.operators.asr import merged_speakers
 from confab.operators.profiles import HOP, SIZE, cepstra
 from confab.operators.segments import REC, speakers_overlap
+from confab.sources.storage import settled
 
 #: Frames on either side that second differences look at.
 _REACH = 2
@@ -34,12 +35,13 @@ def stream_pieces(streams: DataFrame, audio: DataFrame, block: int) -> DataFrame
     """(recording_id, speaker, at, samples): the samples of ``streams`` in ``audio`` (recording_id, start, samples), placed in the speaker's audio.
 
     Audio and segments meet in bins of ``block`` samples. Blocks of audio don't overlap; where audio is missing, there is no piece (and silence
-    in the frames).
+    in the frames). A plan cannot tell how long arrays are, so samples would pass for small and be broadcast: the segments of a partition are
+    what the join holds, and samples stream past them.
     """
-    spans = lambda rows, end: rows.withColumn("_bin", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"({end} - 1) div {block}"))))
-    own = spans(streams, "(start + n)")
-    heard = spans(audio.filter(F.size("samples") > 0).select(REC, F.col("start").alias("_from"), "start", "samples"), "(start + size(samples))").drop("start")
-    rows = own.join(heard, [REC, "_bin"])
+    spans = lambda rows, end: F.explode(F.when(end > F.col("start"), F.sequence(F.expr(f"start div {block}"), F.expr(f"{rows} div {block}")))).alias("_bin")
+    own = streams.select("*", spans("(start + n - 1)", F.col("start") + F.col("n")))
+    heard = audio.select(REC, F.col("start").alias("_from"), "samples", spans("(start + size(samples) - 1)", F.col("start") + F.size("samples")))
+    rows = own.hint("shuffle_hash").join(heard, [REC, "_bin"])
     # A pair of a segment and a block of audio is taken once, in the first bin that both touch.
     first = F.greatest("start", "_from")
     rows = rows.withColumn("_a", first).withColumn("_z", F.least(F.col("start") + F.col("n"), F.col("_from") + F.size("samples")))
@@ -105,7 +107,7 @@ def voice_pairs(segs: DataFrame, audio: DataFrame, conflicts: DataFrame | None =
     The speakers of a recording are few, which bounds the pairs. What ``guarded_merges`` and ``merged_speakers`` take.
     """
     pieces = stream_pieces(speaker_streams(segs, rate), audio, block)
-    vectors = voice_vectors(frame_moments(pieces, rate, coefficients, block).filter(F.col("heard") >= least_s * rate))
+    vectors = settled(lambda: voice_vectors(frame_moments(pieces, rate, coefficients, block).filter(F.col("heard") >= least_s * rate)), "voices")  # read for both sides of a pair
     talk = segs.groupBy(REC, "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("talk"))
     rows = vectors.join(talk, [REC, "speaker"])
     side = lambda x: rows.select(REC, F.col("speaker").alias(x), F.col("vector").alias(f"v_{x}"), F.col("talk").alias(f"talk_{x}"))

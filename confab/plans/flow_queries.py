@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -97,8 +98,8 @@ def _voices(op):
 
     def run(segs):
         rows = _in_a_row(segs)
-        tone = lambda ch: F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.sin(i * (0.2 + F.ascii(ch) % 32 / 13)).cast("float"))
-        sound = F.slice(F.flatten(F.transform(F.split("text", ""), tone)), F.lit(1), (F.col("end_ms") - F.col("start_ms")).cast("int"))
+        tones = F.array(*[F.array(*[F.lit(math.sin(i * (0.2 + letter / 13))).cast("float") for i in range(60)]) for letter in range(32)])
+        sound = F.slice(F.flatten(F.transform(F.split("text", ""), lambda ch: F.get(tones, F.ascii(ch) % 32))), F.lit(1), (F.col("end_ms") - F.col("start_ms")).cast("int"))
         return op(rows, rows.select("recording_id", F.col("start_ms").alias("start"), sound.alias("samples")), rate=1000)
 
     return run

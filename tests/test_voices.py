@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from confab.operators import profiles, voices
 
@@ -75,6 +76,16 @@ def test_no_audio(spark):
     assert voices.voice_pairs(segs.limit(0), audio, rate=RATE).count() == 0
 
 
+def test_samples_are_not_broadcast(spark):
+    """Arrays made in a plan are of unknown size: the join must not send them through the driver."""
+    segs = spark.createDataFrame([(1, 0, "a", 0, 9000, "t")], SEGS)
+    audio = spark.range(1).select(F.lit(1).cast("long").alias("recording_id"), F.lit(0).cast("long").alias("start"), F.transform(F.sequence(F.lit(1), F.lit(9000)), lambda i: i.cast("float")).alias("samples"))
+    pieces = voices.stream_pieces(voices.speaker_streams(segs, RATE), audio, 4096)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert sorted((r.at, len(r.samples)) for r in pieces.collect()) == [(0, 9000)]
+
+
 def test_query_against_whole_audio(spark):
     """Similarities of the query, from the whole sound of each speaker."""
     import os
