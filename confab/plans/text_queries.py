@@ -68,15 +68,15 @@ def _searches(spark, d):
     return v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _keywords(spark, d):
-    """Keyword scores of the entries' texts (the documents of the same ids); a search asks the first six words of its own."""
+def _texts(spark, d):
+    """The entries' texts (the documents of the same ids); a search asks the first six words of its own."""
     texts = c.table(spark, d, "documents").select("doc_id", "text").join(c.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     asked = texts.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
-    return r.keyword_scores(texts, asked).select("query_id", F.col("doc_id").alias("vec_id"), F.col("score").alias("keyword"))
+    return texts, asked
 
 
 def _hybrid(spark, d, k=8):
-    return r.hybrid(*_searches(spark, d), _keywords(spark, d), k)
+    return r.hybrid_search(*_searches(spark, d), *_texts(spark, d), k)
 
 
 def _mmr(spark, d):
