@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,25 +22,32 @@ def tokens(text: Column, least: int = 3) -> Column:
     return F.filter(F.split(folded(text), " "), lambda t: F.length(t) >= least)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once: what a lambda refers to by its expression is made anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bigrams(text: Column) -> Column:
     """Distinct neighbours of the lower-cased words; none for fewer than two words."""
-    words = F.split(F.trim(F.lower(text)), r"\s+")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    last = lambda w: F.size(w) - 1
+    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), last(w)), F.slice(w, F.lit(2), last(w)), lambda a, b: F.concat_ws(" ", a, b)))
+    return _bound(F.split(F.trim(F.lower(text)), r"\s+"), lambda w: F.when(F.size(w) > 1, pairs(w)).otherwise(F.array().cast("array<string>")))
 
 
 def is_repetition(a: Column, b: Column, least: float = 0.85) -> Column:
     """Word-bigram Jaccard of at least ``least``; without bigrams the trimmed lower-case texts are equal."""
-    x, y = bigrams(a), bigrams(b)
-    jaccard = F.size(F.array_intersect(x, y)) >= least * F.size(F.array_union(x, y))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.trim(F.lower(a)) == F.trim(F.lower(b))).otherwise(jaccard)
+    jaccard = lambda x, y: F.size(F.array_intersect(x, y)) >= least * F.size(F.array_union(x, y))
+    either = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), F.trim(F.lower(a)) == F.trim(F.lower(b))).otherwise(jaccard(x, y))
+    return _bound(F.struct(bigrams(a).alias("x"), bigrams(b).alias("y")), lambda p: either(p["x"], p["y"]))
 
 
 def is_word_run(text: Column, least: int = 5) -> Column:
-    """One word at least ``least`` times and more than 70 % of all."""
+    """One word at least ``least`` times and more than 70 % of all: such a word is in the middle of the sorted ones."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", "")), r"\s+"), lambda w: w != "")
-    top = F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w))))
-    return (F.size(words) >= least) & (top >= least) & (top * 10 > F.size(words) * 7)
+    top = lambda ws, middle: F.size(F.filter(ws, lambda x: x == middle))
+    run = lambda n, k: (n >= least) & (k >= least) & (k * 10 > n * 7)
+    counted = lambda ws: _bound(F.get(F.array_sort(ws), (F.size(ws) / 2).cast("int")), lambda m: F.struct(F.size(ws).alias("n"), top(ws, m).alias("k")))
+    return _bound(_bound(words, counted), lambda c: run(c["n"], c["k"]))
 
 
 def phonetic_key(word: Column) -> Column:

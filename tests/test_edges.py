@@ -1,6 +1,7 @@
 """Hand-made cases that the tables never trigger."""
 
 import io
+import re
 import wave
 
 import numpy as np
@@ -207,3 +208,27 @@ def test_equally_similar_speakers_give_the_first(spark):
     heard = spark.createDataFrame([(1, "r", [1.0, 0.0])], "recording_id long, raw string, vector array<double>")
     known = spark.createDataFrame([(1, f"GŁOS_0{i}", [2.0, 0.0]) for i in (2, 1, 3)], "recording_id long, label string, vector array<double>")
     assert profiles.remapped_fragment(heard, known).first().label == "GŁOS_01"
+
+
+def test_words_are_split_once(spark):
+    """Splitting does not go into lambdas, which would do it for each word; results are those of plain loops."""
+    texts = ["", "a", "no no no no no yes", "no no no no no no no maybe yes", "the same words here", "the same words here now", None, " ".join(f"w{i}" for i in range(3000)), "x, x! x x x y", "A b c D e f g h", "a B c d E f g h"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("prev", F.expr("lag(text) over (order by i)"))
+    run, again = t.is_word_run(F.col("text")).alias("run"), t.is_repetition(F.col("text"), F.col("prev")).alias("again")
+    assert [str(c._jc).count("split(") if hasattr(c, "_jc") else 0 for c in (run, again)] == [1, 2]
+    got = {r.i: (r.run, r.again) for r in df.select("i", run, again).collect()}
+
+    def pairs(s):
+        w = s.lower().strip().split()
+        return set(zip(w, w[1:], strict=False))
+
+    for i, s in enumerate(texts):
+        if s is None:
+            continue
+        w = re.sub(r"[^\w\s]", "", s.lower()).split()
+        top = max((w.count(x) for x in set(w)), default=0)
+        assert got[i][0] == (len(w) >= 5 and top >= 5 and top * 10 > len(w) * 7)
+        if i and texts[i - 1] is not None:
+            x, y = pairs(s), pairs(texts[i - 1])
+            assert got[i][1] == (len(x & y) >= 0.85 * len(x | y) if x and y else s.strip().lower() == texts[i - 1].strip().lower())
+    assert got[2][0] and got[3][0] and not got[7][0] and got[10][1]
