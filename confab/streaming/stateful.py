@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,40 +38,37 @@ class Items(StatefulProcessor):
     """State of a session: its items' events that still count, and its last reset.
 
     For first-wins values a later reset may uncover a later event, so an item keeps its events until a reset
-    passes them; a last-wins value keeps one.
+    passes them; a last-wins value keeps one. Rows come and go as rows, since a session has few in a batch, and each call to the state is
+    a message: an item costs one to read it and one to write it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.items = handle.getMapState("items", "item string", "seqs array<long>, kinds array<string>, vals array<string>")
         self.reset = handle.getValueState("reset", "seq long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        since = self.reset.get()[0] if self.reset.exists() else -1
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.reset.get()
+        since = last = held[0] if held else -1
         new: dict[str, list] = {}
-        last = since
-        for pdf in rows:
-            for seq, kind, item, value in zip(pdf["seq"].tolist(), pdf["kind"].tolist(), pdf["item"].tolist(), pdf["value"].tolist(), strict=True):
-                if kind == "reset":
-                    last = max(last, seq)
-                elif kind in KINDS and seq > since:
-                    new.setdefault(item, []).append((seq, kind, value))
+        for r in rows:
+            if r.kind == "reset":
+                last = max(last, r.seq)
+            elif r.kind in KINDS and r.seq > since:
+                new.setdefault(r.item, []).append((r.seq, r.kind, r.value))
         touched = set(new)
         if last > since:
             self.reset.update((last,))
             touched |= {k[0] for k in self.items.keys()}
-        out = []
         for item in sorted(touched):
-            held = self.items.getValue((item,)) if self.items.containsKey((item,)) else ([], [], [])
-            events = sorted({*zip(*held, strict=True), *new.get(item, [])}, key=lambda e: e[:2])
+            held = self.items.getValue((item,))
+            events = sorted({*(zip(*held, strict=True) if held else ()), *new.get(item, [])}, key=lambda e: e[:2])
             events = [e for e in events if e[0] > last]
-            row = {name: next((v for s, k, v in events[::way] if k == kind), None) for kind, (name, way) in KINDS.items()}
+            row = [next((v for s, k, v in events[::way] if k == kind), None) for kind, (_, way) in KINDS.items()]
             if events:
                 self.items.updateValue((item,), tuple(list(c) for c in zip(*events, strict=True)))
-            elif self.items.containsKey((item,)):
+            elif held:
                 self.items.removeKey((item,))
-            out.append({"session": key[0], "item": item, **row, "n_events": len(events)})
-        if out:
-            yield pd.DataFrame(out, columns=["session", "item", *COLUMNS, "n_events"])
+            yield Row(session=key[0], item=item, **dict(zip(COLUMNS, row, strict=True)), n_events=len(events))
 
     def close(self) -> None:
         pass
@@ -81,7 +77,7 @@ class Items(StatefulProcessor):
 def item_changes(events: DataFrame) -> DataFrame:
     """``item_states`` of a stream, in update mode: a row for each item that a batch changed; n_events is 0 where a reset took all."""
     kinds = f"session {dict(events.dtypes)['session']}, item string, {', '.join(f'{c} string' for c in COLUMNS)}, n_events long"
-    return events.groupBy("session").transformWithStateInPandas(Items(), kinds, "Update", "None")
+    return events.groupBy("session").transformWithState(Items(), kinds, "Update", "None")
 
 
 def merged_log(spark: SparkSession, path: str, schema, key: list[str] | None) -> DataFrame:

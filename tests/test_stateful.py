@@ -67,3 +67,22 @@ def test_restart_goes_on_where_it_ended(spark):
         done = rows[:130] if part == rows[:130] else rows
         got = live.merged_log(spark, log, spark.read.parquet(log).drop("batch").schema, ["session", "item"])
         assert table(got.filter("n_events > 0")) == plain(done)
+
+
+def test_an_item_is_read_and_written_once():
+    """Each call to the state is a message: one to read a touched item, one to write or remove it."""
+    from pyspark.sql import Row
+
+    calls, held = [], {}
+
+    class Items(live.Items):
+        def __init__(self):
+            self.reset = type("Value", (), {"get": lambda s: None, "update": lambda s, v: calls.append("reset")})()
+            self.items = type("Map", (), {"getValue": lambda s, k: calls.append("get") or held.get(k), "updateValue": lambda s, k, v: calls.append("put") or held.__setitem__(k, v), "removeKey": lambda s, k: calls.append("remove") or held.pop(k), "keys": lambda s: iter([*held])})()
+
+    rows = [Row(seq=n, kind=k, item=i, value=f"{k}{n}") for n, k, i in ((3, "append", "a"), (1, "append", "a"), (2, "label", "b"))]
+    out = list(Items().handleInputRows((7,), iter(rows), None))
+    assert [(r.session, r.item, r.text, r.speaker, r.n_events) for r in out] == [(7, "a", "append1", None, 2), (7, "b", None, "label2", 1)]
+    assert calls == ["get", "put"] * 2
+    out = list(Items().handleInputRows((7,), iter([Row(seq=9, kind="reset", item=None, value=None)]), None))
+    assert [r.n_events for r in out] == [0, 0] and calls[4:] == ["reset"] + ["get", "remove"] * 2 and not held
