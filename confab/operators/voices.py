@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.functions.vectors import cosine
@@ -31,38 +33,49 @@ def speaker_streams(segs: DataFrame, rate: int, most_s: float = 90.0) -> DataFra
     return rows.withColumn("total", F.sum("n").over(Window.partitionBy(REC, "speaker")))
 
 
-def stream_pieces(streams: DataFrame, audio: DataFrame, block: int) -> DataFrame:
+def stream_pieces(streams: DataFrame, audio: DataFrame, block: int, made: bool = False) -> DataFrame:
     """(recording_id, speaker, at, samples): the samples of ``streams`` in ``audio`` (recording_id, start, samples), placed in the speaker's audio.
 
     Audio and segments meet in bins of ``block`` samples. Blocks of audio don't overlap; where audio is missing, there is no piece (and silence
     in the frames). A plan cannot tell how long arrays are, so samples would pass for small and be broadcast: the segments of a partition are
-    what the join holds, and samples stream past them.
+    what the join holds, and samples stream past them. If samples are ``made`` later, audio has n, their number, and source instead of them,
+    and pieces have source, skip and n: n samples after the first skip of the source's.
     """
+    held, size = ("source", F.col("n")) if made else ("samples", F.size("samples"))
     spans = lambda rows, end: F.explode(F.when(end > F.col("start"), F.sequence(F.expr(f"start div {block}"), F.expr(f"{rows} div {block}")))).alias("_bin")
     own = streams.select("*", spans("(start + n - 1)", F.col("start") + F.col("n")))
-    heard = audio.select(REC, F.col("start").alias("_from"), "samples", spans("(start + size(samples) - 1)", F.col("start") + F.size("samples")))
+    heard = audio.select(REC, "start", held, size.cast("long").alias("_n")).select(REC, F.col("start").alias("_from"), held, "_n", spans("(start + _n - 1)", F.col("start") + F.col("_n")))
     rows = own.hint("shuffle_hash").join(heard, [REC, "_bin"])
     # A pair of a segment and a block of audio is taken once, in the first bin that both touch.
     first = F.greatest("start", "_from")
-    rows = rows.withColumn("_a", first).withColumn("_z", F.least(F.col("start") + F.col("n"), F.col("_from") + F.size("samples")))
+    rows = rows.withColumn("_a", first).withColumn("_z", F.least(F.col("start") + F.col("n"), F.col("_from") + F.col("_n")))
     rows = rows.filter((F.col("_a") < F.col("_z")) & (F.expr(f"_a div {block}") == F.col("_bin")))
-    return rows.select(REC, "speaker", "total", (F.col("at") + F.col("_a") - F.col("start")).alias("at"), F.expr("slice(samples, cast(_a - _from as int) + 1, cast(_z - _a as int))").alias("samples"))
+    cut = ["source", F.expr("_a - _from").alias("skip"), F.expr("_z - _a").alias("n")] if made else [F.expr("slice(samples, cast(_a - _from as int) + 1, cast(_z - _a as int))").alias("samples")]
+    return rows.select(REC, "speaker", "total", (F.col("at") + F.col("_a") - F.col("start")).alias("at"), *cut)
 
 
-def frame_moments(pieces: DataFrame, rate: int, coefficients: int = 40, block: int = 65_536) -> DataFrame:
+def frame_moments(pieces: DataFrame, rate: int, coefficients: int = 40, block: int = 65_536, sound: Callable[[Column], Column] | None = None) -> DataFrame:
     """(recording_id, speaker, i, heard, n, s, q): samples, frames, sum and sum of squares of the i-th of 3 x ``coefficients`` cepstra and differences.
 
     ``pieces`` has recording_id, speaker, total, at and samples. A speaker's audio is dealt in blocks; each gets, beyond its own samples, those
     that its frames and the frames two away need, so differences are those of the whole. A task holds one block; per-block sums are added up.
+    With ``sound``, pieces have source, skip and n, and ``sound`` of a source are its samples: they are made where the frames are, after all shuffles.
     """
+    size = "size(samples)" if sound is None else "n"
     before, after = (_REACH + 1) * HOP, (_REACH + 1) * HOP + SIZE
-    low, high = f"greatest(0, (at - {after}) div {block})", f"(at + size(samples) - 1 + {before}) div {block}"
+    low, high = f"greatest(0, (at - {after}) div {block})", f"(at + {size} - 1 + {before}) div {block}"
     dealt = pieces.withColumn("block", F.explode(F.sequence(F.expr(low), F.expr(high))))
     base = F.col("block") * block - before
     skip = F.greatest(F.lit(0), base - F.col("at"))
-    kept = F.least(F.size("samples"), base + block + before + after - F.col("at")) - skip
+    kept = F.least(F.expr(size), base + block + before + after - F.col("at")) - skip
     dealt = dealt.withColumns({"_skip": skip.cast("int"), "_kept": kept.cast("int")}).filter("_kept > 0")
-    dealt = dealt.select(REC, "speaker", "block", "total", (F.col("at") + F.col("_skip")).alias("at"), F.expr("slice(samples, _skip + 1, _kept)").alias("samples"))
+    own, at = [REC, "speaker", "block"], (F.col("at") + F.col("_skip")).alias("at")
+    if sound is None:
+        dealt = dealt.select(*own, "total", at, F.expr("slice(samples, _skip + 1, _kept)").alias("samples"))
+    else:  # sources are so small that their bytes say nothing about the work: as many tasks as a shuffle has parts, and sorted as groups need it
+        tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.select(*own, "total", at, "source", (F.col("skip") + F.col("_skip")).cast("int").alias("skip"), "_kept").repartition(tasks, *own).sortWithinPartitions(*own)
+        dealt = dealt.select(*own, "total", "at", F.slice(sound(F.col("source")), F.col("skip") + 1, F.col("_kept")).alias("samples"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key, total, b = (pdf[REC].iloc[0], pdf["speaker"].iloc[0]), int(pdf["total"].iloc[0]), int(pdf["block"].iloc[0])
@@ -85,7 +98,7 @@ def frame_moments(pieces: DataFrame, rate: int, coefficients: int = 40, block: i
         y = np.concatenate(parts, axis=1)
         return pd.DataFrame({REC: [key[0]], "speaker": [key[1]], "heard": [heard], "n": [len(y)], "s": [y.sum(axis=0)], "q": [(y * y).sum(axis=0)]})
 
-    found = dealt.groupBy(REC, "speaker", "block").applyInPandas(run, f"{REC} long, speaker string, heard long, n long, s array<double>, q array<double>")
+    found = dealt.groupBy(*own).applyInPandas(run, f"{REC} long, speaker string, heard long, n long, s array<double>, q array<double>")
     rows = found.select(REC, "speaker", "heard", "n", F.posexplode(F.arrays_zip("s", "q")).alias("i", "m"))
     return rows.groupBy(REC, "speaker", "i").agg(F.sum("heard").alias("heard"), F.sum("n").alias("n"), F.sum("m.s").alias("s"), F.sum("m.q").alias("q"))
 
@@ -100,14 +113,14 @@ def voice_vectors(moments: DataFrame) -> DataFrame:
     return rows.select(REC, "speaker", F.col("e.v").alias("vector"))
 
 
-def voice_pairs(segs: DataFrame, audio: DataFrame, conflicts: DataFrame | None = None, rate: int = 16_000, least_s: float = 5.0, coefficients: int = 40, block: int = 65_536) -> DataFrame:
+def voice_pairs(segs: DataFrame, audio: DataFrame, conflicts: DataFrame | None = None, rate: int = 16_000, least_s: float = 5.0, coefficients: int = 40, block: int = 65_536, sound: Callable[[Column], Column] | None = None) -> DataFrame:
     """(recording_id, a, b, cosine, conflict, overlap, talk_a, talk_b) of a recording's speakers with ``least_s`` seconds of audio or more.
 
-    ``audio`` has recording_id, start and samples; ``conflicts`` recording_id, a and b (a before b) of profiles that cannot be one person.
+    ``audio`` has recording_id, start and samples, or with ``sound`` n and source, of which ``sound`` makes the n samples; ``conflicts`` recording_id, a and b (a before b) of profiles that cannot be one person.
     The speakers of a recording are few, which bounds the pairs. What ``guarded_merges`` and ``merged_speakers`` take.
     """
-    pieces = stream_pieces(speaker_streams(segs, rate), audio, block)
-    vectors = settled(lambda: voice_vectors(frame_moments(pieces, rate, coefficients, block).filter(F.col("heard") >= least_s * rate)), "voices")  # read for both sides of a pair
+    pieces = stream_pieces(speaker_streams(segs, rate), audio, block, sound is not None)
+    vectors = settled(lambda: voice_vectors(frame_moments(pieces, rate, coefficients, block, sound).filter(F.col("heard") >= least_s * rate)), "voices")  # read for both sides of a pair
     talk = segs.groupBy(REC, "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("talk"))
     rows = vectors.join(talk, [REC, "speaker"])
     side = lambda x: rows.select(REC, F.col("speaker").alias(x), F.col("vector").alias(f"v_{x}"), F.col("talk").alias(f"talk_{x}"))

@@ -99,8 +99,9 @@ def _voices(op):
     def run(segs):
         rows = _in_a_row(segs)
         tones = F.array(*[F.array(*[F.lit(math.sin(i * (0.2 + letter / 13))).cast("float") for i in range(60)]) for letter in range(32)])
-        sound = F.slice(F.flatten(F.transform(F.split("text", ""), lambda ch: F.get(tones, F.ascii(ch) % 32))), F.lit(1), (F.col("end_ms") - F.col("start_ms")).cast("int"))
-        return op(rows, rows.select("recording_id", F.col("start_ms").alias("start"), sound.alias("samples")), rate=1000)
+        sound = lambda text: F.flatten(F.transform(F.split(text, ""), lambda ch: F.get(tones, F.ascii(ch) % 32)))
+        n = F.least(60 * F.size(F.split("text", "")), F.col("end_ms") - F.col("start_ms"))
+        return op(rows, rows.select("recording_id", F.col("start_ms").alias("start"), n.alias("n"), F.col("text").alias("source")), rate=1000, sound=sound)
 
     return run
 

@@ -108,3 +108,32 @@ def test_query_against_whole_audio(spark):
     assert set(got) == set(want) and len(got) > 5
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in got)
     assert flow_queries.QUERIES["merged_voices"](spark, sf).count() == len(segs)
+
+
+def test_sources_move_instead_of_samples(spark):
+    """Samples that can be made of a source are made after the shuffles, and are those of a whole audio table."""
+    rng = np.random.default_rng(5)
+    edges = np.sort(rng.choice(60_000, 21, replace=False))
+    segs = [(1, i, "ab"[i % 2], int(a), int(z), "") for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False))]
+    sound = lambda seed: F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.sin(i * i * seed / 7919).cast("float"))
+    sources = spark.createDataFrame([(1, k * 15_000, 15_000, k + 1) for k in range(4)], "recording_id long, start long, n int, source int")
+    df, whole_audio = spark.createDataFrame(segs, SEGS), sources.select("recording_id", "start", F.slice(sound(F.col("source")), 1, F.col("n")).alias("samples"))
+    streams = voices.speaker_streams(df, RATE)
+    made = voices.frame_moments(voices.stream_pieces(streams, sources, 5000, True), RATE, 13, 5000, sound)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("FlatMapGroupsInPandas") :]
+    assert 0 < plan.index("AS samples") < min(plan.index(x) for x in ("Sort ", "Exchange "))  # from the groups down: made above what sorts and deals
+    rows = lambda moments: {(r.speaker, r.i): (r.heard, r.n, r.s, r.q) for r in moments.collect()}
+    got, want = rows(made), rows(voices.frame_moments(voices.stream_pieces(streams, whole_audio, 5000), RATE, 13, 5000))
+    assert set(got) == set(want) and len(got) == 2 * 39
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_queries_move_texts_instead_of_sound(spark):
+    """The table that the queries give the operator holds no samples."""
+    from confab.plans import flow_queries
+
+    segs = spark.createDataFrame([(1, 0, "a", 0, 900, "some text"), (1, 1, "b", 0, 25_000, "zażółć"), (1, 2, "b", 900, 910, "x")], SEGS)
+    rows = flow_queries._voices(lambda own, audio, rate, sound=None: audio.withColumn("made", F.size(sound(F.col("source")))))(segs)
+    assert not [name for name, kind in rows.dtypes if kind.startswith("array")]
+    assert sorted((r.start, r.n, r.made) for r in rows.collect()) == [(0, 540, 540), (900, 360, 360), (25_900, 10, 60)]
