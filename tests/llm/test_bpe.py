@@ -1,4 +1,5 @@
 import json
+import sys
 
 import pytest
 
@@ -38,6 +39,34 @@ def test_other_tokenizers_are_encoded_right_or_refused(tmp_path):
             bpe.ChunkEncoder(str(tmp_path / name))
 
 
+def test_added_tokens_and_marks_split_off_are_not_cut(tmp_path):
+    """An added token may stand inside a word; a mark that the normalizer splits off a letter joins the signs after it."""
+    config = json.load(open(public.path("word_bpe_49k.json")))
+    added = config | {"added_tokens": [*config["added_tokens"], config["added_tokens"][0] | {"id": 49408, "content": "Ab'c"}]}
+    split_off = config | {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "Lowercase"}]}}
+    texts = ["x1 xAb'cy ab'c 'Ab'c! it's z", "a caf\u00e9! \u00e9'S \u00c9\u00c9.. b", "so as it is 'there ''s a!'s 3's 'S' \u00d7'\u00c9\u00d7\u00d7 o'th\u00e9 end"]
+    for name, own in (("added", added), ("split_off", split_off), ("own", config)):
+        (tmp_path / name).write_text(json.dumps(own))
+        enc = bpe.ChunkEncoder(str(tmp_path / name), mask=0x7)
+        for cut in (texts, [" ".join(texts) + prose(4, 100)]):
+            assert [memoryview(x).cast("i").tolist() for x in enc.encode_all([t.encode() for t in cut])] == [enc.ids(t) for t in cut]
+
+
+def test_words_of_known_pieces_cost_no_python_calls_of_their_own():
+    """15,000 distinct words of 300 runs of letters and 25 of signs."""
+    enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"))
+    runs = ["".join(chr(97 + int(d)) for d in str(7919 * i)) for i in range(1, 301)]
+    signs = [a + b for a in ".,;:!" for b in "?*%$#"]
+    text, calls = " ".join(case(r) + s for s in signs for r in runs for case in (str.title, str.upper)), [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event in ("call", "c_call"))))
+    try:
+        got = enc.encode_all([text.encode()])
+    finally:
+        sys.setprofile(None)
+    assert memoryview(got[0]).cast("i").tolist() == enc.ids(text)
+    assert calls[0] < 15_000
+
+
 def test_shared_chunks_are_encoded_once():
     enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"))
     text = prose(9, 40_000).encode()
