@@ -194,7 +194,7 @@ class ChunkEncoder:
         if not self.by_piece:
             return data[inside], np.cumsum(ends - starts) - (ends - starts)
         low = _LOWER[data]
-        at = np.flatnonzero(data == 0xC3) + 1  # second bytes of letters of Latin-1
+        at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] & 0xC0 == 0x80)) + 1  # second bytes of letters of Latin-1
         second = low[at]
         low[at] = second + np.where((second <= 0x9E) & (second != 0x97), 0x20, 0).astype(np.uint8)
         kind = _KIND[low]
