@@ -40,6 +40,8 @@ MAX_CHUNKS = 5_000
 #: Chunks, words and windows of more bytes are not kept beyond their batch.
 LONG = 8192
 BATCH_BYTES = 1 << 20
+#: No chunk has more bytes: a passage that the hash never cuts, as one word again and again, is cut here.
+MOST = 1 << 18
 #: So many new pieces are one text for the tokenizer.
 JOINED = 64
 _GEAR = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64)
@@ -89,7 +91,7 @@ class Store:
 
 
 def cuts(data: np.ndarray, mask: int = CHUNK_MASK) -> np.ndarray:
-    """Places at which the hash of the last ``WINDOW`` bytes ends a chunk, never inside a character."""
+    """Places at which the hash of the last ``WINDOW`` bytes, or its length, ends a chunk, never inside a character."""
     if len(data) <= WINDOW:
         return np.zeros(0, np.int64)
     gear = _GEAR[data]
@@ -102,7 +104,14 @@ def cuts(data: np.ndarray, mask: int = CHUNK_MASK) -> np.ndarray:
     hit[:WINDOW] = False
     at = np.flatnonzero(hit) + 1
     at = at[at < len(data)]
-    return at[(data[at] & 0xC0) != 0x80]
+    at = at[(data[at] & 0xC0) != 0x80]
+    if len(data) <= MOST:
+        return at
+    edges = [0, *at.tolist(), len(data)]
+    more = np.concatenate([np.arange(a + MOST, b, MOST) for a, b in zip(edges, edges[1:], strict=False)])
+    for _ in range(3):  # back to the start of a character
+        more -= (data[more] & 0xC0) == 0x80
+    return np.union1d(at, more)
 
 
 class Chunk(NamedTuple):

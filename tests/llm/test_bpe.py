@@ -1,6 +1,7 @@
 import json
 import sys
 
+import numpy as np
 import pytest
 
 from confab.llm import bpe
@@ -67,6 +68,17 @@ def test_words_of_known_pieces_cost_no_python_calls_of_their_own():
     assert calls[0] < 15_000
 
 
+def test_passages_that_the_hash_never_cuts_are_cut_by_length(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST", 1 << 10, raising=False)
+    enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"), mask=2**31 - 1)
+    for text in ("\u4e2d\u00e9 it's " * 1_000, "\u4e2d" * 3_000 + " end", "ab " * 2_000):
+        data = text.encode()
+        at = [0, *bpe.cuts(np.frombuffer(data, np.uint8), 2**31 - 1).tolist(), len(data)]
+        assert max(b - a for a, b in zip(at, at[1:], strict=False)) <= (1 << 10) + 3
+        assert "".join(data[a:b].decode() for a, b in zip(at, at[1:], strict=False)) == text
+        assert memoryview(enc.encode_all([data])[0]).cast("i").tolist() == enc.ids(text)
+
+
 def test_shared_chunks_are_encoded_once():
     enc = bpe.ChunkEncoder(public.path("word_bpe_49k.json"))
     text = prose(9, 40_000).encode()
