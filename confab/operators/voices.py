@@ -19,17 +19,18 @@ from confab.sources.storage import settled
 _REACH = 2
 
 
-def speaker_streams(segs: DataFrame, rate: int, most_s: float = 90.0) -> DataFrame:
+def speaker_streams(segs: DataFrame, rate: int, most_s: float | None = 90.0) -> DataFrame:
     """(recording_id, speaker, seg_id, start, n, at, total): each segment's samples within its speaker's audio, in order.
 
-    ``at`` is the place of the segment's first sample there; what lies beyond ``most_s`` seconds is cut, ``total`` is the rest.
+    ``at`` is the place of the segment's first sample there, ``total`` is all that counts of the speaker: the whole audio, or its first ``most_s`` seconds.
     """
     w = Window.partitionBy(REC, "speaker").orderBy("seg_id")
     start = F.expr(f"start_ms * {rate} div 1000")
     rows = segs.filter("speaker is not null and start_ms is not null and end_ms > start_ms")
     rows = rows.select(REC, "speaker", "seg_id", start.alias("start"), (F.expr(f"end_ms * {rate} div 1000") - start).alias("n")).filter("n > 0")
-    at = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("at", at).filter(F.col("at") < int(most_s * rate)).withColumn("n", F.least("n", int(most_s * rate) - F.col("at")))
+    rows = rows.withColumn("at", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if most_s is not None:
+        rows = rows.filter(F.col("at") < int(most_s * rate)).withColumn("n", F.least("n", int(most_s * rate) - F.col("at")))
     return rows.withColumn("total", F.sum("n").over(Window.partitionBy(REC, "speaker")))
 
 
@@ -113,13 +114,14 @@ def voice_vectors(moments: DataFrame) -> DataFrame:
     return rows.select(REC, "speaker", F.col("e.v").alias("vector"))
 
 
-def voice_pairs(segs: DataFrame, audio: DataFrame, conflicts: DataFrame | None = None, rate: int = 16_000, least_s: float = 5.0, coefficients: int = 40, block: int = 65_536, sound: Callable[[Column], Column] | None = None) -> DataFrame:
+def voice_pairs(segs: DataFrame, audio: DataFrame, conflicts: DataFrame | None = None, rate: int = 16_000, least_s: float = 5.0, coefficients: int = 40, block: int = 65_536, sound: Callable[[Column], Column] | None = None, most_s: float | None = None) -> DataFrame:
     """(recording_id, a, b, cosine, conflict, overlap, talk_a, talk_b) of a recording's speakers with ``least_s`` seconds of audio or more.
 
     ``audio`` has recording_id, start and samples, or with ``sound`` n and source, of which ``sound`` makes the n samples; ``conflicts`` recording_id, a and b (a before b) of profiles that cannot be one person.
+    A speaker's whole audio counts; with ``most_s`` only its first seconds, as the reference stops at 90.
     The speakers of a recording are few, which bounds the pairs. What ``guarded_merges`` and ``merged_speakers`` take.
     """
-    pieces = stream_pieces(speaker_streams(segs, rate), audio, block, sound is not None)
+    pieces = stream_pieces(speaker_streams(segs, rate, most_s), audio, block, sound is not None)
     vectors = settled(lambda: voice_vectors(frame_moments(pieces, rate, coefficients, block, sound).filter(F.col("heard") >= least_s * rate)), "voices")  # read for both sides of a pair
     talk = segs.groupBy(REC, "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("talk"))
     rows = vectors.join(talk, [REC, "speaker"])

@@ -137,3 +137,24 @@ def test_queries_move_texts_instead_of_sound(spark):
     rows = flow_queries._voices(lambda own, audio, rate, sound=None: audio.withColumn("made", F.size(sound(F.col("source")))))(segs)
     assert not [name for name, kind in rows.dtypes if kind.startswith("array")]
     assert sorted((r.start, r.n, r.made) for r in rows.collect()) == [(0, 540, 540), (900, 360, 360), (25_900, 10, 60)]
+
+
+def long_speakers(spark):
+    """Two speakers whose voices are one for 90 s; then a's becomes another, and b stops. c is a's later voice."""
+    parts = [("a", 0.5, 95_000), ("b", 0.5, 60_000), ("a", 2.4, 150_000), ("b", 0.5, 30_000), ("c", 2.4, 40_000)]
+    ends = np.cumsum([n for _, _, n in parts])
+    segs = [(1, i, s, int(z) - n, int(z), "t") for i, ((s, _, n), z) in enumerate(zip(parts, ends, strict=True))]
+    x = np.concatenate([voice(i, n, c) for i, (_, c, n) in enumerate(parts)]).astype(np.float32)
+    cuts = list(range(50_000, int(ends[-1]), 50_000))
+    return x, segs, spark.createDataFrame(segs, SEGS), spark.createDataFrame(blocks(1, x, cuts), AUDIO)
+
+
+def test_merges_hear_the_whole_audio(spark):
+    """Speakers that are alike in their first 90 s only are not merged; with a bound of 90 s they are."""
+    x, segs, df, audio = long_speakers(spark)
+    assert sum(z - a for _, _, s, a, z, _ in segs if s == "a") > 2 * 90_000
+    merged = lambda **kw: {r.seg_id: r.speaker for r in voices.merged_voices(df, audio, rate=RATE, **kw).collect()}
+    got = merged()
+    assert set(got) == set(range(5)) and got[0] == got[2] != got[1] == got[3]
+    cut = merged(most_s=90.0)
+    assert cut[0] == cut[1]
