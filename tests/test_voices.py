@@ -158,3 +158,17 @@ def test_merges_hear_the_whole_audio(spark):
     assert set(got) == set(range(5)) and got[0] == got[2] != got[1] == got[3]
     cut = merged(most_s=90.0)
     assert cut[0] == cut[1]
+
+
+def test_pairs_hear_the_end_of_the_texts(spark):
+    """The query's similarities are those of all that a speaker says: texts that come after 90 s of the speaker's count."""
+    from confab.plans import flow_queries
+
+    said = [("a", "aei" * 130), ("b", "aei" * 130)] * 5 + [("a", "mnopq" * 75)] * 6 + [("b", "sz" * 180)] * 3
+    segs = [(1, i, s, 0, 60 * len(t), t) for i, (s, t) in enumerate(said)]
+    heard = {s: np.concatenate([np.sin(np.arange(60) * (0.2 + ord(ch) % 32 / 13)) for v, t in said if v == s for ch in t]).astype(np.float32).astype(float) for s in "ab"}
+    cosine = lambda most: (lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b))(*[profiles.mfcc_vector(heard[s][:most], RATE) for s in "ab"])
+    assert abs(cosine(None) - cosine(90_000)) > 0.01
+    pairs = flow_queries._voices(voices.voice_pairs)(spark.createDataFrame(segs, SEGS)).collect()
+    assert [(r.a, r.b, r.talk_a, r.talk_b) for r in pairs] == [("a", "b", len(heard["a"]), len(heard["b"]))]
+    assert pairs[0].cosine == pytest.approx(cosine(None), abs=1e-4)
